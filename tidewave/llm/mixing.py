@@ -87,6 +87,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -
     )
 
 
+def repeat(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """``docs`` mixed: every document as a whole, ``copies`` times.
+
+    A document that the mix uses less than half of goes. Documents with one id
+    and one source, null ones too, are each repeated as their id is; the plan
+    has a row for each of them.
+    """
+    plan = mix(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    plan = settle(plan)
+    d = docs.withColumn("_size", n_words(F.col("text"))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._size") == F.col("p.size"))
+    rows = d.join(plan.alias("p"), same).select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("p.copies").alias("_copies"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
