@@ -20,7 +20,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: A source gives its words so often at most.
 MOST = 3
 #: Rows that one key range holds on average, and the most ranges a source has.
-RANGE_ROWS, MAX_RANGES = 4096, 65_536
+RANGE_ROWS, MAX_RANGES = 512, 65_536
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
