@@ -11,44 +11,50 @@ KEYS = ("track_id", "channel_index")
 MOST_PEAKS = 500
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of a value that is computed once: higher-order functions share no common subexpressions."""
+    return F.transform(F.array(x), f)[0]
+
+
 def normalised(window: Column) -> Column:
     """A window scaled from 0 to 1; zeros where it is constant."""
-    lo, hi = F.array_min(window), F.array_max(window)
-    return F.transform(window, lambda x: F.when(hi - lo > 1e-10, (x - lo) / (hi - lo)).otherwise(0.0))
+    bounds = F.struct(window.alias("w"), F.array_min(window).alias("lo"), F.array_max(window).alias("hi"))
+    return let(bounds, lambda b: F.transform(b["w"], lambda x: F.when(b["hi"] - b["lo"] > 1e-10, (x - b["lo"]) / (b["hi"] - b["lo"])).otherwise(0.0)))
 
 
 def resampled(window: Column, n: Column) -> Column:
     """Linear interpolation of a window at ``n`` equal steps from its first to its last sample."""
-    top = F.size(window) - 1
 
-    def at(i: Column) -> Column:
+    def at(w: Column, i: Column) -> Column:
+        top = F.size(w) - 1
         x = F.when(n > 1, i * top / F.nullif(n - 1, F.lit(0))).otherwise(0.0)
         k = F.least(F.floor(x), F.greatest(top - 1, F.lit(0))).cast("int")
-        a, b = F.element_at(window, k + 1), F.element_at(window, F.least(k + 1, top) + 1)
-        return a + (b - a) * (x - k)
+        return F.element_at(w, k + 1) + (F.element_at(w, F.least(k + 1, top) + 1) - F.element_at(w, k + 1)) * (x - k)
+
+    return let(window, lambda w: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(w, i)))
+
 
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's coefficient of two arrays of one length; null where one is constant."""
-    n = F.size(a)
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    ma, mb = total(a) / n, total(b) / n
-    da, db = F.transform(a, lambda x: x - ma), F.transform(b, lambda x: x - mb)
-    dot = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
-    spread = F.sqrt(dot(da, da) * dot(db, db))
-    return F.when(spread > 1e-14, dot(da, db) / spread)
+    centre = lambda x: let(x, lambda v: let(_total(v) / F.size(v), lambda m: F.transform(v, lambda y: y - m)))
+    dot = lambda x, y: _total(F.zip_with(x, y, lambda p, q: p * q))
+    ratio = lambda s: let(F.sqrt(dot(s["a"], s["a"]) * dot(s["b"], s["b"])), lambda d: F.when(d > 1e-14, dot(s["a"], s["b"]) / d))
+    return let(F.struct(centre(a).alias("a"), centre(b).alias("b")), ratio)
 
 
 def similarity(a: Column, b: Column) -> Column:
     """How alike two windows are in shape: scaled, brought to the shorter length, correlated. Constant
     windows are alike if they are equal."""
-    n = F.least(F.size(a), F.size(b))
-    fit = lambda x: F.when(F.size(x) == n, x).otherwise(resampled(x, n))
+    fit = lambda x, n: F.when(F.size(x) == n, x).otherwise(resampled(x, n))
     flat = (F.array_max(a) - F.array_min(a) < 1e-10) | (F.array_max(b) - F.array_min(b) < 1e-10)
     equal = F.when(F.abs(F.array_max(a) - F.array_max(b)) < 1e-10, 1.0).otherwise(0.0)
-    return F.when(flat, equal).otherwise(F.coalesce(correlation(fit(normalised(a)), fit(normalised(b))), F.lit(0.0)))
+    both = F.struct(normalised(a).alias("a"), normalised(b).alias("b"), F.least(F.size(a), F.size(b)).alias("n"))
+    fitted = let(both, lambda s: F.coalesce(correlation(fit(s["a"], s["n"]), fit(s["b"], s["n"])), F.lit(0.0)))
+    return F.when(flat, equal).otherwise(fitted)
 
 
 def similar_pairs(windows: DataFrame, threshold: float, keys=KEYS) -> DataFrame:
@@ -56,11 +62,13 @@ def similar_pairs(windows: DataFrame, threshold: float, keys=KEYS) -> DataFrame:
 
     The join is inside a series and over at most ``MOST_PEAKS`` windows of it.
     """
-    w = windows.select(*keys, "n", "window")
-    a, b = w.select(*keys, F.col("n").alias("i"), F.col("window").alias("a")), w.select(*keys, F.col("n").alias("j"), F.col("window").alias("b"))
+    w = windows.select(*keys, "n", "window", normalised(F.col("window")).alias("scaled"))
+    a = w.select(*keys, F.col("n").alias("i"), F.col("window").alias("a"), F.col("scaled").alias("x"))
+    b = w.select(*(F.col(k).alias(k) for k in keys), F.col("n").alias("j"), F.col("window").alias("b"), F.col("scaled").alias("y"))
     same = F.size("a") == F.size("b")
-    r = F.when(same, correlation(normalised(F.col("a")), normalised(F.col("b")))).otherwise(similarity(F.col("a"), F.col("b")))
-    return a.join(b, list(keys)).where("i < j").select(*keys, "i", "j", same.alias("same"), r.alias("r")).where(F.col("r") >= threshold)
+    r = F.when(same, correlation(F.col("x"), F.col("y"))).otherwise(similarity(F.col("a"), F.col("b")))
+    pairs = a.join(b, list(keys)).where("i < j").select(*(F.col(k).alias(k) for k in keys), "i", "j", same.alias("same"), r.alias("r"))
+    return pairs.where(F.col("r") >= threshold)
 
 
 def greedy_groups(n: int, edges: list[tuple[int, int, bool]], lengths: dict[int, int], least: int) -> list[list[int]]:
@@ -115,7 +123,7 @@ def repeating_patterns(windows: DataFrame, threshold: float = 0.9, least: int =
         rows = [(*key, p, n) for p, g in enumerate(found, 1) for n in g]
         return pd.DataFrame(rows, columns=[*keys, "pattern_num", "n"])
 
-    nodes = kept.select(*keys, "n", F.size("window").alias("size"))
+    nodes = kept.select(*(F.col(k).alias(k) for k in keys), "n", F.size("window").alias("size"))
     groups = nodes.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(group, schema)
     return groups.join(kept.select(*keys, "n", "peak_idx", "peak_db"), [*keys, "n"]).drop("n")
 

@@ -52,9 +52,9 @@ Q["w7_slow_rms"] = _scanned("slow", SLOW)
 O["w7_slow_rms"] = sql(SLOW_SQL.format(USERS), "SELECT track_id, channel_index, sample_idx, sqrt(y) AS envelope FROM e", "envelope", 4)
 Q["w8_peak_follower"] = _scanned("follow", FOLLOW)
 O["w8_peak_follower"] = sql(FOLLOW_SQL.format(USERS), "SELECT * FROM e", "envelope", 4)
-Q["w10_simple_follower"] = lambda s, d: rounded(scan.peak_hold(users(s, d), -math.log(1 - 1 / 6)), 4)
+Q["w10_simple_follower"] = lambda s, d: rounded(scan.peak_hold(users(s, d), -math.log(1 - 1 / 7)), 4)
 O["w10_simple_follower"] = sql(
-    FOLLOW_SQL.format(USERS).replace("0.75 * e.envelope + 0.25 * abs(u.value)", "e.envelope * (1 - 1.0 / 6)"), "SELECT * FROM e", "envelope", 4
+    FOLLOW_SQL.format(USERS).replace("0.75 * e.envelope + 0.25 * abs(u.value)", "e.envelope * (1 - 1.0 / 7)"), "SELECT * FROM e", "envelope", 4
 )
 
 Q["w3_slow_crest"] = lambda s, d: rounded(scan.slow_crest(users(s, d), 4, rms_tau=8, peak_tau=8, block=16))
