@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bands, events, statistics, windows
+from . import bands, events, groups, statistics, windows
 
 FLAGSHIP = "w1_fixed_window_crest"
-MODULES = (windows, statistics, bands, events)
+MODULES = (windows, statistics, bands, events, groups)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
