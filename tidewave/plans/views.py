@@ -11,6 +11,7 @@ from ..sources import series
 DIGITS = 6
 #: Bins of a 64-sample block are 1 Hz apart at this rate; the centres fit it.
 RATE = 64.0
+SCALE = 2.6457513110645907
 CENTRES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 
 
@@ -40,13 +41,13 @@ EVENTS = """ev AS (SELECT 'events' AS track_id, CAST(dense_rank() OVER (ORDER BY
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user is a channel: many short series. Sevenths, or rounding would meet ties."""
+    """Each user is a channel: many short series. The divisor has no short form, or rounding would meet ties."""
     e = table(spark, sf_dir, "events")
-    return series.centred(series.from_table(e, F.lit("users"), F.col("user_id"), ["ts", "event_id"], F.col("value"))).withColumn("value", F.col("value") / 7)
+    return series.centred(series.from_table(e, F.lit("users"), F.col("user_id"), ["ts", "event_id"], F.col("value"))).withColumn("value", F.col("value") / SCALE)
 
 
 USERS = """us AS (SELECT 'users' AS track_id, CAST(user_id AS INTEGER) AS channel_index, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample_idx,
-  (value - avg(value) OVER (PARTITION BY user_id)) / 7 AS value FROM events)"""
+  (value - avg(value) OVER (PARTITION BY user_id)) / 2.6457513110645907::DOUBLE AS value FROM events)"""
 
 
 def user_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
