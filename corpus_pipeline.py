@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import mixing, packing, quality, simhash, toxicity
+from tidewave.llm import mixing, packing, quality, resemblance, toxicity
 from tidewave.llm.common import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,7 +27,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """SimHash's tables, and more of the kind, at five words and a resemblance of 0.8."""
+    return resemblance.keep_one(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

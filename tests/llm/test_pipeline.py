@@ -6,7 +6,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from tidewave.llm import mixing, packing, simhash
+from tidewave.llm import mixing, packing, resemblance
 from tidewave.llm import queries as llm
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
         if name in ("toxicity", "quality"):
             assert 0.5 < len(rows) / before.count() <= 1
         if name == "simhash":
-            comp = simhash.near_duplicates(before).collect()
+            comp = resemblance.near_copies(before).collect()
             assert {r["doc_id"] for r in rows} == {r["component_id"] for r in comp}
         if name == "mixing":
             plan = {r["doc_id"]: r["copies"] for r in mixing.mix(before).collect()}
