@@ -169,7 +169,7 @@ def _json(s, d):
 
 
 Q["s17_s12_json_windows"] = _json
-O["s17_s12_json_windows"] = sql(EVENTS, "SELECT channel_index, 3::BIGINT AS n, max(abs(value)) FILTER (sample_idx < 64) AS first, NULL::DOUBLE AS second FROM ev GROUP BY ALL", "first", 3)
+O["s17_s12_json_windows"] = sql(EVENTS, "SELECT channel_index, least(3, count(*) // 64)::BIGINT AS n, max(abs(value)) FILTER (sample_idx < 64) AS first, NULL::DOUBLE AS second FROM ev GROUP BY ALL", "first", 3)
 WIN = EVENTS + ", " + WINDOWS.format("ev") + f", fw AS ({FULL}), gw AS (SELECT *, CASE WHEN channel_index <= 2 THEN 'screen' WHEN channel_index = 3 THEN 'lfe' ELSE 'surround' END AS channel_group FROM fw)"
 
 

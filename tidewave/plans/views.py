@@ -26,7 +26,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 def sql(with_: str, select: str, doubles: str = "", digits: int = DIGITS) -> str:
     """A query over common table expressions with the named columns rounded."""
-    replace = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles.split())
+    replace = ", ".join(f"round({c}::DOUBLE, {digits}) + 0.0 AS {c}" for c in doubles.split())
     return f"WITH {with_} SELECT * {f'REPLACE ({replace})' if replace else ''} FROM ({select})"
 
 
