@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .features import GRAM_BUCKETS, WORD_BUCKETS, Words, chunks, fold, gather, labelled_ids, platt, sigmoid
 
 #: Labelled rows of either label, and unlabelled rows, that are learnt from, at most.
-SAMPLE_EACH, SAMPLE_UNLABELLED = 1200, 1500
+SAMPLE_EACH, SAMPLE_UNLABELLED = 1000, 1000
 ROUNDS, GIVEN, SURE = 3, 100, 0.95
 #: Documents below this are rejected.
 THRESHOLD = 0.3
@@ -141,9 +141,10 @@ def _sparse(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         own, times = np.unique(tokens[a:b] - 1, return_counts=True)
         share = SCALE * times / max(1, b - a)
         at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n[own])[:-1]]), n[own]) + np.arange(n[own].sum()) if len(own) else np.empty(0, np.int64)
-        cols += [buckets[own], WORD_BUCKETS + grams[at]]
-        vals += [share, np.repeat(share / np.maximum(n[own], 1), n[own])]
-        rows.append(np.full(len(own) + len(at), i))
+        # half-width numbers: the sample's entries are the driver's largest arrays
+        cols.append(np.concatenate([buckets[own], WORD_BUCKETS + grams[at]]).astype(np.int32))
+        vals.append(np.concatenate([share, np.repeat(share / np.maximum(n[own], 1), n[own])]).astype(np.float32))
+        rows.append(np.full(len(cols[-1]), i, np.int32))
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
 
 
@@ -162,7 +163,9 @@ def fit(pdf: pd.DataFrame, y: np.ndarray, negatives_weight: float = 1.0) -> Mode
     words = [w for _, _, w, _ in chunks(pdf["text"], 1)] if len(pdf) else []
     counts = np.array([len(w) for w in words], np.int64)
     row, col, val = _sparse(words)
-    shape, source, lang = metadata(pdf["text"], pdf["source"], pdf["lang"], counts, np.array([len(set(w)) for w in words]))
+    vocabulary = np.array([len(set(w)) for w in words])
+    shape, source, lang = metadata(pdf["text"], pdf["source"], pdf["lang"], counts, vocabulary)
+    del words
     model.mean, model.scale = shape.mean(0), shape.std(0) + 1e-6
     m_row = np.concatenate([np.repeat(np.arange(len(y)), SHAPE), np.arange(len(y)), np.arange(len(y))])
     m_col = np.concatenate([np.tile(np.arange(SHAPE), len(y)), source, lang])
@@ -176,9 +179,10 @@ def fit(pdf: pd.DataFrame, y: np.ndarray, negatives_weight: float = 1.0) -> Mode
         said = []
         for (linear, r, c, v), own in zip(views, labels, strict=True):
             used = own >= 0
-            number = np.cumsum(used) - 1
+            number = (np.cumsum(used) - 1).astype(np.int32)
             at = used[r]
             linear.fit(number[r[at]], c[at], v[at], own[used].astype(float))
+            del at
             said.append(np.bincount(r, v * linear.w[c], len(y)) + linear.b)
         if round_ == ROUNDS:
             break
