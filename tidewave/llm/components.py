@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import stored
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -15,7 +15,7 @@ def _sign(edges: DataFrame) -> tuple:
 def _least(edges: DataFrame) -> DataFrame:
     # written out, so that both sides of the join that follows are exchanges
     # and adaptive execution can split the rows of a hub
-    return settle(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return stored(edges.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -28,17 +28,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     no rows.
     """
     edges = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    edges = settle(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    edges = stored(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     before = _sign(edges)
     for _ in range(max_rounds):
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = settle(large.distinct())
+        large = stored(large.distinct())
         least = _least(large)
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         if (now := _sign(edges)) == before:
             break
         before = now
