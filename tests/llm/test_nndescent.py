@@ -75,3 +75,18 @@ def test_odd_vectors(spark):
     got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=lambda r: (r[0] is None, r[0] or 0))
     assert got == sorted(brute(rows), key=lambda r: (r[0] is None, r[0] or 0))
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+def test_dense_groups_joined_by_cross_links(spark, monkeypatch, tile):
+    """Either group fills the lists of its members; the links between the groups lie below all of them."""
+    monkeypatch.setattr(nndescent, "TILE", tile)
+    monkeypatch.setattr(nndescent, "audit", lambda *_: 1.0)  # no further rounds with longer lists
+    rng = np.random.default_rng(6)
+    rows = [(k, x.tolist(), 0) for k, x in enumerate(rng.standard_normal((100, 32)))]
+    for c in range(3):
+        a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        for g, centre in enumerate((a, 0.92 * a + (1 - 0.92**2) ** 0.5 * b)):
+            rows += [(1000 * (2 * c + g + 1) + k, (centre + 0.006 * rng.standard_normal(32)).tolist(), 1) for k in range(40)]
+    got = {r["vec_id"]: tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r[0]: r for r in brute(rows)}

@@ -4,9 +4,10 @@ Every vector keeps a list of its nearest known neighbours. The lists start in
 buckets of random hyperplanes; then, round by round, the vectors that have a
 neighbour in common meet there and are compared, and better neighbours replace
 worse ones. An audit compares a sample of vectors with all rows and asks for
-more rounds with longer lists while recall is low. A list that is full of
-links is saturated: it is enlarged by all that its links lead to, so that a
-dense group is compared in full, tile by tile. Edges below the threshold go.
+more rounds with longer lists while recall is low. The lists only choose who
+meets: every meeting also gives a forest of all links in it, so that a list
+that is full of a dense group's own members hides no link to another group.
+What the links connect is compared in full, tile by tile.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ NEIGHBOURS, TABLES, ROUNDS, MOST_ROUNDS = 8, 8, 2, 8
 TILE, GROUP_ROWS = 512, 16_384
 #: Vectors that the audit compares with all rows, and the recall it asks for.
 AUDIT, RECALL = 512, 0.95
-LISTS = "v long, near array<struct<s:double,u:long>>"
+#: Rows of lists have no tie, rows of ties (v, tie) an empty list.
+LISTS = "v long, near array<struct<s:double,u:long>>, tie long"
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -65,11 +67,29 @@ def _best(v: np.ndarray, u: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"v": v[starts], "near": near})
 
 
-def _meet(k: int):
-    """The members of each g are compared; what beats a member's kth neighbour is kept."""
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what a symmetric matrix of links connects."""
+    left, ends, starts = linked.any(1), [], []
+    for first in np.flatnonzero(left):
+        if not left[first]:
+            continue
+        left[first], queue = False, [first]
+        for i in queue:
+            new = np.flatnonzero(linked[i] & left)
+            left[new] = False
+            queue.extend(new.tolist())
+            ends.append(new)
+            starts.append(np.full(len(new), i))
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *ends])
+
+
+def _meet(k: int, threshold: float):
+    """The members of each g are compared; what beats a member's kth neighbour is kept, and a forest of all links."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         vs, us, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        ties = [np.empty((0, 2), np.int64)]
         for part in _by_length(pdf.sort_values("g", kind="stable")):
             x, v, kth, g = _unit(part["e"]), part["v"].to_numpy(), part["kth"].to_numpy(), part["g"].to_numpy()
             cut = np.flatnonzero(g[1:] != g[:-1]) + 1
@@ -78,6 +98,8 @@ def _meet(k: int):
                     continue
                 s = x[a:b] @ x[a:b].T
                 np.fill_diagonal(s, -3)
+                i, j = _forest(s >= threshold)
+                ties.append(np.stack([v[a + i], v[a + j]], 1))
                 n = min(k, b - a - 1)
                 top = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 i, j = np.nonzero(np.take_along_axis(s, top, 1) > kth[a:b, None] + 1e-12)
@@ -87,40 +109,59 @@ def _meet(k: int):
                 # pair by pair, so that a pair has one value wherever it is met
                 ss.append(np.einsum("ij,ij->i", x[a + i], x[a + j]))
         v, u, s = map(np.concatenate, (vs, us, ss))
-        return _best(v, u, s, k) if len(v) else pd.DataFrame({"v": v, "near": []})
+        lists = _best(v, u, s, k) if len(v) else pd.DataFrame({"v": v, "near": []})
+        ties = np.unique(np.concatenate(ties), axis=0)
+        v, tie = np.concatenate([lists["v"], ties[:, 0]]), pd.array([*[None] * len(lists), *ties[:, 1]], "Int64")
+        return pd.DataFrame({"v": v, "near": [*lists["near"], *[[]] * len(ties)], "tie": tie})
 
     return meet
 
 
-def _compare(groups: DataFrame, reps: DataFrame, k: int, salt: int) -> DataFrame:
-    """Lists from ``(g, v, kth)``. Groups over ``TILE`` are dealt into tiles, anew with every salt."""
-    sizes = settle(groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
-    tile = F.pmod(F.xxhash64("v", F.lit(salt)), F.ceil(F.col("n") / TILE))
-    rows = groups.join(sizes, "g").select(F.when(F.col("n") > TILE, F.xxhash64("g", tile)).otherwise(F.col("g")).alias("g"), "v", "kth")
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def _met(rows: DataFrame, reps: DataFrame, k: int, threshold: float, total: int) -> DataFrame:
     dealt = rows.join(reps.select("v", "e"), "v").withColumn("b", F.pmod(F.xxhash64("g"), F.lit(max(1, -(-total // GROUP_ROWS)))))
-    return dealt.groupBy("b").applyInPandas(_meet(k), LISTS)
+    return settle(dealt.groupBy("b").applyInPandas(_meet(k, threshold), LISTS))
+
+
+def _ties(met: DataFrame) -> DataFrame:
+    return met.where("tie is not null").select(F.greatest("v", "tie").alias("a"), F.least("v", "tie").alias("b"))
+
+
+def _compare(groups: DataFrame, reps: DataFrame, k: int, threshold: float, salt: int, full: bool = False) -> DataFrame:
+    """Lists and ties from ``(g, v, kth)``. Groups over ``TILE`` are dealt into tiles, anew with every salt.
+
+    If ``full``, the tiles of those that aren't one component then are compared
+    with each other, which costs the square of the group.
+    """
+    sizes = settle(groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    tiles = F.ceil(F.col("n") / TILE)
+    held = groups.join(sizes, "g").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("v", F.lit(salt)), tiles))
+    rows = held.select(F.when(F.col("n") > TILE, F.xxhash64("g", "tile")).otherwise(F.col("g")).alias("g"), "v", "kth")
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    met = _met(rows, reps, k, threshold, total)
+    if not full or most <= TILE:
+        return met
+    roots = settle(components(_ties(met))).select(F.col("node").alias("v"), "root")
+    large = settle(held.where("tiles > 1").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")))
+    mixed = large.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
+    pairs = large.join(mixed, "g", "left_semi").select("g", "v", "kth", "tile", other).where("tile <> other")
+    pairs = settle(pairs.select(F.xxhash64("g", F.least("tile", "other"), F.greatest("tile", "other")).alias("g"), "v", "kth"))
+    return met.unionByName(_met(pairs, reps, k, threshold, count)) if (count := pairs.count()) else met
 
 
 def _merge(lists: DataFrame, k: int) -> DataFrame:
     near = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near"))), asc=False), 1, k)
-    return settle(lists.groupBy("v").agg(near.alias("near")))
+    return settle(lists.where(F.size("near") > 0).groupBy("v").agg(near.alias("near")))
 
 
-def _round(state: DataFrame, reps: DataFrame, k: int, salt: int) -> DataFrame:
+def _round(state: DataFrame, reps: DataFrame, k: int, threshold: float, salt: int) -> DataFrame:
     kth = F.when(F.size("near") >= k, F.col("near")[k - 1]["s"]).otherwise(-2.0)
     ends = state.select("v", kth.alias("kth"))
     out = state.select("v", F.explode("near.u").alias("u"))
     meet = out.select(F.col("u").alias("g"), "v").unionByName(out.select(F.col("v").alias("g"), F.col("u").alias("v")))
     meet = meet.unionByName(state.select(F.col("v").alias("g"), "v")).distinct()
     groups = meet.join(ends, "v", "left").select("g", "v", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
-    return _merge(state.unionByName(_compare(groups, reps, k, salt)), k)
-
-
-def _links(state: DataFrame, threshold: float) -> DataFrame:
-    near = F.filter("near", lambda x: x["s"] >= threshold)
-    rows = state.select("v", F.explode(near).alias("x")).select("v", F.col("x.u").alias("u"))
-    return rows.select(F.greatest("v", "u").alias("a"), F.least("v", "u").alias("b")).distinct()
+    return _compare(groups, reps, k, threshold, salt)
 
 
 def audit(reps: DataFrame, found: DataFrame, threshold: float = THRESHOLD, size: int = AUDIT) -> float:
@@ -214,11 +255,13 @@ def descend(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bits = min(40, max(1, (reps.count() // (TILE // 2)).bit_length()))
     groups = settle(reps.select("v", "e").mapInPandas(_signatures(TABLES, bits), "g long, v long, kth double"))
     k = NEIGHBOURS
-    state = _merge(_compare(groups, reps, k, 0), k)
+    met = _compare(groups, reps, k, threshold, 0, full=True)
+    state, ties = _merge(met.drop("tie"), k), _ties(met)
     for r in range(1, MOST_ROUNDS + 1):
-        state = _round(state, reps, k, r)
+        met = _round(state, reps, k, threshold, r)
+        state, ties = _merge(state.unionByName(met.drop("tie")), k), ties.unionByName(_ties(met))
         if r >= ROUNDS:
-            found = settle(components(_links(state, threshold)))
+            found = settle(components(ties))
             if audit(reps, found, threshold) >= RECALL:
                 break
             k *= 2
