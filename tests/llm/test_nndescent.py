@@ -90,3 +90,31 @@ def test_dense_groups_joined_by_cross_links(spark, monkeypatch, tile):
             rows += [(1000 * (2 * c + g + 1) + k, (centre + 0.006 * rng.standard_normal(32)).tolist(), 1) for k in range(40)]
     got = {r["vec_id"]: tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {r[0]: r for r in brute(rows)}
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(9)
+    far = rng.standard_normal((201, 32))
+    rows = [(k, (far[200] + 0.01 * rng.standard_normal(32)).tolist()) for k in range(200)]
+    rows += [(1000 + k, (far[k // 2] + 0.05 * rng.standard_normal(32)).tolist()) for k in range(400)]  # 200 pairs
+    reps = spark.createDataFrame(rows, "v long, e array<double>")
+    large = [(k, 0) for k in range(200)]
+    pairs = [(1000 + k, 1000 + k // 2 * 2) for k in range(400)]
+    found = lambda rows: spark.createDataFrame(rows, "node long, root long")
+    assert nndescent.audit(reps, found(large)) < 0.5
+    assert nndescent.audit(reps, found(large + pairs)) == 1.0
+
+
+def test_tables_grow_and_a_failed_audit_compares_all(spark, monkeypatch):
+    assert all(1 - (1 - (1 - np.arccos(0.9) / np.pi) ** b) ** nndescent._tables(b, 0.9) >= 0.99 for b in range(1, 25))
+    monkeypatch.setattr(nndescent, "TILE", 64)
+    monkeypatch.setattr(nndescent, "MOST_ROUNDS", 2)
+    monkeypatch.setattr(nndescent, "audit", lambda *_: 0.0)
+
+    def apart(*_):
+        return lambda parts: (part[["v"]].assign(g=part["v"], kth=-2.0)[["g", "v", "kth"]] for part in parts)
+
+    monkeypatch.setattr(nndescent, "_signatures", apart)
+    rows = rows_of()[:360]
+    got = {r["vec_id"]: tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r[0]: r for r in brute(rows)}

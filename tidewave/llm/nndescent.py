@@ -4,7 +4,8 @@ Every vector keeps a list of its nearest known neighbours. The lists start in
 buckets of random hyperplanes; then, round by round, the vectors that have a
 neighbour in common meet there and are compared, and better neighbours replace
 worse ones. An audit compares a sample of vectors with all rows and asks for
-more rounds with longer lists while recall is low. The lists only choose who
+more rounds with longer lists and more buckets while recall is low; where it
+is low to the end, all vectors are compared with all. The lists only choose who
 meets: every meeting also gives a forest of all links in it, so that a list
 that is full of a dense group's own members hides no link to another group.
 What the links connect is compared in full, tile by tile.
@@ -12,6 +13,8 @@ What the links connect is compared in full, tile by tile.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,11 +24,13 @@ from .common import settle
 from .components import components
 
 THRESHOLD = 0.9
-#: Length of the lists, tables of hyperplanes they start from, and rounds: at least, at most.
+#: Length of the lists, least tables of hyperplanes they start from, and rounds: at least, at most.
 NEIGHBOURS, TABLES, ROUNDS, MOST_ROUNDS = 8, 8, 2, 8
+#: The probability that a pair at the threshold shares one of the first buckets.
+SHARED = 0.99
 #: Vectors of a bucket or tile that are compared with each other at a time; rows of a task's group.
 TILE, GROUP_ROWS = 512, 16_384
-#: Vectors that the audit compares with all rows, and the recall it asks for.
+#: Vectors, and components of which one vector each, that the audit compares with all rows; the recall it asks for.
 AUDIT, RECALL = 512, 0.95
 #: Rows of lists have no tie, rows of ties (v, tie) an empty list.
 LISTS = "v long, near array<struct<s:double,u:long>>, tie long"
@@ -42,12 +47,18 @@ def _by_length(pdf: pd.DataFrame):
         yield part.reset_index(drop=True)
 
 
-def _signatures(tables: int, bits: int):
+def _tables(bits: int, threshold: float) -> int:
+    """As many tables as let a pair at the threshold share a bucket with the probability ``SHARED``."""
+    one = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return max(TABLES, math.ceil(math.log(1 - SHARED) / math.log1p(-one))) if one < 1 else TABLES
+
+
+def _signatures(tables: int, bits: int, seed: int = 11):
     def sign(parts):
         for pdf in parts:
             for part in _by_length(pdf):
                 x = _unit(part["e"])
-                planes = np.random.default_rng(11).standard_normal((x.shape[1], tables * bits))
+                planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
                 on = (x @ planes > 0).reshape(len(x), tables, bits)
                 g = (on * (1 << np.arange(bits, dtype=np.int64))).sum(2) * tables + np.arange(tables)
                 yield pd.DataFrame({"g": g.ravel() * 4096 + x.shape[1] % 4096, "v": np.repeat(part["v"].to_numpy(), tables), "kth": -2.0})
@@ -165,32 +176,40 @@ def _round(state: DataFrame, reps: DataFrame, k: int, threshold: float, salt: in
 
 
 def audit(reps: DataFrame, found: DataFrame, threshold: float = THRESHOLD, size: int = AUDIT) -> float:
-    """The share of the true links of ``size`` hashed vectors, compared with all rows, whose two ends ``found`` connects.
+    """The share of a vector's true links whose other end ``found`` connects with it, on average.
 
-    The sample has a fixed size and is broadcast.
+    ``size`` hashed vectors and a vector of each of ``size`` hashed components
+    are compared with all rows. The average over the vectors that have links
+    and that over their components, where a large one weighs no more than a
+    small one, are both taken; the lower counts. The sample is broadcast.
     """
-    asked = reps.orderBy(F.xxhash64("v", F.lit(5))).limit(size).select("v", "e").toPandas()
+    roots = found.select(F.col("node").alias("v"), "root")
+    roots = settle(reps.select("v").join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root")))
+    some = roots.orderBy(F.xxhash64("v", F.lit(5))).limit(size).select("v")
+    one = roots.groupBy("root").agg(F.min_by("v", F.xxhash64("v", F.lit(7))).alias("v"))
+    one = one.orderBy(F.xxhash64("root", F.lit(7))).limit(size).select("v")
+    asked = settle(some.unionByName(one).distinct())
+    rooted = reps.select("v", "e").join(roots, "v")
+    asked = rooted.join(F.broadcast(asked), "v", "left_semi").toPandas()
     if asked.empty:
         return 1.0
-    queries = [(part["v"].to_numpy(), _unit(part["e"])) for part in _by_length(asked)]
+    queries = [(part["v"].to_numpy(), part["root"].to_numpy(), _unit(part["e"])) for part in _by_length(asked)]
 
     def truth(parts):
         for pdf in parts:
             for part in _by_length(pdf):
-                x, v = _unit(part["e"]), part["v"].to_numpy()
-                for q, y in queries:
+                x, v, root = _unit(part["e"]), part["v"].to_numpy(), part["root"].to_numpy()
+                for q, own, y in queries:
                     if y.shape[1] == x.shape[1]:
-                        i, j = np.nonzero(y @ x.T >= threshold + 1e-12)
-                        keep = q[i] != v[j]
-                        a, b = q[i][keep], v[j][keep]
-                        yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    true = settle(reps.select("v", "e").mapInPandas(truth, "a long, b long").distinct())
-    n = true.count()
-    if not n:
+                        linked = (y @ x.T >= threshold + 1e-12) & (q[:, None] != v)
+                        n, met = linked.sum(1), (linked & (own[:, None] == root)).sum(1)
+                        yield pd.DataFrame({"v": q, "root": own, "n": n, "met": met})[n > 0]
+
+    counts = rooted.mapInPandas(truth, "v long, root long, n long, met long")
+    counts = counts.groupBy("v", "root").agg((F.sum("met") / F.sum("n")).alias("share")).toPandas()
+    if counts.empty:
         return 1.0
-    end = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    return true.join(end("a"), "a").join(end("b"), "b").where("a_root = b_root").count() / n
+    return float(min(counts["share"].mean(), counts.groupby("root")["share"].mean().mean()))
 
 
 def _tiles(threshold: float):
@@ -251,18 +270,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 
 def descend(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(node, root)`` of what the links between distinct vectors ``(v, e)`` connect, when the audit is content."""
+    """``(node, root)`` of what the links between distinct vectors ``(v, e)`` connect.
+
+    When the audit is not content after the last round, all vectors are
+    compared with all, tile by tile, which costs the square of the table.
+    """
     bits = min(40, max(1, (reps.count() // (TILE // 2)).bit_length()))
-    groups = settle(reps.select("v", "e").mapInPandas(_signatures(TABLES, bits), "g long, v long, kth double"))
+    tables = _tables(bits, threshold)
+
+    def drawn(k: int, salt: int) -> DataFrame:
+        groups = settle(reps.select("v", "e").mapInPandas(_signatures(tables, bits, 11 + salt), "g long, v long, kth double"))
+        return _compare(groups, reps, k, threshold, salt, full=True)
+
     k = NEIGHBOURS
-    met = _compare(groups, reps, k, threshold, 0, full=True)
+    met = drawn(k, 0)
     state, ties = _merge(met.drop("tie"), k), _ties(met)
     for r in range(1, MOST_ROUNDS + 1):
         met = _round(state, reps, k, threshold, r)
+        if r > ROUNDS:
+            met = met.unionByName(drawn(k, r))
         state, ties = _merge(state.unionByName(met.drop("tie")), k), ties.unionByName(_ties(met))
         if r >= ROUNDS:
             found = settle(components(ties))
             if audit(reps, found, threshold) >= RECALL:
-                break
+                return found
             k *= 2
-    return found
+    everyone = reps.select(F.lit(0).cast("long").alias("g"), "v", F.lit(-2.0).alias("kth"))
+    return settle(components(_ties(_compare(everyone, reps, 1, threshold, 0, full=True))))
