@@ -88,3 +88,14 @@ def test_doubts_are_settled_by_whole_sets(spark):
         rows += [(2 * k, " ".join(base), "x"), (2 * k + 1, " ".join(base[540:]), "x")]  # 0.82
     got = {r["doc_id"]: r["component_id"] for r in resemblance.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[2 * k + 1] == 2 * k for k in range(80))
+
+
+def test_no_estimate_joins_below_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(80):
+        base = [f"{k}w{i}" for i in rng.permutation(1000)]
+        rows += [(2 * k, " ".join(base), "x"), (2 * k + 1, " ".join(base[(190, 210)[k % 2] :]), "x")]  # 0.81 and 0.79 by count
+    got = {r["doc_id"]: r["component_id"] for r in resemblance.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k in range(80):
+        assert (got[2 * k + 1] == 2 * k) == (jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8), k

@@ -6,8 +6,8 @@ radius of 7 takes 255 tables). So a document has, beside the seven keys of
 its fingerprint, a few keys from its least shingles under several orders: a
 pair at 80 % shares one with a probability over 99.9 %. Documents that meet in
 any table are compared by their shingles, in full up to ``SKETCH`` distinct
-ones and by the least ``SKETCH`` beyond that; estimates that fall short by up
-to four standard errors are settled by the whole sets.
+ones and by the least ``SKETCH`` beyond that; estimates within four standard
+errors of the threshold, on either side, are settled by the whole sets.
 """
 
 from __future__ import annotations
@@ -81,10 +81,11 @@ def resemblances(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
 def _compare(similar: float):
     """Links of a task's buckets, as a forest: what is already together isn't compared.
 
-    Estimates of ``similar`` and above are ``sure``; those of long texts that
-    are up to four standard errors below it are left for an exact comparison.
+    Those of long texts whose estimates are up to four standard errors from
+    ``similar`` are left for an exact comparison; the others are ``sure``.
     """
-    doubted = similar - 4 * (similar * (1 - similar) / SKETCH) ** 0.5
+    error = 4 * (similar * (1 - similar) / SKETCH) ** 0.5
+    doubted, trusted = similar - error, min(similar + error, 1.0)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [np.empty((0, 3), np.int64)]
@@ -102,11 +103,13 @@ def _compare(similar: float):
                 if not len(at):
                     continue
                 r = resemblances(rows[a + k], rows[a + at])
-                groups, first = np.unique(own[at[r >= similar]], return_index=True)
-                near = at[r >= similar][first]
+                whole = ~(long[a + k] | long[a + at])
+                sure = r >= np.where(whole, similar, trusted)
+                groups, first = np.unique(own[at[sure]], return_index=True)
+                near = at[sure][first]
                 found.append(np.stack([np.full(len(near), v[a + k]), v[a + near], np.ones(len(near), np.int64)], 1))
                 own[np.isin(own, groups)] = own[k]
-                near = at[(r >= doubted) & (r < similar) & (long[a + k] | long[a + at])]
+                near = at[(r >= doubted) & ~sure & ~whole]
                 doubts.append(np.stack([np.full(len(near), k), near], 1))
             if doubts:
                 i, j = np.concatenate(doubts).T
