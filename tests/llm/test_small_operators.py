@@ -90,36 +90,59 @@ def test_placement(spark):
 # exact top-k
 
 
-def test_top_k_against_all_pairs(spark):
+def plain_top_k(rows, k=10, every=100):
+    fine = [(i, [int(np.floor(1024 * x)) if abs(x) < 2**43 else int(x) * 1024 for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    want = []
+    for a, (q, v) in enumerate(fine):
+        if q % every == 0:
+            score = lambda w, v=v: min(max(sum(x * y for x, y in zip(v, w, strict=True)), -(2**63) + 1), 2**63 - 1)
+            found = sorted((-score(w), i) for b, (i, w) in enumerate(fine) if b != a and len(w) == len(v))[:k]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(found, 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_top_k_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
     rng = np.random.default_rng(1)
     rows = [(int(i), (rng.standard_normal(8) * (1 + i % 3)).tolist()) for i in range(600)]
-    rows += [(1000 + i, rows[0][1]) for i in range(15)] + [rows[3], rows[100]]
-    rows += [(700, None), (701, [1.0] * 7 + [None]), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (None, [1.0] * 8), (704, [1e12] * 8), (800, [0.0] * 8), (801, [1.0, 2.0]), (900, [3.0, 4.0])]
+    # repeated rows, other vectors under one id, a query's own vector under other ids, ties
+    rows += [(1000 + i, rows[0][1]) for i in range(15)] + [rows[3], rows[100], rows[100], (200, rows[201][1]), (200, rows[202][1])]
+    rows += [(700, None), (701, [1.0] * 7 + [None]), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (None, [1.0] * 8), (800, [0.0] * 8), (801, [1.0, 2.0]), (900, [3.0, 4.0]), (902, []), (1100, [])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, rank string")
-    got = collections.defaultdict(list)
-    for r in topk.top_k(df).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    fine = {(i, tuple(int(np.floor(1024 * x)) for x in e)) for i, e in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e)}
-    want = {}
-    for q, v in fine:
-        if q % 100 == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in fine if i != q and len(w) == len(v))[:10]
-            if found:
-                want[q] = [(i, min(max(-s, -(2**63) + 1), 2**63 - 1)) for s, i in found]
-    assert dict(got) == want
+    assert sorted(tuple(r) for r in topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == plain_top_k(rows)
+    huge = rows[:250] + [(9000, [1e18] * 8), (9001, [1e18] * 4 + [-1e18] * 4), (9100, [2e13] * 8), (9101, [3e300] * 8)]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == plain_top_k(huge)
     assert topk.top_k(df.where("vec_id < 0")).count() == 0
 
 
 def test_the_walk_stops_early():
     rng = np.random.default_rng(2)
-    rows = np.floor(rng.standard_normal((2000, 2)) * 1024).astype(np.int64)
+    rows = np.floor(rng.standard_normal((2000, 2)) * 1024)
     rows[:20] *= 50
-    ids = np.arange(2000)
-    got, s, met = topk.threshold_search(ids, rows, np.argsort(rows, axis=0).T, -1, np.array([100, -70]), 5)
-    full = rows @ np.array([100, -70])
+    ids, query = np.arange(2000), np.array([100.0, -70.0])
+    got, s, met = topk.threshold_search(ids, ids, rows, np.argsort(rows, axis=0).T, -1, query, 5)
+    full = rows @ query
     assert met < 1000 and s.tolist() == sorted(full.tolist(), reverse=True)[:5] and (full[got] == s).all()
 
 
+def test_the_bound_by_length_stops_where_the_sum_does_not():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 64))
+    x[:30] = x[0] + 0.05 * rng.standard_normal((30, 64))
+    rows = np.floor(x / np.sqrt((x * x).sum(1))[:, None] * 1024)
+    order, ids = np.argsort(rows, axis=0).T, np.arange(4000)
+    full = (rows @ rows[0]).astype(int)
+    for length, most in ((None, 4000), (float(np.sqrt((rows**2).sum(1).max())), 1500)):
+        got, s, met = topk.threshold_search(ids, ids, rows, order, 0, rows[0], 10, length=length)
+        assert s.tolist() == sorted(full[1:].tolist(), reverse=True)[:10] and (full[got] == s).all() and met <= most
+    for _ in range(200):  # the bound holds for what lies below the caps
+        q, y = rng.standard_normal(6), rng.standard_normal(6)
+        last = np.where(q > 0, np.maximum(y, rng.standard_normal(6)), np.minimum(y, rng.standard_normal(6)))
+        assert q @ y <= topk.bound(q, last, float(np.sqrt(y @ y))) + 1e-9
+
+
 # SimHash
 
 
