@@ -14,7 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, WORD, n_words, settle
@@ -54,7 +54,7 @@ def best_fit(words: list[int], sources: list[int], clusters: list[int], capacity
 
 def _pack_group(capacity: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["words", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["words", "doc_id", "piece", "cluster", "row"], ascending=[False, True, True, True, True], kind="stable", na_position="last")
         sources = pd.factorize(pdf["source"], use_na_sentinel=False)[0]
         clusters = pd.factorize(pdf["cluster"], use_na_sentinel=False)[0]
         bins, starts = best_fit(pdf["words"].tolist(), sources.tolist(), clusters.tolist(), capacity)
@@ -65,11 +65,9 @@ def _pack_group(capacity: int):
     return pack
 
 
-def with_cluster(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, words, cluster)``; texts equal but for case and white space share a cluster."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    plain = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("words"), F.xxhash64(plain).alias("cluster"))
+def cluster_of(text: Column) -> Column:
+    """Texts equal but for A-Z and white space share a cluster; null is the empty text."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+", " ")))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -87,21 +85,29 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
         "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(n - 1) div {capacity}"))))
     )
     start = F.col("piece") * capacity
-    pieces = settle(pieces.select("doc_id", "piece", "source", "cluster", start.alias("start_word"), F.least(F.lit(capacity), F.col("n") - start).alias("words")))
+    words = F.least(F.lit(capacity), F.col("n") - start).alias("words")
+    pieces = settle(pieces.select("doc_id", "piece", "source", "cluster", start.alias("start_word"), words, F.monotonically_increasing_id().alias("row")))
     groups = max(1, -(-pieces.count() // group_pieces))
-    grouped = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(groups)).cast("long"))
+    # dealt by row, so that rows that repeat an id and a text are spread as any others
+    grouped = pieces.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece long, source string, cluster long, start_word long, words long, bin_id long, bin_start long"
     return grouped.groupBy("part").applyInPandas(_pack_group(capacity), schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """:func:`pack` over whole documents; each piece's words are those of ``common.WORD``."""
-    return pack(with_cluster(docs), capacity, group_pieces)
+    return pack(docs.select("doc_id", "source", n_words(F.col("text")).alias("words"), cluster_of(F.col("text")).alias("cluster")), capacity, group_pieces)
 
 
 def bin_texts(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """``(bin_id, bin_start, doc_id, piece, text)``: the words of every piece, joined by spaces."""
-    word_list = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0))
-    return packed.join(docs.select("doc_id", word_list.alias("w")), "doc_id").select(
-        "bin_id", "bin_start", "doc_id", "piece", F.array_join(F.slice("w", (F.col("start_word") + 1).cast("int"), F.col("words").cast("int")), " ").alias("text")
-    )
+    """``(bin_id, bin_start, doc_id, piece, text)``: the words of every piece, joined by spaces; a row for each of ``packed``.
+
+    A piece is found by id and cluster, null ids too. Rows that repeat both
+    have equal words but for A-Z; the least of their texts is taken.
+    """
+    same = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), cluster_of(F.col("text")).alias("_cluster"))
+    same = same.groupBy("doc_id", "_cluster").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "_doc_id")
+    word_list = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    own = F.array_join(F.slice(word_list, (F.col("start_word") + 1).cast("int"), F.col("words").cast("int")), " ").alias("text")
+    rows = packed.join(same, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("cluster") == F.col("_cluster")))
+    return rows.select("bin_id", "bin_start", "doc_id", "piece", own)
