@@ -1,9 +1,9 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Every document gets a hash-random key. Within its source the documents are cut
-into key ranges; the sums of the ranges are added up along the source, and a
-window inside each range completes the distributed prefix sum. A source's
-budget is then cut exactly: whole epochs first, then the documents in front of
+Every document gets a hash-random key. The documents are range-sorted by source
+and key; the sums of the ranges are added up along a source, and a window
+inside each range completes the distributed prefix sum. A source's budget is
+then cut exactly: whole epochs first, then the documents in front of
 the cut, and of the document at the cut the words that are left.
 """
 
@@ -19,8 +19,8 @@ from .common import n_words, settle
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source gives its words so often at most.
 MOST = 3
-#: Rows that one key range holds on average, and the most ranges a source has.
-RANGE_ROWS, MAX_RANGES = 512, 65_536
+#: Rows that one range holds on average, and the fewest ranges.
+RANGE_ROWS, RANGES = 65_536, 16
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -49,34 +49,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -
     ``taken`` counts the words that the mix takes of the document, repeats
     included; the sum over a source is its target rounded to a whole word.
     ``copies`` is the nearest whole number of times the document is used. The
-    order of a source depends on ``doc_id`` alone, so reruns agree. Null and
+    order of a source depends on ``doc_id`` and, among rows that repeat one,
+    on ``size``, so reruns agree. Null and
     empty texts have size 0 and take 0 words; a null source is a source of
     its own; repeated rows are rows of their own; an empty table gives none.
     Further columns of ``docs`` are not read.
     """
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
-    rows = settle(rows)
-    ranges = 1
-    while ranges < min(MAX_RANGES, rows.count() / RANGE_ROWS):
-        ranges *= 2
-    part = F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") / (65_536 // ranges)).cast("int")
-    rows = rows.withColumn("part", part)
-    # the ranges of a source: at most MAX_RANGES sums in one small row
-    sums = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
-    along = F.array_sort(F.collect_list(F.struct("part", "words")))
-    started = F.aggregate(
-        along,
-        F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<part:int,before:long>>").alias("all")),
-        lambda a, x: F.struct((a["sum"] + x["words"]).alias("sum"), F.concat(a["all"], F.array(F.struct(x["part"].alias("part"), a["sum"].alias("before")))).alias("all")),
-    )["all"]
-    offsets = sums.groupBy("source").agg(started.alias("s")).select("source", F.explode("s").alias("s")).select("source", "s.part", "s.before")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row")))
+    order = ["key", "doc_id", "size", "row"]  # the row last: rows that repeat an id are no one range
+    ranged = rows.repartitionByRange(max(RANGES, -(-rows.count() // RANGE_ROWS)), "source", *order)
+    rows = settle(ranged.withColumn("part", F.spark_partition_id()))
+    sums = settle(rows.groupBy("source", "part").agg(F.sum("size").alias("words")))
+    along = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = sums.select("source", "part", F.coalesce(F.sum("words").over(along), F.lit(0)).alias("before"))
     heads = settle(
         offsets.alias("o").join(targets(sums.select("source", F.col("words").alias("size")), weights, most).alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
         .select("o.source", "part", "before", "source_size", "target", F.round("target").cast("long").alias("budget"))
     )
     rows = rows.alias("r").join(heads.alias("h"), F.col("r.source").eqNullSafe(F.col("h.source")) & (F.col("r.part") == F.col("h.part")))
-    rows = rows.select("doc_id", "r.source", "r.part", "key", "size", "before", "source_size", "target", "budget")
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("doc_id", "r.source", "r.part", "key", "size", "row", "before", "source_size", "target", "budget")
+    inside = Window.partitionBy("source", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0)
     left = F.col("budget") - epochs * F.col("source_size") - F.col("before")
