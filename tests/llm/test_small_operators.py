@@ -238,6 +238,12 @@ def test_mix_against_plain_shares(spark):
     assert all(abs(taken[s] - target[s]) <= 0.5001 for s in total)
     again = mixing.mix(docs_frame(spark, rows).repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+    hot = [(None if i % 3 else 7, "w " * (i % 5), "a") for i in range(300)] + rows[:50]
+    total = collections.Counter()
+    for r in mixing.mix(docs_frame(spark, hot)).collect():
+        total[r["source"], r["target"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(abs(t - n) <= 0.5001 for (_, t), n in total.items())
     repeated = mixing.repeat(docs_frame(spark, rows[:400]))
     assert repeated.columns == docs_frame(spark, []).columns
     copies = collections.Counter(r["doc_id"] for r in repeated.collect())
@@ -283,6 +289,23 @@ def test_bins_hold_what_they_may(spark):
     assert packing.pack_documents(docs_frame(spark, [])).count() == 0
 
 
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    rows = spark.range(20_000).selectExpr("7L doc_id", "'s' source", "500L words", "5L cluster").unionByName(spark.range(100).selectExpr("id doc_id", "'t' source", "100L words", "id cluster"))
+    got = packing.pack(rows, 2048, 1024)
+    groups = got.groupBy((got["bin_id"] / packing.GROUP_BINS).cast("long").alias("g")).count().collect()
+    assert sum(r["count"] for r in groups) == 20_100 and len(groups) == 20 and max(r["count"] for r in groups) < 2000
+    assert got.where("doc_id = 7").select("bin_id").distinct().count() >= 20_000  # equal pieces share no bin
+
+
+def test_bin_texts_of_repeated_and_null_ids(spark):
+    docs = docs_frame(spark, [*ODD, (1, "A b  C", "s"), (1, "d e", "t")])
+    texts = packing.bin_texts(docs, packing.pack_documents(docs, 40, 64)).collect()
+    whole = collections.Counter()
+    for r in texts:
+        whole[r["doc_id"]] += len(r["text"].split())
+    assert whole == collections.Counter({1: 11, 2: 0, 3: 0, 4: 0, None: 3, 5: 3000, 6: 1}) and len(texts) == packing.pack_documents(docs, 40, 64).count()
+
+
 # WARC
 
 
@@ -301,6 +324,10 @@ def test_round_trip(spark):
     key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=key) == sorted(want, key=key)
     assert warc.round_trip(pages.where("page_id < 0")).count() == 0
+    # a third of all rows has no page, or one page; none of them are lost, and one response is left of each payload
+    many = spark.range(900).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 5 else id end page_id", "'u' url", "concat('x', id % 4) html")
+    got = warc.round_trip(many).groupBy("payload_digest", "record_type").count().collect()
+    assert sorted((r["record_type"], r["count"]) for r in got) == [("response", 1)] * 4 + [("revisit", 224)] * 4
 
 
 def test_files_roll_and_repeat(spark, tmp_path):

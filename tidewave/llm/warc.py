@@ -96,11 +96,11 @@ def _write(folder: str, roll: int):
         files, done = _Files(folder, context.partitionId(), f"{context.attemptNumber()}-{uuid.uuid4().hex}", roll), []
         seen, first, n = None, None, 0
         for pdf in parts:
-            for page_id, kind, url, html, digest, least in pdf.itertuples(index=False):
+            for page_id, deal, kind, url, html, digest, least in pdf.itertuples(index=False):
                 page_id = None if pd.isna(page_id) else page_id
                 if kind == 0:  # what the digests say of the page's rows
-                    first = {} if seen != (page_id,) else first
-                    seen, n = (page_id,), 0
+                    first = {} if seen != (page_id, deal) else first
+                    seen, n = (page_id, deal), int(deal) << 32
                     first[digest] = [None if pd.isna(least) else least, False]
                     continue
                 payload = (html or "").encode("utf-8", "surrogatepass")
@@ -134,7 +134,8 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = 0, roll_bytes:
     payloads of at least ``min_payload`` bytes the one of the smallest page is
     a response and the others revisit it; smaller ones are all responses, and
     so is every record whose payload has no page id. Of rows that repeat that
-    page the first is the response. Equal rows and columns give equal files.
+    page the first is the response. Equal tables give equal files; rows
+    without a page are dealt by their place in the table.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     size = F.octet_length(html)
@@ -146,10 +147,16 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = 0, roll_bytes:
     if partitions is None:
         total = facts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         partitions = max(8, -(-total // PARTITION_BYTES))
+    # rows without a page are no one's first, so they may be dealt anyhow, with a copy of their facts for each deal
+    salts = max(1, facts.where("page_id is null").count() and partitions)
+    salt = F.pmod(F.xxhash64("url", "html", F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    several = F.when(F.col("page_id").isNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    told = told.withColumn("deal", F.explode(several))
+    rows = rows.withColumn("deal", F.when(F.col("page_id").isNull(), salt).otherwise(0))
     # one shuffle of the payloads: a page's facts travel to where it is sorted
-    dealt = told.unionByName(rows).repartitionByRange(partitions, "page_id").sortWithinPartitions("page_id", "kind", "digest", "url", "html")
+    dealt = told.unionByName(rows).repartitionByRange(partitions, "page_id", "deal").sortWithinPartitions("page_id", "deal", "kind", "digest", "url", "html")
     # ids as text: pandas would turn longs beside nulls into doubles
-    dealt = dealt.select(F.col("page_id").cast("string"), "kind", "url", "html", "digest", F.col("least").cast("string"))
+    dealt = dealt.select(F.col("page_id").cast("string"), "deal", "kind", "url", "html", "digest", F.col("least").cast("string"))
     manifest = settle(dealt.mapInPandas(_write(folder, roll_bytes), MANIFEST))
     manifest.write.mode("overwrite").parquet(posixpath.join(folder, "manifest"))
     return manifest
