@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, words_of
@@ -61,7 +61,7 @@ def _describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bands = [xxhash.xxh64_intdigest(b.tobytes()) - (1 << 63) for b in least]
             keys.append([*(fingerprint(text) & _MASKS).tolist(), *bands])
             sketches.append((h[:SKETCH] >> np.uint64(1)).astype(np.int64).tolist())
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "same": same, "keys": keys, "sketch": sketches})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "body": pdf["body"], "same": same, "keys": keys, "sketch": sketches})
 
 
 def resemblances(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -160,8 +160,14 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     ``TILE`` different texts is compared within tiles first; only where it is
     not one group then are its tiles compared with each other.
     """
-    described = docs.select("doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    described = settle(described.mapInPandas(_describe, "doc_id string, same long, keys array<long>, sketch array<long>"))
+    described, named = _grouped(docs, similar)
+    return described.join(named, "same").select("doc_id", "component_id")
+
+
+def _grouped(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, body, same)`` of each row, ``body`` a hash of its text, and ``(same, root, component_id)``."""
+    described = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", body_of(F.col("text")).alias("body"))
+    described = settle(described.mapInPandas(_describe, "doc_id string, body long, same long, keys array<long>, sketch array<long>"))
     nodes = settle(described.groupBy("same").agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     tables = nodes.where(F.size("sketch") > 0).select("same", F.posexplode("keys").alias("t", "key")).select("same", F.xxhash64("t", "key").alias("g"))
     sizes = settle(tables.groupBy("g").agg(F.count("*").alias("n"), F.min("same").alias("hub")).where("n > 1"))
@@ -189,11 +195,28 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         more = settle(_verified(doubts, docs, nodes, similar))
         rooted = rooted if more.isEmpty() else _rooted(nodes, links.where("sure").select("a", "b").unionByName(more))
     names = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = settle(rooted.join(names, "root").select("same", "component_id"))
-    return described.select(F.col("doc_id").cast("long").alias("doc_id"), "same").join(named, "same").select("doc_id", "component_id")
+    named = settle(rooted.join(names, "root").select("same", "root", "component_id"))
+    return described.select(F.col("doc_id").cast("long").alias("doc_id"), "body", "same"), named
+
+
+def body_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` without the documents that have a smaller id in their group; rows of a null id stay."""
-    gone = near_copies(docs, similar).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group: that of the smallest id, of several the one of the least text hash.
+
+    Each row is judged by its own text, so of two texts under one id one may
+    stay and one go. Rows of a null id stay where their group has no other;
+    of rows that repeat the id and the text one stays; all columns are passed
+    on, those of the row that stays; an empty table gives an empty one.
+    """
+    described, named = _grouped(docs, similar)
+    rows = described.join(named, "same").groupBy("root", "doc_id", "body").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("times").alias("_times")))
+    kept = settle(rows.groupBy("root").agg(first.alias("k")).select("k._id", "k._body", "k._times"))
+    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (body_of(F.col("text")) == F.col("_body")))
+    if kept.where("_times > 1").isEmpty():
+        return found.select(*docs.columns)
+    once = found.where("_times = 1").select(*docs.columns)
+    return once.unionByName(found.where("_times > 1").dropDuplicates(["_id", "_body"]).select(*docs.columns))
