@@ -48,11 +48,22 @@ def stored(df: DataFrame) -> DataFrame:
     as joins multiply sizes, the digits of the estimate would double in each
     round, until planning stands still. A table's size is that of its files.
     """
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{STORED}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+STORED = "stored-"
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a :func:`stored` table that nothing reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if file.rsplit("/", 1)[1].startswith(STORED):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

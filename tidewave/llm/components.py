@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -24,7 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Each round points every neighbourhood at its minimum (Kiveris et al. 2014);
     the edges end as stars around the roots after about log(n) rounds. All
     state is distributed and written out after each step, so that lost
-    executors cost one step. Null ends and loops are ignored; no links give
+    executors cost one step; what a step no longer needs is deleted. Null ends and loops are ignored; no links give
     no rows.
     """
     edges = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
@@ -34,11 +34,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        lowest = _least(both)
+        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = stored(large.distinct())
         least = _least(large)
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        behind = [edges, lowest, large, least]
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        for df in behind:
+            forget(df)
         if (now := _sign(edges)) == before:
             break
         before = now
