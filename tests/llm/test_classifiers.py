@@ -148,10 +148,84 @@ def test_quality_on_held_out_texts(spark):
 
 def test_views_teach_each_other():
     rows = pages(300, 5)
-    pdf = pd.DataFrame([(t, "s", "en") for _, t, _ in rows], columns=["text", "source", "lang"])
+    pdf = pd.DataFrame([(t, "s" if v else "junk", "en", len(t)) for _, t, v in rows], columns=quality.COLUMNS)
     y = np.array([v if i < 60 else -1 for i, _, v in rows])
     model = quality.fit(pdf, y)
     text, meta = model.views(pdf)
     truth = np.array([v for _, _, v in rows])
     assert ((model.combine(text, meta) >= 0.5) == truth)[60:].mean() > 0.95
     assert np.allclose(model.combine(*model.views(pdf.iloc[:7])), model.combine(text, meta)[:7])
+
+
+def test_long_texts_are_learnt_from(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "lo " * (20_000 if i % 2 else 10), "en", "s", 1, "x") for i in range(40)], DOCS)
+    ids = spark.range(40).selectExpr("id doc_id", "cast(id % 2 as int) y")
+    assert len(features.gather(docs.unionByName(docs), ids, ["text"])) == 40
+    monkeypatch.setattr(features, "SAMPLE_CHARS", 300_000)
+    some = features.gather(docs, ids, ["text"])
+    assert 5 < len(some) < 40 and 0 < sum(r["y"] for r in some) < len(some)
+    assert some == features.gather(docs.repartition(7), ids, ["text"])
+
+
+def test_quality_score_by_plain_sums():
+    """A score recomputed word by word, gram by gram, from the weights."""
+    rows = pages(200, 7)
+    pdf = pd.DataFrame([(t, "s", "en", len(t)) for _, t, _ in rows], columns=quality.COLUMNS)
+    model = quality.fit(pdf, np.array([v for _, _, v in rows]))
+    text, meta = model.views(pdf.iloc[:5])
+    for k in range(5):
+        words = pdf["text"][k].encode().lower().split()
+        of = lambda w: model.text.w[features.zlib.crc32(w) % features.WORD_BUCKETS]
+
+        def grams(w):
+            b = b"<" + w + b">>"
+            at = [(int.from_bytes(b[i : i + 4], "little") * 2654435761 % (1 << 32) >> 16) % features.GRAM_BUCKETS for i in range(len(w))]
+            return sum(model.text.w[features.WORD_BUCKETS + a] for a in at) / len(at)
+
+        shape = (np.array(quality.layout(pdf["text"][k], len(words), len(set(words)))) - model.mean) / model.scale
+        want = quality.SCALE * sum(of(w) + grams(w) for w in words) / len(words) + shape @ model.text.w[quality.LAYOUT :] + model.text.b
+        assert text[k] == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
+def test_toxicity_score_by_plain_steps():
+    """The network, a word at a time in plain loops, over all windows of a text."""
+    rows = corpus(90)
+    model = toxicity.fit([t for _, t, _ in rows], np.array([y for _, _, y in rows]))
+    p, sig = {k: v.astype(float) for k, v in model.p.items()}, features.sigmoid
+    text = rows[3][1]
+    words = text.encode().lower().split()
+    h_, n_ = toxicity.HIDDEN, toxicity.WINDOW
+
+    def vector(w):
+        b = b"<" + w + b">>"
+        g = [(int.from_bytes(b[i : i + 4], "little") * 2654435761 % (1 << 32) >> 16) % features.GRAM_BUCKETS for i in range(len(w))]
+        z, k = model.prior.gram[g], features.zlib.crc32(w) % features.WORD_BUCKETS
+        return np.concatenate([[model.prior.word[k], z.mean(), z.max()], p["word"][k], p["gram"][g].mean(0)])
+
+    def run(j, xs):
+        h, out = np.zeros(h_), []
+        for x in xs:
+            a, b = x @ p[f"w{j}"] + p[f"b{j}"], h @ p[f"u{j}"]
+            z, r = sig(a[:h_] + b[:h_]), sig(a[h_ : 2 * h_] + b[h_ : 2 * h_])
+            n = np.tanh(a[2 * h_ :] + r * b[2 * h_ :])
+            h = n + z * (h - n)
+            out.append(h)
+        return out
+
+    logits = []
+    for start in range(0, max(1, len(words) - n_ + toxicity.STRIDE), toxicity.STRIDE):
+        xs = [vector(w) for w in words[start : start + n_]]
+        h = np.concatenate([np.array(run(0, xs)), np.array(run(1, xs[::-1]))[::-1]], 1)
+        e = np.tanh(h @ p["wa"]) @ p["va"]
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        logits.append(a @ h @ p["out"] + p["bias"][0])
+    assert model.scores([text])[0] == pytest.approx(sig(model.a * max(logits) + model.b), abs=1e-4)
+
+
+def test_empty_tables_and_clashing_columns_of_the_filters(spark):
+    docs, labels = frames(spark, [(i, "lo mi", i % 2) for i in range(9)], "toxic")
+    both = labels.selectExpr("doc_id", "toxic", "toxic as quality")
+    for keep in (toxicity.keep_clean, quality.keep_good):
+        assert keep(docs.where("doc_id < 0"), both).count() == 0
+        assert keep(docs, both.where("doc_id < 0")).count() == 9
+        assert keep(docs, both).columns == docs.columns

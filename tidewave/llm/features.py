@@ -9,11 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import settle, words_of
 
 WORD_BUCKETS, GRAM_BUCKETS, GRAM = 1 << 16, 1 << 16, 4
-#: Training rows have texts of at most so many characters; scoring takes all.
-SAMPLE_CHARS = 20_000
+#: Characters of all texts of a training sample together, the last one taken whole; no text is left out for its own length.
+SAMPLE_CHARS = 12_000_000
 
 
 def fold(doc_id: str, mod: int = 3):
@@ -31,11 +31,25 @@ def labelled_ids(labels: DataFrame, label: str, each: int) -> DataFrame:
 
 
 def gather(docs: DataFrame, ids: DataFrame, columns: list[str]) -> list:
-    """The sampled documents, sorted. ``ids`` has a bounded number of rows, so it may be
-    broadcast, and what comes to the driver is bounded by it and ``SAMPLE_CHARS``."""
-    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    rows = short.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    return sorted(rows.select("doc_id", "y", *columns).collect(), key=lambda r: r["doc_id"])
+    """The sampled documents, whole, sorted by id; of several rows of one id the least.
+
+    ``ids`` has a bounded number of rows, so it may be broadcast. They are
+    taken in the order of a hash of the id until their texts have
+    ``SAMPLE_CHARS`` characters together, which bounds what comes to the
+    driver, whatever the length of any one text (but for the last).
+    """
+    found = docs.select("doc_id", F.struct(*columns).alias("row")).join(F.broadcast(ids), "doc_id")
+    found = settle(found.groupBy("doc_id", "y").agg(F.min("row").alias("row")))
+    sizes = found.select("doc_id", F.coalesce(F.length("row.text"), F.lit(0)).alias("n"), F.xxhash64("doc_id", F.lit(3)).alias("by")).collect()
+    taken, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["by"], r["doc_id"])):
+        if total >= SAMPLE_CHARS:
+            break
+        taken.append(r["doc_id"])
+        total += r["n"]
+    if len(taken) < len(sizes):
+        found = found.where(F.col("doc_id").isin(taken))
+    return sorted(found.select("doc_id", "y", "row.*").collect(), key=lambda r: r["doc_id"])
 
 
 class Words:

@@ -1,9 +1,10 @@
 """Quality by co-training of two views of a page.
 
-One classifier sees the content, hashed words and character 4-grams; the other
-sees metadata only: source, language, length and the layout's proportions. Over
+One classifier sees the text: hashed words, character 4-grams and the layout's
+proportions. The other sees what the page's record says beside the text, and
+nothing of the text: source, language and the stated number of characters. Over
 some rounds each is trained on its own labelled set and labels the unlabelled
-documents that it is surest of for the other. At the end both are calibrated
+documents that it is surest of, by its calibrated confidence, for the other. At the end both are calibrated
 on labelled documents that neither learnt from, and their calibrated log odds
 are combined.
 """
@@ -45,8 +46,11 @@ def layout(text: str | None, words: int, distinct: int) -> list[float]:
     ]
 
 
-SHAPE = 10
-META = SHAPE + SOURCE_BUCKETS + LANG_BUCKETS
+#: Numbers of the layout, behind the words and grams of the text view; numbers and classes of the stated length.
+SHAPE, SIZES, SIZE_CLASSES = 10, 1, 32
+LAYOUT = WORD_BUCKETS + GRAM_BUCKETS
+META = SIZES + SIZE_CLASSES + SOURCE_BUCKETS + LANG_BUCKETS
+COLUMNS = ["text", "source", "lang", "n_chars"]
 
 
 def content(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, tuple, np.ndarray]:
@@ -58,11 +62,17 @@ def content(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, tuple,
     return tokens, book.features(), distinct
 
 
-def metadata(texts, sources, langs, counts: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Layout numbers, and buckets of source and language."""
-    shape = np.array([layout(t, int(w), int(d)) for t, w, d in zip(texts, counts, distinct, strict=True)], np.float64).reshape(-1, SHAPE)
-    bucket = lambda v, n: np.fromiter((zlib.crc32(repr(x).encode("utf-8", "surrogatepass")) % n for x in v), np.int64, len(shape))
-    return shape, bucket(sources, SOURCE_BUCKETS) + SHAPE, bucket(langs, LANG_BUCKETS) + SHAPE + SOURCE_BUCKETS
+def shapes(texts, counts: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    return np.array([layout(t, int(w), int(d)) for t, w, d in zip(texts, counts, distinct, strict=True)], np.float64).reshape(-1, SHAPE)
+
+
+def metadata(sources, langs, sizes) -> tuple[np.ndarray, np.ndarray]:
+    """The stated length (none counts as 0), and columns of its class, the source and the language."""
+    n = np.array([0 if pd.isna(x) else max(0, int(x)) for x in sizes], np.int64)
+    bucket = lambda v, m: np.fromiter((zlib.crc32(repr(x).encode("utf-8", "surrogatepass")) % m for x in v), np.int64, len(n))
+    kind = np.fromiter((min(int(x).bit_length(), SIZE_CLASSES - 1) for x in n), np.int64, len(n))
+    at = SIZES + SIZE_CLASSES
+    return np.log1p(n)[:, None], np.stack([SIZES + kind, at + bucket(sources, SOURCE_BUCKETS), at + SOURCE_BUCKETS + bucket(langs, LANG_BUCKETS)], 1)
 
 
 class Linear:
@@ -91,14 +101,15 @@ class Model:
     """Both views and how their log odds combine."""
 
     def __init__(self):
-        self.text = Linear(WORD_BUCKETS + GRAM_BUCKETS, 1e-5)
+        self.text = Linear(LAYOUT + SHAPE, 1e-3)
         self.meta = Linear(META, 1e-4)
         self.mean, self.scale = np.zeros(SHAPE), np.ones(SHAPE)
+        self.size = (0.0, 1.0)
         self.calibration = ((1.0, 0.0), (1.0, 0.0))
         self.final = (1.0, 0.0)
 
-    def text_logits(self, tokens: np.ndarray, features: tuple, counts: np.ndarray) -> np.ndarray:
-        """The mean over a text's words of what each word says."""
+    def text_logits(self, tokens: np.ndarray, features: tuple, counts: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """The mean over a text's words of what each word says, and what its layout says."""
         buckets, grams, starts = features
         of_word = np.zeros(len(buckets))
         if len(buckets):
@@ -106,11 +117,12 @@ class Model:
             of_word = self.text.w[buckets] + np.add.reduceat(self.text.w[WORD_BUCKETS + grams], starts) / n
         total = np.concatenate([[0.0], np.cumsum(of_word[tokens - 1])])
         ends = np.cumsum(counts)
-        return SCALE * (total[ends] - total[ends - counts]) / np.maximum(counts, 1) + self.text.b
+        said = SCALE * (total[ends] - total[ends - counts]) / np.maximum(counts, 1)
+        return said + ((shape - self.mean) / self.scale) @ self.text.w[LAYOUT:] + self.text.b
 
     def meta_logits(self, meta: tuple) -> np.ndarray:
-        shape, source, lang = meta
-        return ((shape - self.mean) / self.scale) @ self.meta.w[:SHAPE] + self.meta.w[source] + self.meta.w[lang] + self.meta.b
+        size, columns = meta
+        return ((size - self.size[0]) / self.size[1]) @ self.meta.w[:SIZES] + self.meta.w[columns].sum(1) + self.meta.b
 
     def combine(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         (a, b), (c, d) = self.calibration
@@ -121,8 +133,8 @@ class Model:
         for i, j, words, counts in chunks(pdf["text"], CHUNK):
             rows = pdf.iloc[i:j]
             tokens, features, distinct = content(words, counts)
-            text.append(self.text_logits(tokens, features, counts))
-            meta.append(self.meta_logits(metadata(rows["text"], rows["source"], rows["lang"], counts, distinct)))
+            text.append(self.text_logits(tokens, features, counts, shapes(rows["text"], counts, distinct)))
+            meta.append(self.meta_logits(metadata(rows["source"], rows["lang"], rows["n_chars"])))
         return (np.concatenate(text), np.concatenate(meta)) if text else (np.empty(0), np.empty(0))
 
 
@@ -149,7 +161,7 @@ def _sparse(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def fit(pdf: pd.DataFrame, y: np.ndarray, negatives_weight: float = 1.0) -> Model:
-    """Co-train on rows of (text, source, lang); ``y`` is 1, 0, or -1 where unknown.
+    """Co-train on rows of (text, source, lang, n_chars); ``y`` is 1, 0, or -1 where unknown.
 
     A third of the labelled rows calibrates. ``negatives_weight``: rows of
     label 1 that each sampled one stands for, over that of label 0.
@@ -164,16 +176,23 @@ def fit(pdf: pd.DataFrame, y: np.ndarray, negatives_weight: float = 1.0) -> Mode
     counts = np.array([len(w) for w in words], np.int64)
     row, col, val = _sparse(words)
     vocabulary = np.array([len(set(w)) for w in words])
-    shape, source, lang = metadata(pdf["text"], pdf["source"], pdf["lang"], counts, vocabulary)
+    shape = shapes(pdf["text"], counts, vocabulary)
     del words
     model.mean, model.scale = shape.mean(0), shape.std(0) + 1e-6
-    m_row = np.concatenate([np.repeat(np.arange(len(y)), SHAPE), np.arange(len(y)), np.arange(len(y))])
-    m_col = np.concatenate([np.tile(np.arange(SHAPE), len(y)), source, lang])
-    m_val = np.concatenate([((shape - model.mean) / model.scale).ravel(), np.ones(2 * len(y))])
+    each = np.arange(len(y), dtype=np.int32)
+    row = np.concatenate([row, np.repeat(each, SHAPE)])
+    col = np.concatenate([col, np.tile(np.arange(LAYOUT, LAYOUT + SHAPE, dtype=np.int32), len(y))])
+    val = np.concatenate([val, ((shape - model.mean) / model.scale).ravel().astype(np.float32)])
+    size, columns = metadata(pdf["source"], pdf["lang"], pdf["n_chars"])
+    model.size = (float(size.mean()), float(size.std()) + 1e-6)
+    m_row = np.concatenate([each, np.repeat(each, columns.shape[1])])
+    m_col = np.concatenate([np.zeros(len(y), np.int64), columns.ravel()])
+    m_val = np.concatenate([((size - model.size[0]) / model.size[1]).ravel(), np.ones(columns.size)])
     views = ((model.text, row, col, val), (model.meta, m_row, m_col, m_val))
     calibrating = np.zeros(len(y), bool)
     for label in (0, 1):
         calibrating[np.flatnonzero(y == label)[::3]] = True
+    held = np.flatnonzero(calibrating)
     labels = [np.where(calibrating, -1, y) for _ in views]
     for round_ in range(ROUNDS + 1):
         said = []
@@ -188,11 +207,11 @@ def fit(pdf: pd.DataFrame, y: np.ndarray, negatives_weight: float = 1.0) -> Mode
             break
         for own, other in ((0, 1), (1, 0)):
             free = (y < 0) & (labels[other] < 0)
-            p = sigmoid(said[own])
+            a, b = platt(said[own][held], y[held], np.ones(len(held)))  # a view that knows little is sure of little
+            p = sigmoid(a * said[own] + b)
             for label, sure in ((1, p), (0, 1 - p)):
                 at = np.flatnonzero(free & (sure >= SURE))
                 labels[other][at[np.argsort(-sure[at], kind="stable")[:GIVEN]]] = label
-    held = np.flatnonzero(calibrating)
     weight = np.where(y[held] == 1, negatives_weight, 1.0)
     model.calibration = tuple(platt(s[held], y[held], weight) for s in said)
     (a, b), (c, d) = model.calibration
@@ -207,10 +226,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     by = F.xxhash64("doc_id", F.lit(2))
     free = docs.select("doc_id").where((fold("doc_id") != 1) & F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti")
     ids = ids.unionByName(free.orderBy(by).limit(SAMPLE_UNLABELLED).select("doc_id", F.lit(-1).alias("y")))
-    rows = gather(docs, ids, ["text", "source", "lang"])
+    rows = gather(docs, ids, COLUMNS)
     n = dict(labels.where(fold("doc_id") != 1).groupBy("quality").count().collect())
     seen = max(1, sum(r["y"] == 1 for r in rows)) / max(1, sum(r["y"] == 0 for r in rows))
-    pdf = pd.DataFrame([(r["text"], r["source"], r["lang"]) for r in rows], columns=["text", "source", "lang"])
+    pdf = pd.DataFrame([tuple(r[c] for c in COLUMNS) for r in rows], columns=COLUMNS)
     return fit(pdf, np.array([r["y"] for r in rows]), max(1.0, n.get(1, 0) / max(1, n.get(0, 0)) / seen))
 
 
@@ -229,24 +248,29 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, text_score, meta_score, score, kept)`` for each of ``docs``, over whole texts.
 
     Null texts count as empty, null sources and languages are values of their
-    own. Null ids are scored and never learnt from; repeated rows are scored
+    own, a null length is 0. Null ids are scored and never learnt from; repeated rows are scored
     each; with no labels, or one, every score is that label's; an empty table
     gives no rows. Further columns are not read.
     """
     model = train(docs, labels)
-    rows = docs.select(F.col("doc_id").cast("string"), (fold("doc_id") == 1).alias("held_out"), "text", "source", "lang")
+    rows = docs.select(F.col("doc_id").cast("string"), (fold("doc_id") == 1).alias("held_out"), *COLUMNS)
     scored = rows.mapInPandas(_score(model), "doc_id string, held_out boolean, text_score double, meta_score double, score double, kept boolean")
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those scored below ``THRESHOLD``, in one pass over the texts."""
+    """``docs`` without those scored below ``THRESHOLD``, in one pass over the texts.
+
+    Rows are kept or go by their own score, whatever repeats them, null ids
+    too; nulls are scored as by :func:`score_documents`. With no labels all
+    stay; an empty table gives an empty one; all columns are passed on.
+    """
     return docs.mapInArrow(_filter(train(docs, labels)), docs.schema)
 
 
 def _filter(model: Model):
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            yield batch.filter(pa.array(model.combine(*model.views(batch.select(["text", "source", "lang"]).to_pandas())) >= THRESHOLD))
+            yield batch.filter(pa.array(model.combine(*model.views(batch.select(COLUMNS).to_pandas())) >= THRESHOLD))
 
     return keep

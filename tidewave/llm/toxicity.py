@@ -294,7 +294,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic, in one pass: the text is scored where it lies."""
+    """``docs`` without those predicted toxic, in one pass: the text is scored where it lies.
+
+    Rows are kept or go by their own score, whatever repeats them, null ids
+    too; a null text is scored as the empty one. With no labels all stay; an
+    empty table gives an empty one; all columns are passed on.
+    """
     model = train(docs, labels)
     return docs.mapInArrow(_filter(model, docs.columns.index("text")), docs.schema)
 
