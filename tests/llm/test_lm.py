@@ -17,7 +17,7 @@ def test_elias_fano(top):
     rng = np.random.default_rng(1)
     values = np.sort(rng.integers(0, top, 1000, np.uint64, endpoint=True))
     ef = EliasFano.build(values)
-    assert (ef.access(np.arange(1000)) == values).all()
+    assert (ef.access(np.arange(1000)) == values).all() and (ef.all() == values).all()
     asked = np.concatenate([values, rng.integers(0, top, 1000, np.uint64, endpoint=True), np.array([0, (1 << 64) - 1], np.uint64)])
     i, equal = ef.successor(asked)
     assert (i == np.searchsorted(values, asked)).all()
@@ -31,19 +31,31 @@ def brute(rows):
     train = [tokens(t) for i, t, *_ in rows if not held[i]]
     c = collections.Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
-    pairs = collections.Counter((h, w) for t in train for h, w in zip([None, *t], t, strict=False))
-    of = collections.Counter(w for t in train for w in t) | collections.Counter({None: len(train)})
-    kept = {p: k for p, k in pairs.items() if k >= lm.MIN_PAIR}
-    left = collections.defaultdict(lambda: 1.0)
-    for (h, _), k in kept.items():
-        left[h] -= (k - lm.DISCOUNT) / of[h]
     p1 = lambda w: (c[w] + 1) / (n + v + 1)
+    levels = []
+    for size in (1, 2):
+        grams = collections.defaultdict(collections.Counter)
+        for t in train:
+            padded = [None] * size + t
+            for k, w in enumerate(t):
+                grams[tuple(padded[k : k + size])][w] += 1
+        levels.append(grams)
+
+    def p(w, h):
+        if not h:
+            return p1(w)
+        seen = levels[len(h) - 1].get(tuple(h))
+        if not seen:
+            return p(w, h[1:])
+        off = lambda k: lm.DISCOUNTS[min(k, 3) - 1] if k else 0.0
+        total = sum(seen.values())
+        return (seen[w] - off(seen[w])) / total + sum(map(off, seen.values())) / total * p(w, h[1:])
+
     out = []
     for i, t, *_ in rows:
         t = tokens(t)
-        base = sum(math.log10(p1(w)) for w in t)
-        full = sum(math.log10(((kept[h, w] - lm.DISCOUNT) / of[h] if (h, w) in kept else 0) + left[h] * p1(w)) for h, w in zip([None, *t], t, strict=False))
-        out.append((i, held[i], len(t), sum(c[w] > 0 for w in t), n, base, full))
+        padded = [None, None, *t]
+        out.append((i, held[i], len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), sum(math.log10(p(w, padded[k : k + 2])) for k, w in enumerate(t))))
     return out
 
 
@@ -67,13 +79,38 @@ def test_against_counting(spark):
 
 def test_hot_contexts_are_split(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
-    rows = [(i, f"the w{i % 37} the w{i % 11} end", "s") for i in range(400)]
+    rows = [(i, f"the w{i % 37} the w{i % 11} end of the w{i % 3} sea", "s") for i in range(400)]
     plan = lm.train(spark.createDataFrame(rows, SCHEMA))
-    assert plan["hot"] and plan["shards"] > 4
-    model = lm.Model(plan)
-    text = [b"the", b"w3", b"the", b"w5", b"end"]
-    once = model.score([text])
-    assert model.score([text, text])[3] == pytest.approx([once[3][0]] * 2)
+    assert len(plan["hot"]) > 2 and plan["shards"] > 4 and len(plan["hot_files"]) > 2
+    check(spark, rows)
+
+
+def test_parts_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 7)
+    rows = [(i, " ".join(f"w{(i * k) % 5}" for k in range(i % 9)), "s") for i in range(60)] + [(99, "w1 w2 " * 50, "s")]
+    check(spark, rows)
+
+
+def test_twice_is_told_from_once(spark):
+    """Texts that stand twice in the corpus score higher by token than those that stand once."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(300)])
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = [" ".join(rng.choice(words, 80)) for _ in train]
+    rows = [(i, texts[k // 2] if k < 100 else texts[k], "s") for k, i in enumerate(train)]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert min(got[i] for i in train[:100]) > max(got[i] for i in train[100:])
+
+
+def test_the_model_sums_to_one(spark):
+    rows = [(i, "a b c a b d"[: 1 + 2 * (i % 6)], "s") for i in range(30)]
+    vocabulary = ["a", "b", "c", "d"]
+    asked = [(f"a b {w}".rstrip(), w) for w in [*vocabulary, "zz", ""]]
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    more = [(held[0], "a", "s")] + [(held[k + 1], t, "s") for k, (t, _) in enumerate(asked)]
+    score = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows + more, SCHEMA)).collect()}
+    brutes = {r[0]: r[6] for r in brute(rows + more)}
+    assert all(score[i] == pytest.approx(brutes[i], rel=2e-3) for i in held[: len(more)])
 
 
 def test_no_training_texts_and_no_rows(spark):

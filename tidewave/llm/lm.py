@@ -1,18 +1,21 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Tasks count words, and then pairs of words, of their part of the training
-texts and send sorted blocks of counts to the shards of a trie. Level 1 has
-the words, as a monotone sequence of 64-bit hashes; a word's number is its
-rank. Level 2 has, in each shard, the contexts, monotone pointers to the
-successors of each, the successors made monotone over the contexts, and a
-quantised discounted probability for each. The levels are flat files in the
-shared folder; scoring tasks map them into memory and search a pair's word
-among the successors of its context.
-
-``p(w | h) = d(h, w) + g(h) * (c(w) + 1) / (N + V + 1)``, where ``d`` is the
-absolutely discounted frequency of a kept pair and ``g`` the mass that the
-kept pairs of ``h`` leave; so the model sums to 1 over the words and one
-unknown. A pair is kept from ``MIN_PAIR`` occurrences on.
+Level 1 of the trie has the words, as a monotone sequence of 64-bit hashes; a
+word's number is its rank. It is counted and built in shards by hash. Then
+every text is cut into n-grams of word numbers, and each part of the corpus
+sends its distinct ones, with their counts in training texts, to the shard
+that holds their context. A shard builds its levels 2 and 3: contexts,
+monotone pointers to the successors of each, the successors made monotone over
+the contexts, and quantised discounted probabilities, in a flat file that is
+memory-mapped; and it answers what it was asked by searching every n-gram's
+word among the successors of its context. The answers go back to the parts,
+where they are summed up by text. No task sees more of the trie than its shard
+of it, and no key comes from a part more than once, however common it is.
+
+``p(w | h) = d(h, w) + g(h) * p(w | shorter h)``, where ``d`` is the absolutely
+discounted frequency of an n-gram, ``g`` the mass that discounting leaves, and
+``p(w) = (c(w) + 1) / (N + V + 1)``; so the model sums to 1 over the words and
+one unknown. Every n-gram counts, from its first occurrence on.
 """
 
 from __future__ import annotations
@@ -24,17 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, settle, words_of
 from .eliasfano import EliasFano, map_flat, write_flat
 
-#: Absolute discount, and the least count of a kept pair.
-DISCOUNT, MIN_PAIR = 0.75, 2
-#: Training texts a shard of level 1, and training tokens a shard of level 2.
+#: What is taken off the count of an n-gram that occurs once, twice, or more often.
+DISCOUNTS = (0.8, 1.1, 1.4)
+#: Training texts a shard of level 1, and training tokens a shard of the levels above.
 SHARD_DOCS, SHARD_TOKENS = 16_384, 2_000_000
-#: Tokens that a task counts or scores at a time, and words it remembers.
+#: Tokens of a part of the corpus, and words that a task remembers.
 CHUNK, REMEMBERED = 1_000_000, 400_000
 #: The token that ends a text. No word holds a space.
 END = b" "
@@ -43,12 +47,17 @@ LOWEST, STEPS = 16.0, 65_535
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
-    """16 bits for log10 of a probability, from 0 down to -LOWEST."""
-    return np.rint(np.clip(-np.log10(np.maximum(p, 1e-300)), 0, LOWEST) / LOWEST * STEPS).astype(np.uint16)
+    """16 bits for log10 of a probability, from 0 down to -LOWEST; finer near 0, where long runs of sure words add up."""
+    return np.rint(np.sqrt(np.clip(-np.log10(np.clip(p, 1e-300, 1)), 0, LOWEST) / LOWEST) * STEPS).astype(np.uint16)
+
+
+def log_of(code: np.ndarray) -> np.ndarray:
+    x = code.astype(np.float64) / STEPS
+    return -LOWEST * x * x
 
 
 def restored(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code.astype(np.float64) * (-LOWEST / STEPS))
+    return 10.0 ** log_of(code)
 
 
 def hash_word(w: bytes) -> int:
@@ -111,21 +120,22 @@ def _build_words(folder: str, hot: int):
             meta |= m
             arrays |= a
         write_flat(posixpath.join(folder, f"words-{shard}"), meta, arrays)
-        often = np.flatnonzero(counts > hot).tolist()
-        return pd.DataFrame({"shard": [shard], "distinct": [len(keys)], "total": [int(counts.sum())], "hot": [often]})
+        often = np.flatnonzero(counts > hot)
+        return pd.DataFrame({"shard": [shard], "distinct": [len(keys)], "total": [int(counts.sum())], "hot": [often.tolist()], "often": [counts[often].tolist()]})
 
     return build
 
 
-class Model:
-    """The mapped trie. ``plan``: folder, shift, words and ids per level-1 shard, shards of level 2, totals."""
+class Words:
+    """The mapped level 1. ``plan``: folder, shift, words per shard, totals."""
 
     def __init__(self, plan: dict):
-        self.plan, self.words, self.sums, self.back, self.pairs = plan, {}, {}, {}, {}
+        self.plan, self.words, self.sums = plan, {}, {}
         self.offsets = np.array([0, *np.cumsum(plan["distinct"])], np.int64)
-        self.vocabulary = int(self.offsets[-1])  # the number of the virtual context that starts a text, too
+        self.vocabulary = int(self.offsets[-1])
+        # the start of a text, and what no training text holds, as numbers
+        self.start, self.unknown = self.vocabulary, self.vocabulary + 1
         self.known: dict[bytes, int] = {}
-        self.hot = np.array(plan.get("hot", []), np.int64)
 
     def _level1(self, shard: int) -> None:
         if shard not in self.words:
@@ -133,13 +143,13 @@ class Model:
             self.words[shard], self.sums[shard] = (EliasFano.of(meta, arrays, k) for k in ("words", "sums"))
 
     def ids(self, tokens: list[bytes]) -> np.ndarray:
-        """Word numbers; -1 where a token is unknown."""
+        """Word numbers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if new := [w for w in dict.fromkeys(tokens) if w not in self.known]:
             h = np.fromiter(map(hash_word, new), np.uint64, len(new))
             shards = (h >> np.uint64(self.plan["shift"])).astype(np.int64)
-            found = np.full(len(new), -1, np.int64)
+            found = np.full(len(new), self.unknown, np.int64)
             for s in np.unique(shards).tolist():
                 if self.plan["distinct"][s]:
                     self._level1(s)
@@ -150,83 +160,77 @@ class Model:
         return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Training counts of word numbers; 0 for -1, the number of texts for the start."""
+        """Training counts of word numbers; 0 for the start and the unknown."""
         out = np.zeros(len(ids), np.int64)
-        out[ids == self.vocabulary] = self.plan["texts"]
         shards = np.searchsorted(self.offsets, ids, side="right") - 1
-        for s in np.unique(shards[(ids >= 0) & (ids < self.vocabulary)]).tolist():
+        for s in np.unique(shards[ids < self.vocabulary]).tolist():
             self._level1(s)
-            at = np.flatnonzero((shards == s) & (ids >= 0) & (ids < self.vocabulary))
+            at = np.flatnonzero((shards == s) & (ids < self.vocabulary))
             k = ids[at] - self.offsets[s]
             out[at] = self.sums[s].access(k + 1).astype(np.int64) - self.sums[s].access(k).astype(np.int64)
         return out
 
-    def shard_of(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Pairs of a context stay together, but those of a hot context are dealt by the word, too."""
-        x = contexts.copy()
-        if len(self.hot):
-            hot = np.isin(contexts, self.hot)
-            x[hot] = contexts[hot] << HALF ^ words[hot]
-        return (_mixed(x) % np.uint64(self.plan["shards"])).astype(np.int64)
-
-    def backoff(self, contexts: np.ndarray) -> np.ndarray:
-        out = np.ones(len(contexts))
-        out[contexts == self.vocabulary] = self.plan.get("start", 1.0)
-        shards = np.searchsorted(self.offsets, contexts, side="right") - 1
-        inside = (contexts >= 0) & (contexts < self.vocabulary)
-        for s in np.unique(shards[inside]).tolist():
-            if s not in self.back:
-                self.back[s] = map_flat(posixpath.join(self.plan["folder"], f"back-{s}"))[1]["code"]
-            at = np.flatnonzero(inside & (shards == s))
-            out[at] = restored(self.back[s][contexts[at] - self.offsets[s]])
-        return out
-
-    def discounted(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """d(h, w) of pairs of known words; 0 where the pair isn't kept."""
-        out = np.zeros(len(contexts))
-        shards = self.shard_of(contexts, words)
-        order = np.argsort(shards, kind="stable")
-        cut = np.flatnonzero(np.diff(shards[order])) + 1
-        for at in np.split(order, cut):
-            if not len(at):
-                continue
-            if (s := int(shards[at[0]])) not in self.pairs:
-                meta, arrays = map_flat(posixpath.join(self.plan["folder"], f"pairs-{s}"))
-                self.pairs[s] = [*(EliasFano.of(meta, arrays, k) for k in ("contexts", "pointers", "successors")), arrays["code"]]
-            held, pointers, successors, code = self.pairs[s]
-            if not successors.n:
-                continue
-            own, inverse = np.unique(contexts[at], return_inverse=True)
-            i, equal = held.successor(own)
-            i = np.where(equal, i, 0)
-            start = pointers.access(i).astype(np.int64)
-            end = pointers.access(i + 1).astype(np.int64)
-            base = np.where(start > 0, successors.access(np.maximum(start - 1, 0)).astype(np.int64) + 1, 0)
-            j, same = successors.successor(base[inverse] + words[at])
-            same &= equal[inverse] & (j >= start[inverse]) & (j < end[inverse])
-            out[at[same]] = restored(code[j[same]])
-        return out
-
-    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: tokens, known tokens, base score, score."""
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        ids = self.ids([w for t in texts for w in (*t, END)])
-        distinct, inverse = np.unique(ids, return_inverse=True)
-        c = self.counts(distinct)
-        p1 = (c + 1) / (self.plan["tokens"] + self.vocabulary + 1)
-        base = np.log10(p1)[inverse]
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[starts] = self.vocabulary
-        pairs, back = np.unique((before + 1) << HALF | (ids + 1), return_inverse=True)
-        h, w = (pairs >> HALF) - 1, (pairs & (1 << HALF) - 1) - 1
-        contexts, place = np.unique(h, return_inverse=True)
-        p = self.backoff(contexts)[place] * p1[np.searchsorted(distinct, w)]
-        both = np.flatnonzero((h >= 0) & (w >= 0))
-        p[both] += self.discounted(h[both], w[both])
-        full = np.log10(p)[back]
-        return sizes, np.add.reduceat((c > 0)[inverse].astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(full, starts)
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + 1) / (self.plan["tokens"] + self.vocabulary + 1)
+
+
+def discount(counts: np.ndarray) -> np.ndarray:
+    return np.array([0.0, *DISCOUNTS])[np.minimum(counts, 3)]
+
+
+def _level(name: str, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, own: np.ndarray | None = None) -> tuple[dict, dict[str, np.ndarray]]:
+    """One level from distinct (context, word) in order. ``own``: how often each context occurs, if that isn't their sum."""
+    held, start = np.unique(contexts, return_index=True)
+    ends = np.append(start[1:], len(words)).astype(np.int64)
+    sizes = ends - start
+    total = (np.add.reduceat(counts, start) if len(start) else np.empty(0, np.int64)) if own is None else own
+    off = discount(counts)
+    left = (np.add.reduceat(off, start) if len(start) else off) / np.maximum(total, 1)
+    # every context's successors start one past the last of the context before
+    base = np.concatenate([[0], np.cumsum(words[ends - 1] + 1)[:-1]]) if len(start) else np.empty(0, np.int64)
+    meta, arrays = {}, {f"{name}.code": quantise((counts - off) / np.repeat(np.maximum(total, 1), sizes)), f"{name}.left": quantise(left)}
+    for part, values in (("contexts", held), ("pointers", np.append(start, len(words))), ("successors", words + np.repeat(base, sizes))):
+        m, x = EliasFano.build(values).parts(f"{name}.{part}")
+        meta |= m
+        arrays |= x
+    return meta, arrays
+
+
+class Level:
+    """A mapped level: the discounted frequency of n-grams, and the mass their contexts leave."""
+
+    def __init__(self, meta: dict, arrays: dict[str, np.ndarray], name: str):
+        self.contexts, self.pointers, self.successors = (EliasFano.of(meta, arrays, f"{name}.{k}") for k in ("contexts", "pointers", "successors"))
+        self.code, self.left = arrays[f"{name}.code"], arrays[f"{name}.left"]
+
+    def look(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(d, g)`` of n-grams in any order; 0 and 1 where the trie holds none of the context."""
+        d, g = np.zeros(len(words)), np.ones(len(words))
+        if not self.contexts.n:
+            return d, g
+        own, inverse = np.unique(contexts, return_inverse=True)
+        held, pointers = self.contexts.all(), self.pointers.all().astype(np.int64)
+        i = np.minimum(np.searchsorted(held, own.astype(np.uint64)), len(held) - 1)
+        found = held[i] == own.astype(np.uint64)
+        start, end = pointers[i], pointers[i + 1]
+        # a successor search relative to the context: one past the last word of the context before
+        many = 8 * len(words) >= self.successors.n
+        held = self.successors.all() if many else None
+        before = np.maximum(start - 1, 0)
+        last = held[before] if many else self.successors.access(before)
+        base = np.where(start > 0, last.astype(np.int64) + 1, 0)
+        asked = (base[inverse] + words).astype(np.uint64)
+        if many:
+            j = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+            same = held[j] == asked
+        else:
+            j, same = self.successors.successor(asked)
+            j = np.minimum(j, self.successors.n - 1)
+        same &= found[inverse] & (j >= start[inverse]) & (j < end[inverse])
+        d[same] = restored(self.code[j[same]])
+        seen = found[inverse]
+        g[seen] = restored(self.left[i])[inverse[seen]]
+        return d, g
 
 
 def _chunks(texts: pd.Series) -> Iterator[tuple[int, int, list[list[bytes]]]]:
@@ -242,75 +246,174 @@ def _chunks(texts: pd.Series) -> Iterator[tuple[int, int, list[list[bytes]]]]:
         yield start, start + len(held), held
 
 
-def _count_pairs(plan: dict):
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, held, size = Model(plan), [], 0
+def _grams(words: Words, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens the word, the word before and the one before that; tokens of each text, and where it starts."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    w = words.ids([x for t in texts for x in (*t, END)])
+    h1, h2 = np.roll(w, 1), np.roll(w, 2)
+    h1[starts] = h2[starts] = words.start
+    h2[starts[sizes > 1] + 1] = words.start
+    return w, h1, h2, sizes, starts
+
+
+def shard_of(plan: dict, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """N-grams of one last word stay together; those of a hot word are dealt by the word before it, too."""
+    hot = np.isin(h1, plan["hot"])
+    return (_mixed(np.where(hot, h1 << HALF ^ h2, h1)) % np.uint64(plan["shards"])).astype(np.int64)
+
+
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows in order, and the place of each row among them."""
+    ranks = []
+    for c in columns:
+        if c.max(initial=0) < 1 << 21:
+            ranks.append((c, None))
+        else:
+            values, r = np.unique(c, return_inverse=True)
+            ranks.append((r, values))
+    if max(r.max(initial=0) for r, _ in ranks) >= 1 << 21:
+        raise ValueError("a shard holds too many words; make SHARD_TOKENS smaller")
+    key = np.zeros(len(columns[0]), np.int64)
+    for r, _ in ranks:
+        key = key << 21 | r
+    key, place = np.unique(key, return_inverse=True)
+    out = []
+    for k, (_, values) in enumerate(reversed(ranks)):
+        r = key >> (21 * k) & (1 << 21) - 1
+        out.append(r if values is None else values[r])
+    return out[::-1], place
+
+
+ASKED = "shard int, chunk long, a binary, b binary, c binary, n binary, doc_id array<string>, held_out array<boolean>"
+
+
+def _ask(plan: dict):
+    """Each part's distinct n-grams, a row a shard, and a row of shard -1 or below: where its tokens find their answers."""
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, part, number = Words(plan), TaskContext.get().partitionId() << 32, 0
+        for pdf in parts:
+            for a, b, texts in _chunks(pdf["text"]):
+                w, h1, h2, sizes, starts = _grams(words, texts)
+                held = pdf["held_out"].to_numpy(bool)[a:b]
+                (x1, x2, x3), place = _distinct(h1, h2, w)
+                n = np.bincount(place[np.repeat(~held, sizes)], minlength=len(x1)).astype(np.uint32)
+                shard = shard_of(plan, x1, x2)
+                order = np.argsort(shard, kind="stable")
+                at = np.empty(len(order), np.uint32)
+                at[order] = np.arange(len(order), dtype=np.uint32)
+                at = at[place]
+                seen, inverse = np.unique(w, return_inverse=True)
+                c = words.counts(seen)
+                facts = [sizes, np.add.reduceat((c > 0)[inverse].astype(np.int64), starts), np.add.reduceat(np.log10(words.unigram(c))[inverse], starts).view(np.int64)]
+                chunk = part + number
+                number += 1
+                rows = pdf.iloc[a:b]
+                low, high = (at & np.uint32(65535)).astype(np.uint16), (at >> np.uint32(16)).astype(np.uint16)
+                out = [(-1 - chunk % plan["shards"], chunk, low.tobytes(), high.tobytes(), np.concatenate(facts).tobytes(), b"", rows["doc_id"].tolist(), held.tolist())]
+                cut = np.flatnonzero(np.diff(shard[order])) + 1
+                pieces = [np.split(x[order].astype(np.uint32), cut) for x in (x1, x2, x3, n)]
+                for s, *blocks in zip(np.split(shard[order], cut), *pieces, strict=True):
+                    out.append((int(s[0]), chunk, *(x.tobytes() for x in blocks), None, None))
+                yield pd.DataFrame(out, columns=["shard", "chunk", "a", "b", "c", "n", "doc_id", "held_out"])
 
-        def flush() -> pd.DataFrame:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return _blocks(model.shard_of(keys >> HALF, keys & (1 << HALF) - 1), keys, n.astype(np.int64))
+    return ask
+
+
+ANSWERED = "chunk long, shard int, a binary, b binary, c binary, doc_id array<string>, held_out array<boolean>"
+
+
+def _answer(plan: dict):
+    """Builds a shard's levels from what it is asked and told, maps them, and answers: codes of log10 p in the order of each block."""
 
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        if shard < 0:
+            return pdf[["chunk", "shard", "a", "b", "c", "doc_id", "held_out"]]
+        words = Words(plan)
+        bounds = np.cumsum([len(x) // 4 for x in pdf["a"]])[:-1]
+        h1, h2, w, n = (np.frombuffer(b"".join(pdf[k]), np.uint32).astype(np.int64) for k in ("a", "b", "c", "n"))
+        (h1, h2, w), place = _distinct(h1, h2, w)
+        n = np.bincount(place, n, len(h1)).astype(np.int64)
+        name = posixpath.join(plan["folder"], f"grams-{shard}")
+        _build(plan, name, h1[n > 0], h2[n > 0], w[n > 0], n[n > 0])
+        meta, arrays = map_flat(name)
+        seen, inverse = np.unique(w, return_inverse=True)
+        p = words.unigram(words.counts(seen))[inverse]
+        d, g = Level(meta, arrays, "two").look(h1, w)
+        hot = np.flatnonzero(np.isin(h1, plan["hot"]))
+        if len(hot):
+            d[hot], g[hot] = Hot(plan).look(h1[hot], w[hot])
+        p = d + g * p
+        d, g = Level(meta, arrays, "three").look(h1 << HALF | h2, w)
+        codes = quantise(d + g * p)[place]
+        blocks = [x.tobytes() for x in np.split(codes, bounds)]
+        return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "a": blocks, "b": b"", "c": b"", "doc_id": None, "held_out": None})
+
+    return answer
+
+
+def _build(plan: dict, name: str, h1: np.ndarray, h2: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
+    """Levels 2 and 3 of a shard in one flat file; hot words have a level 2 of their own."""
+    cold = ~np.isin(h1, plan["hot"])
+    (x1, x2), place = _distinct(h1[cold], w[cold])
+    meta, arrays = _level("two", x1, x2, np.bincount(place, n[cold], len(x1)).astype(np.int64))
+    for m, x in (_level("three", h1 << HALF | h2, w, n),):
+        meta |= m
+        arrays |= x
+    write_flat(name, meta, arrays)
+
+
+def _count_hot(plan: dict):
+    """Pairs whose first word is hot, dealt by both words."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(plan)
         for pdf in parts:
             for _, _, texts in _chunks(pdf["text"]):
-                ids = model.ids([w for t in texts for w in (*t, END)])
-                before = np.empty_like(ids)
-                before[1:] = ids[:-1]
-                before[np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])] = model.vocabulary
-                held.append(before << HALF | ids)
-                if (size := size + len(ids)) >= 2 * CHUNK:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+                w, h1, _, _, _ = _grams(words, texts)
+                at = np.flatnonzero(np.isin(h1, plan["hot"]))
+                keys, n = np.unique(h1[at] << HALF | w[at], return_counts=True)
+                yield _blocks((_mixed(keys) % np.uint64(plan["hot_shards"])).astype(np.int64), keys, n.astype(np.int64))
 
     return count
 
 
-def _build_pairs(plan: dict):
+def _build_hot(plan: dict):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, shard = Model(plan), int(pdf["shard"].iloc[0])
+        shard = int(pdf["shard"].iloc[0])
         keys, counts = _summed(pdf, np.int64)
-        kept = counts >= MIN_PAIR
-        keys, counts = keys[kept], counts[kept]
-        contexts, start = np.unique(keys >> HALF, return_index=True)
-        words = keys & (1 << HALF) - 1
-        ends = np.append(start[1:], len(keys)).astype(np.int64)
-        # every context's successors start one past the last of the context before
-        rise = words[ends - 1] + 1 if len(keys) else np.empty(0, np.int64)
-        base = np.concatenate([[0], np.cumsum(rise)[:-1]]) if len(keys) else np.empty(0, np.int64)
-        sizes = ends - start
-        mass = (counts - DISCOUNT) / np.repeat(model.counts(contexts), sizes)
-        meta, arrays = {}, {"code": quantise(mass)}
-        for name, values in (("contexts", contexts), ("pointers", np.append(start, len(keys))), ("successors", words + np.repeat(base, sizes))):
-            m, a = EliasFano.build(values).parts(name)
-            meta |= m
-            arrays |= a
-        write_flat(posixpath.join(plan["folder"], f"pairs-{shard}"), meta, arrays)
-        level1 = np.searchsorted(model.offsets, contexts, side="right") - 1
-        return _blocks(level1, contexts, np.add.reduceat(mass, start) if len(keys) else mass).rename(columns={"n": "mass"})
+        h1, w = keys >> HALF, keys & (1 << HALF) - 1
+        held, start = np.unique(h1, return_index=True)
+        meta, arrays = _level("two", h1, w, counts, np.array([plan["hot_counts"][int(h)] for h in held], np.int64))
+        write_flat(posixpath.join(plan["folder"], f"hot-{shard}"), meta, arrays)
+        return pd.DataFrame({"shard": shard, "h": held, "off": np.add.reduceat(discount(counts), start)})
 
     return build
 
 
-def _build_back(plan: dict):
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        ids = np.frombuffer(b"".join(pdf["k"]), np.int64)
-        mass = np.frombuffer(b"".join(pdf["mass"]), np.float64)
-        if shard >= len(plan["distinct"]):  # of the start of a text
-            return pd.DataFrame({"shard": [shard], "start": [max(0.0, 1.0 - mass.sum())]})
-        taken = np.bincount(ids - int(sum(plan["distinct"][:shard])), mass, minlength=plan["distinct"][shard])
-        write_flat(posixpath.join(plan["folder"], f"back-{shard}"), {}, {"code": quantise(np.maximum(1.0 - taken, 0.0))})
-        return pd.DataFrame({"shard": [shard], "start": [0.0]})
+class Hot:
+    """Level 2 of hot words, over all shards; what a word leaves is known for the word as a whole."""
 
-    return build
+    def __init__(self, plan: dict):
+        self.plan = plan
+
+    def look(self, h1: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.zeros(len(w))
+        shards = (_mixed(h1 << HALF | w) % np.uint64(self.plan["hot_shards"])).astype(np.int64)
+        for s in np.intersect1d(shards, self.plan["hot_files"]).tolist():
+            at = np.flatnonzero(shards == s)
+            d[at] = Level(*map_flat(posixpath.join(self.plan["folder"], f"hot-{s}")), "two").look(h1[at], w[at])[0]
+        own, inverse = np.unique(h1, return_inverse=True)
+        return d, np.array([self.plan["hot_left"][int(h)] for h in own])[inverse]
 
 
 def train(texts: DataFrame) -> dict:
-    """Builds the trie of the whole of ``texts`` (a column ``text``); returns its plan.
+    """Builds level 1 of the whole of ``texts`` (a column ``text``), and level 2 of its hot words; returns the plan.
 
-    Only totals and one number a shard come to the driver.
+    Totals, a number a shard, and two for every hot word (there are fewer than
+    twice as many as shards) come to the driver.
     """
     n = texts.count()
     bits = max(2, (max(1, n) // SHARD_DOCS).bit_length())
@@ -320,53 +423,41 @@ def train(texts: DataFrame) -> dict:
     store.mkdirs(path)
     folder = store.makeQualified(path).toUri().toString()
     folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
-    plan = {"folder": folder, "shift": 64 - bits, "texts": n}
+    plan = {"folder": folder, "shift": 64 - bits}
     blocks = texts.select("text").mapInPandas(_count_words(64 - bits), "shard int, k binary, n binary")
-    rows = settle(blocks.groupBy("shard").applyInPandas(_build_words(folder, SHARD_TOKENS // 2), "shard int, distinct long, total long, hot array<long>")).collect()
+    schema = "shard int, distinct long, total long, hot array<long>, often array<long>"
+    rows = settle(blocks.groupBy("shard").applyInPandas(_build_words(folder, SHARD_TOKENS // 2), schema)).collect()
     distinct = [0] * (1 << bits)
     for r in rows:
         distinct[r["shard"]] = r["distinct"]
     plan |= {"distinct": distinct, "tokens": sum(r["total"] for r in rows)}
-    plan["shards"] = max(4, -(-plan["tokens"] // SHARD_TOKENS))
-    if sum(distinct) >= 1 << (HALF - 1):
+    if sum(distinct) + 2 >= 1 << (HALF - 1):
         raise ValueError("word numbers take 31 bits at most")
-    if not n:
-        return plan
-    # contexts of more occurrences than half a shard should hold: fewer than twice the shards
     offsets = np.cumsum([0, *distinct]).tolist()
-    plan["hot"] = [offsets[r["shard"]] + k for r in rows for k in r["hot"]] + [offsets[-1]] * (n > SHARD_TOKENS // 2)
-    _empty_shards(plan)
-    blocks = texts.select("text").mapInPandas(_count_pairs(plan), "shard int, k binary, n binary")
-    mass = settle(blocks.groupBy("shard").applyInPandas(_build_pairs(plan), "shard int, k binary, mass binary"))
-    starts = settle(mass.groupBy("shard").applyInPandas(_build_back(plan), "shard int, start double"))
-    if row := starts.where(F.col("shard") >= len(distinct)).first():
-        plan["start"] = row["start"]
+    # words of more occurrences than half a shard should hold
+    hot = {offsets[r["shard"]] + k: c for r in rows for k, c in zip(r["hot"], r["often"], strict=True)}
+    end = Words(plan).ids([END])[0] if n else -1  # the end is no one's context, but the start is
+    hot.pop(int(end), None)
+    hot |= {offsets[-1]: n} if n > SHARD_TOKENS // 2 else {}
+    plan |= {"shards": max(4, -(-plan["tokens"] // SHARD_TOKENS)), "hot": np.array(sorted(hot), np.int64), "hot_counts": hot, "hot_left": {}, "hot_files": []}
+    if hot:
+        plan["hot_shards"] = max(1, -(-sum(hot.values()) // SHARD_TOKENS))
+        blocks = texts.select("text").mapInPandas(_count_hot(plan), "shard int, k binary, n binary")
+        off = settle(blocks.groupBy("shard").applyInPandas(_build_hot(plan), "shard int, h long, off double"))
+        plan["hot_left"] = {r["h"]: r["off"] / hot[r["h"]] for r in off.groupBy("h").agg(F.sum("off").alias("off")).collect()}
+        plan["hot_files"] = [r["shard"] for r in off.select("shard").distinct().collect()]
     return plan
 
 
-def _empty_shards(plan: dict) -> None:
-    """Files of no pairs and of full backoff; the shards that have some replace them."""
-    for s in range(plan["shards"]):
-        meta, arrays = {}, {"code": np.zeros(1, np.uint16)}
-        for name in ("contexts", "pointers", "successors"):
-            m, a = EliasFano.build(np.zeros(0, np.uint64)).parts(name)
-            meta |= m
-            arrays |= a
-        write_flat(posixpath.join(plan["folder"], f"pairs-{s}"), meta, arrays)
-    for s, n in enumerate(plan["distinct"]):
-        write_flat(posixpath.join(plan["folder"], f"back-{s}"), {}, {"code": np.zeros(n, np.uint16)})
-
-
-def _score(plan: dict):
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(plan)
-        for pdf in parts:
-            for a, b, texts in _chunks(pdf["text"]):
-                tokens, known, base, full = model.score(texts)
-                rows = pdf.iloc[a:b]
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": tokens, "n_known": known, "base_score": base, "score": full})
-
-    return score
+def _sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The answers of a part, in the order of the shards, summed up by text."""
+    pdf = pdf.sort_values("shard")
+    facts = pdf.iloc[0]
+    p = log_of(np.frombuffer(b"".join(pdf["a"].iloc[1:]), np.uint16))
+    at = np.frombuffer(facts["a"], np.uint16).astype(np.int64) | np.frombuffer(facts["b"], np.uint16).astype(np.int64) << 16
+    sizes, known, base = np.frombuffer(facts["c"], np.int64).reshape(3, -1)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    return pd.DataFrame({"doc_id": list(facts["doc_id"]), "held_out": list(facts["held_out"]), "n_tokens": sizes, "n_known": known, "base_score": base.view(np.float64), "score": np.add.reduceat(p[at], starts)})
 
 
 def held_out(doc_id: str = "doc_id", mod: int = 7, rest: int = 2):
@@ -381,9 +472,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     row for each document. Null texts count as empty: their one token is the
     end. Null ids are learnt from; repeated rows count each; with no training
     texts every token is unknown and has probability 1; an empty table gives
-    no rows. Other columns are not read.
+    no rows. Other columns are not read. Words are told apart by 64-bit
+    hashes, so from about a billion words on some counts may be of two. Parts
+    are numbered by partition: ``docs`` is a table, or comes in the same order
+    when a lost task reads it again.
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", held_out().alias("held_out"))
     plan = train(docs.where("not held_out"))
-    rows = docs.mapInPandas(_score(plan), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    answers = docs.mapInPandas(_ask(plan), ASKED).groupBy("shard").applyInPandas(_answer(plan), ANSWERED)
+    rows = answers.groupBy("chunk").applyInPandas(_sum_up, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return rows.select(F.col("doc_id").cast("long"), "held_out", "n_tokens", "n_known", F.lit(plan["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
