@@ -55,6 +55,26 @@ def test_block_scan_is_the_loop(spark, kind, rate):
     assert np.allclose([r["value"] for r in got], want, rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("kind, rate", [("hold", 0.5), ("slow", 0.5), ("follow", 0.999)])
+def test_fast_decays_and_runs_of_blocks(spark, monkeypatch, kind, rate):
+    """Scales beyond the range of doubles, and blocks in several runs."""
+    monkeypatch.setattr(scan, "RUN", 3)
+    x = np.random.default_rng(5).standard_normal(9000) * np.repeat([1, 1e-6, 3], 3000)
+    e, want = 0.0, []
+    for i, v in enumerate(np.abs(x)):
+        e = max(v, rate * e) if kind == "hold" else (v * v if i == 0 else e + rate * (v * v - e)) if kind == "slow" else max(v, (1 - rate) * e + rate * v)
+        want.append(math.sqrt(e) if kind == "slow" else e)
+    got = series.to_rows(scan.envelope(series.to_blocks(signal(spark, x), 1000), kind, rate)).orderBy("sample_idx").collect()
+    assert np.allclose([r["value"] for r in got], want, rtol=1e-9, atol=1e-15)
+
+
+def test_samples_are_numbered_across_slices(spark):
+    rows = spark.range(5000).selectExpr("id % 3 as c", "timestamp_seconds(if(id % 50 = 0, null, (id * 7919) % 1000)) as ts", "id", "if(id = 77, double('nan'), id * 1.0) as v")
+    one, many = (series.from_table(rows, F.lit("t"), F.col("c"), ["ts", "id"], F.col("v"), n) for n in (1 << 20, 97))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(one) == key(many) and len(key(many)) == 4999
+
+
 def test_weights_are_power_complementary():
     f = np.linspace(0, 24000, 5000)
     assert np.allclose((fb.weights(f, fb.band_centres()) ** 2).sum(0), 1, atol=1e-12)

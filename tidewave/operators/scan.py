@@ -1,14 +1,17 @@
 """Sequential envelopes as a distributed two-pass block scan.
 
 Each recurrence is a function of the state it is given, and such functions
-compose: a block is summarised by a few numbers, the summaries of a series are
-folded in order into the state every block starts with, and a second pass over
-the blocks fills the values in. The blocks are the unit of work, never a
-series; a series' summaries are one small row per block.
+compose: a block is summarised by a few numbers, the summaries of a run of
+blocks by as few, the runs of a series are folded in order into the state every
+run and then every block starts with, and a second pass over the blocks fills
+the values in. The blocks are the unit of work, never a series.
 
     peak hold   e = max(|x|, d e)              (M, D):    max(M, D e)
     slow RMS    y = y + a (x^2 - y)            (A, B):    A y + B
     follower    e = max(r, (1 - c) e + c r)    (P, Q, R): max(P, Q e + R)
+
+Inside a block all samples are computed at once, as running sums and maxima of
+values that are scaled by the decay, in pieces in which the scale stays finite.
 """
 
 from __future__ import annotations
@@ -39,76 +42,128 @@ def peak_hold(rows: DataFrame, decay: float, keys=KEYS) -> DataFrame:
     return rows.select(*keys, "sample_idx", F.coalesce(F.exp(F.max(shifted).over(w) - decay * F.col("sample_idx")), F.lit(0.0)).alias("envelope"))
 
 
-def _summaries(kind: str, rate: float):
-    """Pass 1: (p, q, r) of each block: state in, e; state out, max(p, q e + r)."""
+#: Blocks of a run, and how far a piece's scale may grow, as a power of e.
+RUN, GROWTH = 4096, 300.0
+
+
+def _pieces(n: int, keep: float) -> Iterator[tuple[int, int]]:
+    """Pieces of n samples over which a decay by ``keep`` a sample stays far from the smallest double."""
+    size = n if keep >= 1 else max(1, int(GROWTH / -math.log(max(keep, 1e-300))))
+    for a in range(0, n, size):
+        yield a, min(n, a + size)
+
+
+def _hold(x: np.ndarray, keep: float, e: float) -> np.ndarray:
+    """``e = max(x, keep e)`` as a running maximum of ``x / keep^i``."""
+    out = np.empty(len(x))
+    for a, b in _pieces(len(x), keep):
+        scale = keep ** np.arange(1, b - a + 1)
+        out[a:b] = np.maximum(np.maximum.accumulate(x[a:b] / scale), e) * scale
+        e = out[b - 1]
+    return out
+
+
+def _smooth(v: np.ndarray, keep: float, y: float) -> np.ndarray:
+    """``y = keep y + (1 - keep) v`` as a running sum of ``v / keep^i``."""
+    out = np.empty(len(v))
+    for a, b in _pieces(len(v), keep):
+        scale = keep ** np.arange(1, b - a + 1)
+        out[a:b] = (y + (1 - keep) * np.cumsum(v[a:b] / scale)) * scale
+        y = out[b - 1]
+    return out
+
+
+def _follow(x: np.ndarray, keep: float, e: float) -> np.ndarray:
+    """``e = max(x, keep e + (1 - keep) x)``: of all samples so far the one that, smoothed from there on, is highest."""
+    out = np.empty(len(x))
+    for a, b in _pieces(len(x), keep):
+        scale = keep ** np.arange(1, b - a + 1)
+        s = _smooth(x[a:b], keep, 0.0)
+        out[a:b] = s + np.maximum(np.maximum.accumulate((x[a:b] - s) / scale), e) * scale
+        e = out[b - 1]
+    return out
+
+
+def summary(kind: str, rate: float, x: np.ndarray, first: bool) -> tuple[float, float, float]:
+    """(p, q, r) of a block: state in, e; state out, max(p, q e + r)."""
+    n = len(x)
+    if kind == "hold":
+        return float(_hold(np.abs(x), rate, 0.0)[-1]), rate**n, 0.0
+    keep = 1 - rate
+    if kind == "slow":
+        y = x * x
+        if first:  # the first sample is the seed
+            return -math.inf, 0.0, float(_smooth(y, keep, y[0])[-1])
+        return -math.inf, keep**n, float(_smooth(y, keep, 0.0)[-1])
+    a = np.abs(x)
+    return float(_follow(a, keep, -math.inf)[-1]) if n else -math.inf, keep**n, float(_smooth(a, keep, 0.0)[-1])
+
+
+def values(kind: str, rate: float, x: np.ndarray, first: bool, e: float) -> np.ndarray:
+    """The envelope of a block from the state it starts with."""
+    if kind == "hold":
+        return _hold(np.abs(x), rate, e)
+    if kind == "slow":
+        y = x * x
+        return np.sqrt(np.maximum(_smooth(y, 1 - rate, y[0] if first else e), 0.0))
+    return _follow(np.abs(x), 1 - rate, e)
+
+
+def _key_types(df: DataFrame) -> str:
+    return ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in KEYS)
+
+
+def _fold(pdf: pd.DataFrame, e: float) -> tuple[list[float], float]:
+    """The state before each row of (p, q, r), in order, and after the last."""
+    before = []
+    for p, q, r in zip(pdf["p"].tolist(), pdf["q"].tolist(), pdf["r"].tolist(), strict=True):
+        before.append(e)
+        e = max(p, q * e + r)
+    return before, e
+
+
+def carries(blocks: DataFrame, kind: str, rate: float, name: str = "carry") -> DataFrame:
+    """``(keys, block_idx, carry)``: the state that every block starts with, in time linear in the blocks."""
 
     def summarise(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for k, x in zip(pdf["block_idx"], pdf["samples"], strict=True):
-                x = np.asarray(x, np.float64)
-                n = len(x)
-                if kind == "hold":
-                    out.append((float(np.max(np.abs(x) * rate ** np.arange(n - 1, -1, -1))), rate**n, 0.0))
-                elif kind == "slow":
-                    y = x * x
-                    if k == 0:  # the first sample is the seed
-                        out.append((-math.inf, 0.0, _affine(y[0], y[1:], rate)))
-                    else:
-                        out.append((-math.inf, (1 - rate) ** n, _affine(0.0, y, rate)))
-                else:
-                    p, q, r = -math.inf, 1.0, 0.0
-                    for v in np.abs(x).tolist():
-                        p, q, r = max(v, (1 - rate) * p + rate * v), q * (1 - rate), (1 - rate) * r + rate * v
-                    out.append((p, q, r))
-            yield pdf[[*KEYS, "block_idx"]].assign(p=[o[0] for o in out], q=[o[1] for o in out], r=[o[2] for o in out])
-
-    return summarise
-
-
-def _affine(y: float, inputs: np.ndarray, a: float) -> float:
-    """y after all inputs of ``y += a (v - y)``."""
-    n = len(inputs)
-    return float(y * (1 - a) ** n + (a * inputs * (1 - a) ** np.arange(n - 1, -1, -1)).sum())
-
-
-def _values(kind: str, rate: float):
-    """Pass 2: the envelope of each block from its carry."""
+            pqr = [summary(kind, rate, np.asarray(x, np.float64), k == 0) for k, x in zip(pdf["block_idx"], pdf["samples"], strict=True)]
+            yield pdf[[*KEYS, "block_idx"]].assign(run=pdf["block_idx"] // RUN, p=[o[0] for o in pqr], q=[o[1] for o in pqr], r=[o[2] for o in pqr])
 
-    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for k, e, x in zip(pdf["block_idx"], pdf["carry"], pdf["samples"], strict=True):
-                out = []
-                if kind == "slow":
-                    for i, v in enumerate((np.asarray(x, np.float64) ** 2).tolist()):
-                        e = v if k == 0 and i == 0 else e + rate * (v - e)
-                        out.append(math.sqrt(max(e, 0.0)))
-                else:
-                    for v in np.abs(np.asarray(x, np.float64)).tolist():
-                        e = max(v, rate * e) if kind == "hold" else max(v, (1 - rate) * e + rate * v)
-                        out.append(e)
-                rows.append(out)
-            yield pdf[[*KEYS, "block_idx", "start_sample"]].assign(samples=rows)
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block_idx")
+        p, q, r = -math.inf, 1.0, 0.0
+        for a, b, c in zip(pdf["p"].tolist(), pdf["q"].tolist(), pdf["r"].tolist(), strict=True):
+            p, q, r = max(a, b * p + c) if b else max(a, c), b * q, b * r + c
+        return pdf.iloc[:1][[*KEYS, "run"]].assign(p=p, q=q, r=r)
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("run")
+        return pdf[[*KEYS, "run"]].assign(start=_fold(pdf, 0.0)[0])
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block_idx")
+        return pdf[[*KEYS, "block_idx"]].assign(carry=_fold(pdf, float(pdf["start"].iloc[0]))[0]).rename(columns={"carry": name})
 
-    return fill
+    types = _key_types(blocks)
+    rows = blocks.select(*KEYS, "block_idx", "samples").mapInPandas(summarise, f"{types}, block_idx long, run long, p double, q double, r double")
+    runs = rows.groupBy(*KEYS, "run").applyInPandas(compose, f"{types}, run long, p double, q double, r double")
+    begun = runs.groupBy(*KEYS).applyInPandas(starts, f"{types}, run long, start double")
+    return rows.join(begun, [*KEYS, "run"]).groupBy(*KEYS, "run").applyInPandas(inside, f"{types}, block_idx long, {name} double")
 
 
 def envelope(blocks: DataFrame, kind: str, rate: float) -> DataFrame:
     """Blocks of an envelope: ``hold`` (rate = the factor a sample), ``slow`` or ``follow`` (rate = the share of the new value)."""
     if kind not in ("hold", "slow", "follow"):
         raise ValueError(f"unknown envelope {kind!r}")
-    key_types = ", ".join(f"{k} {dict(blocks.dtypes)[k]}" for k in KEYS)
-    summaries = blocks.select(*KEYS, "block_idx", "samples").mapInPandas(_summaries(kind, rate), f"{key_types}, block_idx long, p double, q double, r double")
-    ordered = F.array_sort(F.collect_list(F.struct("block_idx", "p", "q", "r")))
-    start = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<struct<block_idx:bigint,carry:double>>").alias("all"))
-    fold = F.aggregate(
-        ordered,
-        start,
-        lambda a, s: F.struct(F.greatest(s["p"], s["q"] * a["e"] + s["r"]).alias("e"), F.concat(a["all"], F.array(F.struct(s["block_idx"].alias("block_idx"), a["e"].alias("carry")))).alias("all")),
-    )["all"]
-    carries = summaries.groupBy(*KEYS).agg(F.explode(fold).alias("c")).select(*KEYS, "c.block_idx", "c.carry")
-    return blocks.join(carries, [*KEYS, "block_idx"]).mapInPandas(_values(kind, rate), f"{key_types}, block_idx long, start_sample long, samples array<double>")
+
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [values(kind, rate, np.asarray(x, np.float64), k == 0, e) for k, e, x in zip(pdf["block_idx"], pdf["carry"], pdf["samples"], strict=True)]
+            yield pdf[[*KEYS, "block_idx", "start_sample"]].assign(samples=rows)
+
+    j = blocks.join(carries(blocks, kind, rate), [*KEYS, "block_idx"])
+    return j.mapInPandas(fill, f"{_key_types(blocks)}, block_idx long, start_sample long, samples array<double>")
 
 
 def moving_rms(rows: DataFrame, window: int, keys=KEYS) -> DataFrame:
@@ -123,12 +178,21 @@ def moving_rms(rows: DataFrame, window: int, keys=KEYS) -> DataFrame:
 
 def slow_crest(rows: DataFrame, step: int, rate: float = 1.0, rms_tau: float = 1.0, peak_tau: float = 1.0, peak: Column | float = 1.0, block: int = 4096) -> DataFrame:
     """Crest factor of the peak-hold envelope over the slow RMS envelope, sampled at the ends of steps."""
-    from ..sources.series import to_blocks, to_rows
+    from ..sources.series import to_blocks
 
+    hold, share = math.exp(-1 / (peak_tau * rate)), 1 - math.exp(-1 / (rms_tau * rate))
     b = to_blocks(rows, block)
-    held = to_rows(envelope(b, "hold", math.exp(-1 / (peak_tau * rate)))).withColumnRenamed("value", "peak")
-    slow = to_rows(envelope(b, "slow", 1 - math.exp(-1 / (rms_tau * rate)))).withColumnRenamed("value", "rms")
-    at = held.where((F.col("sample_idx") + 1) % step == 0).join(slow.where((F.col("sample_idx") + 1) % step == 0), [*KEYS, "sample_idx"])
+
+    def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for row in pdf.itertuples(index=False):
+                x, first = np.asarray(row.samples, np.float64), row.block_idx == 0
+                at = np.arange(step - 1 - row.start_sample % step, len(x), step)
+                high, rms = values("hold", hold, x, first, row.held)[at], values("slow", share, x, first, row.slow)[at]
+                yield pd.DataFrame({k: getattr(row, k) for k in KEYS} | {"sample_idx": row.start_sample + at, "peak": high, "rms": rms})
+
+    j = b.join(carries(b, "hold", hold, "held"), [*KEYS, "block_idx"]).join(carries(b, "slow", share, "slow"), [*KEYS, "block_idx"])
+    at = j.mapInPandas(ends, f"{_key_types(b)}, sample_idx long, peak double, rms double")
     c = F.when(F.col("rms") > 0, F.greatest(F.col("peak") / F.col("rms"), F.lit(1.0)))
     return at.select(
         *KEYS, F.expr(f"(sample_idx + 1) div {step} - 1").alias("window_idx"), ((F.col("sample_idx") + 1) / rate).alias("time_seconds"), c.alias("crest_factor"),

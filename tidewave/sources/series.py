@@ -10,24 +10,46 @@ from pyspark.sql import functions as F
 KEYS = ["track_id", "channel_index"]
 
 
-def from_table(df: DataFrame, track: Column, channel: Column, order: Sequence[str], value: Column) -> DataFrame:
+#: Rows of a slice of time in which samples are numbered by one task.
+SLICE_ROWS = 1 << 20
+
+
+def from_table(df: DataFrame, track: Column, channel: Column, order: Sequence[str], value: Column, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Any table as series: samples are numbered by ``order`` inside their track and channel.
 
-    NaN values are dropped, as they would poison every aggregate.
+    The range of the first order column is cut into equal slices; samples are
+    numbered inside a slice, and the counts of the slices before are added, so
+    no task sorts a whole channel. The first column must be a number or a time
+    for that (a table of other keys is one slice). NaN values are dropped, as
+    they would poison every aggregate.
     """
     rows = df.select(track.alias("track_id"), channel.cast("int").alias("channel_index"), value.cast("double").alias("value"), *order)
-    number = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order)) - 1
-    return rows.where(~F.isnan("value")).select(*KEYS, number.cast("long").alias("sample_idx"), "value")
+    kind = dict(rows.dtypes)[order[0]]
+    slices, part = 1, F.lit(0)
+    if kind in ("timestamp", "timestamp_ntz", "date", "tinyint", "smallint", "int", "bigint", "float", "double"):
+        lead = F.unix_micros(F.col(order[0]).cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else F.col(order[0])
+        lead = lead.cast("double")
+        n, lo, hi = df.agg(F.count("*"), F.min(lead), F.max(lead)).first()
+        if lo is not None and hi > lo and abs(lo) < float("inf") and abs(hi) < float("inf"):
+            slices = -(-n // slice_rows)
+        if slices > 1:
+            part = F.coalesce(F.floor((lead - lo) * (slices / (hi - lo))), F.lit(-1))  # nulls come first
+    rows = rows.withColumn("_slice", part)
+    number = F.row_number().over(Window.partitionBy(*KEYS, "_slice").orderBy(*order)) - 1
+    numbered = rows.select(*KEYS, "_slice", number.cast("long").alias("sample_idx"), "value")
+    if slices > 1:
+        along = Window.partitionBy(*KEYS).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+        counts = rows.groupBy(*KEYS, "_slice").agg(F.count("*").alias("_n"))
+        before = counts.select(*KEYS, "_slice", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+        numbered = numbered.join(before, [*KEYS, "_slice"]).withColumn("sample_idx", F.col("sample_idx") + F.col("_before"))
+    return numbered.where(~F.isnan("value")).select(*KEYS, "sample_idx", "value")
 
 
 def ranked(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the dense rank, from 0, of a column of few distinct values.
-
-    The distinct values alone are ordered and broadcast, so no row is moved.
-    """
+    """Adds the dense rank, from 0, of a column of few distinct values, which alone are ordered."""
     few = df.select(column).distinct()
     few = few.select(F.col(column).alias("_v"), (F.row_number().over(Window.orderBy(column)) - 1).alias(name))
-    return df.join(F.broadcast(few), df[column].eqNullSafe(F.col("_v")), "left").drop("_v")
+    return df.join(few, df[column].eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
 def centred(rows: DataFrame) -> DataFrame:
