@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,18 +58,63 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(flat, equal).otherwise(fitted)
 
 
-def similar_pairs(windows: DataFrame, threshold: float, keys=KEYS) -> DataFrame:
-    """Pairs (i < j) of one series whose windows are alike, with whether their lengths are equal.
+def alike(windows: list, threshold: float) -> pd.DataFrame:
+    """``(i, j, same, r)``: pairs (i < j) of one series' windows that are alike, and whether their lengths are equal.
 
-    The join is inside a series and over at most ``MOST_PEAKS`` windows of it.
+    All windows of one length are compared with all of another in one product
+    of matrices. Windows of different lengths are scaled, the longer ones
+    resampled, and constant ones are alike if they are equal; of one length,
+    constant windows are like none.
     """
-    w = windows.select(*keys, "n", "window", normalised(F.col("window")).alias("scaled"))
-    a = w.select(*keys, F.col("n").alias("i"), F.col("window").alias("a"), F.col("scaled").alias("x"))
-    b = w.select(*(F.col(k).alias(k) for k in keys), F.col("n").alias("j"), F.col("window").alias("b"), F.col("scaled").alias("y"))
-    same = F.size("a") == F.size("b")
-    r = F.when(same, correlation(F.col("x"), F.col("y"))).otherwise(similarity(F.col("a"), F.col("b")))
-    pairs = a.join(b, list(keys)).where("i < j").select(*(F.col(k).alias(k) for k in keys), "i", "j", same.alias("same"), r.alias("r"))
-    return pairs.where(F.col("r") >= threshold)
+    windows = [np.asarray(w, np.float64) for w in windows]
+    lengths = np.array([len(w) for w in windows])
+    by = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+    spans = {}
+    for n, at in by.items():
+        x = np.array([windows[k] for k in at])
+        lo, hi = x.min(1), x.max(1)
+        wide = np.where(hi - lo > 1e-10, hi - lo, 1.0)[:, None]
+        spans[n] = np.where((hi - lo > 1e-10)[:, None], (x - lo[:, None]) / wide, 0.0), hi, hi - lo < 1e-10
+
+    def centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = x - x.mean(1, keepdims=True)
+        return x, np.einsum("ij,ij->i", x, x)
+
+    found = []
+    for a, at in by.items():
+        for b, others in by.items():
+            if b < a:
+                continue
+            (x, hi_x, flat_x), (y, hi_y, flat_y) = spans[a], spans[b]
+            if a != b:
+                grid = np.arange(a) * ((b - 1) / (a - 1)) if a > 1 else np.zeros(a)
+                y = np.array([np.interp(grid, np.arange(b), row) for row in y])
+            (p, pp), (q, qq) = centred(x), centred(y)
+            size = np.sqrt(np.outer(pp, qq))
+            r = np.where(size > 1e-14, p @ q.T / np.where(size > 1e-14, size, 1), np.nan if a == b else 0.0)
+            if a != b:
+                flat = flat_x[:, None] | flat_y[None, :]
+                r = np.where(flat, (np.abs(hi_x[:, None] - hi_y[None, :]) < 1e-10).astype(float), r)
+            i, j = np.nonzero(r >= threshold)
+            first, second, r = np.minimum(at[i], others[j]), np.maximum(at[i], others[j]), r[i, j]
+            keep = at[i] < others[j] if a == b else np.ones(len(r), bool)
+            found.append(pd.DataFrame({"i": first, "j": second, "same": a == b, "r": r})[keep])
+    return pd.concat(found) if found else pd.DataFrame({"i": [], "j": [], "same": [], "r": []})
+
+
+def similar_pairs(windows: DataFrame, threshold: float, keys=KEYS) -> DataFrame:
+    """:func:`alike` over the windows numbered ``n`` of every series, of which it takes ``MOST_PEAKS`` at most."""
+    keys = list(keys)
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        found, n = alike(pdf["window"].tolist(), threshold), pdf["n"].to_numpy()
+        found = found.assign(i=n[found["i"].astype(int)], j=n[found["j"].astype(int)])
+        return found.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "i", "j", "same", "r"]]
+
+    types = dict(windows.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", i int, j int, same boolean, r double"
+    return windows.select(*keys, "n", "window").groupBy(*keys).applyInPandas(pairs, schema)
 
 
 def greedy_groups(n: int, edges: list[tuple[int, int, bool]], lengths: dict[int, int], least: int) -> list[list[int]]:
@@ -103,29 +149,29 @@ def _first(lengths: dict[int, int], n: int):
     return lambda i: (first[lengths[i]], i)
 
 
-def repeating_patterns(windows: DataFrame, threshold: float = 0.9, least: int = 3, most: int = 10, keys=KEYS) -> DataFrame:
+def repeating_patterns(windows: DataFrame, threshold: float = 0.9, least: int = 3, most: int = 10, keys=KEYS, most_peaks: int = MOST_PEAKS) -> DataFrame:
     """``(keys, pattern_num, peak_idx, peak_db)`` of the groups of alike windows, the largest groups first.
 
-    Windows are compared by a distributed join; the greedy grouping sees the sparse
-    edges of one series, of ``MOST_PEAKS`` windows at most.
+    A series' highest ``most_peaks`` windows are compared and grouped by one
+    task, which never sees more of it than these.
     """
+    keys = list(keys)
     top = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("peak_db"), "peak_idx"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("peak_idx")) - 1
-    kept = windows.withColumn("_top", top).where(F.col("_top") <= MOST_PEAKS).drop("_top").withColumn("n", number)
-    edges = similar_pairs(kept, threshold, keys).select(*keys, "i", "j", "same")
+    kept = windows.withColumn("_top", top).where(F.col("_top") <= most_peaks).select(*keys, "peak_idx", "peak_db", "window")
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("peak_idx").reset_index(drop=True)
+        pairs = alike(pdf["window"].tolist(), threshold)
+        lengths = dict(enumerate(map(len, pdf["window"])))
+        edges = [(int(i), int(j), bool(s)) for i, j, s in pairs[["i", "j", "same"]].itertuples(index=False, name=None)]
+        found = sorted(greedy_groups(len(lengths), edges, lengths, least), key=len, reverse=True)[:most]
+        numbers = [(p, n) for p, g in enumerate(found, 1) for n in g]
+        at = [n for _, n in numbers]
+        return pdf.loc[at, [*keys, "peak_idx", "peak_db"]].assign(pattern_num=[p for p, _ in numbers])[[*keys, "pattern_num", "peak_idx", "peak_db"]]
+
     types = dict(windows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", pattern_num int, n int"
-
-    def group(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        lengths = dict(zip(nodes["n"].tolist(), nodes["size"].tolist(), strict=True))
-        found = greedy_groups(len(lengths), list(links[["i", "j", "same"]].itertuples(index=False, name=None)), lengths, least)
-        found = sorted(found, key=len, reverse=True)[:most]
-        rows = [(*key, p, n) for p, g in enumerate(found, 1) for n in g]
-        return pd.DataFrame(rows, columns=[*keys, "pattern_num", "n"])
-
-    nodes = kept.select(*(F.col(k).alias(k) for k in keys), "n", F.size("window").alias("size"))
-    groups = nodes.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(group, schema)
-    return groups.join(kept.select(*keys, "n", "peak_idx", "peak_db"), [*keys, "n"]).drop("n")
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", pattern_num int, peak_idx long, peak_db double"
+    return kept.groupBy(*keys).applyInPandas(group, schema)
 
 
 def pattern_statistics(members: DataFrame, rate: float, keys=KEYS) -> DataFrame:

@@ -10,26 +10,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("track_id", "channel_index")
-#: Samples of a block in the joins of peaks with what lies around them.
-BLOCK = 1024
+#: Samples of a block, at least; a block's task sees what lies around it, too.
+BLOCK = 1 << 16
 #: Islands of peaks that one call of the suppression handles.
 ISLANDS = 64
 
 
-def local_maxima(rows: DataFrame, keys=KEYS, height: float | None = None) -> DataFrame:
+def _types(df: DataFrame, names) -> str:
+    types = dict(df.dtypes)
+    return ", ".join(f"{k} {types[k]}" for k in names)
+
+
+def _runs(idx: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last sample, and level, of each run of equal levels."""
+    start = np.flatnonzero(np.concatenate([[True], db[1:] != db[:-1]]))
+    return idx[start], idx[np.append(start[1:], len(db)) - 1], db[start]
+
+
+def local_maxima(rows: DataFrame, keys=KEYS, height: float | None = None, block: int = BLOCK) -> DataFrame:
     """Strict local maxima of ``(keys, sample_idx, db)``; a plateau counts once, at its middle.
 
-    The ends of a series are no maxima. Runs of equal values are collapsed first.
+    The ends of a series are no maxima. Blocks are searched by themselves;
+    the three runs of equal values at either of a block's ends are settled along
+    the series.
     """
-    by = Window.partitionBy(*keys).orderBy("sample_idx")
-    last = F.lag("db").over(by)
-    marked = rows.select(*keys, "sample_idx", "db", F.when(last.isNull() | (last != F.col("db")), 1).otherwise(0).alias("new"))
-    runs = marked.withColumn("run", F.sum("new").over(by)).groupBy(*keys, "run").agg(F.min("sample_idx").alias("a"), F.max("sample_idx").alias("b"), F.first("db").alias("db"))
-    order = Window.partitionBy(*keys).orderBy("run")
-    peaks = runs.withColumn("before", F.lag("db").over(order)).withColumn("after", F.lead("db").over(order)).where("before < db and after < db")
-    if height is not None:
-        peaks = peaks.where(F.col("db") >= height)
-    return peaks.select(*keys, F.expr("(a + b) div 2").alias("peak_idx"), F.col("db").alias("peak_db"))
+    keys = list(keys)
+    least = -np.inf if height is None else height
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx")
+        a, b, v = _runs(pdf["sample_idx"].to_numpy(), pdf["db"].to_numpy())
+        inner = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) & (v[1:-1] >= least)) + 1
+        # the first and last runs may go on in the next block, and the second ones are judged beside them
+        inner = inner[(inner > 1) & (inner < len(v) - 2)] if len(v) > 6 else inner[:0]
+        edge = np.arange(len(v))
+        if len(v) > 6:  # with a mark for the runs that are not here
+            edge = np.concatenate([edge[:3], [-1], edge[-3:]])
+        at, gap = np.concatenate([inner, edge]).astype(int), np.concatenate([np.zeros(len(inner), bool), edge == -1])
+        pick = lambda x, miss: np.where(gap, miss, x[np.maximum(at, 0)])
+        own = {k: [pdf[k].iloc[0]] * len(at) for k in keys}
+        return pd.DataFrame(own | {"inner": np.arange(len(at)) < len(inner), "a": pick(a, b[min(2, len(b) - 1)]), "b": pick(b, 0), "db": pick(v, np.nan)})
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        inner, edge = pdf[pdf["inner"]], pdf[~pdf["inner"]]
+        edge = edge.assign(gap=edge["db"].isna()).sort_values(["a", "gap"])
+        runs: list[list] = []
+        for a, b, v, gap in zip(edge["a"].tolist(), edge["b"].tolist(), edge["db"].tolist(), edge["gap"].tolist(), strict=True):
+            if gap:
+                runs.append([a, a, None])
+            elif runs and runs[-1][2] == v:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b, v])
+        found = [(x[0], x[1], x[2]) for w, x, y in zip(runs, runs[1:], runs[2:], strict=False) if None not in (w[2], x[2], y[2]) and w[2] < x[2] > y[2] and x[2] >= least]
+        middle = np.concatenate([(inner["a"].to_numpy() + inner["b"].to_numpy()) // 2, np.array([(a + b) // 2 for a, b, _ in found], np.int64)])
+        level = np.concatenate([inner["db"].to_numpy(), np.array([v for *_, v in found], np.float64)])
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(middle) for k in keys} | {"peak_idx": middle, "peak_db": level})
+
+    blocks = rows.select(*keys, "sample_idx", "db", F.expr(f"sample_idx div {block}").alias("_block"))
+    schema = _types(rows, keys)
+    runs = blocks.groupBy(*keys, "_block").applyInPandas(search, f"{schema}, inner boolean, a long, b long, db double")
+    return runs.groupBy(*keys).applyInPandas(settle, f"{schema}, peak_idx long, peak_db double")
 
 
 def suppress(idx: np.ndarray, db: np.ndarray, distance: int) -> np.ndarray:
@@ -66,65 +107,97 @@ def find_peaks(rows: DataFrame, height: float, distance: int, keys=KEYS) -> Data
     return grouped.groupBy(*keys, "_group").applyInPandas(greedy, schema)
 
 
-def around(peaks: DataFrame, rows: DataFrame, back: int, ahead: int, keys=KEYS, block: int = BLOCK) -> DataFrame:
-    """Each peak with the samples from ``back`` before to ``ahead`` after it.
+def around(peaks: DataFrame, rows: DataFrame, back: int, ahead: int, measure, columns: str, keys=KEYS) -> DataFrame:
+    """``measure(idx, db, peak_idx, peak_db)`` of every peak, over the samples up to ``back`` before and ``ahead`` after it.
 
-    An equi-join on the numbers of the blocks that the range covers; no theta join.
+    A block's task has the block's peaks, and the samples of the block and of
+    what lies around it: a sample is in few blocks, however many peaks are
+    near it. ``measure`` gives a row of ``columns``, or None for no row; an
+    ``idx`` or ``db`` of no samples is a peak beyond its series.
     """
-    low, high = F.greatest(F.col("peak_idx") - back, F.lit(0)), F.col("peak_idx") + ahead
-    spans = peaks.withColumn("_block", F.explode(F.sequence(F.floor(low / block), F.floor(high / block))))
-    samples = rows.select(*keys, "sample_idx", "db", F.floor(F.col("sample_idx") / block).alias("_block"))
-    return spans.join(samples, [*keys, "_block"]).where((F.col("sample_idx") >= low) & (F.col("sample_idx") <= high)).drop("_block")
+    keys = list(keys)
+    size = max(BLOCK, back + ahead)
+    names = [c.split()[0] for c in columns.split(", ")]
+    where = F.expr(f"peak_idx div {size}").alias("_block")
+    held = peaks.select(*(F.col(k).alias(k) for k in keys), "peak_idx", "peak_db", where)
+    near = F.explode(F.sequence(F.floor(F.greatest(F.col("sample_idx") - ahead, F.lit(0)) / size), F.floor((F.col("sample_idx") + back) / size))).alias("_block")
+    samples = rows.select(*keys, "sample_idx", "db", near).join(held.select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi")
+
+    def look(key: tuple, p: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("sample_idx")
+        idx, db = x["sample_idx"].to_numpy(), x["db"].to_numpy()
+        out = []
+        for i, v in zip(p["peak_idx"].tolist(), p["peak_db"].tolist(), strict=True):
+            a, b = np.searchsorted(idx, [i - back, i + ahead + 1])
+            if (row := measure(idx[a:b], db[a:b], i, v)) is not None:
+                out.append((*key[:-1], i, v, *row))
+        return pd.DataFrame(out, columns=[*keys, "peak_idx", "peak_db", *names])
+
+    schema = f"{_types(peaks, keys)}, peak_idx long, peak_db double, {columns}"
+    return held.groupBy(*keys, "_block").cogroup(samples.groupBy(*keys, "_block")).applyInPandas(look, schema)
+
+
+def _first(hit: np.ndarray, idx: np.ndarray, cap: int) -> tuple[int, bool]:
+    """Where a condition first holds, or ``cap``, and whether it does."""
+    at = int(np.argmax(hit)) if len(hit) else 0
+    return (int(idx[at]), True) if len(hit) and hit[at] else (cap, False)
+
+
+def _attack(idx, db, i, v, rate, threshold, back):
+    before = idx <= i
+    low = idx[before][db[before] < v - threshold]
+    start = int(low[-1]) + 1 if len(low) else max(i - back, 0)
+    return max((i - start) / rate * 1000, 0.0)
+
+
+def _hold(idx, db, i, v, rate, threshold, n):
+    near = idx[(idx >= i - n) & (idx < i + n) & (db >= v - threshold)]
+    return (int(near[-1]) - int(near[0])) / rate * 1000 if len(near) else None
+
+
+def _decay(idx, db, i, v, rate, thresholds, n, relative=True) -> list:
+    """Times to each threshold, and whether it is reached; a search ends with the series, or after ``n`` samples."""
+    a, b = np.searchsorted(idx, [i, i + n])
+    x, y = idx[a:b], db[a:b]
+    cap = min(int(x[-1]) + 1, i + n) if len(x) else i
+    out = []
+    for t in thresholds:
+        end, reached = _first(y <= (v + t if relative else t), x, cap)
+        out += [(end - i) / rate * 1000, reached]
+    return out
 
 
 def attack_times(peaks: DataFrame, rows: DataFrame, rate: float, threshold: float = 20.0, seconds: float = 10.0, keys=KEYS) -> DataFrame:
     """Milliseconds from the last sample more than ``threshold`` dB under the peak, looking back, to the peak."""
     back = int(seconds * rate)
-    a = around(peaks, rows, back, 0, keys)
-    last = F.max(F.when(F.col("db") < F.col("peak_db") - threshold, F.col("sample_idx")))
-    start = F.coalesce(last + 1, F.greatest(F.col("peak_idx") - back, F.lit(0)))
-    return a.groupBy(*keys, "peak_idx", "peak_db").agg(F.greatest((F.col("peak_idx") - start) / rate * 1000, F.lit(0.0)).alias("attack_time_ms"))
+    return around(peaks, rows, back, 0, lambda idx, db, i, v: (_attack(idx, db, i, v, rate, threshold, back),), "attack_time_ms double", keys)
 
 
 def hold_times(peaks: DataFrame, rows: DataFrame, rate: float, threshold: float = 1.0, seconds: float = 5.0, keys=KEYS) -> DataFrame:
     """Milliseconds between the first and the last sample around the peak within ``threshold`` dB of it."""
     n = int(seconds * rate)
-    a = around(peaks, rows, n, n - 1, keys).where(F.col("db") >= F.col("peak_db") - threshold)
-    return a.groupBy(*keys, "peak_idx").agg(((F.max("sample_idx") - F.min("sample_idx")) / rate * 1000).alias("peak_hold_time_ms"))
-
+    found = around(peaks, rows, n, n - 1, lambda idx, db, i, v: (_hold(idx, db, i, v, rate, threshold, n),), "peak_hold_time_ms double", keys)
+    return found.drop("peak_db").where("peak_hold_time_ms is not null")
 
-def _ends(peaks: DataFrame, rows: DataFrame, keys) -> DataFrame:
-    last = rows.groupBy(*keys).agg((F.max("sample_idx") + 1).alias("_length"))
-    return peaks.join(last, list(keys))
 
-
-def decay_times(peaks: DataFrame, rows: DataFrame, rate: float, thresholds: Sequence[float] = (-3, -6, -9, -12), seconds: float = 30.0, keys=KEYS, prefix: str = "decay_{}db_ms", reached: bool = True, relative: bool = True) -> DataFrame:
+def decay_times(peaks: DataFrame, rows: DataFrame, rate: float, thresholds: Sequence[float] = (-3, -6, -9, -12), seconds: float = 30.0, keys=KEYS, relative: bool = True) -> DataFrame:
     """Milliseconds until the envelope is at or under each threshold, capped at the end of the search."""
     n = int(seconds * rate)
-    a = around(_ends(peaks, rows, keys), rows, 0, n - 1, keys)
-    target = lambda t: F.col("peak_db") + t if relative else F.lit(float(t))
-    first = a.groupBy(*keys, "peak_idx", "peak_db").agg(
-        F.max("_length").alias("_length"), *(F.min(F.when(F.col("db") <= target(t), F.col("sample_idx"))).alias(f"_{i}") for i, t in enumerate(thresholds))
-    )
-    cap = F.least(F.col("_length"), F.col("peak_idx") + n)
-    out = []
-    for i, t in enumerate(thresholds):
-        out.append(((F.coalesce(f"_{i}", cap) - F.col("peak_idx")) / rate * 1000).alias(prefix.format(abs(int(t)))))
-        if reached:
-            out.append(F.col(f"_{i}").isNotNull().alias(f"decay_{abs(int(t))}db_reached"))
-    return first.select(*keys, "peak_idx", "peak_db", *out)
+    columns = ", ".join(f"decay_{abs(int(t))}db_ms double, decay_{abs(int(t))}db_reached boolean" for t in thresholds)
+    return around(peaks, rows, 0, n - 1, lambda idx, db, i, v: _decay(idx, db, i, v, rate, thresholds, n, relative), columns, keys)
 
 
 def sustained_events(peaks: DataFrame, rows: DataFrame, rate: float, least_db: float = -3.0, thresholds: Sequence[float] = (-3, -6, -9, -12), seconds: float = 5.0, keys=KEYS, relative: bool = True) -> DataFrame:
     """Of peaks of ``least_db`` or more: how long the level holds within 1 dB, and the recovery times."""
-    strong = peaks.where(F.col("peak_db") >= least_db)
     n = int(seconds * rate)
-    a = around(_ends(strong, rows, keys), rows, 0, n - 1, keys)
-    drop = F.min(F.when(F.col("db") < F.col("peak_db") - 1.0, F.col("sample_idx")))
-    cap = F.least(F.max("_length"), F.col("peak_idx") + n)
-    hold = a.groupBy(*keys, "peak_idx").agg(((F.coalesce(drop, cap) - F.col("peak_idx")) / rate * 1000).alias("hold_ms"))
-    times = decay_times(strong, rows, rate, thresholds, seconds, keys, "t{}_ms", False, relative)
-    return times.join(hold, [*keys, "peak_idx"]).withColumn("peak_time_seconds", F.col("peak_idx") / rate)
+
+    def measure(idx, db, i, v):
+        cap = min(int(idx[-1]) + 1, i + n) if len(idx) else i
+        return (*_decay(idx, db, i, v, rate, thresholds, n, relative)[::2], (_first(db < v - 1.0, idx, cap)[0] - i) / rate * 1000)
+
+    columns = ", ".join(f"t{abs(int(t))}_ms double" for t in thresholds) + ", hold_ms double"
+    found = around(peaks.where(F.col("peak_db") >= least_db), rows, 0, n - 1, measure, columns, keys)
+    return found.withColumn("peak_time_seconds", F.col("peak_idx") / rate)
 
 
 def sustained_summary(events: DataFrame, series: DataFrame, names: Sequence[str] = ("hold_ms", "t3_ms", "t6_ms", "t9_ms", "t12_ms"), keys=KEYS) -> DataFrame:
@@ -135,29 +208,44 @@ def sustained_summary(events: DataFrame, series: DataFrame, names: Sequence[str]
     return series.select(*keys).distinct().join(s, list(keys), "left").na.fill(0, ["n_peaks", *(n for n, _ in aggs)])
 
 
-def worst_case(peaks: DataFrame, rows: DataFrame, rate: float, top: int = 5, exclude: DataFrame | None = None, sort_by: str = "peak_value", attack: float = 20.0, hold: float = 1.0, keys=KEYS) -> DataFrame:
-    """The ``top`` peaks that are not in ``exclude``, with their attack, hold and decay times.
+def worst_case(peaks: DataFrame, rows: DataFrame, rate: float, top: int = 5, exclude: DataFrame | None = None, sort_by: str = "peak_value", attack: float = 20.0, hold: float = 1.0, keys=KEYS, exclude_seconds: float = 0.0, least: int = 0) -> DataFrame:
+    """The ``top`` peaks that are not near those of ``exclude``, with their attack, hold and decay times.
 
-    ``sort_by``: ``peak_value``, also for ``energy``; ``decay_time`` ranks by the time to 12 dB under the peak.
+    ``sort_by``: ``peak_value``, also for ``energy``; ``decay_time`` ranks by
+    the time to 12 dB under the peak. Peaks within ``exclude_seconds`` of an
+    excluded one are left out as well; but where fewer than ``least`` peaks of
+    a series would stay, all of them do.
     """
+    keys = list(keys)
+    peaks = peaks.select(*keys, "peak_idx", "peak_db")
     if exclude is not None:
-        peaks = peaks.join(exclude.select(*keys, "peak_idx"), [*keys, "peak_idx"], "left_anti")
+        reach = int(exclude_seconds * rate)
+        width = F.lit(max(1, reach))
+        spread = exclude.select(*keys, F.col("peak_idx").alias("_other"), F.explode(F.sequence(F.floor((F.col("peak_idx") - reach) / width), F.floor((F.col("peak_idx") + reach) / width))).alias("_cell"))
+        near = peaks.withColumn("_cell", F.floor(F.col("peak_idx") / width)).join(spread, [*keys, "_cell"]).where(F.abs(F.col("peak_idx") - F.col("_other")) <= reach)
+        marked = peaks.join(near.select(*keys, "peak_idx").distinct().withColumn("_near", F.lit(True)), [*keys, "peak_idx"], "left")
+        left = F.count_if(F.col("_near").isNull()).over(Window.partitionBy(*keys))
+        peaks = marked.withColumn("_left", left).where((F.col("_left") < least) | F.col("_near").isNull()).select(*keys, "peak_idx", "peak_db")
     order = [F.desc("peak_db"), F.asc("peak_idx")]
     if sort_by == "decay_time":
         peaks = decay_times(peaks, rows, rate, (-12,), 30.0, keys).select(*keys, "peak_idx", "peak_db", "decay_12db_ms")
         order = [F.desc("decay_12db_ms"), *order]
     ranked = peaks.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top).select(*keys, "rank", "peak_idx", "peak_db")
-    on = [*keys, "peak_idx"]
-    out = ranked.join(attack_times(ranked, rows, rate, attack, keys=keys).drop("peak_db"), on).join(hold_times(ranked, rows, rate, hold, keys=keys), on)
-    return out.join(decay_times(ranked, rows, rate, keys=keys).drop("peak_db"), on).withColumn("peak_time_seconds", F.col("peak_idx") / rate)
+    thresholds, back, five, thirty = (-3, -6, -9, -12), int(10.0 * rate), int(5.0 * rate), int(30.0 * rate)
+
+    def measure(idx, db, i, v):
+        return (_attack(idx, db, i, v, rate, attack, back), _hold(idx, db, i, v, rate, hold, five), *_decay(idx, db, i, v, rate, thresholds, thirty))
+
+    columns = "attack_time_ms double, peak_hold_time_ms double, " + ", ".join(f"decay_{-t}db_ms double, decay_{-t}db_reached boolean" for t in thresholds)
+    times = around(ranked, rows, max(back, five), thirty - 1, measure, columns, keys).drop("peak_db")
+    return ranked.join(times, [*keys, "peak_idx"]).withColumn("peak_time_seconds", F.col("peak_idx") / rate)
 
 
 def windows_around(peaks: DataFrame, rows: DataFrame, window: int, keys=KEYS) -> DataFrame:
     """``window``: the samples from half a window before each peak to half a window after it, clipped at the
     ends of the series; peaks with less than half of the samples go."""
     half = window // 2
-    cut = around(peaks, rows, half, half - 1, keys).groupBy(*keys, "peak_idx", "peak_db").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "db"))).alias("w"))
-    return cut.where(F.size("w") >= window // 2).select(*keys, "peak_idx", "peak_db", F.col("w")[0]["sample_idx"].alias("start_idx"), F.transform("w", lambda x: x["db"]).alias("window"))
+    return around(peaks, rows, half, half - 1, lambda idx, db, i, v: (int(idx[0]), db.tolist()) if len(idx) >= max(1, window // 2) else None, "start_idx long, window array<double>", keys)
 
 
 def window_length_ms(band_hz: Column, wavelengths: float, fallback_ms: float, cap_ms: float = 500.0) -> Column:
