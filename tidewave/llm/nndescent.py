@@ -41,6 +41,8 @@ SHARED = 0.99
 TILE, GROUP_ROWS = 512, 16_384
 #: The audit's sample of each kind, at most; the true links it wants to see; the recall it asks for.
 AUDIT, AUDIT_MOST, AUDIT_LINKS, RECALL = 512, 4096, 100, 0.95
+#: Edges of a forest that one vector has, where its neighbours are linked with each other.
+FAN = 16
 #: Width of a bin of angles from a dense group's centre, and what angles are trusted to.
 BIN, SLACK = math.pi / 360, 1e-6
 #: Rows of lists have no tie; rows of ties (v, tie) list the tie alone; rows of crowded vectors list nothing.
@@ -100,7 +102,7 @@ def _best(v: np.ndarray, u: np.ndarray, s: np.ndarray) -> pd.DataFrame:
 
 
 def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what a symmetric matrix of links connects."""
+    """Edges that connect what a symmetric matrix of links connects, few at any one vector where they can be."""
     left, ends, starts = linked.any(1), [], []
     for first in np.flatnonzero(left):
         if not left[first]:
@@ -111,7 +113,8 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             left[new] = False
             queue.extend(new.tolist())
             ends.append(new)
-            starts.append(np.full(len(new), i))
+            up = new[np.maximum(np.arange(len(new)) // FAN - 1, 0)]
+            starts.append(np.where((np.arange(len(new)) >= FAN) & linked[up, new], up, i))
     none = np.empty(0, np.int64)
     return np.concatenate([none, *starts]), np.concatenate([none, *ends])
 
