@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewave.functions import bands as fb
-from tidewave.operators import panes, patterns, peaks, rollup, scan, spectral, stats
+from tidewave.operators import panes, patterns, peaks, reports, rollup, scan, spectral, stats
 from tidewave.sources import media, series, tables
 from tidewave.streaming import windowed_levels
 
@@ -123,6 +123,50 @@ def test_peaks_against_a_plain_search(spark):
     assert got == find_peaks(db.tolist(), 0.0, 7)
 
 
+@pytest.mark.parametrize("block", [3, 7, 64])
+def test_maxima_across_blocks(spark, block):
+    db = np.round(np.random.default_rng(5).standard_normal(700)) - 2
+    db[100:160] = 3.0  # a plateau over many blocks
+    rows = spark.createDataFrame([("t", 0, i, float(v)) for i, v in enumerate(db)], "track_id string, channel_index int, sample_idx long, db double")
+    got = sorted((r["peak_idx"], r["peak_db"]) for r in peaks.local_maxima(rows, height=-1.0, block=block).collect())
+    assert got == find_peaks(db.tolist(), -1.0, 1)
+
+
+def test_windows_of_other_lengths_are_compared_as_the_columns_say(spark):
+    rng = np.random.default_rng(7)
+    windows = [rng.standard_normal(int(n)).tolist() for n in rng.integers(3, 9, 14)] + [[1.0] * 5, [1.0] * 7, [2.0] * 4]
+    found = {(i, j): r for i, j, _, r in patterns.alike(windows, 0.2).itertuples(index=False)}
+    pairs = [(i, j, windows[i], windows[j]) for i in range(len(windows)) for j in range(i + 1, len(windows)) if len(windows[i]) != len(windows[j])]
+    df = spark.createDataFrame(pairs, "i int, j int, a array<double>, b array<double>").select("i", "j", patterns.similarity(F.col("a"), F.col("b")).alias("r"))
+    want = {(r["i"], r["j"]): r["r"] for r in df.collect() if r["r"] >= 0.2}
+    got = {k: v for k, v in found.items() if len(windows[k[0]]) != len(windows[k[1]])}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_worst_cases_keep_away_from_patterns(spark):
+    db = [-30.0] * 200
+    for i, v in ((20, -1.0), (60, -2.0), (62, -9.0), (120, -3.0), (170, -4.0)):
+        db[i] = v
+    rows = spark.createDataFrame([("t", 0, i, v) for i, v in enumerate(db)], "track_id string, channel_index int, sample_idx long, db double")
+    found = peaks.find_peaks(rows, -20.0, 1)
+    taken = found.where("peak_idx in (20, 60)")
+    at = lambda **k: sorted(r["peak_idx"] for r in peaks.worst_case(found, rows, 10.0, 9, taken, **k).collect())
+    assert at() == [62, 120, 170] and at(exclude_seconds=0.3) == [120, 170]
+    assert at(exclude_seconds=0.3, least=3) == [20, 60, 62, 120, 170]
+    bands = {k: reports.envelope_analysis(rows.withColumn("band_hz", F.lit(4.0)), 10.0, -20.0, 1, 6, (*peaks.KEYS, "band_hz"), least=2)[k] for k in ("peaks", "worst_cases", "sustained_summary")}
+    assert bands["peaks"].count() == 5 and "band_hz" in bands["worst_cases"].columns and bands["sustained_summary"].first()["n_peaks"] == 3
+
+
+def test_a_full_export(spark, tmp_path):
+    w = panes.fixed_window(signal(spark, np.sin(np.arange(400))), 40, 20)
+    frames = {"time_domain_summary": stats.time_domain_summary(w), "time_domain_analysis": w, "histogram_linear": spark.createDataFrame([("t", 0, [1.0, 2.0])], "track_id string, channel_index int, x array<double>")}
+    assert tables.write_sections(frames, str(tmp_path)) == ["time_domain_summary", "time_domain_analysis", "histogram_linear"]
+    assert spark.read.csv(f"{tmp_path}/time_domain_analysis", header=True).count() == w.count()
+    assert spark.read.csv(f"{tmp_path}/histogram_linear", header=True, escape='"').first()["x"] == "[1.0,2.0]"
+    with pytest.raises(ValueError):
+        tables.write_sections({"other": w}, str(tmp_path))
+
+
 def test_recovery_times_are_ordered(spark):
     db = [-60.0] * 100 + [-d * 0.5 for d in range(200)]
     rows = spark.createDataFrame([("t", 0, i, v) for i, v in enumerate(db)], "track_id string, channel_index int, sample_idx long, db double")
@@ -191,7 +235,9 @@ def wav(rate, x, bits):
 def test_wav_files_become_blocks(spark, tmp_path, bits):
     x = np.random.default_rng(9).uniform(-1, 1, (1000, 2))
     (tmp_path / "a.wav").write_bytes(wav(8000, x, bits))
-    b = media.wav_blocks(media.discover(spark, str(tmp_path)), 300).orderBy("channel_index", "block_idx").collect()
+    files = media.discover(spark, str(tmp_path))
+    assert "content" not in files.columns
+    b = media.wav_blocks(files, 300, 300 if bits == 16 else 1 << 20).orderBy("channel_index", "block_idx").collect()
     assert len(b) == 8 and {r["sample_rate"] for r in b} == {8000}
     for c in (0, 1):
         got = np.concatenate([r["samples"] for r in b if r["channel_index"] == c])

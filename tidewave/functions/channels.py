@@ -63,9 +63,14 @@ COUNTS = {
 # Tokens of the groups.
 SCREEN = ("FL", "FR", "FC", "FLC", "FRC")
 SURROUND = ("SL", "SR", "SBL", "SBR", "BL", "BR", "BC", "TFL", "TFR", "TBL", "TBR", "TFC", "TBC", "TSL", "TSR", "WL", "WR")
+# Names of compact configurations by group and number, and content types by folder.
 FRONT = {1: "FC", 2: "FL,FR", 3: "FL,FC,FR", 5: "FL,FCL,FC,FCR,FR"}
 MIDDLE = {2: "SL,SR", 4: "SL,SR,SL1,SR1"}
 REAR = {2: "SBL,SBR", 4: "SBL,SBR,SBL,SBR"}
+# Folders that were grouped by name, and the beginnings of the others.
+SCREEN_FOLDERS = ("Channel 1 FL", "Channel 2 FR", "Channel 3 FC", "Channel 1 Front Left", "Channel 2 Front Right", "Channel 3 Front Center")
+LFE_FOLDERS = ("Channel 4 LFE", "Channel 5 LFE", "Channel 6 LFE", "Channel 4 Low Frequency Effects", "Channel 5 Low Frequency Effects")
+SURROUND_FOLDERS = ("Channel 5", "Channel 6", "Channel 7", "Channel 8", "Channel 9", "Channel 10", "Channel 11", "Channel 12")
 CONTENT = {"Music": "Music", "Film": "Film", "Test Signals": "Test Signal"}
 
 
@@ -141,9 +146,10 @@ def group_label(group: Column) -> Column:
 
 def legacy_group(folder: Column) -> Column:
     """Grouping by fixed folder names and prefixes."""
-    screen = [f"Channel {i} {n}" for i, n in ((1, "FL"), (2, "FR"), (3, "FC"), (1, "Front Left"), (2, "Front Right"), (3, "Front Center"))]
-    lfe = ["Channel 4 LFE", "Channel 5 LFE", "Channel 6 LFE", "Channel 4 Low Frequency Effects", "Channel 5 Low Frequency Effects"]
-    return F.when(folder.isin(screen), "Screen").when(folder.isin(lfe), "LFE").when(folder.rlike("^Channel (5|6|7|8|9|10|11|12)"), "Surround+Height").otherwise("All Channels")
+    late = F.lit(False)
+    for prefix in SURROUND_FOLDERS:
+        late = late | folder.startswith(prefix)
+    return F.when(folder.isin(*SCREEN_FOLDERS), "Screen").when(folder.isin(*LFE_FOLDERS), "LFE").when(late, "Surround+Height").otherwise("All Channels")
 
 
 def filter_tokens(*values: Column) -> Column:

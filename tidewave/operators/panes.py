@@ -41,9 +41,13 @@ def crest_columns(rate: float, peak: Column | float, floor: float, epsilon: bool
 def window_levels(rows: DataFrame, window: int, step: int, keys=KEYS) -> DataFrame:
     """``(keys, window_idx, end_sample, peak, rms)`` of every full window of ``window`` samples each ``step``."""
     g = gcd(window, step)
+    return levels_of_panes(panes(rows, g, keys), g, window, step, keys)
+
+
+def levels_of_panes(p: DataFrame, g: int, window: int, step: int, keys=KEYS) -> DataFrame:
+    """:func:`window_levels` from panes ``(keys, pane, peak, squares, n)`` of ``g`` samples, of whatever they come from."""
     n = window // g
     frame = Window.partitionBy(*keys).orderBy("pane").rowsBetween(1 - n, 0)
-    p = panes(rows, g, keys)
     p = p.select(
         *keys, "pane", F.max("peak").over(frame).alias("peak"), F.sqrt(F.sum("squares").over(frame) / window).alias("rms"), F.sum("n").over(frame).alias("n")
     )

@@ -131,6 +131,13 @@ def energy_closure(power: DataFrame, keys=KEYS) -> DataFrame:
     return s.select(*keys, F.sqrt("full_power").alias("full_rms"), F.sqrt("band_power").alias("band_power_sum_rms"), (10 * F.log10(ratio)).alias("closure_error_db"), (100 * ratio).alias("captured_power_percent"), "loudest_band_hz")
 
 
+def closure_with_waveform(blocks: DataFrame, centres: Sequence[float], rate: float) -> DataFrame:
+    """:func:`energy_closure`, with the error that the plain sum of the bands' waveforms has against the source."""
+    closure = energy_closure(band_power(blocks, centres, rate))
+    direct = synthesis_error(blocks, centres, rate).select(*KEYS, F.col("direct_error_db").alias("waveform_sum_error_db"))
+    return closure.join(direct, KEYS)
+
+
 def compare_modes(one: DataFrame, other: DataFrame, keys=KEYS) -> DataFrame:
     """Largest and mean difference in dB between two frames of (keys, band_hz, rms) on active bands."""
     a = active_bands(one).where("band_hz > 0").select(*keys, "band_hz", F.col("rms").alias("a"))

@@ -24,23 +24,28 @@ def band_level_frame(s, d):
 LEVELS = BANK + """, bl AS (SELECT track_id, channel_index, band_hz, max(abs(value)) AS peak, sqrt(avg(value * value)) AS rms FROM bank GROUP BY ALL),
 lv AS (SELECT *, 20 * log10(nullif(peak, 0)) AS max_amplitude_db, 20 * log10(nullif(rms, 0)) AS rms_db, 20 * log10(greatest(peak / nullif(rms, 0), 1)) AS crest_factor_db FROM bl)"""
 
-Q["p20_band_list"] = lambda s, d: (
-    table(s, d, "region").select("r_regionkey").where("r_regionkey = 0").crossJoin(fb.bands_frame(s, fb.band_centres())).select("band_idx", "band_hz", "lower_hz", "upper_hz")
-)
-O["p20_band_list"] = "WITH c AS (SELECT unnest([4, 8, 16, 31.25, 62.5, 125, 250, 500, 1000, 2000, 4000, 8000, 16000, 32000])::DOUBLE AS band_hz) SELECT CAST(row_number() OVER (ORDER BY band_hz) - 1 AS INTEGER) AS band_idx, band_hz, lag(band_hz) OVER (ORDER BY band_hz) AS lower_hz, lead(band_hz) OVER (ORDER BY band_hz) AS upper_hz FROM c"
+def _centres(s, d):
+    """The distinct sizes of parts, some fifty, as band centres with residual ends."""
+    sizes = [float(r["p_size"]) for r in table(s, d, "part").select("p_size").distinct().collect()]
+    return fb.bands_frame(s, fb.band_centres(sizes, 0.5, 4000.0))
+
+
+Q["p20_band_list"] = _centres
+O["p20_band_list"] = """WITH c AS (SELECT DISTINCT p_size::DOUBLE AS band_hz FROM part WHERE p_size > 0 UNION SELECT 0.5 UNION SELECT 4000)
+SELECT CAST(row_number() OVER (ORDER BY band_hz) - 1 AS INTEGER) AS band_idx, band_hz, lag(band_hz) OVER (ORDER BY band_hz) AS lower_hz, lead(band_hz) OVER (ORDER BY band_hz) AS upper_hz FROM c"""
 
 
 def _weights(s, d):
-    f = table(s, d, "part").select((F.col("p_partkey") % 997 / 16.0).alias("f")).distinct()
+    f = table(s, d, "part").select((F.col("p_partkey") / 16.0).alias("f")).distinct()
     b = fb.bands_frame(s, CENTRES)
     return f.crossJoin(F.broadcast(b)).select("f", "band_hz", fb.weight(F.col("f"), F.col("band_hz"), F.col("lower_hz"), F.col("upper_hz")).alias("w"))
 
 
 Q["p21_weights"] = lambda s, d: rounded(_weights(s, d))
-O["p21_weights"] = sql(f"{BANDS}, fs AS (SELECT DISTINCT p_partkey % 997 / 16.0 AS f FROM part)", f"SELECT f::DOUBLE AS f, hz::DOUBLE AS band_hz, {WEIGHT} AS w FROM fs, bands", "f w")
-Q["x9_band_edges"] = lambda s, d: rounded(spectral.band_edges(table(s, d, "part").select((F.col("p_partkey") % 97 / 3.0 + 0.1).alias("freq")).distinct(), CENTRES))
+O["p21_weights"] = sql(f"{BANDS}, fs AS (SELECT DISTINCT p_partkey / 16.0 AS f FROM part)", f"SELECT f::DOUBLE AS f, hz::DOUBLE AS band_hz, {WEIGHT} AS w FROM fs, bands", "f w")
+Q["x9_band_edges"] = lambda s, d: rounded(spectral.band_edges(table(s, d, "part").select((F.col("p_partkey") / 3.0 + 0.1).alias("freq")).distinct(), CENTRES))
 O["x9_band_edges"] = sql(
-    f"{BANDS}, fs AS (SELECT DISTINCT p_partkey % 97 / 3.0::DOUBLE + 0.1 AS f FROM part), w AS (SELECT f, hz, pow({WEIGHT}, 2) AS p FROM fs, bands), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p DESC, hz) AS n FROM w)",
+    f"{BANDS}, fs AS (SELECT DISTINCT p_partkey / 3.0::DOUBLE + 0.1 AS f FROM part), w AS (SELECT f, hz, pow({WEIGHT}, 2) AS p FROM fs, bands), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p DESC, hz) AS n FROM w)",
     """SELECT f AS freq, max(hz::DOUBLE) FILTER (n = 1) AS primary_band, max(p) FILTER (n = 1) AS primary_power, max(hz::DOUBLE) FILTER (n = 2) AS secondary_band, max(p) FILTER (n = 2) AS secondary_power, sum(p) AS power_sum FROM r GROUP BY f""",
     "freq primary_power secondary_power power_sum",
 )

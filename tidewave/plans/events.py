@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import patterns, peaks, stats
+from ..operators import patterns, peaks, reports, stats
 from .views import USER_LEVELS, rounded, sql, table, user_levels
 
 Q, O = {}, {}
@@ -114,7 +114,7 @@ O["a14_sustained_summary"] = sql(
 def _worst(s, d, sort_by="peak_value"):
     """Peaks at even places are taken to be pattern peaks, and are left out."""
     p = found(s, d)
-    return peaks.worst_case(p, user_levels(s, d), RATE, 3, p.where("peak_idx % 2 = 0"), sort_by).select(*KEYS, "rank", "peak_idx", "peak_db", "attack_time_ms", "peak_hold_time_ms", "decay_12db_ms")
+    return peaks.worst_case(p, user_levels(s, d), RATE, 3, p.where("peak_idx % 2 = 0"), sort_by).select(*KEYS, "rank", "peak_idx", "peak_db", "attack_time_ms", "peak_hold_time_ms", *(f"decay_{t}db_ms" for t in TS))
 
 
 WORST = PEAKS + f""", od AS (SELECT * FROM pk WHERE peak_idx % 2 <> 0),
@@ -123,12 +123,12 @@ dc AS (SELECT p.channel_index, p.peak_idx, (coalesce(min(v.sample_idx) FILTER (v
 wt AS (SELECT od.*, dc.decay_12db_ms, CAST(row_number() OVER (PARTITION BY channel_index ORDER BY {{0}}) AS INTEGER) AS rank FROM od JOIN dc USING (channel_index, peak_idx)),
 wc AS (SELECT * FROM wt WHERE rank <= 3)"""
 WORST_SELECT = f"""SELECT p.track_id, p.channel_index, p.rank, p.peak_idx, p.peak_db, greatest((p.peak_idx - coalesce(max(v.sample_idx) FILTER (v.sample_idx <= p.peak_idx AND v.db < p.peak_db - 20) + 1, greatest(p.peak_idx - 100, 0))) / {RATE} * 1000, 0) AS attack_time_ms,
-  (max(v.sample_idx) FILTER (v.db >= p.peak_db - 1 AND abs(v.sample_idx - p.peak_idx + 0.5) < 50) - min(v.sample_idx) FILTER (v.db >= p.peak_db - 1 AND v.sample_idx >= p.peak_idx - 50)) / {RATE} * 1000 AS peak_hold_time_ms, p.decay_12db_ms
-  FROM wc p JOIN lv v ON v.channel_index = p.channel_index AND v.sample_idx BETWEEN p.peak_idx - 100 AND p.peak_idx + 49 GROUP BY p.track_id, p.channel_index, p.rank, p.peak_idx, p.peak_db, p.decay_12db_ms"""
+  (max(v.sample_idx) FILTER (v.db >= p.peak_db - 1 AND abs(v.sample_idx - p.peak_idx + 0.5) < 50) - min(v.sample_idx) FILTER (v.db >= p.peak_db - 1 AND v.sample_idx BETWEEN p.peak_idx - 50 AND p.peak_idx + 49)) / {RATE} * 1000 AS peak_hold_time_ms, p.decay_12db_ms, {", ".join(f"(coalesce(min(v.sample_idx) FILTER (v.sample_idx >= p.peak_idx AND v.db <= p.peak_db - {t}), least(min(l.n), p.peak_idx + 300)) - p.peak_idx) / {RATE} * 1000 AS decay_{t}db_ms" for t in TS[:3])}
+  FROM wc p JOIN lv v ON v.channel_index = p.channel_index AND v.sample_idx BETWEEN p.peak_idx - 100 AND p.peak_idx + 299 JOIN ln l ON l.channel_index = p.channel_index GROUP BY p.track_id, p.channel_index, p.rank, p.peak_idx, p.peak_db, p.decay_12db_ms"""
 Q["e6_j4_k1_w16_worst_case"] = lambda s, d: rounded(_worst(s, d), 3)
-O["e6_j4_k1_w16_worst_case"] = sql(WORST.format("peak_db DESC, peak_idx"), WORST_SELECT, "peak_db attack_time_ms peak_hold_time_ms decay_12db_ms", 3)
+O["e6_j4_k1_w16_worst_case"] = sql(WORST.format("peak_db DESC, peak_idx"), WORST_SELECT, "peak_db attack_time_ms peak_hold_time_ms decay_3db_ms decay_6db_ms decay_9db_ms decay_12db_ms", 3)
 Q["k2_worst_by_decay"] = lambda s, d: rounded(_worst(s, d, "decay_time"), 3)
-O["k2_worst_by_decay"] = sql(WORST.format("decay_12db_ms DESC, peak_db DESC, peak_idx"), WORST_SELECT, "peak_db attack_time_ms peak_hold_time_ms decay_12db_ms", 3)
+O["k2_worst_by_decay"] = sql(WORST.format("decay_12db_ms DESC, peak_db DESC, peak_idx"), WORST_SELECT, "peak_db attack_time_ms peak_hold_time_ms decay_3db_ms decay_6db_ms decay_9db_ms decay_12db_ms", 3)
 
 
 def windows(s, d, size=8):
@@ -169,13 +169,17 @@ O["e7_j5_similar_pairs"] = sql(SIMILAR, "SELECT * FROM pr WHERE r >= 0.8", "r",
 
 
 def _shapes(s, d):
-    """A window of each channel against the next channel's, of another length."""
+    """The first 40 components of each vector against its last 24: between two of them wherever they are resampled."""
     e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    return e.select("vec_id", patterns.similarity(F.slice("e", 1, 9), F.slice("e", 10, 5)).alias("similarity"))
+    return e.select("vec_id", patterns.similarity(F.slice("e", 1, 40), F.slice("e", 41, 24)).alias("similarity"))
 
 
 Q["e7_resampled_similarity"] = lambda s, d: rounded(_shapes(s, d))
-O["e7_resampled_similarity"] = sql("x AS (SELECT vec_id, embedding AS e FROM embeddings)", "SELECT vec_id, (SELECT corr(a, b) FROM (SELECT unnest([e[1], e[3], e[5], e[7], e[9]]::DOUBLE[]) AS a, unnest(e[10:14]::DOUBLE[]) AS b)) AS similarity FROM x", "similarity")
+O["e7_resampled_similarity"] = sql(
+    "x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
+    "SELECT vec_id, (SELECT corr(a, b) FROM (SELECT unnest([e[i * 39 // 23 + 1] + (e[least(i * 39 // 23 + 2, 40)] - e[i * 39 // 23 + 1]) * (i * 39 / 23.0::DOUBLE - i * 39 // 23) FOR i IN range(24)]) AS a, unnest(e[41:64]) AS b)) AS similarity FROM x",
+    "similarity",
+)
 
 
 def _members(s, d):
@@ -206,18 +210,20 @@ Q["e10_window_length"] = lambda s, d: rounded(table(s, d, "part").select("p_part
 O["e10_window_length"] = sql("p AS (SELECT p_partkey, p_size FROM part)", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 100 ELSE least(4 / (p_size * 1.3::DOUBLE) * 1000, 500) END AS window_ms FROM p", "window_ms")
 
 
-def _driver(s, d):
-    """Envelope levels once, then peaks, patterns, worst cases and sustained events of every series, as one report row."""
-    levels = user_levels(s, d)
-    p = peaks.find_peaks(levels, HEIGHT, DISTANCE)
-    members = patterns.repeating_patterns(peaks.windows_around(p, levels, 8), 0.8, 2, 4)
-    worst = peaks.worst_case(p, levels, RATE, 3, members)
-    events_ = peaks.sustained_events(p, levels, RATE, seconds=2.0)
+def _analysis(s, d):
+    return reports.envelope_analysis(user_levels(s, d), RATE, HEIGHT, DISTANCE, 8, similarity=0.8, least=2, most=4, top=3, seconds=2.0)
+
+
+def _counts(found, names):
     n = lambda df, name: df.groupBy(*KEYS).agg(F.count("*").alias(name))
-    out = n(levels, "samples")
-    for df, name in ((p, "peaks"), (members, "pattern_peaks"), (worst, "worst_cases"), (events_, "sustained")):
-        out = out.join(n(df, name), KEYS, "left")
+    out = n(found["levels"], "samples")
+    for table_, name in names:
+        out = out.join(n(found[table_], name), KEYS, "left")
     return out.na.fill(0)
 
 
-Q["e11_u5_envelope_driver"] = _driver
+#: How many of each there are, in all; the grouping of patterns is tested against plain loops.
+Q["e11_u5_envelope_driver"] = lambda s, d: _counts(_analysis(s, d), (("peaks", "peaks"), ("patterns", "pattern_peaks"), ("worst_cases", "worst_cases"), ("sustained", "sustained")))
+Q["e11_envelope_counts"] = lambda s, d: _counts(_analysis(s, d), (("peaks", "peaks"), ("sustained", "sustained")))
+O["e11_envelope_counts"] = PEAKS.replace("RECURSIVE", "WITH RECURSIVE", 1) + """ SELECT 'users' AS track_id, l.channel_index, min(l.n) AS samples, count(pk.peak_idx) AS peaks, count(pk.peak_idx) FILTER (peak_db >= -3) AS sustained
+  FROM ln l LEFT JOIN pk USING (channel_index) GROUP BY l.channel_index"""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import channels as ch
-from ..operators import panes, rollup
+from ..operators import panes, reports, rollup
 from ..sources import media, series, tables
 from .views import EVENTS, events, rounded, sql, table
 from .windows import FULL, WINDOWS
@@ -78,10 +78,7 @@ def _filters(s, d):
     """Which channel filters match a channel's tokens, and which match nothing."""
     c = _names(s, d).select("id", ch.filter_tokens(F.col("channel_name"), F.col("folder")).alias("tokens"))
     wanted = table(s, d, "nation").select(F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise(F.concat(F.lit(" ch-annel "), F.col("n_nationkey").cast("string"), F.lit(" FL "))).alias("filter"))
-    w = wanted.select("filter", ch.filter_tokens(F.col("filter")).alias("asked"))
-    flat = c.select("id", F.explode("tokens").alias("token")).join(w.select("filter", F.explode("asked").alias("token")), "token").select("filter", "id").distinct()
-    unmatched = w.join(flat, "filter", "left_anti").select("filter", F.lit(None).cast("long").alias("id"))
-    return flat.select("filter", F.col("id").cast("long").alias("id")).unionByName(unmatched)
+    return reports.filter_channels(c, wanted.select("filter", ch.filter_tokens(F.col("filter")).alias("tokens"))).select("filter", F.col("id").cast("long").alias("id"))
 
 
 Q["p15_j11_u4_channel_filters"] = _filters
@@ -161,15 +158,19 @@ O["s10_k7_messages"] = "WITH m AS (SELECT n_regionkey, list(n_name ORDER BY n_na
 
 
 def _json(s, d):
-    """Selected windows of a series as one JSON document, non-finite values as null."""
-    w = panes.fixed_window(events(s, d), 64, 64).where("window_idx < 3")
-    v = F.round("peak_level", 3)
-    doc = F.to_json(F.array_sort(F.collect_list(F.struct("window_idx", F.when(F.col("window_idx") == 1, F.lit(None)).otherwise(v).alias("peak")))), {"ignoreNullFields": "false"})
-    return w.groupBy("channel_index").agg(doc.alias("doc")).select("channel_index", F.from_json("doc", "array<struct<window_idx:long,peak:double>>").alias("x")).select("channel_index", F.size("x").cast("long").alias("n"), F.round(F.col("x")[0]["peak"], 3).alias("first"), F.col("x")[1]["peak"].alias("second"))
-
-
-Q["s17_s12_json_windows"] = _json
-O["s17_s12_json_windows"] = sql(EVENTS, "SELECT channel_index, least(3, count(*) // 64)::BIGINT AS n, max(abs(value)) FILTER (sample_idx < 64) AS first, NULL::DOUBLE AS second FROM ev GROUP BY ALL", "first", 3)
+    """All windows of each channel as JSON documents, read again; some of their levels are not finite."""
+    k = F.col("window_idx") % 5
+    level = F.when(k == 1, float("inf")).when(k == 3, float("nan")).otherwise(F.round("peak_level", 6))
+    docs = reports.json_windows(panes.fixed_window(events(s, d), 64, 64).withColumn("level", level), ["level"], run=16)
+    back = docs.select("channel_index", "part", F.explode(F.from_json("doc", "array<struct<window_idx:long,level:double>>")).alias("x"))
+    return back.select("channel_index", "part", "x.window_idx", "x.level")
+
+
+Q["s17_s12_json_windows"] = lambda s, d: rounded(_json(s, d))
+O["s17_s12_json_windows"] = sql(
+    EVENTS + ", w AS (SELECT channel_index, sample_idx // 64 AS window_idx, max(abs(value)) AS m FROM ev GROUP BY ALL HAVING count(*) = 64)",
+    "SELECT channel_index, window_idx // 16 AS part, window_idx, CASE WHEN window_idx % 5 NOT IN (1, 3) THEN m END AS level FROM w", "level",
+)
 WIN = EVENTS + ", " + WINDOWS.format("ev") + f", fw AS ({FULL}), gw AS (SELECT *, CASE WHEN channel_index <= 2 THEN 'screen' WHEN channel_index = 3 THEN 'lfe' ELSE 'surround' END AS channel_group FROM fw)"
 
 
@@ -187,8 +188,8 @@ O["a15_u1_g3_group_crest"] = sql(
 )
 Q["g3_crest_limits"] = lambda s, d: rounded(rollup.crest_limits(grouped(s, d)))
 O["g3_crest_limits"] = sql(WIN, "SELECT track_id, channel_group, min(crest_factor_db) AS lowest, max(crest_factor_db) AS highest, greatest(ceil(max(crest_factor_db) / 5) * 5, 20) AS y_max FROM gw GROUP BY ALL", "lowest highest y_max")
-Q["s16_wide_series"] = lambda s, d: rounded(rollup.wide_series(panes.fixed_window(events(s, d), 4, 2).select("track_id", F.lit(0).alias("channel_index"), F.col("channel_index").cast("double").alias("band_hz"), "window_idx", "crest_factor_db"), [0.0, 1.0, 2.0]))
-O["s16_wide_series"] = sql(WIN, "SELECT track_id, CAST(0 AS INTEGER) AS channel_index, window_idx, " + ", ".join(f"max(crest_factor_db) FILTER (channel_index = {i}) AS cf_{i}_hz" for i in range(3)) + " FROM gw GROUP BY ALL", "cf_0_hz cf_1_hz cf_2_hz")
+Q["s16_wide_series"] = lambda s, d: rounded(rollup.wide_series(panes.fixed_window(events(s, d), 4, 2).select("track_id", F.lit(0).alias("channel_index"), F.col("channel_index").cast("double").alias("band_hz"), "window_idx", "crest_factor_db"), [0.0, 1.0, 2.0, 3.0, 4.0]))
+O["s16_wide_series"] = sql(WIN, "SELECT track_id, CAST(0 AS INTEGER) AS channel_index, window_idx, " + ", ".join(f"max(crest_factor_db) FILTER (channel_index = {i}) AS cf_{i}_hz" for i in range(5)) + " FROM gw GROUP BY ALL", "cf_0_hz cf_1_hz cf_2_hz cf_3_hz cf_4_hz")
 
 # Recovery statistics of channels, from line items: suppliers as channels of region-like groups.
 STAT = {f"t{t}_ms_{n}": f"(sum(l_quantity) * {m} + {t * 10}) % 5200" for t, m in ((3, 7), (6, 13), (9, 29), (12, 31)) for n, m in (("p95", m), ("p90", m + 2))}
@@ -207,11 +208,11 @@ DEC = RECOVERY + ", st AS (" + " UNION ALL ".join(f"SELECT track_id, channel_gro
 da AS (SELECT track_id, channel_group, threshold, max(p95) FILTER (p95 > 0) AS a, max(p90) FILTER (p90 > 0) AS b FROM st GROUP BY ALL),
 dt AS (SELECT track_id, channel_group, threshold, CASE WHEN a >= 4950 THEN coalesce(b, a) ELSE coalesce(a, 0) END AS time_ms, -threshold::DOUBLE AS level_db FROM da)"""
 O["a18_decay_aggregate"] = sql(DEC, "SELECT * FROM dt", "time_ms level_db", 4)
-Q["g7_a19_decay_curve"] = lambda s, d: rounded(rollup.decay_curve(rollup.decay_aggregate(recovery(s, d))).select("track_id", "channel_group", "tau_ms", "amplitude_db", "x_max", F.col("curve")[399]["level_db"].alias("end_db")), 4)
+Q["g7_a19_decay_curve"] = lambda s, d: rounded(rollup.decay_curve(rollup.decay_aggregate(recovery(s, d))).select("track_id", "channel_group", "tau_ms", "amplitude_db", "x_max", F.col("curve")[399]["level_db"].alias("end_db"), F.size("curve").cast("long").alias("points"), F.aggregate("curve", F.lit(0.0), lambda a, x: a + x["level_db"]).alias("total_db"), F.aggregate("curve", F.lit(0.0), lambda a, x: a + x["t_ms"]).alias("total_ms")), 4)
 O["g7_a19_decay_curve"] = sql(
     DEC + ", cv AS (SELECT track_id, channel_group, greatest(max(time_ms) FILTER (threshold = 9), 1) AS tau_ms, 9 / 0.693::DOUBLE AS amplitude_db, CAST(greatest(200, floor(max(time_ms) * 1.2)) AS INTEGER) AS x_max FROM dt GROUP BY ALL)",
-    "SELECT *, -amplitude_db * ln(1 + x_max / tau_ms) AS end_db FROM cv",
-    "tau_ms amplitude_db end_db",
+    "SELECT cv.*, -amplitude_db * ln(1 + x_max / tau_ms) AS end_db, count(*) AS points, sum(-amplitude_db * ln(1 + i * x_max / 399.0::DOUBLE / tau_ms)) AS total_db, sum(i * x_max / 399.0::DOUBLE) AS total_ms FROM cv, range(400) r(i) GROUP BY ALL",
+    "tau_ms amplitude_db end_db total_db total_ms",
     4,
 )
 #: A bounded fit is no SQL; it is tested against known curves.
@@ -265,12 +266,19 @@ O["g10_summary_matrix"] = sql(
     "p90 p95",
     4,
 )
-Q["g2_report_groups"] = lambda s, d: (
-    table(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 4).cast("int").alias("n")).alias("a")
-    .join(F.broadcast(table(s, d, "region").select(F.col("r_regionkey").cast("int").alias("k"), "r_name")).where("k < 2"), F.col("n") == F.col("k"), "left")
-    .select("s_suppkey", F.coalesce("r_name", F.when(F.col("n") == 2, "Mono"), F.lit("All Channels")).alias("report_group"))
-)
-O["g2_report_groups"] = "SELECT s_suppkey, coalesce(r_name, CASE WHEN s_suppkey % 4 = 2 THEN 'Mono' ELSE 'All Channels' END) AS report_group FROM supplier LEFT JOIN region ON r_regionkey = s_suppkey % 4 AND r_regionkey < 2"
+
+
+def _report_groups(s, d):
+    """Every fifth channel's folder stands in a manifest; the others go by their names."""
+    c = _names(s, d).select("id", F.lit("t").alias("track_id"), "folder", "channel_name", "total_channels", "layout")
+    manifest = c.where("id % 5 = 0").select("track_id", "folder", F.concat(F.lit("G"), F.length("folder").cast("string")).alias("group"))
+    return reports.report_groups(c, manifest).select("id", "folder", "report_group")
+
+
+Q["g2_report_groups"] = _report_groups
+O["g2_report_groups"] = f"""WITH {CHANNELS}, f AS (SELECT *, CASE WHEN total_channels = 2 THEN channel_name ELSE 'Channel ' || (channel_index + 1) || ' ' || channel_name END AS folder FROM c4),
+m AS (SELECT DISTINCT folder, 'G' || length(folder) AS g FROM f WHERE id % 5 = 0)
+SELECT id, folder, coalesce(g, CASE kind WHEN 'screen' THEN 'Screen' WHEN 'lfe' THEN 'LFE' WHEN 'surround' THEN 'Surround+Height' END, CASE WHEN total_channels = 1 THEN 'Mono' ELSE 'All Channels' END) AS report_group FROM f LEFT JOIN m USING (folder)"""
 
 
 def _best(s, d):
@@ -291,14 +299,14 @@ def _sections(s, d):
 
 Q["s15_sections"] = _sections
 O["s15_sections"] = "SELECT page_id::VARCHAR AS path, (page_id * 2)::VARCHAR AS x, '2' AS y FROM pages"
-Q["p23_report_cells"] = lambda s, d: table(s, d, "supplier").select("s_suppkey", F.coalesce(F.when(F.col("s_acctbal") == 0, "0.0"), F.when(F.col("s_suppkey") % 7 != 0, F.format_string("%.1f", F.bround(F.col("s_acctbal").cast("double"), 1))), F.lit("N/A")).alias("cell"))
+Q["p23_report_cells"] = lambda s, d: table(s, d, "supplier").select("s_suppkey", reports.report_cell(F.when((F.col("s_suppkey") % 7 != 0) | (F.col("s_acctbal") == 0), F.col("s_acctbal").cast("double"))).alias("cell"))
 O["p23_report_cells"] = "SELECT s_suppkey, CASE WHEN s_acctbal = 0 THEN '0.0' WHEN s_suppkey % 7 <> 0 THEN printf('%.1f', round_even(s_acctbal::DOUBLE, 1)) ELSE 'N/A' END AS cell FROM supplier"
 
 
 def _ordered(s, d):
     """Rows in report order: by band, unknown bands last, then by bin."""
     o = table(s, d, "part").select("p_partkey", F.when(F.col("p_size") % 9 != 0, F.col("p_size")).alias("band"))
-    return o.select("p_partkey", F.row_number().over(Window.partitionBy((F.col("p_partkey") % 10)).orderBy(F.asc_nulls_last("band"), "p_partkey")).alias("place"))
+    return reports.in_report_order(o.withColumn("panel", F.col("p_partkey") % 10), ["panel"], ["band", "p_partkey"]).select("p_partkey", "place")
 
 
 Q["g11_g12_k4_report_order"] = _ordered

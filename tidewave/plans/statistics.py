@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import levels
-from ..operators import panes, rollup, stats
+from ..operators import panes, reports, rollup, stats
 from ..sources import series
 from .views import EVENTS, USERS, events, rounded, sql, table, users
 from .windows import FULL, WINDOWS
@@ -30,14 +30,14 @@ O["s4_section_trim"] = sql(EVENTS, "SELECT track_id, channel_index, sample_idx,
 
 
 def _frames(s, d):
-    e = table(s, d, "embeddings").select(F.lit("frames").alias("track_id"), F.col("vec_id").alias("sample_idx"), F.slice("embedding", 1, 4).alias("frame"))
+    e = table(s, d, "embeddings").select(F.lit("frames").alias("track_id"), F.col("vec_id").alias("sample_idx"), F.col("embedding").alias("frame"))
     return series.split_frames(e)
 
 
 Q["s5_split_channels"] = lambda s, d: rounded(_frames(s, d))
-O["s5_split_channels"] = sql("x AS (SELECT vec_id, embedding FROM embeddings)", "SELECT 'frames' AS track_id, CAST(i AS INTEGER) AS channel_index, vec_id AS sample_idx, embedding[i + 1]::DOUBLE AS value FROM x, range(4) r(i)", "value")
+O["s5_split_channels"] = sql("x AS (SELECT vec_id, embedding FROM embeddings)", "SELECT 'frames' AS track_id, CAST(i AS INTEGER) AS channel_index, vec_id AS sample_idx, embedding[i + 1]::DOUBLE AS value FROM x, range(64) r(i)", "value")
 Q["p2_downmix"] = lambda s, d: rounded(series.downmix(_frames(s, d)))
-O["p2_downmix"] = sql("x AS (SELECT vec_id, embedding FROM embeddings)", "SELECT 'frames' AS track_id, vec_id AS sample_idx, (embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE + embedding[4]::DOUBLE) / 4 AS value FROM x", "value")
+O["p2_downmix"] = sql("x AS (SELECT vec_id, embedding FROM embeddings)", "SELECT 'frames' AS track_id, vec_id AS sample_idx, list_avg(embedding::DOUBLE[]) AS value FROM x", "value")
 Q["p1_normalise"] = lambda s, d: rounded(series.normalise(events(s, d)))
 O["p1_normalise"] = sql(EVENTS, "SELECT track_id, channel_index, sample_idx, value / max(abs(value)) OVER (PARTITION BY channel_index) AS value, max(abs(value)) OVER (PARTITION BY channel_index) AS original_peak FROM ev", "value original_peak")
 
@@ -151,19 +151,12 @@ Q["a13_sample_histogram"] = lambda s, d: rounded(stats.sample_histogram(unit(s,
 O["a13_sample_histogram"] = _histogram_sql("un", "value", -1.0, 1.0, 51, "abs(value) > 1e-10 AND value BETWEEN -1 AND 1")
 
 
-def _metadata(s, d):
-    """Track and channel metadata, with the fixed processing fields."""
-    u = users(s, d)
-    m = u.groupBy(*KEYS).agg(F.count("*").alias("samples"), F.max(F.abs("value")).alias("original_peak"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
-    return m.select("*", (F.col("samples") / 64.0).alias("duration_seconds"), levels.dbfs(F.col("original_peak")).alias("original_peak_dbfs"), F.lit("power_complementary_fft").alias("octave_design"), F.lit("1|2|4").alias("octave_centres"))
-
-
-Q["p22_p24_metadata"] = lambda s, d: rounded(_metadata(s, d))
+Q["p22_p24_metadata"] = lambda s, d: rounded(reports.track_metadata(users(s, d), 64.0, (1.0, 2.0, 4.0)))
 O["p22_p24_metadata"] = sql(
     USERS,
     """SELECT track_id, channel_index, count(*) AS samples, max(abs(value)) AS original_peak, sqrt(avg(value * value)) AS rms, count(*) / 64.0 AS duration_seconds, 20 * log10(max(abs(value))) AS original_peak_dbfs,
-  'power_complementary_fft' AS octave_design, '1|2|4' AS octave_centres FROM us GROUP BY ALL""",
-    "original_peak rms duration_seconds original_peak_dbfs",
+  64.0 AS sample_rate, 'power_complementary_fft' AS octave_design, 'block' AS octave_mode, 30.0 AS octave_block_seconds, '1|2|4' AS octave_centres FROM us GROUP BY ALL""",
+    "sample_rate octave_block_seconds original_peak rms duration_seconds original_peak_dbfs",
 )
 
 WIDE = "a AS (SELECT CAST(user_id AS INTEGER) AS channel_index, avg(value) AS mean, max(value) AS highest, count(*)::DOUBLE AS n FROM events GROUP BY ALL)"
@@ -182,9 +175,7 @@ O["a23_pivot"] = sql(WIDE, "SELECT 'users' AS track_id, * FROM a", "mean highest
 def _batch(s, d):
     """Orders as a batch of jobs: how many ended in each state, the slowest first with unknown times last."""
     o = table(s, d, "orders").select(F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice").cast("double")).alias("seconds"), F.col("o_orderkey").alias("job"))
-    top = o.withColumn("place", F.row_number().over(panes.Window.partitionBy("status").orderBy(F.desc_nulls_last("seconds"), "job"))).where("place <= 3")
-    n = o.groupBy("status").agg(F.count("*").alias("jobs"))
-    return top.join(F.broadcast(n), "status").select("status", "jobs", "place", "job", "seconds")
+    return reports.batch_summary(o)
 
 
 Q["a22_batch_summary"] = lambda s, d: rounded(_batch(s, d), 2)
@@ -208,3 +199,17 @@ O["j10_gain_shifts"] = sql(
     "SELECT x.track_id, x.channel_index, x.gain, x.p - y.p - 20 * log10(x.gain) AS peak_error_db, x.r - y.r - 20 * log10(x.gain) AS rms_error_db, (x.p - x.r) - (y.p - y.r) AS crest_error_db FROM a x JOIN a y ON x.channel_index = y.channel_index AND y.gain = 1",
     "gain peak_error_db rms_error_db crest_error_db",
 )
+
+
+def _panels(s, d):
+    """Histograms of all channels as panels of one report; channel 0 stands for an unknown band."""
+    h = stats.linear_histogram(unit(s, d)).withColumn("band_hz", F.when(F.col("channel_index") > 0, F.col("channel_index").cast("double")))
+    return reports.histogram_panels(h, ("track_id",)).select("track_id", "channel_index", "bin_left", "bin_count", "place")
+
+
+Q["g12_histogram_panels"] = lambda s, d: rounded(_panels(s, d))
+O["g12_histogram_panels"] = sql(
+    f"h AS ({O['a11_linear_histogram']})",
+    "SELECT track_id, channel_index, bin_left, bin_count, CAST(row_number() OVER (ORDER BY nullif(channel_index, 0) NULLS LAST, bin_left) AS INTEGER) AS place FROM h",
+    "bin_left",
+)

@@ -6,8 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions import levels
-from ..operators import panes, rollup, scan, spectral
+from ..operators import panes, reports, rollup, scan, spectral
 from ..sources import series
 from .views import BANK, CENTRES, EVENTS, RATE, USERS, events, rounded, sql, users, vectors
 
@@ -110,22 +109,20 @@ UNION ALL SELECT track_id, channel_index, 'max_chunk', chunk_idx, crest_factor_d
 
 
 def _extreme_bands(s, d):
-    """Band statistics of the most and least peaky chunk of each vector: a semi-join of the panes of its bands."""
-    p = spectral.band_panes(vectors(s, d), CENTRES, RATE, 16)
-    chunks = p.where("band_hz = 0").withColumn("cf", F.round(levels.crest_db(F.col("peak"), F.sqrt(F.col("squares") / F.col("n"))), 9))
-    chosen = panes.extreme_chunks(chunks.select("track_id", "channel_index", F.col("pane").alias("chunk_idx"), F.col("cf").alias("crest_factor_db")))
-    j = p.where("band_hz > 0").join(chosen.withColumnRenamed("chunk_idx", "pane"), ["track_id", "channel_index", "pane"])
-    return rounded(j.select("track_id", "channel_index", "chunk_type", "band_hz", "pane", F.sqrt(F.col("squares") / F.col("n")).alias("rms"), "crest_factor_db"), 5)
+    """Statistics of the bands in the most and the least peaky chunk of each vector."""
+    x = reports.extreme_band_statistics(vectors(s, d), CENTRES, RATE, 16).where("band_hz > 0")
+    return rounded(x.select("track_id", "channel_index", "chunk_type", "band_hz", F.col("chunk_idx").alias("pane"), F.col("chunk_crest_factor_db").alias("crest_factor_db"), "max_amplitude", "rms", "mean", "std", "p10", "p50", "p95"), 5)
 
 
 Q["j6_extreme_chunk_bands"] = _extreme_bands
 O["j6_extreme_chunk_bands"] = sql(
-    BANK + """, bp AS (SELECT track_id, channel_index, band_hz, sample_idx // 16 AS pane, max(abs(value)) AS peak, sqrt(avg(value * value)) AS rms FROM bank GROUP BY ALL),
-c AS (SELECT track_id, channel_index, pane, round(20 * log10(greatest(peak / rms, 1)), 9) AS cf FROM bp WHERE band_hz = 0),
+    BANK + """, bp AS (SELECT track_id, channel_index, band_hz, sample_idx // 16 AS pane, max(abs(value)) AS max_amplitude, sqrt(avg(value * value)) AS rms, avg(value) AS mean, stddev_pop(value) AS std,
+  quantile_cont(abs(value), 0.1) AS p10, quantile_cont(abs(value), 0.5) AS p50, quantile_cont(abs(value), 0.95) AS p95 FROM bank GROUP BY ALL),
+c AS (SELECT track_id, channel_index, pane, round(20 * log10(greatest(max_amplitude / rms, 1)), 9) AS cf FROM bp WHERE band_hz = 0),
 x AS (SELECT *, 'min_chunk' AS chunk_type FROM c QUALIFY row_number() OVER (PARTITION BY channel_index ORDER BY cf, pane) = 1
   UNION ALL SELECT *, 'max_chunk' FROM c QUALIFY row_number() OVER (PARTITION BY channel_index ORDER BY cf DESC, pane) = 1)""",
-    "SELECT b.track_id, b.channel_index, x.chunk_type, b.band_hz, b.pane, b.rms, x.cf AS crest_factor_db FROM bp b JOIN x USING (channel_index, pane) WHERE b.band_hz > 0",
-    "rms crest_factor_db",
+    "SELECT b.track_id, b.channel_index, x.chunk_type, b.band_hz, b.pane, b.max_amplitude, b.rms, b.mean, b.std, b.p10, b.p50, b.p95, x.cf AS crest_factor_db FROM bp b JOIN x USING (channel_index, pane) WHERE b.band_hz > 0",
+    "max_amplitude rms mean std p10 p50 p95 crest_factor_db",
     5,
 )
 
@@ -139,7 +136,7 @@ c AS (SELECT *, 20 * log10(greatest(peak / rms, 1)) AS cf FROM p WHERE n = w AND
 )
 
 Q["w5_octave_time_metrics"] = lambda s, d: rounded(
-    panes.fixed_window(spectral.band_rows(vectors(s, d), CENTRES, RATE), 16, 8, RATE, floor=-80.0, keys=("track_id", "channel_index", "band_hz"), epsilon=True)
+    reports.octave_time(vectors(s, d), CENTRES, RATE, 16, 8)
     .select("track_id", "channel_index", "band_hz", "window_idx", "time_seconds", "crest_factor_db", "peak_level_dbfs", "rms_level_dbfs", "is_valid_crest_factor"), 4
 )
 O["w5_octave_time_metrics"] = sql(
@@ -154,24 +151,7 @@ v AS (SELECT *, rms > 0 AND 20 * log10(rms + 1e-10) >= -80 AS ok FROM w WHERE pa
 
 
 def _tau_study(s, d):
-    """Which decay of the peak hold comes nearest to the chunks' own crest factors, per chunk length and channel."""
-    u = users(s, d)
-    b = series.to_blocks(u, 16)
-    slow = series.to_rows(scan.envelope(b, "slow", SLOW)).withColumnRenamed("value", "rms")
-    held = None
-    for tau in (4, 8, 16):
-        one = series.to_rows(scan.envelope(b, "hold", math.exp(-1 / tau))).withColumnRenamed("value", "peak").withColumn("tau", F.lit(tau))
-        held = one if held is None else held.unionByName(one)
-    lengths = F.explode(F.array(F.lit(4), F.lit(8))).alias("length")
-    both = held.join(slow, ["track_id", "channel_index", "sample_idx"]).select("*", lengths).where("(sample_idx + 1) % length = 0 and rms > 0")
-    cand = both.select("track_id", "channel_index", "tau", "length", F.expr("(sample_idx + 1) div length - 1").alias("window_idx"), levels.crest_db(F.col("peak"), F.col("rms")).alias("crest_factor_db"))
-    ref = None
-    for n in (4, 8):
-        one = panes.fixed_chunk(u, n).select("track_id", "channel_index", F.lit(n).alias("length"), F.col("chunk_idx").alias("window_idx"), "crest_factor_db")
-        ref = one if ref is None else ref.unionByName(one)
-    errors = rollup.compare_to_reference(cand, ref, ["track_id", "channel_index", "length", "tau"], warm_up=1)
-    errors = errors.groupBy("length", "tau").agg(F.avg("mean_abs_error_db").alias("mean_abs_error_db"), F.avg("rmse_db").alias("rmse_db"))
-    return rounded(rollup.best_candidates(errors, ["length"], "tau"), 5)
+    return rounded(reports.tau_study(users(s, d), (4, 8, 16), (4, 8), -1 / math.log(1 - SLOW), 16), 5)
 
 
 Q["g13_tau_study"] = _tau_study
@@ -186,3 +166,18 @@ m AS (SELECT length, tau, avg(mae) AS mean_abs_error_db, avg(rmse) AS rmse_db FR
     "mean_abs_error_db rmse_db",
     5,
 )
+
+Q["g5_deep_dive"] = lambda s, d: rounded(rollup.deep_dive(reports.octave_time(vectors(s, d), CENTRES, RATE, 16, 8), [2.1, 8.0, 31.9, 500.0]), 4)
+O["g5_deep_dive"] = sql(
+    f"o AS ({O['w5_octave_time_metrics']})",
+    """SELECT track_id, channel_index, CASE band_hz WHEN 2 THEN 2.1 WHEN 8 THEN 8.0 ELSE 31.9 END::DOUBLE AS wanted_hz, time_seconds, greatest(coalesce(crest_factor_db, 0), 0) AS crest_factor_db,
+  greatest(peak_level_dbfs, -120) AS peak_level_dbfs, greatest(rms_level_dbfs, -120) AS rms_level_dbfs FROM o WHERE band_hz IN (2, 8, 32)""",
+    "wanted_hz time_seconds crest_factor_db peak_level_dbfs rms_level_dbfs",
+    4,
+)
+Q["g11_extreme_overlay"] = lambda s, d: rounded(reports.extreme_overlay(_extremes(s, d)))
+O["g11_extreme_overlay"] = sql(
+    f"x AS ({O['w17_extreme_chunks']})",
+    "SELECT *, CAST(row_number() OVER (PARTITION BY channel_index ORDER BY chunk_idx, chunk_type) AS INTEGER) AS place FROM x",
+    "crest_factor_db",
+)

@@ -52,6 +52,29 @@ def write_csv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").csv(folder, header=True)
 
 
+# The sections of a full export, in its order.
+SECTIONS = (
+    "track_metadata", "octave_band_analysis", "time_domain_summary", "time_domain_analysis", "advanced_statistics", "extreme_chunks_octave_analysis",
+    "histogram_linear", "histogram_log_db", "octave_time_metrics", "envelope_statistics", "envelope_pattern_analysis", "sustained_peaks_summary", "sustained_peaks_events",
+)
+
+
+def write_sections(tables: dict[str, DataFrame], folder: str) -> list[str]:
+    """A full export: every table of an analysis as CSV of its own name; returns the names, in the export's order.
+
+    Arrays and structs, which CSV has no form for, are written as JSON. A
+    table of another name is an error.
+    """
+    if unknown := set(tables) - set(SECTIONS):
+        raise ValueError(f"no such sections: {sorted(unknown)}")
+    names = [n for n in SECTIONS if n in tables]
+    for name in names:
+        df = tables[name]
+        flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
+        write_csv(df.select(*flat), f"{folder}/{name}")
+    return names
+
+
 def read_section(spark: SparkSession, path: str, section: str, columns: Sequence[str]) -> DataFrame:
     """The rows of one ``[SECTION]`` of sectioned CSV files: after its header, until a blank line or the next
     section; rows of another width are skipped. ``(path, line, columns)``."""
