@@ -58,10 +58,14 @@ STORED = "stored-"
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a :func:`stored` table that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if file.rsplit("/", 1)[1].startswith(STORED):
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith(STORED):
+            remove(df.sparkSession, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(c: Column) -> Column:
