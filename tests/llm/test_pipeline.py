@@ -42,6 +42,24 @@ def test_stages(spark, tmp_path):
             assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in before.collect()}
 
 
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows, nulls everywhere, and further columns of names that the operators use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, part int, row long, cluster long"
+    rows = [(1, "a b c d e f", "en", "s", 11, 0.5, 1, 2, 3, 4), (1, "a b c d e f", "en", "s", 11, 0.5, 1, 2, 3, 4), (2, "A b c  d e f", None, None, None, None, None, None, None, None)]
+    rows += [(None, None, None, None, None, None, None, None, None, None), (None, "", "en", "s", 0, 0.0, 0, 0, 0, 0), (3, "quite another text of words", "en", "t", 27, 0.0, 0, 0, 0, 0)]
+    for k, docs in enumerate((spark.createDataFrame(rows, schema), spark.createDataFrame([], schema))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = str(tmp_path / f"{k}-{name}")
+            stage(spark, docs, SF).write.parquet(out)
+            docs = spark.read.parquet(out)
+            if name == "simhash" and not k:
+                left = docs.collect()
+                assert len([r for r in left if r["text"] and r["text"].lower().split() == list("abcdef")]) <= 1 and len([r for r in left if not r["text"]]) <= 1
+            if name != "packing":
+                assert docs.columns == corpus_pipeline.COLUMNS
+        assert k == 0 or docs.count() == 0
+
+
 def test_registered():
     assert len(llm.queries()) == 11 and set(llm.oracle_sql()) <= set(llm.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "simhash", "mixing", "packing"]
