@@ -98,11 +98,19 @@ O["x6_x7_f8_against_source"] = sql(
 
 def _synthesis(s, d):
     e = spectral.synthesis_error(vectors(s, d), CENTRES, RATE)
-    return e.select(*KEYS, (F.col("weighted_error_db") < -200).alias("exact"), (F.col("direct_error_db") > -60).alias("direct_differs"))
-
-
-Q["x8_synthesis"] = lambda s, d: _synthesis(s, d)
-O["x8_synthesis"] = "SELECT 'vectors' AS track_id, CAST(vec_id AS INTEGER) AS channel_index, TRUE AS exact, TRUE AS direct_differs FROM embeddings"
+    return e.select(*KEYS, (F.col("weighted_error_db") < -200).alias("exact"), "direct_error_db")
+
+
+#: What adding the bands up as they are changes: by the sum of the weights of every bin.
+DIRECT = SPECTRUM + """, ws AS (SELECT k, sum(w) AS w FROM wt GROUP BY k), de AS (SELECT track_id, channel_index, 10 * log10(sum(p * (w - 1) * (w - 1)) / sum(p)) AS direct_error_db FROM pw JOIN ws USING (k) GROUP BY ALL)"""
+Q["x8_synthesis"] = lambda s, d: rounded(_synthesis(s, d))
+O["x8_synthesis"] = sql(DIRECT, "SELECT track_id, channel_index, TRUE AS exact, direct_error_db FROM de", "direct_error_db")
+Q["x4_waveform_sum"] = lambda s, d: rounded(spectral.closure_with_waveform(vectors(s, d), CENTRES, RATE).select(*KEYS, "captured_power_percent", "loudest_band_hz", "waveform_sum_error_db"))
+O["x4_waveform_sum"] = sql(
+    DIRECT + """, cp AS (SELECT track_id, channel_index, 100 * sum(power) FILTER (band_hz > 0) / sum(power) FILTER (band_hz = 0) AS captured_power_percent, arg_max(band_hz, power) FILTER (band_hz > 0) AS loudest_band_hz FROM power GROUP BY ALL)""",
+    "SELECT cp.*, de.direct_error_db AS waveform_sum_error_db FROM cp JOIN de USING (track_id, channel_index)",
+    "captured_power_percent waveform_sum_error_db",
+)
 Q["x10_target_power"] = lambda s, d: rounded(spectral.target_power(power(s, d), [4.0, 8.0]))
 O["x10_target_power"] = sql(
     SPECTRUM,

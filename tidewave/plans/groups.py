@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import channels as ch
-from ..operators import panes, reports, rollup
+from ..operators import panes, reports, rollup, stats
 from ..sources import media, series, tables
-from .views import EVENTS, events, rounded, sql, table
+from .views import EVENTS, USERS, events, rounded, scratch, sql, table, users
 from .windows import FULL, WINDOWS
 
 Q, O = {}, {}
@@ -311,3 +311,54 @@ def _ordered(s, d):
 
 Q["g11_g12_k4_report_order"] = _ordered
 O["g11_g12_k4_report_order"] = "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY CASE WHEN p_size % 9 <> 0 THEN p_size END NULLS LAST, p_partkey) AS INTEGER) AS place FROM part"
+
+
+def _stored(s, d):
+    """Levels of all users written as a partitioned table, the even ones again at half the level, and read back."""
+    folder, levels = scratch(s), stats.whole_interval(users(s, d)).select("track_id", (F.col("channel_index") % 16).alias("channel_index"), F.col("channel_index").alias("user"), "samples", "peak")
+    tables.write_table(levels, folder, "levels")
+    tables.write_table(levels.where("channel_index % 2 = 0").withColumn("peak", F.col("peak") / 2), folder, "levels")
+    return tables.read_table(s, folder, "levels", levels.schema, "users")
+
+
+Q["s7_s12_result_tables"] = lambda s, d: rounded(_stored(s, d))
+O["s7_s12_result_tables"] = sql(
+    USERS + ', a AS (SELECT track_id, channel_index AS "user", count(*) AS samples, max(abs(value)) AS peak FROM us GROUP BY ALL)',
+    'SELECT track_id, CAST("user" % 16 AS INTEGER) AS channel_index, "user", samples, peak / CASE WHEN "user" % 2 = 0 THEN 2 ELSE 1 END AS peak FROM a',
+    "peak",
+)
+
+
+def _exported(s, d):
+    """A full export's sections written as CSV and read back: rows of each, and a sum over one of its columns."""
+    folder, w = scratch(s), panes.fixed_window(events(s, d), 4, 2)
+    frames = {"time_domain_analysis": w, "time_domain_summary": stats.time_domain_summary(w), "histogram_linear": stats.linear_histogram(series.normalise(events(s, d)))}
+    sums = {"time_domain_analysis": "peak_level", "time_domain_summary": "total_windows", "histogram_linear": "bin_count"}
+    out = None
+    for name in tables.write_sections(frames, folder):
+        df = s.read.csv(f"{folder}/{name}", header=True)
+        one = df.agg(F.count("*").alias("n"), F.sum(F.col(sums[name]).cast("double")).alias("total")).select(F.lit(name).alias("section"), "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+Q["s13_s14_full_export"] = lambda s, d: rounded(_exported(s, d), 4)
+O["s13_s14_full_export"] = sql(
+    WIN,
+    """SELECT 'time_domain_analysis' AS section, count(*) AS n, sum(peak_level) AS total FROM fw UNION ALL SELECT 'time_domain_summary', count(DISTINCT channel_index), count(*) FROM fw
+  UNION ALL SELECT 'histogram_linear', 50 * count(DISTINCT channel_index), count(*) FROM ev""",
+    "total",
+    4,
+)
+
+
+def _found(s, d):
+    """The tables that lie in a folder of results."""
+    folder, rows = scratch(s), table(s, d, "nation").select(F.lit("t").alias("track_id"), (F.col("n_regionkey")).cast("int").alias("channel_index"), "n_name")
+    for name in ("a", "b"):
+        tables.write_table(rows.repartition("channel_index"), folder, name)
+    return tables.find_tables(s, folder).select("table", "files")
+
+
+Q["s11_find_tables"] = _found
+O["s11_find_tables"] = "SELECT t AS \"table\", count(DISTINCT n_regionkey) AS files FROM nation, (VALUES ('a'), ('b')) v(t) GROUP BY t"

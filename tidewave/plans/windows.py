@@ -67,6 +67,10 @@ O["w3_slow_crest"] = sql(
 
 Q["w4_mode_dispatch"] = lambda s, d: rounded(panes.time_domain(events(s, d), "no such mode", window=4, step=2))
 O["w4_mode_dispatch"] = O["w1_fixed_window_crest"]
+Q["w4_mode_chunk"] = lambda s, d: rounded(panes.time_domain(events(s, d), "fixed_chunk", window=8, step=8))
+O["w4_mode_chunk"] = O["w2_fixed_chunk_crest"]
+Q["w4_mode_slow"] = lambda s, d: rounded(panes.time_domain(users(s, d), "slow", window=4, step=4, rms_tau=8, peak_tau=8, block=16))
+O["w4_mode_slow"] = O["w3_slow_crest"]
 
 Q["w9_moving_rms"] = lambda s, d: rounded(scan.moving_rms(users(s, d), 6))
 O["w9_moving_rms"] = sql(
