@@ -8,9 +8,10 @@ that holds their context. A shard builds its levels 2 and 3: contexts,
 monotone pointers to the successors of each, the successors made monotone over
 the contexts, and quantised discounted probabilities, in a flat file that is
 memory-mapped; and it answers what it was asked by searching every n-gram's
-word among the successors of its context. The answers go back to the parts,
-where they are summed up by text. No task sees more of the trie than its shard
-of it, and no key comes from a part more than once, however common it is.
+word among the successors of its context. What it finds goes back to the parts
+as sums by text. No task sees more of the trie than its shard of it, and no
+n-gram comes from a part more than once, however common it is; the numbers of
+the texts it stands in follow it.
 
 ``p(w | h) = d(h, w) + g(h) * p(w | shorter h)``, where ``d`` is the absolutely
 discounted frequency of an n-gram, ``g`` the mass that discounting leaves, and
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +39,9 @@ from .eliasfano import EliasFano, map_flat, write_flat
 #: What is taken off the count of an n-gram that occurs once, twice, or more often.
 DISCOUNTS = (0.8, 1.1, 1.4)
 #: Training texts a shard of level 1, and training tokens a shard of the levels above.
-SHARD_DOCS, SHARD_TOKENS = 16_384, 2_000_000
+SHARD_DOCS, SHARD_TOKENS = 16_384, 1_000_000
 #: Tokens of a part of the corpus, and words that a task remembers.
-CHUNK, REMEMBERED = 1_000_000, 400_000
+CHUNK, REMEMBERED = 300_000, 200_000
 #: The token that ends a text. No word holds a space.
 END = b" "
 HALF = 32
@@ -285,55 +287,72 @@ def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return out[::-1], place
 
 
-ASKED = "shard int, chunk long, a binary, b binary, c binary, n binary, doc_id array<string>, held_out array<boolean>"
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit numbers as one compressed run of bytes, the high bytes of all numbers together."""
+    planes = [np.ascontiguousarray(c.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+
+
+def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, 4, n)
+    return [np.ascontiguousarray(c.T).view("<u4").ravel().astype(np.int64) for c in planes]
+
+
+ASKED = "shard int, chunk long, keys int, tokens int, a binary, b binary, doc_id array<string>, held_out array<boolean>"
 
 
 def _ask(plan: dict):
-    """Each part's distinct n-grams, a row a shard, and a row of shard -1 or below: where its tokens find their answers."""
+    """Each part's distinct n-grams and the texts they stand in, a row a shard; and a row of shard -1 or below with
+    what is known of the part's texts already."""
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, part, number = Words(plan), TaskContext.get().partitionId() << 32, 0
         for pdf in parts:
             for a, b, texts in _chunks(pdf["text"]):
                 w, h1, h2, sizes, starts = _grams(words, texts)
+                del texts
                 held = pdf["held_out"].to_numpy(bool)[a:b]
-                (x1, x2, x3), place = _distinct(h1, h2, w)
-                n = np.bincount(place[np.repeat(~held, sizes)], minlength=len(x1)).astype(np.uint32)
-                shard = shard_of(plan, x1, x2)
-                order = np.argsort(shard, kind="stable")
-                at = np.empty(len(order), np.uint32)
-                at[order] = np.arange(len(order), dtype=np.uint32)
-                at = at[place]
                 seen, inverse = np.unique(w, return_inverse=True)
                 c = words.counts(seen)
                 facts = [sizes, np.add.reduceat((c > 0)[inverse].astype(np.int64), starts), np.add.reduceat(np.log10(words.unigram(c))[inverse], starts).view(np.int64)]
+                (x1, x2, x3), place = _distinct(h1, h2, w)
+                n = np.bincount(place[np.repeat(~held, sizes)], minlength=len(x1))
+                shard = shard_of(plan, x1, x2)
+                order = np.argsort(shard, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                text = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(rank[place], kind="stable")]
+                times = np.bincount(place, minlength=len(x1))[order]
+                until = np.concatenate([[0], np.cumsum(times)])
                 chunk = part + number
                 number += 1
                 rows = pdf.iloc[a:b]
-                low, high = (at & np.uint32(65535)).astype(np.uint16), (at >> np.uint32(16)).astype(np.uint16)
-                out = [(-1 - chunk % plan["shards"], chunk, low.tobytes(), high.tobytes(), np.concatenate(facts).tobytes(), b"", rows["doc_id"].tolist(), held.tolist())]
-                cut = np.flatnonzero(np.diff(shard[order])) + 1
-                pieces = [np.split(x[order].astype(np.uint32), cut) for x in (x1, x2, x3, n)]
-                for s, *blocks in zip(np.split(shard[order], cut), *pieces, strict=True):
-                    out.append((int(s[0]), chunk, *(x.tobytes() for x in blocks), None, None))
-                yield pd.DataFrame(out, columns=["shard", "chunk", "a", "b", "c", "n", "doc_id", "held_out"])
+                out = [(-1 - chunk % plan["shards"], chunk, 0, 0, np.concatenate(facts).tobytes(), b"", rows["doc_id"].tolist(), held.tolist())]
+                first = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
+                for i, j in zip(first[:-1], first[1:], strict=True):
+                    at, own = order[i:j], text[until[i] : until[j]]
+                    out.append((int(shard[at[0]]), chunk, int(j - i), len(own), _packed(np.diff(x1[at], prepend=0), x2[at], x3[at], n[at], times[i:j]), _packed(own), None, None))
+                yield pd.DataFrame(out, columns=["shard", "chunk", "keys", "tokens", "a", "b", "doc_id", "held_out"])
 
     return ask
 
 
-ANSWERED = "chunk long, shard int, a binary, b binary, c binary, doc_id array<string>, held_out array<boolean>"
+ANSWERED = "chunk long, shard int, a binary, doc_id array<string>, held_out array<boolean>"
 
 
 def _answer(plan: dict):
-    """Builds a shard's levels from what it is asked and told, maps them, and answers: codes of log10 p in the order of each block."""
+    """Builds a shard's levels from what it is asked and told, maps them, and answers: of each block the sums of log10 p by text."""
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
         if shard < 0:
-            return pdf[["chunk", "shard", "a", "b", "c", "doc_id", "held_out"]]
+            return pdf[["chunk", "shard", "a", "doc_id", "held_out"]]
         words = Words(plan)
-        bounds = np.cumsum([len(x) // 4 for x in pdf["a"]])[:-1]
-        h1, h2, w, n = (np.frombuffer(b"".join(pdf[k]), np.uint32).astype(np.int64) for k in ("a", "b", "c", "n"))
+        blocks = [_unpacked(x, k) for x, k in zip(pdf["a"], pdf["keys"], strict=True)]
+        bounds = np.cumsum([0, *pdf["keys"]])
+        h1, h2, w, n = (np.concatenate(c) for c in ([np.cumsum(x[0]) for x in blocks], *([x[k] for x in blocks] for k in (1, 2, 3))))
+        times = [x[4] for x in blocks]
+        del blocks
         (h1, h2, w), place = _distinct(h1, h2, w)
         n = np.bincount(place, n, len(h1)).astype(np.int64)
         name = posixpath.join(plan["folder"], f"grams-{shard}")
@@ -347,9 +366,12 @@ def _answer(plan: dict):
             d[hot], g[hot] = Hot(plan).look(h1[hot], w[hot])
         p = d + g * p
         d, g = Level(meta, arrays, "three").look(h1 << HALF | h2, w)
-        codes = quantise(d + g * p)[place]
-        blocks = [x.tobytes() for x in np.split(codes, bounds)]
-        return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "a": blocks, "b": b"", "c": b"", "doc_id": None, "held_out": None})
+        said = np.log10(np.minimum(d + g * p, 1.0))
+        sums = []
+        for k, (data, tokens) in enumerate(zip(pdf["b"], pdf["tokens"], strict=True)):
+            own = np.repeat(said[place[bounds[k] : bounds[k + 1]]], times[k])
+            sums.append(np.bincount(_unpacked(data, tokens)[0], own).astype(np.float32).tobytes())
+        return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "a": sums, "doc_id": None, "held_out": None})
 
     return answer
 
@@ -450,14 +472,15 @@ def train(texts: DataFrame) -> dict:
 
 
 def _sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The answers of a part, in the order of the shards, summed up by text."""
+    """The answers of a part, summed up by text."""
     pdf = pdf.sort_values("shard")
     facts = pdf.iloc[0]
-    p = log_of(np.frombuffer(b"".join(pdf["a"].iloc[1:]), np.uint16))
-    at = np.frombuffer(facts["a"], np.uint16).astype(np.int64) | np.frombuffer(facts["b"], np.uint16).astype(np.int64) << 16
-    sizes, known, base = np.frombuffer(facts["c"], np.int64).reshape(3, -1)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    return pd.DataFrame({"doc_id": list(facts["doc_id"]), "held_out": list(facts["held_out"]), "n_tokens": sizes, "n_known": known, "base_score": base.view(np.float64), "score": np.add.reduceat(p[at], starts)})
+    sizes, known, base = np.frombuffer(facts["a"], np.int64).reshape(3, -1)
+    total = np.zeros(len(sizes))
+    for x in pdf["a"].iloc[1:]:
+        x = np.frombuffer(x, np.float32)
+        total[: len(x)] += x
+    return pd.DataFrame({"doc_id": list(facts["doc_id"]), "held_out": list(facts["held_out"]), "n_tokens": sizes, "n_known": known, "base_score": base.view(np.float64), "score": total})
 
 
 def held_out(doc_id: str = "doc_id", mod: int = 7, rest: int = 2):
