@@ -46,7 +46,7 @@ FAN = 16
 #: Width of a bin of angles from a dense group's centre, and what angles are trusted to.
 BIN, SLACK = math.pi / 360, 1e-6
 #: Rows of lists have no tie; rows of ties (v, tie) list the tie alone; rows of crowded vectors list nothing.
-LISTS = "v long, near array<struct<s:double,u:long>>, tie long, crowded boolean"
+LISTS = "v long, s array<double>, u array<long>, tie long, crowded boolean"
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -97,8 +97,8 @@ def _best(v: np.ndarray, u: np.ndarray, s: np.ndarray) -> pd.DataFrame:
     v, u, s = v[new], u[new], s[new]
     starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
     ends = np.append(starts[1:], len(v))
-    near = [[{"s": float(a), "u": int(b)} for a, b in zip(s[i:j], u[i:j], strict=True)] for i, j in zip(starts, ends, strict=True)]
-    return pd.DataFrame({"v": v[starts], "near": near})
+    cut = lambda x: [x[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return pd.DataFrame({"v": v[starts], "s": cut(s), "u": cut(u)})
 
 
 def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,19 +154,22 @@ def _meet(threshold: float):
                 # pair by pair, so that a pair has one value wherever it is met
                 ss.append(np.einsum("ij,ij->i", x[a + i], x[a + j]))
         v, u, s = map(np.concatenate, (vs, us, ss))
-        lists = _best(v, u, s) if len(v) else pd.DataFrame({"v": v, "near": []})
+        lists = _best(v, u, s) if len(v) else pd.DataFrame({"v": v, "s": [], "u": []})
         ties, first = np.unique(np.concatenate(ties), axis=0, return_index=True)
         crowded = np.unique(np.concatenate(crowded))
         v, tie = np.concatenate([lists["v"], ties[:, 0], crowded]), pd.array([*[None] * len(lists), *ties[:, 1], *[None] * len(crowded)], "Int64")
-        alone = [[{"s": float(a), "u": int(b)}] for a, b in zip(np.concatenate(tied)[first], ties[:, 1], strict=True)]
-        return pd.DataFrame({"v": v, "near": [*lists["near"], *alone, *[[]] * len(crowded)], "tie": tie, "crowded": np.arange(len(v)) >= len(v) - len(crowded)})
+        none = [np.empty(0)] * len(crowded)
+        s = [*lists["s"], *np.concatenate(tied)[first][:, None], *none]
+        u = [*lists["u"], *ties[:, 1:], *[x.astype(np.int64) for x in none]]
+        return pd.DataFrame({"v": v, "s": s, "u": u, "tie": tie, "crowded": np.arange(len(v)) >= len(v) - len(crowded)})
 
     return meet
 
 
 def _met(rows: DataFrame, reps: DataFrame, threshold: float, total: int) -> DataFrame:
     dealt = rows.join(reps.select("v", "e"), "v").withColumn("b", F.pmod(F.xxhash64("g"), F.lit(max(1, -(-total // GROUP_ROWS)))))
-    return settle(dealt.groupBy("b").applyInPandas(_meet(threshold), LISTS))
+    met = dealt.groupBy("b").applyInPandas(_meet(threshold), LISTS)
+    return settle(met.select("v", F.arrays_zip("s", "u").alias("near"), "tie", "crowded"))
 
 
 def _ties(met: DataFrame) -> DataFrame:
