@@ -148,6 +148,11 @@ def write_flat(uri: str, meta: dict, arrays: dict[str, np.ndarray]) -> None:
     store.move(tmp, path)
 
 
+def remove_flat(uri: str) -> None:
+    store, path = fs.FileSystem.from_uri(uri)
+    store.delete_file(path)
+
+
 def map_flat(uri: str) -> tuple[dict, dict[str, np.ndarray]]:
     """The file's arrays, memory-mapped. From a store that is no folder here it is
     first copied to a nameless local file, which ends with the mapping."""

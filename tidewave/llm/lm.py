@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, settle, words_of
-from .eliasfano import EliasFano, map_flat, write_flat
+from .eliasfano import EliasFano, map_flat, remove_flat, write_flat
 
 #: What is taken off the count of an n-gram that occurs once, twice, or more often.
 DISCOUNTS = (0.8, 1.1, 1.4)
@@ -355,7 +355,7 @@ def _answer(plan: dict):
         del blocks
         (h1, h2, w), place = _distinct(h1, h2, w)
         n = np.bincount(place, n, len(h1)).astype(np.int64)
-        name = posixpath.join(plan["folder"], f"grams-{shard}")
+        name = posixpath.join(plan["folder"], f"grams-{shard}-{uuid.uuid4().hex}")
         _build(plan, name, h1[n > 0], h2[n > 0], w[n > 0], n[n > 0])
         meta, arrays = map_flat(name)
         seen, inverse = np.unique(w, return_inverse=True)
@@ -367,6 +367,7 @@ def _answer(plan: dict):
         p = d + g * p
         d, g = Level(meta, arrays, "three").look(h1 << HALF | h2, w)
         said = np.log10(np.minimum(d + g * p, 1.0))
+        remove_flat(name)  # all that is asked of this shard is answered; a task that is run again builds it again
         sums = []
         for k, (data, tokens) in enumerate(zip(pdf["b"], pdf["tokens"], strict=True)):
             own = np.repeat(said[place[bounds[k] : bounds[k + 1]]], times[k])
