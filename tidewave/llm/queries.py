@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, mixing, nndescent, packing, quality, sharding, simhash, topk, toxicity, variants, warc
+from . import codes, languages, lm, mixing, nndescent, packing, quality, sharding, simhash, topk, toxicity, variants, warc
 from .common import table
 
 
@@ -55,6 +55,14 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.predict_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # beside the package, at the top of the repository
 
@@ -62,9 +70,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_topk, op3_simhash, op4_toxicity, op5_mixing, op6_quality, op7_nndescent, op8_packing, op9_lm, op10_warc, op11_variants, pipeline]
+    found = [op1_sharding, op2_topk, op3_simhash, op4_toxicity, op5_mixing, op6_quality, op7_nndescent, op8_packing, op9_lm, op10_warc, op11_variants, op12_codes, op13_language, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE, "op5_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE, "op11_variants": variants.ORACLE}
+    return {"op2_topk": topk.ORACLE, "op5_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE, "op11_variants": variants.ORACLE, "op12_codes": codes.ORACLE}
