@@ -113,7 +113,7 @@ PRIMES = ((2_147_483_629, 1_000_003), (2_147_483_587, 998_244_353))
 
 
 def _without_each(letters: np.ndarray) -> np.ndarray:
-    """Hashes of a word and of the word with each letter left out, by running sums of letters times powers."""
+    """Hashes of a word with each letter left out, and of the word, by running sums of letters times powers."""
     out = np.zeros(len(letters) + 1, np.uint64)
     for p, b in PRIMES:
         powers = np.ones(1, np.uint64)
@@ -121,24 +121,29 @@ def _without_each(letters: np.ndarray) -> np.ndarray:
             powers = np.concatenate([powers, powers * np.uint64(pow(b, len(powers), p)) % np.uint64(p)])
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters.astype(np.uint64) * powers[: len(letters)] % np.uint64(p), dtype=np.uint64)])
         after = (sums[-1] - sums[1:]) % np.uint64(p) * np.uint64(pow(b, -1, p))
-        out = out << np.uint64(31) | np.append(sums[-1] % np.uint64(p), (sums[:-1] + after) % np.uint64(p))
-    return np.unique(out)
+        out = out << np.uint64(31) | np.append((sums[:-1] + after) % np.uint64(p), sums[-1] % np.uint64(p))
+    return out
 
 
 def _hashes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         for name, word in zip(pdf["id"], pdf["word"], strict=True):
             keys = _without_each(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32) + 1)
-            yield pd.DataFrame({"id": name, "key": keys.view(np.int64)})
+            yield pd.DataFrame({"id": name, "at": np.append(np.arange(len(keys) - 1), -1), "key": keys.view(np.int64)})
 
 
 def match_long(words: DataFrame) -> DataFrame:
-    """``(word, n, near)`` of words over ``WALKED`` letters and those as long as that: what is left of both after at most one letter is equal, and the words differ by one edit."""
+    """``(word, n, near)`` of words over ``WALKED`` letters and those as long as that: without the letter at one
+    place both are equal, or one is what is left of the other. Hashes give the candidates, the words decide."""
     ids = words.where(F.length("word") >= WALKED).select(F.xxhash64("word").alias("id"), "word", "n")
-    keys = ids.mapInPandas(_hashes, "id long, key long")
-    pairs = keys.join(keys.select("key", F.col("id").alias("other")), "key").where("id <> other").select("id", "other").distinct()
+    keys = ids.mapInPandas(_hashes, "id long, at long, key long")
+    less, same = keys.where("at >= 0"), ["key", "at"]
+    replaced = less.join(less.withColumnRenamed("id", "other"), same).where("id <> other").select("id", "other", "at", F.lit(True).alias("both"))
+    left_out = less.join(keys.where("at < 0").select("key", F.col("id").alias("other")), "key").select("id", "other", "at", F.lit(False).alias("both"))
+    pairs = replaced.unionByName(left_out).groupBy("id", "other", "both").agg(F.min("at").alias("at"))
     pairs = pairs.join(ids, "id").join(ids.select(F.col("id").alias("other"), F.col("word").alias("near")), "other")
-    return pairs.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near")
+    without = lambda c: F.concat(F.substring(F.col(c), F.lit(1), F.col("at")), F.substring(F.col(c), F.col("at") + 2, F.length(c)))
+    return pairs.where(without("word") == F.when(F.col("both"), without("near")).otherwise(F.col("near"))).where("word <> near").select("word", "n", "near")
 
 
 def near_words(words: DataFrame) -> DataFrame:
