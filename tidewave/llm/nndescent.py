@@ -4,8 +4,9 @@ Every vector keeps a list of its nearest known neighbours. The lists start in
 buckets of random hyperplanes; then, round by round, the vectors that have a
 neighbour in common meet there and are compared, and better neighbours replace
 worse ones. A list that holds links only may lack some: it is saturated, and
-is made twice as long, up to ``LONGEST``. The edges at or over the threshold
-are kept. Every meeting also gives a forest of all links in it, so that a list
+is made twice as long, up to ``LONGEST``. Rounds end when no list grows and
+one has found hardly any new link. The edges at or over the threshold are
+kept. Every meeting also gives a forest of all links in it, so that a list
 that is full of a dense group's own members hides no other group.
 
 A vector with more links than the longest list holds is crowded, and its
@@ -41,6 +42,8 @@ SHARED = 0.99
 TILE, GROUP_ROWS = 512, 16_384
 #: The audit's sample of each kind, at most; the true links it wants to see; the recall it asks for.
 AUDIT, AUDIT_MOST, AUDIT_LINKS, RECALL = 512, 4096, 100, 0.95
+#: The share of links found last that is too few for another round.
+FEW = 0.001
 #: Edges of a forest that one vector has, where its neighbours are linked with each other.
 FAN = 16
 #: Width of a bin of angles from a dense group's centre, and what angles are trusted to.
@@ -50,7 +53,7 @@ LISTS = "v long, s array<double>, u array<long>, tie long, crowded boolean"
 
 
 def _unit(column: pd.Series) -> np.ndarray:
-    x = np.array(column.tolist(), np.float64).reshape(len(column), -1)
+    x = np.concatenate(column.to_list()).astype(np.float64).reshape(len(column), -1)  # all of one length
     x = x / np.abs(x).max(1, keepdims=True)  # or the squares of large components would not be finite
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -125,7 +128,8 @@ def _meet(threshold: float):
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         vs, us, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         ties, tied, crowded = [np.empty((0, 2), np.int64)], [np.empty(0)], [np.empty(0, np.int64)]
-        for part in _by_length(pdf.sort_values("g", kind="stable")):
+        # by v, too: forests and ties must not depend on the order in which rows arrive
+        for part in _by_length(pdf.sort_values(["g", "v"])):
             x, v, g = _unit(part["e"]), part["v"].to_numpy(), part["g"].to_numpy()
             kth, k = part["kth"].to_numpy(), part["k"].to_numpy()
             cut = np.flatnonzero(g[1:] != g[:-1]) + 1
@@ -221,6 +225,12 @@ def _merge(lists: DataFrame, threshold: float) -> DataFrame:
     return settle(rows.select("v", F.when(full, F.least(F.col("k") * 2, F.lit(LONGEST))).otherwise(F.col("k")).alias("k"), "near", full.alias("full"), crowded.alias("crowded")))
 
 
+def _progress(state: DataFrame, threshold: float) -> tuple[int, int]:
+    """How many lists are still to grow, and the links that all lists hold; crowded vectors count as lists of the longest."""
+    links = F.when(F.col("crowded"), LONGEST).otherwise(F.size(F.filter("near", lambda x: x["s"] >= threshold)))
+    return tuple(state.agg(F.count_if(F.col("full") & ~F.col("crowded")), F.coalesce(F.sum(links), F.lit(0))).first())
+
+
 def _round(state: DataFrame, reps: DataFrame, threshold: float, salt: int) -> DataFrame:
     """Vectors meet at each neighbour that they have: those with a neighbour in common, and the neighbour.
     Crowded ones stay away: their groups are counted exactly in the end."""
@@ -412,14 +422,15 @@ def descend(reps: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     met = drawn(k, 0)
     # ties stay at hand: one that a short list had no room for has a place when the list has grown
     state, ties = _merge(new(met, k), threshold), met.where("tie is not null")
+    _, links = _progress(state, threshold)
     for r in range(1, MOST_ROUNDS + 1):
         met = _round(state, reps, threshold, r)
         if r > ROUNDS and k > NEIGHBOURS:
             met = met.unionByName(drawn(k, r))
         lists = state.select("v", F.greatest("k", F.lit(k)).alias("k"), "near", "crowded").unionByName(new(met, k)).unionByName(new(ties, k))
         state, ties = _merge(lists, threshold), ties.unionByName(met.where("tie is not null"))
-        growing = state.where(F.col("full") & ~F.col("crowded")).limit(1).count()
-        if r >= ROUNDS and (not growing or r == MOST_ROUNDS):
+        before, (growing, links) = links, _progress(state, threshold)
+        if r >= ROUNDS and (r == MOST_ROUNDS or not growing and links - before <= FEW * links):
             edges, roots = _facts(state, _ties(ties), threshold)
             recall, seen = audit(reps, edges, roots, threshold)
             if recall is None or recall >= RECALL:
