@@ -118,3 +118,15 @@ def test_no_training_texts_and_no_rows(spark):
     r = lm.score_documents(spark.createDataFrame([(held, "a b", "s")], SCHEMA)).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (3, 0, 0, 0.0, 0.0)
     assert lm.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(("top", "n"), [(50, 2000), (1 << 31, 2000), (1 << 31, 3_000_000)])
+def test_distinct_rows_of_any_number_of_words(top, n):
+    """Packed, packed as ranks, and sorted by columns, where three ranks don't go into 63 bits."""
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, top, n) for _ in range(3)]
+    columns = [np.concatenate([c, c[:100]]) for c in columns]
+    got, place = lm._distinct(*columns)
+    assert all((g[place] == c).all() for g, c in zip(got, columns, strict=True))
+    keys = list(zip(*(g[:5000].tolist() for g in got), strict=True))
+    assert keys == sorted(set(keys)) and len(got[0]) == place.max() + 1

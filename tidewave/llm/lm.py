@@ -267,22 +267,25 @@ def shard_of(plan: dict, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows in order, and the place of each row among them."""
-    ranks = []
-    for c in columns:
-        if c.max(initial=0) < 1 << 21:
-            ranks.append((c, None))
-        else:
-            values, r = np.unique(c, return_inverse=True)
-            ranks.append((r, values))
-    if max(r.max(initial=0) for r, _ in ranks) >= 1 << 21:
-        raise ValueError("a shard holds too many words; make SHARD_TOKENS smaller")
+    width = lambda values: [int(c.max(initial=0)).bit_length() for c in values]
+    ranks = [(c, None) for c in columns]
+    if sum(width(columns)) > 63:
+        ranks = [(r, values) for values, r in (np.unique(c, return_inverse=True) for c in columns)]
+    bits = width([r for r, _ in ranks])
+    if sum(bits) > 63:  # a text of so many words that not even their ranks go into one number
+        order = np.lexsort(columns[::-1])
+        new = np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in columns], 0)])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return [c[order[new]] for c in columns], place
     key = np.zeros(len(columns[0]), np.int64)
-    for r, _ in ranks:
-        key = key << 21 | r
+    for (r, _), n in zip(ranks, bits, strict=True):
+        key = key << n | r
     key, place = np.unique(key, return_inverse=True)
     out = []
-    for k, (_, values) in enumerate(reversed(ranks)):
-        r = key >> (21 * k) & (1 << 21) - 1
+    for (_, values), n in zip(ranks[::-1], bits[::-1], strict=True):
+        r = key & (1 << n) - 1
+        key = key >> n
         out.append(r if values is None else values[r])
     return out[::-1], place
 
