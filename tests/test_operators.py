@@ -1,5 +1,6 @@
 """Operators against plain loops and known signals."""
 
+import collections
 import math
 import struct
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewave.functions import bands as fb
-from tidewave.operators import panes, patterns, peaks, reports, rollup, scan, spectral, stats
+from tidewave.operators import panes, patterns, peaks, reports, rollup, scan, spectral, stats, walk
+from tidewave.operators.extrema import Extrema
 from tidewave.sources import media, series, tables
 from tidewave.streaming import windowed_levels
 
@@ -150,9 +152,10 @@ def test_worst_cases_keep_away_from_patterns(spark):
     rows = spark.createDataFrame([("t", 0, i, v) for i, v in enumerate(db)], "track_id string, channel_index int, sample_idx long, db double")
     found = peaks.find_peaks(rows, -20.0, 1)
     taken = found.where("peak_idx in (20, 60)")
-    at = lambda **k: sorted(r["peak_idx"] for r in peaks.worst_case(found, rows, 10.0, 9, taken, **k).collect())
-    assert at() == [62, 120, 170] and at(exclude_seconds=0.3) == [120, 170]
-    assert at(exclude_seconds=0.3, least=3) == [20, 60, 62, 120, 170]
+    at = lambda top: sorted(r["peak_idx"] for r in peaks.worst_case(found, rows, 10.0, top, taken).collect())
+    assert at(9) == [62, 120, 170] and at(1) == [62, 120, 170]  # three at least, of those that are no pattern's
+    cut = {r["peak_idx"]: r for r in peaks.worst_case(found, rows, 10.0, 2, window=8).collect()}
+    assert sorted(cut) == [20, 60, 120] and cut[60]["start_idx"] == 56 and cut[60]["window"] == db[56:64]
     bands = {k: reports.envelope_analysis(rows.withColumn("band_hz", F.lit(4.0)), 10.0, -20.0, 1, 6, (*peaks.KEYS, "band_hz"), least=2)[k] for k in ("peaks", "worst_cases", "sustained_summary")}
     assert bands["peaks"].count() == 5 and "band_hz" in bands["worst_cases"].columns and bands["sustained_summary"].first()["n_peaks"] == 3
 
@@ -269,3 +272,59 @@ def test_streamed_windows_equal_the_batch(spark, tmp_path):
     q.stop()
     key = lambda r: (r["window_start"], r["event_type"], r["n"], round(r["rms"], 9))
     assert sorted(map(key, spark.table("levels").collect())) == sorted(map(key, windowed_levels(e, "2 minutes").collect()))
+
+
+@pytest.mark.parametrize("holes", [False, True])
+def test_first_and_last_hits_are_those_of_a_search_in_full(holes):
+    rng = np.random.default_rng(8)
+    db = np.round(np.cumsum(rng.standard_normal(20_000)), 1)
+    db[rng.integers(0, len(db), 50)] = np.nan
+    idx = np.sort(rng.choice(60_000, len(db), replace=False)) if holes else np.arange(500, 500 + len(db))
+    x = Extrema(idx, db)
+    for _ in range(400):
+        a, b = sorted(rng.integers(0, idx[-1] + 100, 2).tolist())
+        level = float(rng.choice(db[np.isfinite(db)])) + rng.choice([-30, 0, 30])
+        for test, hit in (("at most", db <= level), ("below", db < level), ("at least", db >= level)):
+            found = idx[hit & (idx >= a) & (idx < b)]
+            assert x.first(a, b, level, test) == (found[0] if len(found) else None)
+            assert x.last(a, b, level, test) == (found[-1] if len(found) else None)
+
+
+def test_the_work_for_a_peak_grows_with_the_logarithm_of_the_range():
+    looked = []
+    for n in (10_000, 100_000, 1_000_000):
+        x = Extrema(np.arange(n), np.append(np.zeros(n - 1), -99.0))
+        assert x.first(1, n, -50.0, "at most") == n - 1
+        looked.append(x.looked)
+    assert looked[-1] <= 8 * 64 and looked[-1] - looked[0] <= 4 * 64
+
+
+def test_peaks_and_their_times_over_blocks(spark, monkeypatch):
+    """Islands over several blocks, and searches that leave their block."""
+    monkeypatch.setattr(peaks, "BLOCK", 50)
+    rng = np.random.default_rng(12)
+    db = np.round(np.cumsum(rng.standard_normal(1500)) % 40 - 40)
+    rows = spark.createDataFrame([("t", c, i, float(v)) for c in range(3) for i, v in enumerate(db[: 500 * (c + 1)])], "track_id string, channel_index int, sample_idx long, db double")
+    for distance in (3, 20, 200):
+        got = collections.defaultdict(list)
+        for r in peaks.find_peaks(rows, -30.0, distance, block=37).collect():
+            got[r["channel_index"]].append((r["peak_idx"], r["peak_db"]))
+        assert {c: sorted(v) for c, v in got.items()} == {c: find_peaks(db[: 500 * (c + 1)].tolist(), -30.0, distance) for c in range(3)}
+    one = rows.where("channel_index = 2")
+    for r in peaks.sustained_events(peaks.find_peaks(one, -30.0, 20), one, 10.0, -10.0, seconds=7.0).collect():
+        i, v = r["peak_idx"], r["peak_db"]
+        ahead = db[i : i + 70]
+        first = lambda hit: int(np.argmax(hit)) if hit.any() else len(hit)
+        assert (r["hold_ms"], r["t6_ms"]) == (first(ahead < v - 1) * 100.0, first(ahead <= v - 6) * 100.0)
+
+
+def test_groups_that_batches_cut(spark):
+    """A walk gives each group whole, whatever batches its rows come in."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.range(500).selectExpr("id", "concat('k', cast(sqrt(id) as int)) as k", "cast(id % 3 as int) as c")
+        got = walk.by_group(rows, ["k", "c"], ["id"], lambda key, r: {"n": [len(r["id"])], "first": [r["id"][0]], "up": [bool((np.diff(r["id"]) > 0).all())]}, "n long, first long, up boolean")
+        want = rows.groupBy("k", "c").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.lit(True).alias("up"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
@@ -109,12 +110,21 @@ def extreme_chunks(chunks: DataFrame, keys=KEYS, skip_silent: bool = False) -> D
     return ranks.where("_lo = 1 or _hi = 1").select(*chunks.columns, kinds)
 
 
-def block_reference(rows: DataFrame, lengths: list[int], keys=KEYS) -> DataFrame:
+def chunks_of_lengths(rows: DataFrame, lengths: Sequence[int], keys=KEYS) -> DataFrame:
+    """``(keys, window, chunk_idx, peak, rms)`` of the whole chunks of several lengths.
+
+    The chunks are put together from panes of the length that all are multiples
+    of, so it is panes, not samples, that go into every length.
+    """
+    g = gcd(*lengths)
+    every = panes(rows, g, keys).withColumn("window", F.explode(F.array(*map(F.lit, lengths))))
+    c = every.groupBy(*keys, "window", F.expr(f"pane div (window div {g})").alias("chunk_idx")).agg(F.max("peak").alias("peak"), F.sum("squares").alias("squares"), F.sum("n").alias("n"))
+    return c.where("n = window").select(*keys, "window", "chunk_idx", "peak", F.sqrt(F.col("squares") / F.col("n")).alias("rms"))
+
+
+def block_reference(rows: DataFrame, lengths: Sequence[int], keys=KEYS) -> DataFrame:
     """The distribution of chunk crest factors for several chunk lengths."""
-    x = F.col("value")
-    expanded = rows.withColumn("window", F.explode(F.array(*map(F.lit, lengths))))
-    p = expanded.groupBy(*keys, "window", F.expr("sample_idx div window").alias("pane")).agg(F.max(F.abs(x)).alias("peak"), F.sqrt(F.avg(x * x)).alias("rms"), F.count("*").alias("n"))
-    c = p.where("n = window and rms > 0").withColumn("cf", crest_db(F.col("peak"), F.col("rms")))
+    c = chunks_of_lengths(rows, lengths, keys).where("rms > 0").withColumn("cf", crest_db(F.col("peak"), F.col("rms")))
     q = lambda v: F.percentile("cf", F.lit(v))
     return c.groupBy(*keys, "window").agg(
         F.count("*").alias("num_windows"), F.min("cf").alias("min_cf_db"), F.avg("cf").alias("mean_cf_db"), q(0.5).alias("median_cf_db"),

@@ -1,24 +1,27 @@
-"""Peaks of an envelope: detection, and attack, hold, decay and recovery times around them."""
+"""Peaks of an envelope: detection, and attack, hold, decay and recovery times around them.
+
+All of it is done block by block. What a block can't say by itself, because
+its first or last runs of equal levels, or its first or last islands of peaks,
+may go on in the next block, are a few rows a block, which alone are put
+together along the series.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import walk
+from .extrema import Extrema
+
 KEYS = ("track_id", "channel_index")
 #: Samples of a block, at least; a block's task sees what lies around it, too.
 BLOCK = 1 << 16
-#: Islands of peaks that one call of the suppression handles.
-ISLANDS = 64
-
-
-def _types(df: DataFrame, names) -> str:
-    types = dict(df.dtypes)
-    return ", ".join(f"{k} {types[k]}" for k in names)
+#: The cases that are examined in full, at least.
+LEAST_CASES = 3
 
 
 def _runs(idx: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,46 +34,40 @@ def local_maxima(rows: DataFrame, keys=KEYS, height: float | None = None, block:
     """Strict local maxima of ``(keys, sample_idx, db)``; a plateau counts once, at its middle.
 
     The ends of a series are no maxima. Blocks are searched by themselves;
-    the three runs of equal values at either of a block's ends are settled along
-    the series.
+    the three runs of equal values at either of a block's ends are put
+    together along the series.
     """
     keys = list(keys)
     least = -np.inf if height is None else height
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        a, b, v = _runs(pdf["sample_idx"].to_numpy(), pdf["db"].to_numpy())
+    def search(_, rows: walk.Columns) -> walk.Columns:
+        a, b, v = _runs(rows["sample_idx"], rows["db"])
         inner = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) & (v[1:-1] >= least)) + 1
         # the first and last runs may go on in the next block, and the second ones are judged beside them
         inner = inner[(inner > 1) & (inner < len(v) - 2)] if len(v) > 6 else inner[:0]
-        edge = np.arange(len(v))
-        if len(v) > 6:  # with a mark for the runs that are not here
-            edge = np.concatenate([edge[:3], [-1], edge[-3:]])
-        at, gap = np.concatenate([inner, edge]).astype(int), np.concatenate([np.zeros(len(inner), bool), edge == -1])
-        pick = lambda x, miss: np.where(gap, miss, x[np.maximum(at, 0)])
-        own = {k: [pdf[k].iloc[0]] * len(at) for k in keys}
-        return pd.DataFrame(own | {"inner": np.arange(len(at)) < len(inner), "a": pick(a, b[min(2, len(b) - 1)]), "b": pick(b, 0), "db": pick(v, np.nan)})
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        inner, edge = pdf[pdf["inner"]], pdf[~pdf["inner"]]
-        edge = edge.assign(gap=edge["db"].isna()).sort_values(["a", "gap"])
+        edge = np.concatenate([np.arange(3), np.arange(len(v) - 3, len(v))]) if len(v) > 6 else np.arange(len(v))
+        at = np.concatenate([inner, edge])
+        gap = np.zeros(len(at), bool)
+        if len(v) > 6:  # what comes before the last three is not here
+            gap[-3] = True
+        return {"inner": np.arange(len(at)) < len(inner), "gap": gap, "a": a[at], "b": b[at], "db": v[at]}
+
+    def settle(_, rows: walk.Columns) -> walk.Columns:
         runs: list[list] = []
-        for a, b, v, gap in zip(edge["a"].tolist(), edge["b"].tolist(), edge["db"].tolist(), edge["gap"].tolist(), strict=True):
+        for a, b, v, gap in zip(rows["a"].tolist(), rows["b"].tolist(), rows["db"].tolist(), rows["gap"].tolist(), strict=True):
             if gap:
                 runs.append([a, a, None])
-            elif runs and runs[-1][2] == v:
+            if runs and runs[-1][2] == v:
                 runs[-1][1] = b
             else:
                 runs.append([a, b, v])
         found = [(x[0], x[1], x[2]) for w, x, y in zip(runs, runs[1:], runs[2:], strict=False) if None not in (w[2], x[2], y[2]) and w[2] < x[2] > y[2] and x[2] >= least]
-        middle = np.concatenate([(inner["a"].to_numpy() + inner["b"].to_numpy()) // 2, np.array([(a + b) // 2 for a, b, _ in found], np.int64)])
-        level = np.concatenate([inner["db"].to_numpy(), np.array([v for *_, v in found], np.float64)])
-        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(middle) for k in keys} | {"peak_idx": middle, "peak_db": level})
+        return {"peak_idx": [(a + b) // 2 for a, b, _ in found], "peak_db": [v for *_, v in found]}
 
-    blocks = rows.select(*keys, "sample_idx", "db", F.expr(f"sample_idx div {block}").alias("_block"))
-    schema = _types(rows, keys)
-    runs = blocks.groupBy(*keys, "_block").applyInPandas(search, f"{schema}, inner boolean, a long, b long, db double")
-    return runs.groupBy(*keys).applyInPandas(settle, f"{schema}, peak_idx long, peak_db double")
+    blocks = rows.select(*keys, F.expr(f"sample_idx div {block}").alias("_block"), "sample_idx", "db")
+    runs = walk.by_group(blocks, [*keys, "_block"], ["sample_idx"], search, "inner boolean, gap boolean, a long, b long, db double", keys)
+    inner = runs.where("inner").select(*keys, F.expr("(a + b) div 2").alias("peak_idx"), F.col("db").alias("peak_db"))
+    return inner.unionByName(walk.by_group(runs.where("not inner"), keys, ["a"], settle, "peak_idx long, peak_db double"))
 
 
 def suppress(idx: np.ndarray, db: np.ndarray, distance: int) -> np.ndarray:
@@ -84,99 +81,108 @@ def suppress(idx: np.ndarray, db: np.ndarray, distance: int) -> np.ndarray:
     return keep
 
 
-def find_peaks(rows: DataFrame, height: float, distance: int, keys=KEYS) -> DataFrame:
+def find_peaks(rows: DataFrame, height: float, distance: int, keys=KEYS, block: int = BLOCK) -> DataFrame:
     """``(keys, peak_idx, peak_db)``: maxima of a height, no two nearer than ``distance``.
 
     Where the gap between neighbouring maxima is ``distance`` at least, what
-    lies on either side is independent. These islands are suppressed by
-    themselves, so a series is spread over many tasks.
+    lies on either side is independent. A block suppresses the islands that
+    lie inside of it; those that its neighbours may add to, because they come
+    within ``distance`` of its ends, are suppressed along the series.
     """
-    by = Window.partitionBy(*keys).orderBy("peak_idx")
-    gap = F.col("peak_idx") - F.lag("peak_idx").over(by)
-    found = local_maxima(rows, keys, height)
+    keys = list(keys)
+    found = local_maxima(rows, keys, height, block)
     if distance <= 1:
         return found
-    found = found.withColumn("_new", F.when(gap < distance, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(by)).drop("_new")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("peak_idx")
-        return pdf[suppress(pdf["peak_idx"].to_numpy(), pdf["peak_db"].to_numpy(), distance)].drop(columns="_group")
+    def islands(key: tuple, rows: walk.Columns) -> walk.Columns:
+        at, db = rows["peak_idx"], rows["peak_db"]
+        start, end = key[-1] * block, (key[-1] + 1) * block
+        cut = np.flatnonzero(np.diff(at) >= distance) + 1
+        a = cut[0] if len(cut) else len(at)  # the first island, and the last
+        z = cut[-1] if len(cut) else 0
+        a = a if start and at[0] - start + 1 < distance else 0
+        z = z if end - at[-1] < distance else len(at)
+        edge = (np.arange(len(at)) < a) | (np.arange(len(at)) >= z)
+        stays = suppress(at, db, distance) | edge
+        return {"edge": edge[stays], "peak_idx": at[stays], "peak_db": db[stays]}
+
+    def greedy(_, rows: walk.Columns) -> walk.Columns:
+        stays = suppress(rows["peak_idx"], rows["peak_db"], distance)
+        return {"peak_idx": rows["peak_idx"][stays], "peak_db": rows["peak_db"][stays]}
 
-    grouped = found.select(*keys, F.expr(f"_island div {ISLANDS}").alias("_group"), "peak_idx", "peak_db")
-    schema = ", ".join(f"{c} {t}" for c, t in grouped.dtypes if c != "_group")
-    return grouped.groupBy(*keys, "_group").applyInPandas(greedy, schema)
+    blocks = found.select(*keys, F.expr(f"peak_idx div {block}").alias("_block"), "peak_idx", "peak_db")
+    held = walk.by_group(blocks, [*keys, "_block"], ["peak_idx"], islands, "edge boolean, peak_idx long, peak_db double", keys)
+    edges = walk.by_group(held.where("edge").drop("edge"), keys, ["peak_idx"], greedy, "peak_idx long, peak_db double")
+    return held.where("not edge").drop("edge").unionByName(edges)
 
 
-def around(peaks: DataFrame, rows: DataFrame, back: int, ahead: int, measure, columns: str, keys=KEYS) -> DataFrame:
-    """``measure(idx, db, peak_idx, peak_db)`` of every peak, over the samples up to ``back`` before and ``ahead`` after it.
+def around(peaks: DataFrame, rows: DataFrame, back: int, ahead: int, measure, columns: str, keys=KEYS, few: bool = False) -> DataFrame:
+    """``measure(levels, peak_idx, peak_db)`` of every peak; ``levels`` has the samples up to ``back`` before and ``ahead`` after it.
 
     A block's task has the block's peaks, and the samples of the block and of
     what lies around it: a sample is in few blocks, however many peaks are
-    near it. ``measure`` gives a row of ``columns``, or None for no row; an
-    ``idx`` or ``db`` of no samples is a peak beyond its series.
+    near it, and is looked at through a tree of :class:`Extrema`. ``measure``
+    gives a row of ``columns``, or None for no row. ``few``: most blocks have
+    no peak, so their samples are left where they are.
     """
     keys = list(keys)
     size = max(BLOCK, back + ahead)
     names = [c.split()[0] for c in columns.split(", ")]
-    where = F.expr(f"peak_idx div {size}").alias("_block")
-    held = peaks.select(*(F.col(k).alias(k) for k in keys), "peak_idx", "peak_db", where)
+    held = peaks.select(*(F.col(k).alias(k) for k in keys), F.expr(f"peak_idx div {size}").alias("_block"), F.lit(True).alias("_peak"), F.col("peak_idx").alias("idx"), F.col("peak_db").alias("db"))
     near = F.explode(F.sequence(F.floor(F.greatest(F.col("sample_idx") - ahead, F.lit(0)) / size), F.floor((F.col("sample_idx") + back) / size))).alias("_block")
-    samples = rows.select(*keys, "sample_idx", "db", near).join(held.select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi")
+    samples = rows.select(*keys, near, F.lit(False).alias("_peak"), F.col("sample_idx").alias("idx"), "db")
+    if few:
+        samples = samples.join(held.select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi")
 
-    def look(key: tuple, p: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("sample_idx")
-        idx, db = x["sample_idx"].to_numpy(), x["db"].to_numpy()
-        out = []
-        for i, v in zip(p["peak_idx"].tolist(), p["peak_db"].tolist(), strict=True):
-            a, b = np.searchsorted(idx, [i - back, i + ahead + 1])
-            if (row := measure(idx[a:b], db[a:b], i, v)) is not None:
-                out.append((*key[:-1], i, v, *row))
-        return pd.DataFrame(out, columns=[*keys, "peak_idx", "peak_db", *names])
+    def look(_, rows: walk.Columns) -> walk.Columns | None:
+        n = int(np.searchsorted(rows["_peak"], True))
+        levels, found = Extrema(rows["idx"][:n], rows["db"][:n]), []
+        for i, v in zip(rows["idx"][n:].tolist(), rows["db"][n:].tolist(), strict=True):
+            if (row := measure(levels, i, v)) is not None:
+                found.append((i, v, *row))
+        if not found:
+            return None
+        return dict(zip(["peak_idx", "peak_db", *names], map(list, zip(*found, strict=True)), strict=True))
 
-    schema = f"{_types(peaks, keys)}, peak_idx long, peak_db double, {columns}"
-    return held.groupBy(*keys, "_block").cogroup(samples.groupBy(*keys, "_block")).applyInPandas(look, schema)
+    both = samples.unionByName(held)
+    return walk.by_group(both, [*keys, "_block"], ["_peak", "idx"], look, f"peak_idx long, peak_db double, {columns}", keys)
 
 
-def _first(hit: np.ndarray, idx: np.ndarray, cap: int) -> tuple[int, bool]:
-    """Where a condition first holds, or ``cap``, and whether it does."""
-    at = int(np.argmax(hit)) if len(hit) else 0
-    return (int(idx[at]), True) if len(hit) and hit[at] else (cap, False)
+def _attack(x: Extrema, i: int, v: float, rate: float, threshold: float, back: int) -> float:
+    low = x.last(i - back, i + 1, v - threshold, "below")
+    return max((i - (max(i - back, 0) if low is None else low + 1)) / rate * 1000, 0.0)
 
 
-def _attack(idx, db, i, v, rate, threshold, back):
-    before = idx <= i
-    low = idx[before][db[before] < v - threshold]
-    start = int(low[-1]) + 1 if len(low) else max(i - back, 0)
-    return max((i - start) / rate * 1000, 0.0)
+def _hold(x: Extrema, i: int, v: float, rate: float, threshold: float, n: int) -> float | None:
+    first = x.first(i - n, i + n, v - threshold, "at least")
+    return None if first is None else (x.last(i - n, i + n, v - threshold, "at least") - first) / rate * 1000
 
 
-def _hold(idx, db, i, v, rate, threshold, n):
-    near = idx[(idx >= i - n) & (idx < i + n) & (db >= v - threshold)]
-    return (int(near[-1]) - int(near[0])) / rate * 1000 if len(near) else None
+def _cap(x: Extrema, i: int, n: int) -> int:
+    """Where a search of ``n`` samples ends: with them, or with the series."""
+    a, b = x.between(i, i + n)
+    return int(x.idx[b - 1]) + 1 if b > a else i
 
 
-def _decay(idx, db, i, v, rate, thresholds, n, relative=True) -> list:
+def _decay(x: Extrema, i: int, v: float, rate: float, thresholds: Sequence[float], n: int, relative: bool = True) -> list:
     """Times to each threshold, and whether it is reached; a search ends with the series, or after ``n`` samples."""
-    a, b = np.searchsorted(idx, [i, i + n])
-    x, y = idx[a:b], db[a:b]
-    cap = min(int(x[-1]) + 1, i + n) if len(x) else i
-    out = []
+    out: list = []
     for t in thresholds:
-        end, reached = _first(y <= (v + t if relative else t), x, cap)
-        out += [(end - i) / rate * 1000, reached]
+        end = x.first(i, i + n, v + t if relative else t, "at most")
+        out += [((_cap(x, i, n) if end is None else end) - i) / rate * 1000, end is not None]
     return out
 
 
 def attack_times(peaks: DataFrame, rows: DataFrame, rate: float, threshold: float = 20.0, seconds: float = 10.0, keys=KEYS) -> DataFrame:
     """Milliseconds from the last sample more than ``threshold`` dB under the peak, looking back, to the peak."""
     back = int(seconds * rate)
-    return around(peaks, rows, back, 0, lambda idx, db, i, v: (_attack(idx, db, i, v, rate, threshold, back),), "attack_time_ms double", keys)
+    return around(peaks, rows, back, 0, lambda x, i, v: (_attack(x, i, v, rate, threshold, back),), "attack_time_ms double", keys)
 
 
 def hold_times(peaks: DataFrame, rows: DataFrame, rate: float, threshold: float = 1.0, seconds: float = 5.0, keys=KEYS) -> DataFrame:
     """Milliseconds between the first and the last sample around the peak within ``threshold`` dB of it."""
     n = int(seconds * rate)
-    found = around(peaks, rows, n, n - 1, lambda idx, db, i, v: (_hold(idx, db, i, v, rate, threshold, n),), "peak_hold_time_ms double", keys)
+    found = around(peaks, rows, n, n - 1, lambda x, i, v: (_hold(x, i, v, rate, threshold, n),), "peak_hold_time_ms double", keys)
     return found.drop("peak_db").where("peak_hold_time_ms is not null")
 
 
@@ -184,16 +190,16 @@ def decay_times(peaks: DataFrame, rows: DataFrame, rate: float, thresholds: Sequ
     """Milliseconds until the envelope is at or under each threshold, capped at the end of the search."""
     n = int(seconds * rate)
     columns = ", ".join(f"decay_{abs(int(t))}db_ms double, decay_{abs(int(t))}db_reached boolean" for t in thresholds)
-    return around(peaks, rows, 0, n - 1, lambda idx, db, i, v: _decay(idx, db, i, v, rate, thresholds, n, relative), columns, keys)
+    return around(peaks, rows, 0, n - 1, lambda x, i, v: _decay(x, i, v, rate, thresholds, n, relative), columns, keys)
 
 
 def sustained_events(peaks: DataFrame, rows: DataFrame, rate: float, least_db: float = -3.0, thresholds: Sequence[float] = (-3, -6, -9, -12), seconds: float = 5.0, keys=KEYS, relative: bool = True) -> DataFrame:
     """Of peaks of ``least_db`` or more: how long the level holds within 1 dB, and the recovery times."""
     n = int(seconds * rate)
 
-    def measure(idx, db, i, v):
-        cap = min(int(idx[-1]) + 1, i + n) if len(idx) else i
-        return (*_decay(idx, db, i, v, rate, thresholds, n, relative)[::2], (_first(db < v - 1.0, idx, cap)[0] - i) / rate * 1000)
+    def measure(x: Extrema, i: int, v: float) -> tuple:
+        end = x.first(i, i + n, v - 1.0, "below")
+        return (*_decay(x, i, v, rate, thresholds, n, relative)[::2], ((_cap(x, i, n) if end is None else end) - i) / rate * 1000)
 
     columns = ", ".join(f"t{abs(int(t))}_ms double" for t in thresholds) + ", hold_ms double"
     found = around(peaks.where(F.col("peak_db") >= least_db), rows, 0, n - 1, measure, columns, keys)
@@ -208,44 +214,57 @@ def sustained_summary(events: DataFrame, series: DataFrame, names: Sequence[str]
     return series.select(*keys).distinct().join(s, list(keys), "left").na.fill(0, ["n_peaks", *(n for n, _ in aggs)])
 
 
-def worst_case(peaks: DataFrame, rows: DataFrame, rate: float, top: int = 5, exclude: DataFrame | None = None, sort_by: str = "peak_value", attack: float = 20.0, hold: float = 1.0, keys=KEYS, exclude_seconds: float = 0.0, least: int = 0) -> DataFrame:
-    """The ``top`` peaks that are not near those of ``exclude``, with their attack, hold and decay times.
+def worst_case(
+    peaks: DataFrame, rows: DataFrame, rate: float, top: int = 5, exclude: DataFrame | None = None, sort_by: str = "peak_value", attack: float = 20.0, hold: float = 1.0, keys=KEYS,
+    window: int | dict[float, int] | None = None,
+) -> DataFrame:
+    """The ``top`` peaks, and ``LEAST_CASES`` at least, that are not among those of ``exclude``, with their attack, hold and decay times.
 
     ``sort_by``: ``peak_value``, also for ``energy``; ``decay_time`` ranks by
-    the time to 12 dB under the peak. Peaks within ``exclude_seconds`` of an
-    excluded one are left out as well; but where fewer than ``least`` peaks of
-    a series would stay, all of them do.
+    the time to 12 dB under the peak. With a ``window``, as for
+    :func:`windows_around`, the result has that of each peak, or null.
     """
     keys = list(keys)
     peaks = peaks.select(*keys, "peak_idx", "peak_db")
     if exclude is not None:
-        reach = int(exclude_seconds * rate)
-        width = F.lit(max(1, reach))
-        spread = exclude.select(*keys, F.col("peak_idx").alias("_other"), F.explode(F.sequence(F.floor((F.col("peak_idx") - reach) / width), F.floor((F.col("peak_idx") + reach) / width))).alias("_cell"))
-        near = peaks.withColumn("_cell", F.floor(F.col("peak_idx") / width)).join(spread, [*keys, "_cell"]).where(F.abs(F.col("peak_idx") - F.col("_other")) <= reach)
-        marked = peaks.join(near.select(*keys, "peak_idx").distinct().withColumn("_near", F.lit(True)), [*keys, "peak_idx"], "left")
-        left = F.count_if(F.col("_near").isNull()).over(Window.partitionBy(*keys))
-        peaks = marked.withColumn("_left", left).where((F.col("_left") < least) | F.col("_near").isNull()).select(*keys, "peak_idx", "peak_db")
+        peaks = peaks.join(exclude.select(*keys, "peak_idx").distinct(), [*keys, "peak_idx"], "left_anti")
     order = [F.desc("peak_db"), F.asc("peak_idx")]
     if sort_by == "decay_time":
         peaks = decay_times(peaks, rows, rate, (-12,), 30.0, keys).select(*keys, "peak_idx", "peak_db", "decay_12db_ms")
         order = [F.desc("decay_12db_ms"), *order]
-    ranked = peaks.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top).select(*keys, "rank", "peak_idx", "peak_db")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ranked = peaks.withColumn("rank", place).where(F.col("rank") <= max(top, LEAST_CASES)).select(*keys, "rank", "peak_idx", "peak_db")
     thresholds, back, five, thirty = (-3, -6, -9, -12), int(10.0 * rate), int(5.0 * rate), int(30.0 * rate)
 
-    def measure(idx, db, i, v):
-        return (_attack(idx, db, i, v, rate, attack, back), _hold(idx, db, i, v, rate, hold, five), *_decay(idx, db, i, v, rate, thresholds, thirty))
+    def measure(x: Extrema, i: int, v: float) -> tuple:
+        return (_attack(x, i, v, rate, attack, back), _hold(x, i, v, rate, hold, five), *_decay(x, i, v, rate, thresholds, thirty))
 
     columns = "attack_time_ms double, peak_hold_time_ms double, " + ", ".join(f"decay_{-t}db_ms double, decay_{-t}db_reached boolean" for t in thresholds)
-    times = around(ranked, rows, max(back, five), thirty - 1, measure, columns, keys).drop("peak_db")
-    return ranked.join(times, [*keys, "peak_idx"]).withColumn("peak_time_seconds", F.col("peak_idx") / rate)
+    times = around(ranked, rows, max(back, five), thirty - 1, measure, columns, keys, few=True).drop("peak_db")
+    out = ranked.join(times, [*keys, "peak_idx"]).withColumn("peak_time_seconds", F.col("peak_idx") / rate)
+    if window is not None:
+        out = out.join(windows_around(ranked, rows, window, keys, few=True).drop("peak_db"), [*keys, "peak_idx"], "left")
+    return out
 
 
-def windows_around(peaks: DataFrame, rows: DataFrame, window: int, keys=KEYS) -> DataFrame:
-    """``window``: the samples from half a window before each peak to half a window after it, clipped at the
-    ends of the series; peaks with less than half of the samples go."""
-    half = window // 2
-    return around(peaks, rows, half, half - 1, lambda idx, db, i, v: (int(idx[0]), db.tolist()) if len(idx) >= max(1, window // 2) else None, "start_idx long, window array<double>", keys)
+def windows_around(peaks: DataFrame, rows: DataFrame, window: int | dict[float, int], keys=KEYS, few: bool = False) -> DataFrame:
+    """``start_idx`` and ``window``: the levels from half a window before each peak to half a window after it, clipped
+    at the ends of the series; peaks with less than half of the samples go. A dict has the lengths of bands, by ``band_hz``."""
+    lengths = window if isinstance(window, dict) else None
+    half = max(lengths.values() if lengths else [window]) // 2
+    if lengths:
+        size = F.try_element_at(F.create_map(*(F.lit(v) for k in lengths.items() for v in k)), "band_hz")
+        # the length travels as the peak's level, which is joined back to it
+        asked = peaks.select(*keys, "peak_idx", size.cast("double").alias("peak_db"))
+    else:
+        asked = peaks.select(*keys, "peak_idx", F.lit(float(window)).alias("peak_db"))
+
+    def cut(x: Extrema, i: int, size: float) -> tuple | None:
+        a, b = x.between(i - int(size) // 2, i + int(size) // 2)
+        return (int(x.idx[a]), x.db[a:b].tolist()) if b - a >= max(1, int(size) // 2) else None
+
+    found = around(asked, rows, half, half - 1, cut, "start_idx long, window array<double>", keys, few).drop("peak_db")
+    return peaks.select(*keys, "peak_idx", "peak_db").join(found, [*keys, "peak_idx"])
 
 
 def window_length_ms(band_hz: Column, wavelengths: float, fallback_ms: float, cap_ms: float = 500.0) -> Column:

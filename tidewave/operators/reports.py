@@ -108,20 +108,15 @@ def extreme_band_statistics(blocks: DataFrame, centres: Sequence[float], rate: f
 def tau_study(rows: DataFrame, taus: Sequence[float], lengths: Sequence[int], rms_tau: float, block: int = 4096, warm_up: int = 1) -> DataFrame:
     """``(length, tau, mean_abs_error_db, rmse_db)``: which decay of the peak hold comes nearest to the
     chunks' own crest factors, over all channels, for each length of chunk. Times are in samples."""
-    from ..sources.series import to_blocks, to_rows
-
-    b = to_blocks(rows, block)
-    slow = to_rows(scan.envelope(b, "slow", 1 - math.exp(-1 / rms_tau))).withColumnRenamed("value", "rms")
-    held = None
-    for tau in taus:
-        one = to_rows(scan.envelope(b, "hold", math.exp(-1 / tau))).withColumnRenamed("value", "peak").withColumn("tau", F.lit(tau))
-        held = one if held is None else held.unionByName(one)
-    both = held.join(slow, [*KEYS, "sample_idx"]).select("*", F.explode(F.array(*map(F.lit, lengths))).alias("length")).where("(sample_idx + 1) % length = 0 and rms > 0")
-    cand = both.select(*KEYS, "tau", "length", F.expr("(sample_idx + 1) div length - 1").alias("window_idx"), crest_db(F.col("peak"), F.col("rms")).alias("crest_factor_db"))
-    ref = None
-    for n in lengths:
-        one = panes.fixed_chunk(rows, n).select(*KEYS, F.lit(n).alias("length"), F.col("chunk_idx").alias("window_idx"), "crest_factor_db")
-        ref = one if ref is None else ref.unionByName(one)
+    from ..sources.series import to_blocks
+
+    specs = [("slow", 1 - math.exp(-1 / rms_tau)), *(("hold", math.exp(-1 / tau)) for tau in taus)]
+    at = scan.sampled(to_blocks(rows, block), specs, lengths).where("e0 > 0").withColumnRenamed("step", "length")
+    made = F.explode(F.array(*(F.struct(F.lit(tau).alias("tau"), F.col(f"e{k}").alias("peak")) for k, tau in enumerate(taus, 1)))).alias("x")
+    cand = at.select(*KEYS, F.col("length").cast("int").alias("length"), F.expr("(sample_idx + 1) div length - 1").alias("window_idx"), F.col("e0").alias("rms"), made)
+    cand = cand.select(*KEYS, "x.tau", "length", "window_idx", crest_db(F.col("x.peak"), F.col("rms")).alias("crest_factor_db"))
+    level = F.coalesce(crest_db(F.col("peak"), F.col("rms")), F.lit(0.0)).alias("crest_factor_db")
+    ref = panes.chunks_of_lengths(rows, lengths).select(*KEYS, F.col("window").alias("length"), F.col("chunk_idx").alias("window_idx"), level)
     errors = rollup.compare_to_reference(cand, ref, [*KEYS, "length", "tau"], warm_up=warm_up)
     pooled = errors.groupBy("length", "tau").agg(F.avg("mean_abs_error_db").alias("mean_abs_error_db"), F.avg("rmse_db").alias("rmse_db"))
     return rollup.best_candidates(pooled, ["length"], "tau")

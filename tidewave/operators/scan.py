@@ -2,9 +2,11 @@
 
 Each recurrence is a function of the state it is given, and such functions
 compose: a block is summarised by a few numbers, the summaries of a run of
-blocks by as few, the runs of a series are folded in order into the state every
-run and then every block starts with, and a second pass over the blocks fills
-the values in. The blocks are the unit of work, never a series.
+blocks by as few, and the runs of a series are folded in order into the state
+that every run starts with. Then each run is walked once, block by block, and
+its values are filled in. The run is the unit of work, never a series; a series
+of one run needs no summaries. Several envelopes, of any kinds and rates, are
+made in the same pass.
 
     peak hold   e = max(|x|, d e)              (M, D):    max(M, D e)
     slow RMS    y = y + a (x^2 - y)            (A, B):    A y + B
@@ -17,7 +19,7 @@ values that are scaled by the decay, in pieces in which the scale stays finite.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import dbfs
+from . import walk
 
 KEYS = ["track_id", "channel_index"]
 
@@ -42,6 +45,8 @@ def peak_hold(rows: DataFrame, decay: float, keys=KEYS) -> DataFrame:
     return rows.select(*keys, "sample_idx", F.coalesce(F.exp(F.max(shifted).over(w) - decay * F.col("sample_idx")), F.lit(0.0)).alias("envelope"))
 
 
+#: Envelopes: kind and rate of each.
+Specs = Sequence[tuple[str, float]]
 #: Blocks of a run, and how far a piece's scale may grow, as a power of e.
 RUN, GROWTH = 4096, 300.0
 
@@ -99,71 +104,111 @@ def summary(kind: str, rate: float, x: np.ndarray, first: bool) -> tuple[float,
     return float(_follow(a, keep, -math.inf)[-1]) if n else -math.inf, keep**n, float(_smooth(a, keep, 0.0)[-1])
 
 
-def values(kind: str, rate: float, x: np.ndarray, first: bool, e: float) -> np.ndarray:
-    """The envelope of a block from the state it starts with."""
-    if kind == "hold":
-        return _hold(np.abs(x), rate, e)
+def values(kind: str, rate: float, x: np.ndarray, first: bool, e: float) -> tuple[np.ndarray, float]:
+    """The envelope of a block from the state it starts with, and the state it ends with."""
+    if not len(x):
+        return np.empty(0), e
     if kind == "slow":
         y = x * x
-        return np.sqrt(np.maximum(_smooth(y, 1 - rate, y[0] if first else e), 0.0))
-    return _follow(np.abs(x), 1 - rate, e)
-
-
-def _key_types(df: DataFrame) -> str:
-    return ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in KEYS)
-
+        y = _smooth(y, 1 - rate, y[0] if first else e)
+        return np.sqrt(np.maximum(y, 0.0)), float(y[-1])
+    out = _hold(np.abs(x), rate, e) if kind == "hold" else _follow(np.abs(x), 1 - rate, e)
+    return out, float(out[-1])
 
-def _fold(pdf: pd.DataFrame, e: float) -> tuple[list[float], float]:
-    """The state before each row of (p, q, r), in order, and after the last."""
-    before = []
-    for p, q, r in zip(pdf["p"].tolist(), pdf["q"].tolist(), pdf["r"].tolist(), strict=True):
-        before.append(e)
-        e = max(p, q * e + r)
-    return before, e
 
-
-def carries(blocks: DataFrame, kind: str, rate: float, name: str = "carry") -> DataFrame:
-    """``(keys, block_idx, carry)``: the state that every block starts with, in time linear in the blocks."""
+def states(blocks: DataFrame, specs: Specs) -> DataFrame:
+    """``(keys, run, e0, e1, ...)``: the state that each run but the first starts with, of each envelope, in time
+    linear in the blocks. Series of one run are not read."""
+    k = range(len(specs))
+    names = [f"{c}{i}" for i in k for c in "pqr"]
+    doubles = ", ".join(f"{c} double" for c in names)
 
     def summarise(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            pqr = [summary(kind, rate, np.asarray(x, np.float64), k == 0) for k, x in zip(pdf["block_idx"], pdf["samples"], strict=True)]
-            yield pdf[[*KEYS, "block_idx"]].assign(run=pdf["block_idx"] // RUN, p=[o[0] for o in pqr], q=[o[1] for o in pqr], r=[o[2] for o in pqr])
+            found = [[v for kind, rate in specs for v in summary(kind, rate, np.asarray(x, np.float64), n == 0)] for n, x in zip(pdf["block_idx"], pdf["samples"], strict=True)]
+            rows = pd.DataFrame(found, columns=names, dtype=np.float64)
+            yield pd.concat([pdf[[*KEYS, "block_idx"]].assign(run=pdf["block_idx"] // RUN).reset_index(drop=True), rows], axis=1)
+
+    def compose(_, rows: walk.Columns) -> walk.Columns:
+        out = {}
+        for i in k:
+            p, q, r = -math.inf, 1.0, 0.0
+            for a, b, c in zip(*(rows[f"{n}{i}"].tolist() for n in "pqr"), strict=True):
+                p, q, r = max(a, b * p + c) if b else max(a, c), b * q, b * r + c
+            out |= {f"p{i}": [p], f"q{i}": [q], f"r{i}": [r]}
+        return out
+
+    def fold(_, rows: walk.Columns) -> walk.Columns:
+        out: walk.Columns = {"run": rows["run"][1:]}
+        for i in k:
+            e, before = 0.0, []
+            for p, q, r in zip(*(rows[f"{n}{i}"].tolist() for n in "pqr"), strict=True):
+                before.append(e)
+                e = max(p, q * e + r)
+            out[f"e{i}"] = before[1:]
+        return out
+
+    long = blocks.groupBy(*KEYS).agg(F.max("block_idx").alias("_last")).where(F.col("_last") >= RUN).select(*KEYS)
+    rows = blocks.select(*KEYS, "block_idx", "samples").join(long, KEYS, "left_semi")
+    rows = rows.mapInPandas(summarise, f"{walk.types_of(blocks, KEYS)}, block_idx long, run long, {doubles}")
+    runs = walk.by_group(rows, [*KEYS, "run"], ["block_idx"], compose, doubles)
+    return walk.by_group(runs, KEYS, ["run"], fold, "run long, " + ", ".join(f"e{i} double" for i in k))
+
+
+def scan(blocks: DataFrame, specs: Specs, emit: Callable, columns: str) -> DataFrame:
+    """``(keys, columns)`` from one walk over the blocks of each run.
+
+    ``emit(block_idx, start_sample, envelopes)`` gives the columns of a block;
+    ``specs`` are pairs of kind and rate.
+    """
+    specs, k = list(specs), range(len(specs))
+    for kind, _ in specs:
+        if kind not in ("hold", "slow", "follow"):
+            raise ValueError(f"unknown envelope {kind!r}")
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, e = None, [0.0] * len(specs)
+        for pdf in parts:
+            found, sizes = [], []
+            starts = np.stack([pdf[f"e{i}"].fillna(0.0).to_numpy(np.float64) for i in k], 1).tolist()
+            keys = zip(pdf[KEYS[0]], pdf[KEYS[1]], pdf["run"], strict=True)
+            for key, n, start, x, begun in zip(keys, pdf["block_idx"].tolist(), pdf["start_sample"].tolist(), pdf["samples"], starts, strict=True):
+                if key != at:
+                    at, e = key, begun
+                made = [values(kind, rate, np.asarray(x, np.float64), n == 0, e[i]) for i, (kind, rate) in enumerate(specs)]
+                e = [state for _, state in made]
+                found.append(emit(n, start, [v for v, _ in made]))
+                sizes.append(len(found[-1][names[0]]))
+            if found:
+                own = {c: np.repeat(pdf[c].to_numpy(), sizes) for c in KEYS}
+                yield pd.DataFrame(own | {c: walk.stacked([f[c] for f in found]) for c in names})
+
+    held = blocks.select(*KEYS, F.expr(f"block_idx div {RUN}").alias("run"), "block_idx", "start_sample", "samples")
+    by = [*KEYS, "run"]
+    held = held.join(states(blocks, specs), by, "left")
+    return held.repartition(*by).sortWithinPartitions(*by, "block_idx").mapInPandas(fill, f"{walk.types_of(blocks, KEYS)}, {columns}")
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_idx")
-        p, q, r = -math.inf, 1.0, 0.0
-        for a, b, c in zip(pdf["p"].tolist(), pdf["q"].tolist(), pdf["r"].tolist(), strict=True):
-            p, q, r = max(a, b * p + c) if b else max(a, c), b * q, b * r + c
-        return pdf.iloc[:1][[*KEYS, "run"]].assign(p=p, q=q, r=r)
 
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("run")
-        return pdf[[*KEYS, "run"]].assign(start=_fold(pdf, 0.0)[0])
+def envelope(blocks: DataFrame, kind: str, rate: float) -> DataFrame:
+    """Blocks of an envelope: ``hold`` (rate = the factor a sample), ``slow`` or ``follow`` (rate = the share of the new value)."""
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_idx")
-        return pdf[[*KEYS, "block_idx"]].assign(carry=_fold(pdf, float(pdf["start"].iloc[0]))[0]).rename(columns={"carry": name})
+    def emit(n: int, start: int, made: list[np.ndarray]) -> walk.Columns:
+        return {"block_idx": [n], "start_sample": [start], "samples": made}
 
-    types = _key_types(blocks)
-    rows = blocks.select(*KEYS, "block_idx", "samples").mapInPandas(summarise, f"{types}, block_idx long, run long, p double, q double, r double")
-    runs = rows.groupBy(*KEYS, "run").applyInPandas(compose, f"{types}, run long, p double, q double, r double")
-    begun = runs.groupBy(*KEYS).applyInPandas(starts, f"{types}, run long, start double")
-    return rows.join(begun, [*KEYS, "run"]).groupBy(*KEYS, "run").applyInPandas(inside, f"{types}, block_idx long, {name} double")
+    return scan(blocks, [(kind, rate)], emit, "block_idx long, start_sample long, samples array<double>")
 
 
-def envelope(blocks: DataFrame, kind: str, rate: float) -> DataFrame:
-    """Blocks of an envelope: ``hold`` (rate = the factor a sample), ``slow`` or ``follow`` (rate = the share of the new value)."""
-    if kind not in ("hold", "slow", "follow"):
-        raise ValueError(f"unknown envelope {kind!r}")
+def sampled(blocks: DataFrame, specs: Specs, steps: Sequence[int]) -> DataFrame:
+    """``(keys, step, sample_idx, e0, e1, ...)``: all envelopes at the ends of the steps of every length, from one walk."""
+    names = [f"e{i}" for i in range(len(specs))]
 
-    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = [values(kind, rate, np.asarray(x, np.float64), k == 0, e) for k, e, x in zip(pdf["block_idx"], pdf["carry"], pdf["samples"], strict=True)]
-            yield pdf[[*KEYS, "block_idx", "start_sample"]].assign(samples=rows)
+    def emit(_: int, start: int, made: list[np.ndarray]) -> walk.Columns:
+        at = [np.arange(step - 1 - start % step, len(made[0]), step) for step in steps]
+        every = np.concatenate(at)
+        return {"step": np.repeat(np.array(steps, np.int64), [len(a) for a in at]), "sample_idx": start + every} | {n: v[every] for n, v in zip(names, made, strict=True)}
 
-    j = blocks.join(carries(blocks, kind, rate), [*KEYS, "block_idx"])
-    return j.mapInPandas(fill, f"{_key_types(blocks)}, block_idx long, start_sample long, samples array<double>")
+    return scan(blocks, specs, emit, "step long, sample_idx long, " + ", ".join(f"{n} double" for n in names))
 
 
 def moving_rms(rows: DataFrame, window: int, keys=KEYS) -> DataFrame:
@@ -181,18 +226,7 @@ def slow_crest(rows: DataFrame, step: int, rate: float = 1.0, rms_tau: float = 1
     from ..sources.series import to_blocks
 
     hold, share = math.exp(-1 / (peak_tau * rate)), 1 - math.exp(-1 / (rms_tau * rate))
-    b = to_blocks(rows, block)
-
-    def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for row in pdf.itertuples(index=False):
-                x, first = np.asarray(row.samples, np.float64), row.block_idx == 0
-                at = np.arange(step - 1 - row.start_sample % step, len(x), step)
-                high, rms = values("hold", hold, x, first, row.held)[at], values("slow", share, x, first, row.slow)[at]
-                yield pd.DataFrame({k: getattr(row, k) for k in KEYS} | {"sample_idx": row.start_sample + at, "peak": high, "rms": rms})
-
-    j = b.join(carries(b, "hold", hold, "held"), [*KEYS, "block_idx"]).join(carries(b, "slow", share, "slow"), [*KEYS, "block_idx"])
-    at = j.mapInPandas(ends, f"{_key_types(b)}, sample_idx long, peak double, rms double")
+    at = sampled(to_blocks(rows, block), [("hold", hold), ("slow", share)], [step]).withColumnsRenamed({"e0": "peak", "e1": "rms"})
     c = F.when(F.col("rms") > 0, F.greatest(F.col("peak") / F.col("rms"), F.lit(1.0)))
     return at.select(
         *KEYS, F.expr(f"(sample_idx + 1) div {step} - 1").alias("window_idx"), ((F.col("sample_idx") + 1) / rate).alias("time_seconds"), c.alias("crest_factor"),
