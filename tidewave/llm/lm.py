@@ -268,10 +268,11 @@ def shard_of(plan: dict, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows in order, and the place of each row among them."""
     width = lambda values: [int(c.max(initial=0)).bit_length() for c in values]
-    ranks = [(c, None) for c in columns]
-    if sum(width(columns)) > 63:
-        ranks = [(r, values) for values, r in (np.unique(c, return_inverse=True) for c in columns)]
-    bits = width([r for r, _ in ranks])
+    ranks, bits = [(c, None) for c in columns], width(columns)
+    for k, c in enumerate(columns):
+        if sum(bits) > 63:  # ranks take fewer bits
+            values, r = np.unique(c, return_inverse=True)
+            ranks[k], bits[k] = (r, values), len(values).bit_length()
     if sum(bits) > 63:  # a text of so many words that not even their ranks go into one number
         order = np.lexsort(columns[::-1])
         new = np.concatenate([[True], np.any([c[order[1:]] != c[order[:-1]] for c in columns], 0)])
