@@ -4,6 +4,9 @@ All of it is done block by block. What a block can't say by itself, because
 its first or last runs of equal levels, or its first or last islands of peaks,
 may go on in the next block, are a few rows a block, which alone are put
 together along the series.
+
+Levels come as rows ``(keys, sample_idx, db)`` or, with no row a sample, as
+blocks ``(keys, start_sample, levels)`` of any length.
 """
 
 from __future__ import annotations
@@ -30,8 +33,22 @@ def _runs(idx: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return idx[start], idx[np.append(start[1:], len(db)) - 1], db[start]
 
 
+def _samples(rows: walk.Columns) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and levels of the samples of rows, or of blocks in order."""
+    if "levels" not in rows:
+        return rows["sample_idx"], rows["db"]
+    blocks = list(zip(rows["start_sample"].tolist(), rows["levels"], strict=True))
+    if not blocks:
+        return np.empty(0, np.int64), np.empty(0)
+    return np.concatenate([np.arange(a, a + len(x)) for a, x in blocks]).astype(np.int64), np.concatenate([x for _, x in blocks])
+
+
+def in_blocks(levels: DataFrame) -> bool:
+    return "levels" in levels.columns
+
+
 def local_maxima(rows: DataFrame, keys=KEYS, height: float | None = None, block: int = BLOCK) -> DataFrame:
-    """Strict local maxima of ``(keys, sample_idx, db)``; a plateau counts once, at its middle.
+    """Strict local maxima of levels; a plateau counts once, at its middle.
 
     The ends of a series are no maxima. Blocks are searched by themselves;
     the three runs of equal values at either of a block's ends are put
@@ -41,7 +58,7 @@ def local_maxima(rows: DataFrame, keys=KEYS, height: float | None = None, block:
     least = -np.inf if height is None else height
 
     def search(_, rows: walk.Columns) -> walk.Columns:
-        a, b, v = _runs(rows["sample_idx"], rows["db"])
+        a, b, v = _runs(*_samples(rows))
         inner = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) & (v[1:-1] >= least)) + 1
         # the first and last runs may go on in the next block, and the second ones are judged beside them
         inner = inner[(inner > 1) & (inner < len(v) - 2)] if len(v) > 6 else inner[:0]
@@ -64,8 +81,12 @@ def local_maxima(rows: DataFrame, keys=KEYS, height: float | None = None, block:
         found = [(x[0], x[1], x[2]) for w, x, y in zip(runs, runs[1:], runs[2:], strict=False) if None not in (w[2], x[2], y[2]) and w[2] < x[2] > y[2] and x[2] >= least]
         return {"peak_idx": [(a + b) // 2 for a, b, _ in found], "peak_db": [v for *_, v in found]}
 
-    blocks = rows.select(*keys, F.expr(f"sample_idx div {block}").alias("_block"), "sample_idx", "db")
-    runs = walk.by_group(blocks, [*keys, "_block"], ["sample_idx"], search, "inner boolean, gap boolean, a long, b long, db double", keys)
+    columns = "inner boolean, gap boolean, a long, b long, db double"
+    if in_blocks(rows):
+        runs = walk.by_row(rows.select(*keys, "start_sample", "levels").where(F.size("levels") > 0), keys, search, columns)
+    else:
+        blocks = rows.select(*keys, F.expr(f"sample_idx div {block}").alias("_block"), "sample_idx", "db")
+        runs = walk.by_group(blocks, [*keys, "_block"], ["sample_idx"], search, columns, keys)
     inner = runs.where("inner").select(*keys, F.expr("(a + b) div 2").alias("peak_idx"), F.col("db").alias("peak_db"))
     return inner.unionByName(walk.by_group(runs.where("not inner"), keys, ["a"], settle, "peak_idx long, peak_db double"))
 
@@ -129,14 +150,18 @@ def around(peaks: DataFrame, rows: DataFrame, back: int, ahead: int, measure, co
     size = max(BLOCK, back + ahead)
     names = [c.split()[0] for c in columns.split(", ")]
     held = peaks.select(*(F.col(k).alias(k) for k in keys), F.expr(f"peak_idx div {size}").alias("_block"), F.lit(True).alias("_peak"), F.col("peak_idx").alias("idx"), F.col("peak_db").alias("db"))
-    near = F.explode(F.sequence(F.floor(F.greatest(F.col("sample_idx") - ahead, F.lit(0)) / size), F.floor((F.col("sample_idx") + back) / size))).alias("_block")
-    samples = rows.select(*keys, near, F.lit(False).alias("_peak"), F.col("sample_idx").alias("idx"), "db")
+    blocks = in_blocks(rows)
+    first = F.col("start_sample" if blocks else "sample_idx")
+    last = first + F.size("levels") - 1 if blocks else first
+    near = F.explode(F.sequence(F.floor(F.greatest(first - ahead, F.lit(0)) / size), F.floor((last + back) / size))).alias("_block")
+    samples = (rows.where(F.size("levels") > 0) if blocks else rows).select(*keys, near, F.lit(False).alias("_peak"), first.alias("idx"), "levels" if blocks else "db")
     if few:
         samples = samples.join(held.select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi")
 
     def look(_, rows: walk.Columns) -> walk.Columns | None:
         n = int(np.searchsorted(rows["_peak"], True))
-        levels, found = Extrema(rows["idx"][:n], rows["db"][:n]), []
+        own = {"start_sample": rows["idx"][:n], "levels": rows["levels"][:n]} if blocks else {"sample_idx": rows["idx"][:n], "db": rows["db"][:n]}
+        levels, found = Extrema(*_samples(own)), []
         for i, v in zip(rows["idx"][n:].tolist(), rows["db"][n:].tolist(), strict=True):
             if (row := measure(levels, i, v)) is not None:
                 found.append((i, v, *row))
@@ -144,7 +169,7 @@ def around(peaks: DataFrame, rows: DataFrame, back: int, ahead: int, measure, co
             return None
         return dict(zip(["peak_idx", "peak_db", *names], map(list, zip(*found, strict=True)), strict=True))
 
-    both = samples.unionByName(held)
+    both = samples.unionByName(held, allowMissingColumns=True)
     return walk.by_group(both, [*keys, "_block"], ["_peak", "idx"], look, f"peak_idx long, peak_db double, {columns}", keys)
 
 
@@ -267,6 +292,15 @@ def windows_around(peaks: DataFrame, rows: DataFrame, window: int | dict[float,
     return peaks.select(*keys, "peak_idx", "peak_db").join(found, [*keys, "peak_idx"])
 
 
-def window_length_ms(band_hz: Column, wavelengths: float, fallback_ms: float, cap_ms: float = 500.0) -> Column:
+#: A pattern's window is no longer than this.
+LONGEST_MS = 500.0
+
+
+def window_ms(band_hz: float, wavelengths: float, fallback_ms: float, cap_ms: float = LONGEST_MS) -> float:
+    """:func:`window_length_ms` of one band."""
+    return min(wavelengths / band_hz * 1000, cap_ms) if band_hz > 0 else 2 * fallback_ms
+
+
+def window_length_ms(band_hz: Column, wavelengths: float, fallback_ms: float, cap_ms: float = LONGEST_MS) -> Column:
     """Length of a pattern window: wavelengths of the band up to a cap, twice the fallback for the full spectrum."""
     return F.when(band_hz > 0, F.least(wavelengths / band_hz * 1000, F.lit(cap_ms))).otherwise(F.lit(2 * fallback_ms))

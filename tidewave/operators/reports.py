@@ -140,19 +140,42 @@ def pattern_peaks(*sets: DataFrame, keys=KEYS) -> DataFrame:
     return out.distinct()
 
 
-def envelope_analysis(levels: DataFrame, rate: float, height: float, distance: int, window: int, keys=KEYS, similarity: float = 0.9, least: int = 3, most: int = 10, top: int = 5, least_db: float = -3.0, seconds: float = 5.0, sort_by: str = "peak_value") -> dict[str, DataFrame]:
-    """All that is said of envelope levels ``(keys, sample_idx, db)``: for bands, with the band among the keys.
-
-    ``peaks``, ``patterns``, ``pattern_statistics``, ``worst_cases`` (away from
-    the patterns' peaks), ``sustained`` and ``sustained_summary``. The levels
-    and the peaks are kept while the tables are read, as each is read often.
+def envelope_analysis(levels: DataFrame, rate: float, height: float, distance: int, window: int | dict[float, int], keys=KEYS, similarity: float = 0.9, least: int = 3, most: int = 10, top: int = 5, least_db: float = -3.0, seconds: float = 5.0, sort_by: str = "peak_value", folder: str | None = None) -> dict[str, DataFrame]:
+    """All that is said of envelope levels, rows or blocks: for bands, with the band among the keys.
+
+    ``peaks``, ``patterns``, ``pattern_statistics``, ``worst_cases`` (none of
+    the patterns' peaks, with their windows), ``sustained`` and
+    ``sustained_summary``. With a ``folder``, levels, peaks and patterns, each
+    of which is read often, are written there and read again; it is the
+    caller's to delete. Without one nothing is kept, and each table makes what
+    it reads anew.
     """
-    levels = levels.persist()
-    found = peaks.find_peaks(levels, height, distance, keys).persist()
-    members = patterns.repeating_patterns(peaks.windows_around(found, levels, window, keys), similarity, least, most, keys).persist()
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if folder is None:
+            return df
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    levels = kept(levels, "levels")
+    found = kept(peaks.find_peaks(levels, height, distance, keys), "peaks")
+    members = kept(patterns.repeating_patterns(peaks.windows_around(found, levels, window, keys), similarity, least, most, keys), "patterns")
     events = peaks.sustained_events(found, levels, rate, least_db, seconds=seconds, keys=keys)
     return {
         "levels": levels, "peaks": found, "patterns": members, "pattern_statistics": patterns.pattern_statistics(members, rate, keys),
-        "worst_cases": peaks.worst_case(found, levels, rate, top, pattern_peaks(members, keys=keys), sort_by, keys=keys), "sustained": events,
+        "worst_cases": peaks.worst_case(found, levels, rate, top, pattern_peaks(members, keys=keys), sort_by, keys=keys, window=window), "sustained": events,
         "sustained_summary": peaks.sustained_summary(events, levels, keys=keys),
     }
+
+
+def band_envelope_analysis(blocks: DataFrame, centres: Sequence[float], rate: float, height: float, distance: int, wavelengths: float = 1.0, window_wavelengths: float = 50.0, fallback_ms: float = 10.0, digits: int | None = None, **options) -> dict[str, DataFrame]:
+    """:func:`envelope_analysis` of every octave band of blocks of samples, and of the full spectrum as band 0.
+
+    Each band's follower releases over ``wavelengths`` of its centre, and its
+    windows are ``window_wavelengths`` long, up to half a second; the full
+    spectrum has times of its own.
+    """
+    levels = scan.band_envelopes(blocks, centres, rate, wavelengths, fallback_ms, digits)
+    length = lambda hz: max(2, int(peaks.window_ms(hz, window_wavelengths, fallback_ms) * rate / 1000))
+    windows = {hz: length(hz) for hz in (0.0, *check_centres(centres).tolist())}
+    return envelope_analysis(levels, rate, height, distance, windows, (*KEYS, "band_hz"), **options)

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bands import check_centres
 from ..functions.levels import dbfs
 from . import walk
 
@@ -47,6 +48,8 @@ def peak_hold(rows: DataFrame, decay: float, keys=KEYS) -> DataFrame:
 
 #: Envelopes: kind and rate of each.
 Specs = Sequence[tuple[str, float]]
+#: A block's samples as one signal for each envelope.
+Spread = Callable[[np.ndarray], Sequence[np.ndarray]]
 #: Blocks of a run, and how far a piece's scale may grow, as a power of e.
 RUN, GROWTH = 4096, 300.0
 
@@ -116,7 +119,7 @@ def values(kind: str, rate: float, x: np.ndarray, first: bool, e: float) -> tupl
     return out, float(out[-1])
 
 
-def states(blocks: DataFrame, specs: Specs) -> DataFrame:
+def states(blocks: DataFrame, specs: Specs, spread: Spread) -> DataFrame:
     """``(keys, run, e0, e1, ...)``: the state that each run but the first starts with, of each envelope, in time
     linear in the blocks. Series of one run are not read."""
     k = range(len(specs))
@@ -125,7 +128,7 @@ def states(blocks: DataFrame, specs: Specs) -> DataFrame:
 
     def summarise(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            found = [[v for kind, rate in specs for v in summary(kind, rate, np.asarray(x, np.float64), n == 0)] for n, x in zip(pdf["block_idx"], pdf["samples"], strict=True)]
+            found = [[v for (kind, rate), x in zip(specs, spread(np.asarray(x, np.float64)), strict=True) for v in summary(kind, rate, x, n == 0)] for n, x in zip(pdf["block_idx"], pdf["samples"], strict=True)]
             rows = pd.DataFrame(found, columns=names, dtype=np.float64)
             yield pd.concat([pdf[[*KEYS, "block_idx"]].assign(run=pdf["block_idx"] // RUN).reset_index(drop=True), rows], axis=1)
 
@@ -155,13 +158,15 @@ def states(blocks: DataFrame, specs: Specs) -> DataFrame:
     return walk.by_group(runs, KEYS, ["run"], fold, "run long, " + ", ".join(f"e{i} double" for i in k))
 
 
-def scan(blocks: DataFrame, specs: Specs, emit: Callable, columns: str) -> DataFrame:
+def scan(blocks: DataFrame, specs: Specs, emit: Callable, columns: str, spread: Spread | None = None) -> DataFrame:
     """``(keys, columns)`` from one walk over the blocks of each run.
 
     ``emit(block_idx, start_sample, envelopes)`` gives the columns of a block;
-    ``specs`` are pairs of kind and rate.
+    ``specs`` are pairs of kind and rate. ``spread`` makes of a block's samples
+    one signal for each envelope; without it all are of the samples themselves.
     """
     specs, k = list(specs), range(len(specs))
+    spread = spread or (lambda x: [x] * len(specs))
     for kind, _ in specs:
         if kind not in ("hold", "slow", "follow"):
             raise ValueError(f"unknown envelope {kind!r}")
@@ -176,7 +181,7 @@ def scan(blocks: DataFrame, specs: Specs, emit: Callable, columns: str) -> DataF
             for key, n, start, x, begun in zip(keys, pdf["block_idx"].tolist(), pdf["start_sample"].tolist(), pdf["samples"], starts, strict=True):
                 if key != at:
                     at, e = key, begun
-                made = [values(kind, rate, np.asarray(x, np.float64), n == 0, e[i]) for i, (kind, rate) in enumerate(specs)]
+                made = [values(kind, rate, own, n == 0, e[i]) for i, ((kind, rate), own) in enumerate(zip(specs, spread(np.asarray(x, np.float64)), strict=True))]
                 e = [state for _, state in made]
                 found.append(emit(n, start, [v for v, _ in made]))
                 sizes.append(len(found[-1][names[0]]))
@@ -186,7 +191,7 @@ def scan(blocks: DataFrame, specs: Specs, emit: Callable, columns: str) -> DataF
 
     held = blocks.select(*KEYS, F.expr(f"block_idx div {RUN}").alias("run"), "block_idx", "start_sample", "samples")
     by = [*KEYS, "run"]
-    held = held.join(states(blocks, specs), by, "left")
+    held = held.join(states(blocks, specs, spread), by, "left")
     return held.repartition(*by).sortWithinPartitions(*by, "block_idx").mapInPandas(fill, f"{walk.types_of(blocks, KEYS)}, {columns}")
 
 
@@ -211,6 +216,26 @@ def sampled(blocks: DataFrame, specs: Specs, steps: Sequence[int]) -> DataFrame:
     return scan(blocks, specs, emit, "step long, sample_idx long, " + ", ".join(f"{n} double" for n in names))
 
 
+def band_envelopes(blocks: DataFrame, centres: Sequence[float], rate: float, wavelengths: float = 1.0, fallback_ms: float = 10.0, digits: int | None = None) -> DataFrame:
+    """``(keys, band_hz, start_sample, levels)``: blocks of each band's peak follower in dBFS, the full spectrum as band 0.
+
+    A block's transform gives the bands, and each band is followed at once,
+    with a release of its own wavelengths, from the state that the block
+    before has left; the bank is never rows. ``digits`` rounds the levels, so
+    that nearly equal ones are plateaus.
+    """
+    from .spectral import bank
+
+    hz = [0.0, *check_centres(centres).tolist()]
+    specs = [("follow", 1 - math.exp(-1 / release_samples(f, rate, wavelengths, fallback_ms))) for f in hz]
+
+    def emit(_: int, start: int, made: list[np.ndarray]) -> walk.Columns:
+        levels = [20 * np.log10(np.maximum(v, 1e-10) + 1e-10) for v in made]
+        return {"band_hz": np.array(hz), "start_sample": np.full(len(hz), start, np.int64), "levels": levels if digits is None else [np.round(v, digits) for v in levels]}
+
+    return scan(blocks, specs, emit, "band_hz double, start_sample long, levels array<double>", lambda x: bank(x, centres, rate))
+
+
 def moving_rms(rows: DataFrame, window: int, keys=KEYS) -> DataFrame:
     """Centred moving RMS with zeros beyond the ends; a window as long as the series gives its RMS throughout."""
     ahead = (window - 1) // 2

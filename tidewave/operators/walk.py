@@ -84,3 +84,20 @@ def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Cal
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     types = types_of(df, kept)
     return dealt.mapInPandas(walk, f"{types}, {columns}" if types else columns)
+
+
+def by_row(df: DataFrame, kept: Sequence[str], work: Callable[[tuple, Columns], Columns | None], columns: str) -> DataFrame:
+    """:func:`by_group` where each row is a group by itself, so none is shuffled."""
+    kept = list(kept)
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            held = {c: frame[c].to_numpy() for c in frame.columns}
+            found = [work((), {c: v[i : i + 1] for c, v in held.items()}) for i in range(len(frame))]
+            sizes = [0 if out is None else len(out[names[0]]) for out in found]
+            if sum(sizes):
+                made = [out for out, n in zip(found, sizes, strict=True) if n]
+                yield pd.DataFrame({k: np.repeat(held[k], sizes) for k in kept} | {n: stacked([out[n] for out in made]) for n in names})
+
+    return df.mapInPandas(walk, f"{types_of(df, kept)}, {columns}")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import patterns, peaks, reports, stats
-from .views import USER_LEVELS, rounded, sql, table, user_levels
+from .views import BANK, CENTRES, USER_LEVELS, rounded, scratch, sql, table, user_levels, vectors
+from .views import RATE as BAND_RATE
 
 Q, O = {}, {}
 KEYS = ["track_id", "channel_index"]
@@ -211,7 +212,7 @@ O["e10_window_length"] = sql("p AS (SELECT p_partkey, p_size FROM part)", "SELEC
 
 
 def _analysis(s, d):
-    return reports.envelope_analysis(user_levels(s, d), RATE, HEIGHT, DISTANCE, 8, similarity=0.8, least=2, most=4, top=3, seconds=2.0)
+    return reports.envelope_analysis(user_levels(s, d), RATE, HEIGHT, DISTANCE, 8, similarity=0.8, least=2, most=4, top=3, seconds=2.0, folder=scratch(s))
 
 
 def _counts(found, names):
@@ -227,3 +228,44 @@ Q["e11_u5_envelope_driver"] = lambda s, d: _counts(_analysis(s, d), (("peaks", "
 Q["e11_envelope_counts"] = lambda s, d: _counts(_analysis(s, d), (("peaks", "peaks"), ("sustained", "sustained")))
 O["e11_envelope_counts"] = PEAKS.replace("RECURSIVE", "WITH RECURSIVE", 1) + """ SELECT 'users' AS track_id, l.channel_index, min(l.n) AS samples, count(pk.peak_idx) AS peaks, count(pk.peak_idx) FILTER (peak_db >= -3) AS sustained
   FROM ln l LEFT JOIN pk USING (channel_index) GROUP BY l.channel_index"""
+
+
+BAND_KEYS = [*KEYS, "band_hz"]
+BAND_HEIGHT, BAND_DISTANCE, BAND_DIGITS, BAND_LEAST = -30.0, 3, 4, -18.0
+
+
+def _bands(s, d, folder=None):
+    """Every band of every vector: its own release, windows and peaks."""
+    return reports.band_envelope_analysis(
+        vectors(s, d), CENTRES, BAND_RATE, BAND_HEIGHT, BAND_DISTANCE, window_wavelengths=4.0, fallback_ms=100.0, digits=BAND_DIGITS, similarity=0.8, least=2, most=4, top=2, least_db=BAND_LEAST, seconds=0.25, folder=folder
+    )
+
+
+def _band_release() -> str:
+    from ..operators.scan import release_samples
+
+    return "CASE band_hz " + " ".join(f"WHEN {hz} THEN {release_samples(hz, BAND_RATE, 1.0, 100.0)!r}" for hz in (0.0, *CENTRES)) + " END"
+
+
+#: The follower of every band by recursion, its levels, and all that the plain series' peaks are made of, with the band among the keys.
+BAND_LEVELS = f"""RECURSIVE {BANK}, bs AS MATERIALIZED (SELECT *, CAST(channel_index * 1000 + dense_rank() OVER (ORDER BY band_hz) AS INTEGER) AS own, 1 - exp(-1 / ({_band_release()})::DOUBLE) AS c FROM bank),
+fo AS (SELECT own, sample_idx, abs(value) AS e FROM bs WHERE sample_idx = 0
+  UNION ALL SELECT b.own, b.sample_idx, greatest(abs(b.value), fo.e * (1 - b.c) + abs(b.value) * b.c) FROM fo JOIN bs b ON b.own = fo.own AND b.sample_idx = fo.sample_idx + 1),
+nm AS (SELECT DISTINCT own, channel_index AS channel, band_hz FROM bs),
+lv AS MATERIALIZED (SELECT 'vectors' AS track_id, own AS channel_index, sample_idx, round(20 * log10(greatest(e, 1e-10) + 1e-10), {BAND_DIGITS}) AS db FROM fo)"""
+BAND_PEAKS = BAND_LEVELS + PEAKS[PEAKS.index(", r1 AS") :].replace(f"db >= {HEIGHT}", f"db >= {BAND_HEIGHT}").replace(f"< {DISTANCE})", f"< {BAND_DISTANCE})")
+NAMED = "JOIN nm ON nm.own = x.channel_index"
+Q["e11_band_peaks"] = lambda s, d: rounded(_bands(s, d)["peaks"], BAND_DIGITS)
+O["e11_band_peaks"] = sql(BAND_PEAKS, f"SELECT x.track_id, nm.channel AS channel_index, nm.band_hz, x.peak_idx, x.peak_db FROM pk x {NAMED}", "peak_db", BAND_DIGITS)
+Q["e11_band_sustained"] = lambda s, d: rounded(_bands(s, d)["sustained"], BAND_DIGITS)
+_BAND_EVENTS = _events_sql("p.peak_db - {}")[len(PEAKS) :].replace("p.peak_db >= -3 ", f"p.peak_db >= {BAND_LEAST} ").replace("p.peak_idx + 20", "p.peak_idx + 16").replace("p.peak_idx + 19", "p.peak_idx + 15").replace(f"/ {RATE} *", f"/ {BAND_RATE} *").replace("/ 10.0 AS", f"/ {BAND_RATE} AS")
+O["e11_band_sustained"] = sql(BAND_PEAKS + _BAND_EVENTS, f"SELECT x.* EXCLUDE (channel_index), nm.channel AS channel_index, nm.band_hz FROM sv x {NAMED}", "peak_db peak_time_seconds hold_ms t3_ms t6_ms t9_ms t12_ms", BAND_DIGITS)
+
+
+def _band_worst(s, d):
+    """The highest three of each band that belong to no pattern, with their windows; patterns are those that repeat."""
+    w = _bands(s, d, scratch(s))["worst_cases"]
+    return w.select(*BAND_KEYS, "rank", "peak_idx", "peak_db", "attack_time_ms", "decay_6db_ms", "start_idx", F.size("window").alias("n"))
+
+
+Q["e11_e6_band_worst_cases"] = lambda s, d: rounded(_band_worst(s, d), BAND_DIGITS)
