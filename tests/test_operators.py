@@ -75,6 +75,34 @@ def test_samples_are_numbered_across_slices(spark):
     one, many = (series.from_table(rows, F.lit("t"), F.col("c"), ["ts", "id"], F.col("v"), n) for n in (1 << 20, 97))
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(one) == key(many) and len(key(many)) == 4999
+    # no holes where values are missing: what follows keeps its place in blocks
+    by = collections.defaultdict(list)
+    for r in many.collect():
+        by[r["channel_index"]].append(r["sample_idx"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+@pytest.mark.parametrize("ts", ["timestamp_micros(if(id % 10 = 0, id * 1000000000, id))", "lpad(cast(if(id % 10 = 0, id * 1000000000, id) as string), 20, '0')"])
+def test_crowded_moments_are_numbered_by_many_tasks(spark, ts):
+    """Nine of ten rows lie within a hundredth of a second, the others over months; text keys are cut as well."""
+    rows = spark.range(6000).selectExpr("0 as c", f"{ts} as ts", "id", "cast(id as double) as v")
+    one, many = (series.from_table(rows, F.lit("t"), F.col("c"), ["ts", "id"], F.col("v"), n) for n in (1 << 20, 300))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    part = series._slices(rows.selectExpr("'t' as track_id", "c as channel_index", "ts", "id"), F.col("ts") if "lpad" in ts else F.unix_micros("ts").cast("double"), ["ts", "id"], 20)
+    sizes = [r["count"] for r in rows.groupBy(part.alias("slice")).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 900
+
+
+def test_missing_values_leave_no_trace_in_envelopes(spark):
+    x = np.random.default_rng(3).standard_normal(300)
+    rows = [(i, float(v)) for i, v in enumerate(x)]
+    holes = sorted(rows + [(i, v) for i in range(0, 300, 7) for v in (None, float("nan"))], key=lambda r: r[0])
+    made = []
+    for data in (rows, holes):
+        df = spark.createDataFrame([(i, k, v) for k, (i, v) in enumerate(data)], "ts long, id long, v double")
+        r = series.from_table(df, F.lit("t"), F.lit(0), ["ts", "id"], F.col("v"))
+        made.append([row["value"] for row in series.to_rows(scan.envelope(series.to_blocks(r, 16), "slow", 0.1)).orderBy("sample_idx").collect()])
+    assert len(made[0]) == 300 and made[0] == made[1]
 
 
 def test_weights_are_power_complementary():

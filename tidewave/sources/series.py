@@ -4,36 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["track_id", "channel_index"]
 
 
-#: Rows of a slice of time in which samples are numbered by one task.
-SLICE_ROWS = 1 << 20
+#: Rows of a slice in which samples are numbered by one task, about; rows that are looked at for each slice's end.
+SLICE_ROWS, LOOKED_AT = 1 << 20, 32
+
+
+def _slices(rows: DataFrame, lead: Column, order: Sequence[str], count: int) -> Column:
+    """The slice of each row: slices of about equal numbers of rows, ended by quantiles of a hashed sample of bounded size."""
+    every = max(1, rows.count() // (count * LOOKED_AT))
+    seen = rows.where(F.pmod(F.xxhash64(*KEYS, *order), F.lit(every)) == 0).select(lead.alias("x")).where("x is not null").toPandas()["x"].sort_values().to_numpy()
+    ends = np.unique(seen[np.arange(1, count) * len(seen) // count]) if len(seen) else seen
+
+    @F.pandas_udf("long")
+    def place(x: pd.Series) -> pd.Series:
+        at = np.full(len(x), -1, np.int64)  # nulls come first
+        there = x.notna().to_numpy() if x.dtype == object else np.ones(len(x), bool)
+        at[there] = np.searchsorted(ends, x.to_numpy()[there], side="right")
+        return pd.Series(at)
+
+    return F.when(lead.isNull(), F.lit(-1)).otherwise(place(lead))
 
 
 def from_table(df: DataFrame, track: Column, channel: Column, order: Sequence[str], value: Column, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Any table as series: samples are numbered by ``order`` inside their track and channel.
 
-    The range of the first order column is cut into equal slices; samples are
-    numbered inside a slice, and the counts of the slices before are added, so
-    no task sorts a whole channel. The first column must be a number or a time
-    for that (a table of other keys is one slice). NaN values are dropped, as
-    they would poison every aggregate.
+    NaN and null values are dropped first, so that numbers have no holes. A
+    table of more than ``slice_rows`` rows is cut along the first order column
+    where a sample's quantiles say, so slices have like numbers of rows however
+    the rows are spread over time; samples are numbered inside a slice, and the
+    counts of the slices before are added. No task sorts a whole channel; rows
+    that are equal in the first column are one slice.
     """
     rows = df.select(track.alias("track_id"), channel.cast("int").alias("channel_index"), value.cast("double").alias("value"), *order)
-    kind = dict(rows.dtypes)[order[0]]
-    slices, part = 1, F.lit(0)
-    if kind in ("timestamp", "timestamp_ntz", "date", "tinyint", "smallint", "int", "bigint", "float", "double"):
-        lead = F.unix_micros(F.col(order[0]).cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else F.col(order[0])
-        lead = lead.cast("double")
-        n, lo, hi = df.agg(F.count("*"), F.min(lead), F.max(lead)).first()
-        if lo is not None and hi > lo and abs(lo) < float("inf") and abs(hi) < float("inf"):
-            slices = -(-n // slice_rows)
-        if slices > 1:
-            part = F.coalesce(F.floor((lead - lo) * (slices / (hi - lo))), F.lit(-1))  # nulls come first
+    rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    slices, part = -(-df.count() // slice_rows), F.lit(0)
+    if slices > 1:
+        kind, lead = dict(rows.dtypes)[order[0]], F.col(order[0])
+        if kind in ("timestamp", "timestamp_ntz", "date"):
+            lead = F.unix_micros(lead.cast("timestamp")).cast("double")
+        elif kind != "string":
+            lead = lead.cast("double")
+        part = _slices(rows, lead, order, slices)
     rows = rows.withColumn("_slice", part)
     number = F.row_number().over(Window.partitionBy(*KEYS, "_slice").orderBy(*order)) - 1
     numbered = rows.select(*KEYS, "_slice", number.cast("long").alias("sample_idx"), "value")
@@ -42,7 +60,7 @@ def from_table(df: DataFrame, track: Column, channel: Column, order: Sequence[st
         counts = rows.groupBy(*KEYS, "_slice").agg(F.count("*").alias("_n"))
         before = counts.select(*KEYS, "_slice", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
         numbered = numbered.join(before, [*KEYS, "_slice"]).withColumn("sample_idx", F.col("sample_idx") + F.col("_before"))
-    return numbered.where(~F.isnan("value")).select(*KEYS, "sample_idx", "value")
+    return numbered.select(*KEYS, "sample_idx", "value")
 
 
 def ranked(df: DataFrame, column: str, name: str) -> DataFrame:
