@@ -356,3 +356,34 @@ def test_groups_that_batches_cut(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize(("n", "tile"), [(4096, 300), (4095, 64), (3 * 997, 1 << 20), (1009, 200)])
+def test_a_transform_over_many_tasks_is_that_of_one(spark, n, tile):
+    """Squares, other products, and a prime number of samples; two series of different lengths at a time."""
+    x = np.random.default_rng(n).standard_normal(n)
+    rows = signal(spark, x).unionByName(signal(spark, x[: n // 3 * 2], 1))
+    centres = (62.5, 125.0, 500.0, 2000.0)
+    key = lambda df: {(r["channel_index"], r["band_hz"], r["sample_idx"]): r["value"] for r in df.collect()}
+    one, many = key(spectral.full_band_rows(rows, centres, 8000.0)), key(spectral.full_band_rows(rows, centres, 8000.0, whole=100, tile=tile))
+    assert one.keys() == many.keys() and len(one) == 5 * (n + n // 3 * 2)
+    assert np.allclose([one[k] for k in one], [many[k] for k in one], atol=1e-10)
+
+
+@pytest.mark.parametrize("window", [1, 6, 7, 40, 400])
+def test_windows_over_blocks_are_those_over_series(spark, window):
+    x = np.random.default_rng(window).standard_normal(333)
+    rows = signal(spark, x).unionByName(signal(spark, x[:30], 1)).unionByName(signal(spark, x[:1], 2))
+    for channel, own in ((0, x), (1, x[:30]), (2, x[:1])):
+        ahead = (window - 1) // 2
+        want = [math.sqrt(np.mean(own**2)) if len(own) <= window else math.sqrt((own[max(i + ahead + 1 - window, 0) : i + ahead + 1] ** 2).sum() / window) for i in range(len(own))]
+        got = scan.moving_rms(rows.where(F.col("channel_index") == channel), window, block=16).orderBy("sample_idx").collect()
+        assert np.allclose([r["envelope"] for r in got], want, atol=1e-12)
+    jumps = {r["channel_index"]: (r["jumps"], r["largest"]) for r in panes.differences(rows, 1.0, block=16).collect()}
+    d = np.abs(np.diff(x))
+    assert jumps == {0: ((d > 1).sum(), d.max()), 1: ((d[:29] > 1).sum(), d[:29].max()), 2: (0, None)}
+    held, e, want = scan.peak_hold(rows.where("channel_index = 0"), 0.1, block=16).orderBy("sample_idx").collect(), 0.0, []
+    for v in np.abs(x):
+        e = max(v, math.exp(-0.1) * e)
+        want.append(e)
+    assert np.allclose([r["envelope"] for r in held], want, rtol=1e-9)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import gcd
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import crest, crest_db, dbfs, dbfs_epsilon, is_valid
+from . import halo, walk
 
 KEYS = ("track_id", "channel_index")
 FLOOR_DB = -80.0
@@ -94,10 +96,15 @@ def global_max(rows: DataFrame, keys=KEYS) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.abs("value")).alias("max_abs"))
 
 
-def differences(rows: DataFrame, threshold: float, keys=KEYS) -> DataFrame:
-    """How often the value jumps by more than ``threshold``, and the largest jump."""
-    jump = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy(*keys).orderBy("sample_idx")))
-    return rows.select(*keys, jump.alias("jump")).groupBy(*keys).agg(F.count_if(F.col("jump") > threshold).alias("jumps"), F.max("jump").alias("largest"))
+def differences(rows: DataFrame, threshold: float, keys=KEYS, block: int = halo.BLOCK) -> DataFrame:
+    """How often the value jumps by more than ``threshold``, and the largest jump; null for a single sample."""
+
+    def work(_: np.ndarray, x: np.ndarray, start: int, end: int) -> walk.Columns:
+        jump = np.abs(np.diff(x[max(start - 1, 0) : end]))
+        return {"jumps": [int((jump > threshold).sum())], "largest": [float(jump.max()) if len(jump) else None]}
+
+    found = halo.exchange(rows, 1, 0, work, "jumps long, largest double", keys, block)
+    return found.groupBy(*keys).agg(F.sum("jumps").alias("jumps"), F.max("largest").alias("largest"))
 
 
 def extreme_chunks(chunks: DataFrame, keys=KEYS, skip_silent: bool = False) -> DataFrame:

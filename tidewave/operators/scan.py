@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import check_centres
 from ..functions.levels import dbfs
-from . import walk
+from . import halo, walk
 
 KEYS = ["track_id", "channel_index"]
 
@@ -38,12 +38,18 @@ def release_samples(band_hz: float, rate: float, wavelengths: float = 1.0, fallb
     return max(1.0, wavelengths * rate / band_hz if band_hz > 0 else fallback_ms / 1000 * rate)
 
 
-def peak_hold(rows: DataFrame, decay: float, keys=KEYS) -> DataFrame:
-    """``e = max(|x|, exp(-decay) e)`` in the log domain, with built-ins only: a running maximum of
-    ``ln|x| + decay i``. Suits series that one window partition holds; longer ones use :func:`envelope`."""
-    w = Window.partitionBy(*keys).orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, 0)
-    shifted = F.ln(F.abs("value")) + decay * F.col("sample_idx")
-    return rows.select(*keys, "sample_idx", F.coalesce(F.exp(F.max(shifted).over(w) - decay * F.col("sample_idx")), F.lit(0.0)).alias("envelope"))
+def peak_hold(rows: DataFrame, decay: float, keys=KEYS, block: int = 4096) -> DataFrame:
+    """``e = max(|x|, exp(-decay) e)`` in the log domain, with built-ins only: a running maximum of ``ln|x| + decay i``,
+    in each block and over the blocks before it, so a window has a block's rows or a row a block."""
+    own = F.expr(f"sample_idx div {block}")
+    rows = rows.select(*keys, "sample_idx", own.alias("_block"), (F.ln(F.abs("value")) + decay * F.col("sample_idx")).alias("_x"))
+    along = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    highest = rows.groupBy(*keys, "_block").agg(F.max("_x").alias("_x"))
+    before = highest.select(*keys, "_block", F.max("_x").over(along).alias("_before"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("_x", F.max("_x").over(inside)).join(before, [*keys, "_block"])
+    e = F.exp(F.greatest("_x", "_before") - decay * F.col("sample_idx"))
+    return held.select(*keys, "sample_idx", F.coalesce(e, F.lit(0.0)).alias("envelope"))
 
 
 #: Envelopes: kind and rate of each.
@@ -236,14 +242,20 @@ def band_envelopes(blocks: DataFrame, centres: Sequence[float], rate: float, wav
     return scan(blocks, specs, emit, "band_hz double, start_sample long, levels array<double>", lambda x: bank(x, centres, rate))
 
 
-def moving_rms(rows: DataFrame, window: int, keys=KEYS) -> DataFrame:
+def moving_rms(rows: DataFrame, window: int, keys=KEYS, block: int = halo.BLOCK) -> DataFrame:
     """Centred moving RMS with zeros beyond the ends; a window as long as the series gives its RMS throughout."""
     ahead = (window - 1) // 2
-    by = Window.partitionBy(*keys)
-    w = by.orderBy("sample_idx").rowsBetween(ahead + 1 - window, ahead)
-    x2 = F.col("value") * F.col("value")
-    moving = F.sqrt(F.sum(x2).over(w) / window)
-    return rows.select(*keys, "sample_idx", F.when(F.count("*").over(by) <= window, F.sqrt(F.avg(x2).over(by))).otherwise(moving).alias("envelope"))
+
+    def work(idx: np.ndarray, x: np.ndarray, start: int, end: int) -> walk.Columns:
+        # blocks are no shorter than the window, so a series within a window is one block
+        if start == 0 and idx[0] == 0 and len(idx) <= window:
+            return {"sample_idx": idx[:end], "envelope": np.full(end, np.sqrt(np.mean(x * x)))}
+        sums = np.concatenate([[0.0], np.cumsum(x * x)])
+        at = np.arange(start, end)
+        total = sums[np.minimum(at + ahead + 1, len(x))] - sums[np.maximum(at + ahead + 1 - window, 0)]
+        return {"sample_idx": idx[start:end], "envelope": np.sqrt(np.maximum(total, 0.0) / window)}
+
+    return halo.exchange(rows, window - 1 - ahead, ahead, work, "sample_idx long, envelope double", keys, max(block, window))
 
 
 def slow_crest(rows: DataFrame, step: int, rate: float = 1.0, rms_tau: float = 1.0, peak_tau: float = 1.0, peak: Column | float = 1.0, block: int = 4096) -> DataFrame:

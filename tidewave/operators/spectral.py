@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import bands_frame, check_centres, weight, weights
 from ..functions.levels import crest_db, dbfs
+from . import walk
 
 KEYS = ["track_id", "channel_index"]
-#: Samples of a series that one worker transforms as a whole.
-FULL_LIMIT = 1 << 24
+#: Samples of a series that is transformed by one task; of one row or column of a longer series' transform, at most; of a tile.
+WHOLE, LONGEST, TILE = 1 << 20, 1 << 24, 1 << 20
 
 
 def bank(x: np.ndarray, centres: Sequence[float], rate: float) -> np.ndarray:
@@ -75,20 +76,94 @@ def band_rows(blocks: DataFrame, centres: Sequence[float], rate: float) -> DataF
     return blocks.select(*KEYS, "start_sample", "samples").mapInPandas(expand, f"{_types(blocks, KEYS)}, band_hz double, sample_idx long, value double")
 
 
-def full_band_rows(rows: DataFrame, centres: Sequence[float], rate: float) -> DataFrame:
-    """Full-file mode: one transform over each whole series, which must fit a worker."""
-    hz = np.array([0.0, *centres])
+def full_band_rows(rows: DataFrame, centres: Sequence[float], rate: float, whole: int = WHOLE, tile: int = TILE) -> DataFrame:
+    """Full-file mode: one transform over each whole series, of any length.
 
-    def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > FULL_LIMIT:
-            raise ValueError("the series is too long for one transform; use block mode")
-        pdf = pdf.sort_values("sample_idx")
-        b = bank(pdf["value"].to_numpy(), centres, rate)
-        n = len(pdf)
-        return pd.DataFrame({k: pdf[k].iloc[0] for k in KEYS} | {"band_hz": np.repeat(hz, n), "sample_idx": np.tile(pdf["sample_idx"].to_numpy(), len(hz)), "value": b.ravel()})
+    A series of more than ``whole`` samples is transformed by many tasks, see
+    :func:`distributed_band_rows`; shorter ones by a task each.
+    """
+    hz = np.array([0.0, *check_centres(centres)])
 
-    schema = f"{_types(rows, KEYS)}, band_hz double, sample_idx long, value double"
-    return rows.select(*KEYS, "sample_idx", "value").groupBy(*KEYS).applyInPandas(expand, schema)
+    def expand(_, held: walk.Columns) -> walk.Columns:
+        b, n = bank(held["value"], centres, rate), len(held["value"])
+        return {"band_hz": np.repeat(hz, n), "sample_idx": np.tile(held["sample_idx"], len(hz)), "value": b.ravel()}
+
+    sizes = rows.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    rows = rows.select(*KEYS, "sample_idx", "value")
+    short = rows.join(sizes.where(F.col("n") <= whole), KEYS, "left_semi")
+    long = sizes.where(F.col("n") > whole)
+    return walk.by_group(short, KEYS, ["sample_idx"], expand, "band_hz double, sample_idx long, value double").unionByName(distributed_band_rows(rows, long, centres, rate, tile))
+
+
+def row_length(n: int) -> int:
+    """The length of a row when ``n`` samples are laid out in a matrix as near to a square as its divisors let it be."""
+    columns = int(n**0.5)
+    while n % columns:
+        columns -= 1
+    if n // columns > LONGEST:
+        raise ValueError(f"{n} samples have a prime factor too large for one task; leave out the last few, or use block mode")
+    return n // columns
+
+
+def distributed_band_rows(rows: DataFrame, sizes: DataFrame, centres: Sequence[float], rate: float, tile: int = TILE) -> DataFrame:
+    """The bands of series ``(keys, n)`` whose transform is spread over many tasks, in four steps.
+
+    Samples are a matrix, row after row. The columns are transformed, some to
+    a task, and turned by their places' angles; tiles of the result are
+    shuffled, so that rows are whole, and transformed. A row then has every
+    so-many-th frequency: each band's weights are applied there, and the same
+    steps backwards, with another shuffle of tiles, give the band's samples.
+    """
+    centres = check_centres(centres)
+    across = F.pandas_udf(lambda n: n.map(row_length), "long")
+    shape = sizes.select(*KEYS, "n", across("n").alias("row"))
+    held = rows.join(shape, KEYS).withColumn("part", F.expr(f"(sample_idx % row) div greatest(1, {tile} div (n div row))"))
+
+    def per(length: int) -> int:
+        """Rows or columns of that length in a tile."""
+        return max(1, tile // length)
+
+    def tiles(m: np.ndarray, first: int, shape: tuple[int, int], by_row: bool, step: int) -> walk.Columns:
+        """A matrix cut along its other side into tiles for the tasks that go on with them."""
+        cut = range(0, m.shape[0 if by_row else 1], step)
+        parts = [(m[a : a + step] if by_row else m[:, a : a + step]).ravel() for a in cut]
+        n = len(parts)
+        return {"to": [a // step for a in cut], "first": [first] * n, "n": [shape[0]] * n, "row": [shape[1]] * n, "re": [p.real.copy() for p in parts], "im": [p.imag.copy() for p in parts]}
+
+    def columns(key: tuple, x: walk.Columns) -> walk.Columns:
+        n, row = int(x["n"][0]), int(x["row"][0])
+        first = int(key[-1]) * per(n // row)
+        m = x["value"].reshape(n // row, -1)  # samples in order are whole stretches of rows
+        k, j = np.arange(n // row)[:, None], first + np.arange(m.shape[1])
+        return tiles(np.fft.fft(m, axis=0) * np.exp(-2j * np.pi * (k * j % n) / n), first, (n, row), True, per(row))
+
+    def bands(key: tuple, x: walk.Columns) -> walk.Columns:
+        n, row = int(x["n"][0]), int(x["row"][0])
+        own = min(per(row), n // row - int(key[-1]) * per(row))
+        k = int(key[-1]) * per(row) + np.arange(own)
+        m = np.concatenate([(a + 1j * b).reshape(own, -1) for a, b in zip(x["re"], x["im"], strict=True)], axis=1)
+        at = k[:, None] + n // row * np.arange(row)
+        w = weights((np.minimum(at, n - at) * (rate / n)).ravel(), centres).reshape(len(centres), own, row)
+        m, turn = np.fft.fft(m, axis=1), np.exp(2j * np.pi * (k[:, None] * np.arange(row) % n) / n)
+        out: list[walk.Columns] = []
+        for hz, own_weights in zip(centres, w, strict=True):
+            made = tiles(np.fft.ifft(m * own_weights, axis=1) * turn, int(k[0]), (n, row), False, per(n // row))
+            out.append(made | {"band_hz": [float(hz)] * len(made["to"])})
+        return {c: [v for o in out for v in o[c]] for c in out[0]}
+
+    def samples(key: tuple, x: walk.Columns) -> walk.Columns:
+        n, row = int(x["n"][0]), int(x["row"][0])
+        wide = min(per(n // row), row - int(key[-1]) * per(n // row))
+        m = np.concatenate([(a + 1j * b).reshape(-1, wide) for a, b in zip(x["re"], x["im"], strict=True)], axis=0)
+        at = np.arange(n // row)[:, None] * row + int(key[-1]) * per(n // row) + np.arange(wide)
+        return {"sample_idx": at.ravel(), "value": np.fft.ifft(m, axis=0).real.ravel()}
+
+    tile_columns = "to long, first long, n long, row long, re array<double>, im array<double>"
+    step = walk.by_group(held, [*KEYS, "part"], ["sample_idx"], columns, tile_columns, KEYS)
+    turned = walk.by_group(step.withColumnRenamed("to", "part"), [*KEYS, "part"], ["first"], bands, tile_columns + ", band_hz double", KEYS)
+    made = walk.by_group(turned.withColumnRenamed("to", "part"), [*KEYS, "band_hz", "part"], ["first"], samples, "sample_idx long, value double", [*KEYS, "band_hz"])
+    source = rows.join(sizes.select(*KEYS), KEYS, "left_semi").withColumn("band_hz", F.lit(0.0))
+    return made.unionByName(source.select(*made.columns))
 
 
 def band_power(blocks: DataFrame, centres: Sequence[float], rate: float) -> DataFrame:
