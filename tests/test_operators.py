@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewave.functions import bands as fb
 from tidewave.operators import panes, patterns, peaks, reports, rollup, scan, spectral, stats, walk
 from tidewave.operators.extrema import Extrema
+from tidewave.operators.quantiles import percentiles
 from tidewave.sources import media, series, tables
 from tidewave.streaming import windowed_levels
 
@@ -387,3 +388,36 @@ def test_windows_over_blocks_are_those_over_series(spark, window):
         e = max(v, math.exp(-0.1) * e)
         want.append(e)
     assert np.allclose([r["envelope"] for r in held], want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e200])
+def test_percentiles_by_selection_are_exact(spark, scale):
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.standard_normal(4000), "b": np.round(rng.standard_normal(900) * 3), "c": np.full(50, -2.5), "d": np.array([7.0]), "e": 1e6 + rng.random(500), "f": -np.abs(rng.standard_normal(333))}
+    rows = [(k, float(v) * scale) for k, x in groups.items() for v in x] + [("a", None), ("b", float("nan")), ("g", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = {r["k"]: (r["p"], r["q"]) for r in percentiles(df, ["k"], {"p": F.col("x"), "q": -F.col("x")}, shares).collect()}
+    assert got.keys() == groups.keys()
+    for k, x in groups.items():
+        assert np.allclose(got[k][0], np.quantile(x * scale, shares), rtol=1e-12, atol=0)
+        assert np.allclose(got[k][1], np.quantile(-x * scale, shares), rtol=1e-12, atol=0)
+
+
+def test_a_store_shows_whole_versions_only(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder, schema = str(tmp_path / "store"), spark.createDataFrame([], "track_id string, channel_index int, value long").schema
+    channels = lambda *c: spark.createDataFrame([("t", i) for i in c], "track_id string, channel_index int")
+    rows = lambda v, *c: spark.createDataFrame([("t", i, v) for i in c], schema)
+    read = lambda name, version=None: sorted((r["channel_index"], r["value"]) for r in tables.read_version(spark, folder, name, schema, version).collect())
+    assert read("levels") == []
+    assert tables.commit({"levels": rows(1, 0, 1, 2), "peaks": rows(1, 1)}, channels(0, 1, 2), folder) == 1
+    assert tables.commit({"levels": rows(2, 1), "peaks": rows(2)}, channels(1), folder) == 2
+    assert read("levels") == [(0, 1), (1, 2), (2, 1)] and read("peaks") == [] and read("peaks", 1) == [(1, 1)]
+    (tmp_path / "store" / "data-of-a-dead-writer").mkdir()
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda v: tables.commit({"levels": rows(v, 3), "peaks": rows(v, 3)}, channels(3), folder), range(10, 14)))
+    assert sorted(made) == [3, 4, 5, 6]
+    last = 10 + made.index(6)
+    assert read("levels")[-1] == (3, last) and read("peaks") == [(3, last)] and not list((tmp_path / "store").glob("draft-*"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import crest, crest_db, dbfs, dbfs_epsilon, is_valid
 from . import halo, walk
+from .quantiles import percentiles
 
 KEYS = ("track_id", "channel_index")
 FLOOR_DB = -80.0
@@ -131,11 +132,10 @@ def chunks_of_lengths(rows: DataFrame, lengths: Sequence[int], keys=KEYS) -> Dat
 
 def block_reference(rows: DataFrame, lengths: Sequence[int], keys=KEYS) -> DataFrame:
     """The distribution of chunk crest factors for several chunk lengths."""
-    c = chunks_of_lengths(rows, lengths, keys).where("rms > 0").withColumn("cf", crest_db(F.col("peak"), F.col("rms")))
-    q = lambda v: F.percentile("cf", F.lit(v))
-    return c.groupBy(*keys, "window").agg(
-        F.count("*").alias("num_windows"), F.min("cf").alias("min_cf_db"), F.avg("cf").alias("mean_cf_db"), q(0.5).alias("median_cf_db"),
-        q(0.95).alias("p95_cf_db"), F.max("cf").alias("max_cf_db"), F.stddev_pop("cf").alias("std_cf_db"),
-    )
+    c = chunks_of_lengths(rows, lengths, keys).where("rms > 0").select(*keys, "window", crest_db(F.col("peak"), F.col("rms")).alias("cf"))
+    q = percentiles(c, [*keys, "window"], {"_q": F.col("cf")}, [0.5, 0.95])
+    s = c.groupBy(*keys, "window").agg(F.count("*").alias("num_windows"), F.min("cf").alias("min_cf_db"), F.avg("cf").alias("mean_cf_db"), F.max("cf").alias("max_cf_db"), F.stddev_pop("cf").alias("std_cf_db"))
+    at = F.col("_q")
+    return s.join(q, [*keys, "window"]).select(*keys, "window", "num_windows", "min_cf_db", "mean_cf_db", at[0].alias("median_cf_db"), at[1].alias("p95_cf_db"), "max_cf_db", "std_cf_db")
 
 

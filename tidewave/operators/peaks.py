@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import walk
 from .extrema import Extrema
+from .quantiles import percentiles
 
 KEYS = ("track_id", "channel_index")
 #: Samples of a block, at least; a block's task sees what lies around it, too.
@@ -233,10 +234,12 @@ def sustained_events(peaks: DataFrame, rows: DataFrame, rate: float, least_db: f
 
 def sustained_summary(events: DataFrame, series: DataFrame, names: Sequence[str] = ("hold_ms", "t3_ms", "t6_ms", "t9_ms", "t12_ms"), keys=KEYS) -> DataFrame:
     """Number, mean, median, p90, p95 and maximum of each time, for all of ``series``; zeros where there is no event."""
-    q = lambda c, v: F.percentile(c, F.lit(v))
-    aggs = [(f"{c}_{n}", f) for c in names for n, f in (("mean", F.avg(c)), ("median", q(c, 0.5)), ("p90", q(c, 0.9)), ("p95", q(c, 0.95)), ("max", F.max(c)))]
-    s = events.groupBy(*keys).agg(F.count("*").alias("n_peaks"), *(f.alias(n) for n, f in aggs))
-    return series.select(*keys).distinct().join(s, list(keys), "left").na.fill(0, ["n_peaks", *(n for n, _ in aggs)])
+    q = percentiles(events, keys, {f"_{c}": F.col(c) for c in names}, [0.5, 0.9, 0.95])
+    plain = events.groupBy(*keys).agg(F.count("*").alias("n_peaks"), *(f.alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg(c)), ("max", F.max(c)))))
+    at = [F.col(f"_{c}")[k].alias(f"{c}_{n}") for c in names for k, n in enumerate(("median", "p90", "p95"))]
+    s = plain.join(q, list(keys), "left").select(*plain.columns, *at)
+    s = s.select(*keys, "n_peaks", *(f"{c}_{n}" for c in names for n in ("mean", "median", "p90", "p95", "max")))
+    return series.select(*keys).distinct().join(s, list(keys), "left").na.fill(0, [c for c in s.columns if c not in keys])
 
 
 def worst_case(

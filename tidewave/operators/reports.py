@@ -179,3 +179,33 @@ def band_envelope_analysis(blocks: DataFrame, centres: Sequence[float], rate: fl
     length = lambda hz: max(2, int(peaks.window_ms(hz, window_wavelengths, fallback_ms) * rate / 1000))
     windows = {hz: length(hz) for hz in (0.0, *check_centres(centres).tolist())}
     return envelope_analysis(levels, rate, height, distance, windows, (*KEYS, "band_hz"), **options)
+
+
+def full_analysis(blocks: DataFrame, centres: Sequence[float], rate: float, window: int, step: int, chunk: int, height: float = -60.0, distance: int = 1, bins: int = 50, folder: str | None = None, **envelope) -> dict[str, DataFrame]:
+    """The tables of a full export, by name, from blocks of samples between -1 and 1.
+
+    ``window`` and ``step`` are those of the levels over time, ``chunk`` the
+    length among which the extremes are looked for, ``height`` and
+    ``distance`` those of peaks; further options are those of
+    :func:`band_envelope_analysis`. Blocks are whole multiples of chunks and of
+    the panes that windows are made of.
+    """
+    from ..sources.series import to_rows
+
+    by = (*KEYS, "band_hz")
+    rows = to_rows(blocks)
+    bank = spectral.band_rows(blocks, centres, rate)
+    bands = stats.band_statistics(bank, by)
+    windows = panes.fixed_window(rows, window, step, rate)
+    found = band_envelope_analysis(blocks, centres, rate, height, distance, folder=folder, **envelope)
+    seconds = rows.groupBy(*KEYS).agg((F.count("*") / rate).alias("seconds"))
+    peak_rates = stats.peak_rates(found["peaks"].where("band_hz = 0").drop("band_hz"), seconds)
+    wide = stats.saturation(rows, rate)
+    for more in (peak_rates, stats.peak_distribution(rows), stats.frequency_dynamics(bands), stats.mastering_indicators(bands), stats.temporal_dynamics(windows.join(seconds, list(KEYS)), F.col("seconds"))):
+        wide = wide.join(more.drop("seconds"), list(KEYS), "left")
+    return {
+        "track_metadata": track_metadata(rows, rate, centres), "octave_band_analysis": bands, "time_domain_summary": stats.time_domain_summary(windows), "time_domain_analysis": windows,
+        "advanced_statistics": stats.parameters(wide), "extreme_chunks_octave_analysis": extreme_band_statistics(blocks, centres, rate, chunk),
+        "histogram_linear": stats.linear_histogram(bank, bins=bins, keys=by), "histogram_log_db": stats.log_histogram(bank, keys=by), "octave_time_metrics": octave_time(blocks, centres, rate, window, step),
+        "envelope_statistics": found["worst_cases"], "envelope_pattern_analysis": found["pattern_statistics"], "sustained_peaks_summary": found["sustained_summary"], "sustained_peaks_events": found["sustained"],
+    }

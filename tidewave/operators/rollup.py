@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import SILENCE_DB
+from .quantiles import percentiles
 
 KEYS = ("track_id", "channel_index")
 #: Search window of the recovery times; a time this near to it never recovered.
@@ -21,10 +22,11 @@ SCORE_KEYS = ("t6_ms_p95", "t9_ms_p95", "t3_ms_p95", "t12_ms_p95", "hold_ms_p95"
 def group_crest_table(windows: DataFrame, by: Sequence[str] = ("track_id", "channel_group")) -> DataFrame:
     """Crest factors of all windows of a group's channels, pooled."""
     c = F.col("crest_factor_db")
-    q = lambda v: F.percentile(c, F.lit(v))
-    return windows.where(c.isNotNull()).groupBy(*by).agg(
-        F.min(c).alias("min_db"), q(0.95).alias("p95_db"), q(0.9).alias("p90_db"), F.avg(c).alias("mean_db"), q(0.5).alias("median_db"), F.max(c).alias("max_db"), F.stddev_pop(c).alias("std_db"), F.count("*").alias("windows")
-    )
+    valid = windows.where(c.isNotNull())
+    q = percentiles(valid, by, {"_q": c}, [0.95, 0.9, 0.5])
+    s = valid.groupBy(*by).agg(F.min(c).alias("min_db"), F.avg(c).alias("mean_db"), F.max(c).alias("max_db"), F.stddev_pop(c).alias("std_db"), F.count("*").alias("windows")).join(q, list(by))
+    at = {n: F.col("_q")[k].alias(n) for k, n in enumerate(("p95_db", "p90_db", "median_db"))}
+    return s.select(*by, "min_db", at["p95_db"], at["p90_db"], "mean_db", at["median_db"], "max_db", "std_db", "windows")
 
 
 def mean_of_numbers(channels: DataFrame, by: Sequence[str] = ("track_id", "channel_group"), skip: Sequence[str] = KEYS) -> DataFrame:

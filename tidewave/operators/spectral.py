@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import bands_frame, check_centres, weight, weights
@@ -273,6 +273,40 @@ def band_edges(freqs: DataFrame, centres: Sequence[float]) -> DataFrame:
     return s.select("freq", (-F.col("t")[0]["b"]).alias("primary_band"), F.col("t")[0]["p"].alias("primary_power"), (-F.col("t")[1]["b"]).alias("secondary_band"), F.col("t")[1]["p"].alias("secondary_power"), "power_sum")
 
 
+def band_acceptance(spark: SparkSession, centres: Sequence[float], rate: float) -> DataFrame:
+    """``(test_type, freq, lower_band, upper_band, ..., passed)``: do bands stand where they should?
+
+    At its ``center`` a band has all power; at the ``crossover`` of two
+    neighbours, the geometric mean of their centres, each has half of it and
+    no other band any. Frequencies from half the rate on are left out.
+    """
+    bands = bands_frame(spark, centres)
+    center = bands.select(F.lit("center").alias("test_type"), F.col("band_hz").alias("freq"), F.col("band_hz").alias("_a"), F.col("band_hz").alias("_b"))
+    cross = bands.where("upper_hz is not null").select(F.lit("crossover").alias("test_type"), F.sqrt(F.col("band_hz") * F.col("upper_hz")).alias("freq"), F.col("band_hz").alias("_a"), F.col("upper_hz").alias("_b"))
+    tests = center.unionByName(cross).where(F.col("freq") < rate / 2)
+    found = tests.join(band_edges(tests.select("freq").distinct(), centres), "freq")
+    single = F.col("test_type") == "center"
+    half = lambda p: F.abs(F.col(p) - 0.5) <= 5e-6
+    pair = (F.least("primary_band", "secondary_band") == F.col("_a")) & (F.greatest("primary_band", "secondary_band") == F.col("_b"))
+    top = F.when(single, F.col("primary_power")).otherwise(F.col("primary_power") + F.col("secondary_power"))
+    passed = F.when(single, (F.col("primary_band") == F.col("_a")) & (F.col("primary_power") >= 0.999999)).otherwise(pair & half("primary_power") & half("secondary_power") & (F.abs(top - 1) <= 1e-5))
+    return found.select(
+        "test_type", "freq", F.when(single, F.col("primary_band")).otherwise(F.least("primary_band", "secondary_band")).alias("lower_band"),
+        F.when(single, F.col("primary_band")).otherwise(F.greatest("primary_band", "secondary_band")).alias("upper_band"),
+        (100 * F.col("primary_power")).alias("primary_power_percent"), (100 * top).alias("top_power_percent"), (100 * F.col("power_sum")).alias("power_sum_percent"), passed.alias("passed"),
+    )
+
+
+def phase_acceptance(freqs: DataFrame, centres: Sequence[float], active: float = 1e-12) -> DataFrame:
+    """For each band over the given ``(freq)``: how many of them it lets through, its least and largest weight there,
+    and whether it turns any phase: weights are real, so only a negative one would, by half a turn."""
+    b = freqs.crossJoin(F.broadcast(bands_frame(freqs.sparkSession, centres)))  # a fixed list of bands
+    w = b.select("band_hz", weight(F.col("freq"), F.col("band_hz"), F.col("lower_hz"), F.col("upper_hz")).alias("w"))
+    on = F.when(F.abs("w") > active, F.col("w"))
+    s = w.groupBy("band_hz").agg(F.count(on).alias("active_bins"), F.min(on).alias("min_active_weight"), F.max(on).alias("max_active_weight"), F.count_if(F.col("w") < 0).alias("negative_weights"), F.max(F.when(on < 0, 180.0).otherwise(0.0)).alias("max_phase_shift_degrees"))
+    return s.withColumn("passed", (F.col("negative_weights") == 0) & (F.col("max_phase_shift_degrees") == 0))
+
+
 def target_power(power: DataFrame, targets: Sequence[float], keys=KEYS) -> DataFrame:
     """Share of the bands' power inside a set of target bands, and the loudest of these."""
     inside = F.col("band_hz").isin([float(t) for t in targets])

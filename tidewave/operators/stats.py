@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import SILENCE_DB, crest, crest_db, dbfs, dbfs_epsilon, is_valid
+from .quantiles import percentiles
 
 KEYS = ("track_id", "channel_index")
 PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
@@ -27,15 +28,16 @@ def whole_interval(rows: DataFrame, keys=KEYS, peak: Column | float = 1.0, floor
 def band_statistics(rows: DataFrame, keys=KEYS, peak: Column | float = 1.0, approximate: bool = False) -> DataFrame:
     """Everything that is said of one band: levels, range, moments and percentiles of |x|.
 
-    ``approximate`` trades exact percentiles, whose state grows with the distinct
-    values of a series, for mergeable sketches of bounded size.
+    Percentiles are exact, by selection; ``approximate`` gives them by mergeable
+    sketches instead, which reads the rows once.
     """
     x = F.col("value")
-    at = F.array(*(F.lit(p / 100) for p in PERCENTILES))
-    quantiles = F.percentile_approx(F.abs(x), at, F.lit(10_000)) if approximate else F.percentile(F.abs(x), at)
-    s = rows.groupBy(*keys).agg(
-        F.max(F.abs(x)).alias("max_amplitude"), F.sqrt(F.avg(x * x)).alias("rms"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), quantiles.alias("_q")
-    )
+    moments = [F.max(F.abs(x)).alias("max_amplitude"), F.sqrt(F.avg(x * x)).alias("rms"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")]
+    if approximate:
+        s = rows.groupBy(*keys).agg(*moments, F.percentile_approx(F.abs(x), F.array(*(F.lit(p / 100) for p in PERCENTILES)), F.lit(10_000)).alias("_q"))
+    else:
+        q = percentiles(rows, keys, {"_q": F.abs(x)}, [p / 100 for p in PERCENTILES])
+        s = rows.groupBy(*keys).agg(*moments).join(q, list(keys), "left")
     ratio = F.try_divide("rms", "max_amplitude")
     return s.select(
         *keys, "max_amplitude", dbfs(F.col("max_amplitude"), peak, None).alias("max_amplitude_db"), "rms", dbfs(F.col("rms"), peak, None).alias("rms_db"),
@@ -56,11 +58,10 @@ def time_domain_summary(windows: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def window_medians(windows: DataFrame, keys=KEYS) -> DataFrame:
-    m = lambda c: F.percentile(c, F.lit(0.5))
-    return windows.groupBy(*keys).agg(
-        m("peak_level_dbfs").alias("median_peak_dbfs"), m("rms_level_dbfs").alias("median_rms_dbfs"), m("crest_factor_db").alias("median_crest_factor_db"),
-        F.count_if("is_valid_crest_factor").alias("valid_windows"),
-    )
+    names = {"median_peak_dbfs": "peak_level_dbfs", "median_rms_dbfs": "rms_level_dbfs", "median_crest_factor_db": "crest_factor_db"}
+    q = percentiles(windows, keys, {name: F.col(c) for name, c in names.items()}, [0.5])
+    counts = windows.groupBy(*keys).agg(F.count_if("is_valid_crest_factor").alias("valid_windows"))
+    return counts.join(q, list(keys), "left").select(*keys, *(F.col(n)[0].alias(n) for n in names), "valid_windows")
 
 
 def window_averages(windows: DataFrame, keys=KEYS) -> DataFrame:

@@ -49,6 +49,31 @@ O["x9_band_edges"] = sql(
     """SELECT f AS freq, max(hz::DOUBLE) FILTER (n = 1) AS primary_band, max(p) FILTER (n = 1) AS primary_power, max(hz::DOUBLE) FILTER (n = 2) AS secondary_band, max(p) FILTER (n = 2) AS secondary_power, sum(p) AS power_sum FROM r GROUP BY f""",
     "freq primary_power secondary_power power_sum",
 )
+
+
+def _sizes(s, d):
+    """The distinct sizes of parts, some fifty, as band centres."""
+    return sorted(float(r["p_size"]) for r in table(s, d, "part").select("p_size").distinct().where("p_size > 0").collect())
+
+
+SIZES = "sz AS (SELECT DISTINCT p_size::DOUBLE AS hz FROM part WHERE p_size > 0), bands AS (SELECT hz, lag(hz) OVER (ORDER BY hz) AS lo, lead(hz) OVER (ORDER BY hz) AS hi FROM sz)"
+Q["x9_band_acceptance"] = lambda s, d: rounded(spectral.band_acceptance(s, _sizes(s, d), 80.0))
+O["x9_band_acceptance"] = sql(
+    SIZES + f""", ts AS (SELECT 'center' AS test_type, hz AS f, hz AS a, hz AS b FROM bands UNION ALL SELECT 'crossover', sqrt(hz * hi), hz, hi FROM bands WHERE hi IS NOT NULL),
+w AS (SELECT test_type, f, a, b, hz, pow({WEIGHT}, 2) AS p FROM ts, bands WHERE f < 40), r AS (SELECT *, row_number() OVER (PARTITION BY test_type, f ORDER BY p DESC) AS n FROM w),
+x AS (SELECT test_type, f AS freq, a, b, min(hz) FILTER (n <= k) AS lower_band, max(hz) FILTER (n <= k) AS upper_band, max(p) AS p1, sum(p) FILTER (n <= k) AS top, sum(p) AS total
+  FROM (SELECT *, CASE test_type WHEN 'center' THEN 1 ELSE 2 END AS k FROM r) GROUP BY ALL)""",
+    """SELECT test_type, freq, lower_band, upper_band, 100 * p1 AS primary_power_percent, 100 * top AS top_power_percent, 100 * total AS power_sum_percent,
+  lower_band = a AND upper_band = b AND CASE test_type WHEN 'center' THEN p1 >= 0.999999 ELSE abs(p1 - 0.5) <= 5e-6 AND abs(top - 1) <= 1e-5 END AS passed FROM x""",
+    "freq lower_band upper_band primary_power_percent top_power_percent power_sum_percent",
+)
+Q["x9_phase_acceptance"] = lambda s, d: rounded(spectral.phase_acceptance(table(s, d, "orders").select((F.col("o_orderkey") % 997 / 16.0 + 0.25).alias("freq")).distinct(), CENTRES))
+O["x9_phase_acceptance"] = sql(
+    f"{BANDS}, fs AS (SELECT DISTINCT o_orderkey % 997 / 16.0::DOUBLE + 0.25 AS f FROM orders), w AS (SELECT hz::DOUBLE AS band_hz, {WEIGHT} AS w FROM fs, bands)",
+    """SELECT band_hz, count(*) FILTER (abs(w) > 1e-12) AS active_bins, min(w) FILTER (abs(w) > 1e-12) AS min_active_weight, max(w) FILTER (abs(w) > 1e-12) AS max_active_weight,
+  count(*) FILTER (w < 0) AS negative_weights, max(CASE WHEN w < 0 THEN 180.0 ELSE 0.0 END) AS max_phase_shift_degrees, count(*) FILTER (w < 0) = 0 AS passed FROM w GROUP BY band_hz""",
+    "min_active_weight max_active_weight max_phase_shift_degrees",
+)
 Q["x1_block_bank"] = lambda s, d: rounded(spectral.band_rows(vectors(s, d), CENTRES, RATE))
 Q["x2_full_bank"] = lambda s, d: rounded(spectral.full_band_rows(series.to_rows(vectors(s, d)), CENTRES, RATE))
 O["x1_block_bank"] = O["x2_full_bank"] = sql(BANK, "SELECT track_id, channel_index, band_hz, sample_idx, value FROM bank", "value")
@@ -119,9 +144,10 @@ O["x10_target_power"] = sql(
 )
 Q["x11_series_validity"] = lambda s, d: rounded(spectral.series_validity(spectral.band_panes(vectors(s, d), CENTRES, RATE, 16)), 4)
 O["x11_series_validity"] = sql(
-    BANK + ", wn AS (SELECT track_id, channel_index, band_hz, sample_idx // 16 AS pane, 20 * log10(greatest(max(abs(value)) / sqrt(avg(value * value)), 1)) AS cf FROM bank GROUP BY ALL)",
-    f"""SELECT track_id, channel_index, 64::BIGINT AS num_samples, {len(CENTRES)}::BIGINT AS num_bands, TRUE AS same_length, TRUE AS all_finite, 4::BIGINT AS crest_factor_windows,
-  min(cf) AS min_band_crest_factor_db, max(cf) AS max_band_crest_factor_db FROM wn WHERE band_hz > 0 GROUP BY ALL""",
+    BANK + ", wn AS (SELECT track_id, channel_index, band_hz, sample_idx // 16 AS pane, count(*) AS n, bool_and(isfinite(value)) AS fine, 20 * log10(greatest(max(abs(value)) / sqrt(avg(value * value)), 1)) AS cf FROM bank GROUP BY ALL), "
+    "ln AS (SELECT track_id, channel_index, band_hz, sum(n) AS samples, count(*) FILTER (n = 16) AS windows, bool_and(fine) AS fine, min(cf) FILTER (n = 16) AS lo, max(cf) FILTER (n = 16) AS hi FROM wn GROUP BY ALL)",
+    """SELECT track_id, channel_index, max(samples)::BIGINT AS num_samples, count(*) - 1 AS num_bands, min(samples) = max(samples) AS same_length, bool_and(fine) AS all_finite, max(windows) AS crest_factor_windows,
+  min(lo) FILTER (band_hz > 0) AS min_band_crest_factor_db, max(hi) FILTER (band_hz > 0) AS max_band_crest_factor_db FROM ln GROUP BY ALL""",
     "min_band_crest_factor_db max_band_crest_factor_db",
     4,
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import patterns, peaks, reports, stats
+from ..sources import tables
 from .views import BANK, CENTRES, USER_LEVELS, rounded, scratch, sql, table, user_levels, vectors
 from .views import RATE as BAND_RATE
 
@@ -269,3 +270,49 @@ def _band_worst(s, d):
 
 
 Q["e11_e6_band_worst_cases"] = lambda s, d: rounded(_band_worst(s, d), BAND_DIGITS)
+
+#: Columns whose sums stand for the sections of a full export; None counts rows only.
+SUMMED = {
+    "track_metadata": "original_peak", "octave_band_analysis": "p50", "time_domain_summary": "total_windows", "time_domain_analysis": "peak_level", "advanced_statistics": None, "extreme_chunks_octave_analysis": "max_amplitude",
+    "histogram_linear": "bin_count", "histogram_log_db": "bin_count", "octave_time_metrics": "peak_level", "sustained_peaks_summary": "n_peaks", "sustained_peaks_events": "hold_ms",
+}
+
+
+def _full_export(s, d):
+    """All sections of an analysis of the vectors, written as CSV and read back; what rests on patterns is written, and not summed."""
+    folder = scratch(s)
+    made = reports.full_analysis(
+        vectors(s, d), CENTRES, BAND_RATE, 32, 16, 16, BAND_HEIGHT, BAND_DISTANCE, folder=f"{folder}/kept", window_wavelengths=4.0, fallback_ms=100.0, digits=BAND_DIGITS, similarity=0.8, least=2, most=4, top=2, least_db=BAND_LEAST, seconds=0.25
+    )
+    names, out = tables.write_sections(made, folder), None
+    for name in (n for n in names if n in SUMMED):
+        df = s.read.csv(f"{folder}/{name}", header=True)
+        if name == "advanced_statistics":
+            df = df.where("parameter = 'spectral_centroid_hz'").withColumn("total", F.col("value"))
+        one = df.agg(F.count("*").alias("n"), F.sum(F.col(SUMMED[name] or "total").cast("double")).alias("total")).select(F.lit(name).alias("section"), "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _export_sql() -> str:
+    windows_ = "SELECT channel_index, band_hz, w, max(abs(value)) AS peak FROM bank, unnest(range(3)) u(w) WHERE sample_idx // 16 BETWEEN w AND w + 1 GROUP BY ALL"
+    chunks = """bp AS (SELECT channel_index, band_hz, sample_idx // 16 AS pane, max(abs(value)) AS m, sqrt(avg(value * value)) AS rms FROM bank GROUP BY ALL),
+cc AS (SELECT channel_index, pane, round(20 * log10(greatest(m / rms, 1)), 9) AS cf FROM bp WHERE band_hz = 0),
+xc AS (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY channel_index ORDER BY cf, pane) = 1 UNION ALL SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY channel_index ORDER BY cf DESC, pane) = 1)"""
+    levels = "coalesce(20 * log10(nullif(abs(value), 0)), -120)"
+    select = """SELECT 'track_metadata' AS section, count(*) AS n, sum(m)::DOUBLE AS total FROM (SELECT max(abs(value)) AS m FROM bank WHERE band_hz = 0 GROUP BY channel_index)
+UNION ALL SELECT 'octave_band_analysis', count(*), sum(q) FROM (SELECT quantile_cont(abs(value), 0.5) AS q FROM bank GROUP BY channel_index, band_hz)
+UNION ALL SELECT 'time_domain_summary', count(DISTINCT channel_index), count(*) FROM ww WHERE band_hz = 0
+UNION ALL SELECT 'time_domain_analysis', count(*), sum(peak) FROM ww WHERE band_hz = 0
+UNION ALL SELECT 'advanced_statistics', count(*), sum(c) FROM (SELECT sum(band_hz * e) / sum(e) AS c FROM (SELECT channel_index, band_hz, avg(value * value) AS e FROM bank WHERE band_hz > 0 GROUP BY ALL) GROUP BY channel_index)
+UNION ALL SELECT 'extreme_chunks_octave_analysis', count(*), sum(m) FROM bp JOIN xc USING (channel_index, pane)
+UNION ALL SELECT 'histogram_linear', 50 * (SELECT count(*) FROM nm), count(*) FILTER (value BETWEEN -1 AND 1) FROM bank
+UNION ALL SELECT 'histogram_log_db', 19 * (SELECT count(*) FROM nm), count(*) FILTER (LEVELS BETWEEN -60 AND 0) FROM bank
+UNION ALL SELECT 'octave_time_metrics', count(*), sum(peak) FROM ww
+UNION ALL SELECT 'sustained_peaks_summary', (SELECT count(*) FROM nm), count(*) FROM sv
+UNION ALL SELECT 'sustained_peaks_events', count(*), sum(hold_ms) FROM sv""".replace("LEVELS", levels)
+    return sql(f"{BAND_PEAKS}{_BAND_EVENTS}, ww AS ({windows_}), {chunks}", select, "total", 3)
+
+
+Q["s14_composed_export"] = lambda s, d: rounded(_full_export(s, d), 3)
+O["s14_composed_export"] = _export_sql()

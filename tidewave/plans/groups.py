@@ -291,14 +291,17 @@ O["k6_best_candidate"] = "WITH e AS (SELECT l_linenumber % 3 AS length, l_suppke
 
 
 def _sections(s, d):
-    """Sectioned CSV text, a file a page, through the section parser."""
-    t = F.concat_ws("\n", F.lit("[A]"), F.lit("x,y"), F.concat_ws(",", F.col("page_id").cast("string"), F.lit("1")), F.lit("ragged"), F.lit(""), F.lit("[B]"), F.lit("x,y"), F.concat_ws(",", (F.col("page_id") * 2).cast("string"), F.lit("2")))
-    lines = table(s, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.posexplode(F.split(t, "\n")).alias("line", "value"))
-    return tables.parse_sections(lines, "B", ["x", "y"]).select("path", "x", "y")
+    """A sectioned file a customer: their orders, rows of another width among them, between two other sections."""
+    cells = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 7 == 0, "ragged"))
+    held = table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", cells.alias("line")))).alias("rows"), F.count("*").alias("n"))
+    count = F.col("n").cast("string")
+    text = F.flatten(F.array(F.array(F.lit("[SUMMARY]"), F.lit("orders,kind"), F.concat(count, F.lit(",all")), F.lit(""), F.lit("[ORDERS]"), F.lit("key,priority")), F.col("rows.line"), F.array(F.lit("[END]"), F.lit("key,priority"), F.lit("0,none"))))
+    lines = held.select(F.col("o_custkey").cast("string").alias("path"), F.posexplode(text).alias("line", "value"))
+    return tables.parse_sections(lines, "ORDERS", ["key", "priority"]).select("path", "key", "priority")
 
 
 Q["s15_sections"] = _sections
-O["s15_sections"] = "SELECT page_id::VARCHAR AS path, (page_id * 2)::VARCHAR AS x, '2' AS y FROM pages"
+O["s15_sections"] = "SELECT o_custkey::VARCHAR AS path, o_orderkey::VARCHAR AS key, o_orderpriority AS priority FROM orders WHERE o_orderkey % 7 <> 0"
 Q["p23_report_cells"] = lambda s, d: table(s, d, "supplier").select("s_suppkey", reports.report_cell(F.when((F.col("s_suppkey") % 7 != 0) | (F.col("s_acctbal") == 0), F.col("s_acctbal").cast("double"))).alias("cell"))
 O["p23_report_cells"] = "SELECT s_suppkey, CASE WHEN s_acctbal = 0 THEN '0.0' WHEN s_suppkey % 7 <> 0 THEN printf('%.1f', round_even(s_acctbal::DOUBLE, 1)) ELSE 'N/A' END AS cell FROM supplier"
 

@@ -114,7 +114,7 @@ UNION ALL SELECT track_id, channel_index, 'max_chunk', chunk_idx, crest_factor_d
 
 def _extreme_bands(s, d):
     """Statistics of the bands in the most and the least peaky chunk of each vector."""
-    x = reports.extreme_band_statistics(vectors(s, d), CENTRES, RATE, 16).where("band_hz > 0")
+    x = reports.extreme_band_statistics(vectors(s, d), CENTRES, RATE, 16)
     return rounded(x.select("track_id", "channel_index", "chunk_type", "band_hz", F.col("chunk_idx").alias("pane"), F.col("chunk_crest_factor_db").alias("crest_factor_db"), "max_amplitude", "rms", "mean", "std", "p10", "p50", "p95"), 5)
 
 
@@ -125,7 +125,7 @@ O["j6_extreme_chunk_bands"] = sql(
 c AS (SELECT track_id, channel_index, pane, round(20 * log10(greatest(max_amplitude / rms, 1)), 9) AS cf FROM bp WHERE band_hz = 0),
 x AS (SELECT *, 'min_chunk' AS chunk_type FROM c QUALIFY row_number() OVER (PARTITION BY channel_index ORDER BY cf, pane) = 1
   UNION ALL SELECT *, 'max_chunk' FROM c QUALIFY row_number() OVER (PARTITION BY channel_index ORDER BY cf DESC, pane) = 1)""",
-    "SELECT b.track_id, b.channel_index, x.chunk_type, b.band_hz, b.pane, b.max_amplitude, b.rms, b.mean, b.std, b.p10, b.p50, b.p95, x.cf AS crest_factor_db FROM bp b JOIN x USING (channel_index, pane) WHERE b.band_hz > 0",
+    "SELECT b.track_id, b.channel_index, x.chunk_type, b.band_hz, b.pane, b.max_amplitude, b.rms, b.mean, b.std, b.p10, b.p50, b.p95, x.cf AS crest_factor_db FROM bp b JOIN x USING (channel_index, pane)",
     "max_amplitude rms mean std p10 p50 p95 crest_factor_db",
     5,
 )

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 KEYS = ["track_id", "channel_index"]
+#: Names in a store of versions: the files that make a version known, and the table of the channels it has.
+COMMIT, CHANNELS = "commit-", "channels"
 
 
 def write_table(df: DataFrame, folder: str, name: str) -> None:
@@ -39,6 +44,66 @@ def upsert_manifest(old: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS)
     return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_age"))).where("_n = 1").drop("_n", "_age")
 
 
+def _files(spark: SparkSession, folder: str):
+    """Hadoop's file system and file context of a folder, and its path. The context's rename fails where the target exists."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path(folder), spark._jsc.hadoopConfiguration()
+    return path.getFileSystem(conf), spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), conf), path
+
+
+def commits(spark: SparkSession, folder: str, version: int | None = None) -> list[tuple[int, str]]:
+    """``(version, data folder)`` of a store's commits in order, up to ``version`` if one is given."""
+    fs, _, path = _files(spark, folder)
+    if not fs.exists(path) or not any(f.getPath().getName().startswith(COMMIT) for f in fs.listStatus(path)):
+        return []
+    rows = spark.read.text(f"{folder}/{COMMIT}*").select("value", F.regexp_extract(F.input_file_name(), COMMIT + r"(\d+)", 1).cast("int").alias("v")).collect()
+    return sorted((r["v"], f"{folder}/{r['value']}") for r in rows if version is None or r["v"] <= version)
+
+
+def commit(tables: dict[str, DataFrame], channels: DataFrame, folder: str) -> int:
+    """Write the tables of the results of ``channels`` as one version of a store; returns its number, from 1.
+
+    The tables go to a folder that no reader knows. A small file that names it,
+    written under another name and renamed to the next free number, makes all
+    of them known at once; a writer that finds its number taken takes the
+    next. So readers see whole versions only, whoever writes beside them, and
+    a writer that dies leaves nothing but a folder that is never read.
+    """
+    spark, data = channels.sparkSession, f"data-{uuid.uuid4().hex}"
+    channels.select(*KEYS).distinct().write.parquet(f"{folder}/{data}/{CHANNELS}")
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{data}/{name}")
+    fs, context, path = _files(spark, folder)
+    of = lambda name: spark._jvm.org.apache.hadoop.fs.Path(path, name)
+    draft = of(f"draft-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(data, "ascii"))
+    out.close()
+    never_over = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    version = max([v for v, _ in commits(spark, folder)], default=0) + 1
+    while fs.exists(draft):
+        try:
+            context.rename(fs.makeQualified(draft), fs.makeQualified(of(f"{COMMIT}{version:09d}")), never_over)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            version += 1
+    return version
+
+
+def read_version(spark: SparkSession, folder: str, name: str, schema: StructType, version: int | None = None) -> DataFrame:
+    """A table of a store as of a version, or of the latest: of each channel what the last commit that has it wrote, be it no rows."""
+    held = commits(spark, folder, version)
+    if not held:
+        return spark.createDataFrame([], schema)
+    fs, _, _ = _files(spark, folder)
+    there = [(v, data) for v, data in held if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{data}/{name}"))]
+    of = lambda read, pairs: functools.reduce(DataFrame.unionByName, (read(data).withColumn("_v", F.lit(v)) for v, data in pairs))
+    last = of(lambda data: spark.read.parquet(f"{data}/{CHANNELS}"), held).groupBy(*KEYS).agg(F.max("_v").alias("_v"))
+    if not there:
+        return spark.createDataFrame([], schema)
+    return of(lambda data: spark.read.schema(schema).parquet(f"{data}/{name}"), there).join(last, [*KEYS, "_v"], "left_semi").drop("_v")
+
+
 def missing_artifacts(found: DataFrame, expected: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """For every channel of ``found (keys, artifact)`` what it has and what it lacks."""
     every = found.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, expected))).alias("artifact"))
