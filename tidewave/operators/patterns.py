@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import walk
+
 KEYS = ("track_id", "channel_index")
 #: Peaks of a series that take part, the highest first: a limit of the operator itself.
 MOST_PEAKS = 500
@@ -106,15 +108,11 @@ def similar_pairs(windows: DataFrame, threshold: float, keys=KEYS) -> DataFrame:
     """:func:`alike` over the windows numbered ``n`` of every series, of which it takes ``MOST_PEAKS`` at most."""
     keys = list(keys)
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        found, n = alike(pdf["window"].tolist(), threshold), pdf["n"].to_numpy()
-        found = found.assign(i=n[found["i"].astype(int)], j=n[found["j"].astype(int)])
-        return found.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "i", "j", "same", "r"]]
+    def pairs(_, rows: walk.Columns) -> walk.Columns:
+        found, n = alike([x.tolist() for x in rows["window"]], threshold), rows["n"]
+        return {"i": n[found["i"].to_numpy(np.int64)], "j": n[found["j"].to_numpy(np.int64)], "same": found["same"].to_numpy(bool), "r": found["r"].to_numpy(np.float64)}
 
-    types = dict(windows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", i int, j int, same boolean, r double"
-    return windows.select(*keys, "n", "window").groupBy(*keys).applyInPandas(pairs, schema)
+    return walk.by_group(windows.select(*keys, "n", "window"), keys, ["n"], pairs, "i int, j int, same boolean, r double")
 
 
 def greedy_groups(n: int, edges: list[tuple[int, int, bool]], lengths: dict[int, int], least: int) -> list[list[int]]:
@@ -128,8 +126,8 @@ def greedy_groups(n: int, edges: list[tuple[int, int, bool]], lengths: dict[int,
     used: set[int] = set()
     groups = []
     order = sorted(range(n), key=_first(lengths, n))
-    for same, walk in ((True, order), (False, range(n))):
-        for i in walk:
+    for same, places in ((True, order), (False, range(n))):
+        for i in places:
             if i in used:
                 continue
             group = [i, *(j for j in near.get((i, same), []) if j not in used)]
@@ -159,19 +157,21 @@ def repeating_patterns(windows: DataFrame, threshold: float = 0.9, least: int =
     top = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("peak_db"), "peak_idx"))
     kept = windows.withColumn("_top", top).where(F.col("_top") <= most_peaks).select(*keys, "peak_idx", "peak_db", "window")
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("peak_idx").reset_index(drop=True)
-        pairs = alike(pdf["window"].tolist(), threshold)
-        lengths = dict(enumerate(map(len, pdf["window"])))
+    def group(_, rows: walk.Columns) -> walk.Columns | None:
+        held = [x.tolist() for x in rows["window"]]
+        if len(held) < least:
+            return None
+        pairs = alike(held, threshold)
+        lengths = dict(enumerate(map(len, held)))
         edges = [(int(i), int(j), bool(s)) for i, j, s in pairs[["i", "j", "same"]].itertuples(index=False, name=None)]
         found = sorted(greedy_groups(len(lengths), edges, lengths, least), key=len, reverse=True)[:most]
-        numbers = [(p, n) for p, g in enumerate(found, 1) for n in g]
-        at = [n for _, n in numbers]
-        return pdf.loc[at, [*keys, "peak_idx", "peak_db"]].assign(pattern_num=[p for p, _ in numbers])[[*keys, "pattern_num", "peak_idx", "peak_db"]]
+        if not found:
+            return None
+        at = np.array([n for g in found for n in g], np.int64)
+        number = np.repeat(np.arange(1, len(found) + 1, dtype=np.int32), [len(g) for g in found])
+        return {"pattern_num": number, "peak_idx": rows["peak_idx"][at], "peak_db": rows["peak_db"][at]}
 
-    types = dict(windows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", pattern_num int, peak_idx long, peak_db double"
-    return kept.groupBy(*keys).applyInPandas(group, schema)
+    return walk.by_group(kept, keys, ["peak_idx"], group, "pattern_num int, peak_idx long, peak_db double")
 
 
 def pattern_statistics(members: DataFrame, rate: float, keys=KEYS) -> DataFrame:

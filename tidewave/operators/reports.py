@@ -140,6 +140,14 @@ def pattern_peaks(*sets: DataFrame, keys=KEYS) -> DataFrame:
     return out.distinct()
 
 
+def kept(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """``df`` written to a folder and read again, where there is one."""
+    if folder is None:
+        return df
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
 def envelope_analysis(levels: DataFrame, rate: float, height: float, distance: int, window: int | dict[float, int], keys=KEYS, similarity: float = 0.9, least: int = 3, most: int = 10, top: int = 5, least_db: float = -3.0, seconds: float = 5.0, sort_by: str = "peak_value", folder: str | None = None) -> dict[str, DataFrame]:
     """All that is said of envelope levels, rows or blocks: for bands, with the band among the keys.
 
@@ -150,16 +158,9 @@ def envelope_analysis(levels: DataFrame, rate: float, height: float, distance: i
     caller's to delete. Without one nothing is kept, and each table makes what
     it reads anew.
     """
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        if folder is None:
-            return df
-        df.write.parquet(f"{folder}/{name}")
-        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    levels = kept(levels, "levels")
-    found = kept(peaks.find_peaks(levels, height, distance, keys), "peaks")
-    members = kept(patterns.repeating_patterns(peaks.windows_around(found, levels, window, keys), similarity, least, most, keys), "patterns")
+    levels = kept(levels, folder, "levels")
+    found = kept(peaks.find_peaks(levels, height, distance, keys), folder, "peaks")
+    members = kept(patterns.repeating_patterns(peaks.windows_around(found, levels, window, keys), similarity, least, most, keys), folder, "patterns")
     events = peaks.sustained_events(found, levels, rate, least_db, seconds=seconds, keys=keys)
     return {
         "levels": levels, "peaks": found, "patterns": members, "pattern_statistics": patterns.pattern_statistics(members, rate, keys),
@@ -187,7 +188,7 @@ def full_analysis(blocks: DataFrame, centres: Sequence[float], rate: float, wind
     ``window`` and ``step`` are those of the levels over time, ``chunk`` the
     length among which the extremes are looked for, ``height`` and
     ``distance`` those of peaks; further options are those of
-    :func:`band_envelope_analysis`. Blocks are whole multiples of chunks and of
+    :func:`band_envelope_analysis`; so is ``folder``. Blocks are whole multiples of chunks and of
     the panes that windows are made of.
     """
     from ..sources.series import to_rows
@@ -195,8 +196,8 @@ def full_analysis(blocks: DataFrame, centres: Sequence[float], rate: float, wind
     by = (*KEYS, "band_hz")
     rows = to_rows(blocks)
     bank = spectral.band_rows(blocks, centres, rate)
-    bands = stats.band_statistics(bank, by)
-    windows = panes.fixed_window(rows, window, step, rate)
+    bands = kept(stats.band_statistics(bank, by), folder, "bands")
+    windows = kept(panes.fixed_window(rows, window, step, rate), folder, "windows")
     found = band_envelope_analysis(blocks, centres, rate, height, distance, folder=folder, **envelope)
     seconds = rows.groupBy(*KEYS).agg((F.count("*") / rate).alias("seconds"))
     peak_rates = stats.peak_rates(found["peaks"].where("band_hz = 0").drop("band_hz"), seconds)
