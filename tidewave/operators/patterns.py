@@ -100,8 +100,9 @@ def alike(windows: list, threshold: float) -> pd.DataFrame:
             i, j = np.nonzero(r >= threshold)
             first, second, r = np.minimum(at[i], others[j]), np.maximum(at[i], others[j]), r[i, j]
             keep = at[i] < others[j] if a == b else np.ones(len(r), bool)
-            found.append(pd.DataFrame({"i": first, "j": second, "same": a == b, "r": r})[keep])
-    return pd.concat(found) if found else pd.DataFrame({"i": [], "j": [], "same": [], "r": []})
+            found.append((first[keep], second[keep], np.full(keep.sum(), a == b), r[keep]))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0)] * 4
+    return pd.DataFrame(dict(zip(("i", "j", "same", "r"), columns, strict=True)))
 
 
 def similar_pairs(windows: DataFrame, threshold: float, keys=KEYS) -> DataFrame:
@@ -163,7 +164,7 @@ def repeating_patterns(windows: DataFrame, threshold: float = 0.9, least: int =
             return None
         pairs = alike(held, threshold)
         lengths = dict(enumerate(map(len, held)))
-        edges = [(int(i), int(j), bool(s)) for i, j, s in pairs[["i", "j", "same"]].itertuples(index=False, name=None)]
+        edges = list(zip(pairs["i"].tolist(), pairs["j"].tolist(), pairs["same"].tolist(), strict=True))
         found = sorted(greedy_groups(len(lengths), edges, lengths, least), key=len, reverse=True)[:most]
         if not found:
             return None
