@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -353,3 +354,15 @@ def test_files_roll_and_repeat(spark, tmp_path):
     twins = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "u", "bb"), (4, "u", "bb")], pages.schema)
     m = warc.write_warc(twins, f"file://{small}", min_payload=2)
     assert sorted((r["page_id"], r["record_type"]) for r in warc.read_warc(m, f"file://{small}").collect()) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
+
+
+def test_pages_without_ids_match_sql(spark):
+    """Also payloads that only such pages have, which are responses all."""
+    rows = [(1, "a"), (2, "a"), (None, "a"), (None, "b"), (None, "b"), (3, "c"), (3, "c"), (None, None), (4, ""), (None, "d")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, 'u', ?)", rows)
+    got = warc.round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string"))
+    key = lambda r: tuple(str(v) for v in r)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(key(r) for r in got.select(*names).collect()) == sorted(key(r) for r in con.sql(f"SELECT {', '.join(names)} FROM ({warc.ORACLE})").fetchall())

@@ -222,14 +222,14 @@ def round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     return read_warc(write_warc(pages, folder, min_payload), folder)
 
 
-#: No base32 or 160-bit numbers in SQL: the digest's hex digits are read 10 at a time.
+#: Payloads of pages without ids alone are responses all: no page could be referred to. No base32 or 160-bit numbers in SQL: the digest's hex digits are read 10 at a time.
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least, row_number() OVER (PARTITION BY h, page_id) AS k FROM p)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, CAST(j // 8 * 10 + 1 AS BIGINT), 10))::BIGINT >> (35 - 5 * (j % 8))) & 31 AS BIGINT) + 1, 1)
     FOR j IN range(32)], '') AS payload_digest,
-  CASE WHEN page_id IS NOT DISTINCT FROM least AND k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id IS NOT DISTINCT FROM least AND k = 1 THEN NULL ELSE least END AS refers_to
+  CASE WHEN least IS NULL OR page_id = least AND k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN least IS NULL OR page_id = least AND k = 1 THEN NULL ELSE least END AS refers_to
 FROM f
 """
