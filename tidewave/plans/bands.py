@@ -76,7 +76,9 @@ O["x9_phase_acceptance"] = sql(
 )
 Q["x1_block_bank"] = lambda s, d: rounded(spectral.band_rows(vectors(s, d), CENTRES, RATE))
 Q["x2_full_bank"] = lambda s, d: rounded(spectral.full_band_rows(series.to_rows(vectors(s, d)), CENTRES, RATE))
-O["x1_block_bank"] = O["x2_full_bank"] = sql(BANK, "SELECT track_id, channel_index, band_hz, sample_idx, value FROM bank", "value")
+#: The same transforms, each spread over several tasks.
+Q["x2_distributed_bank"] = lambda s, d: rounded(spectral.full_band_rows(series.to_rows(vectors(s, d)), CENTRES, RATE, whole=32, tile=16))
+O["x1_block_bank"] = O["x2_full_bank"] = O["x2_distributed_bank"] = sql(BANK, "SELECT track_id, channel_index, band_hz, sample_idx, value FROM bank", "value")
 Q["x1_band_levels"] = lambda s, d: rounded(band_level_frame(s, d).drop("mean"))
 O["x1_band_levels"] = sql(LEVELS, "SELECT * FROM lv", "peak rms max_amplitude_db rms_db crest_factor_db")
 Q["x3_band_power"] = lambda s, d: rounded(power(s, d).select(*KEYS, "band_hz", "power"), 9)

@@ -134,6 +134,24 @@ def _manifest(s, d):
 
 Q["s8_upsert_manifest"] = _manifest
 O["s8_upsert_manifest"] = "SELECT 't' AS track_id, CAST(c_custkey AS INTEGER) AS channel_index, CAST(CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS version FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"
+
+
+def _versions(s, d):
+    """Two versions of a store: every third user anew, of whom the odd ones have nothing in the table any more."""
+    folder = scratch(s)
+    u = users(s, d).groupBy("track_id", "channel_index").agg(F.count("*").alias("samples"), F.max(F.abs("value")).alias("peak"))
+    tables.commit({"levels": u}, u, folder)
+    again = u.where("channel_index % 3 = 0")
+    tables.commit({"levels": again.where("channel_index % 2 = 0").withColumn("samples", F.col("samples") + 1000)}, again, folder)
+    return tables.read_version(s, folder, "levels", u.schema)
+
+
+Q["s7_s8_versions"] = lambda s, d: rounded(_versions(s, d))
+O["s7_s8_versions"] = sql(
+    USERS + ", a AS (SELECT track_id, channel_index, count(*) AS samples, max(abs(value)) AS peak FROM us GROUP BY ALL)",
+    "SELECT track_id, channel_index, samples + CASE WHEN channel_index % 3 = 0 THEN 1000 ELSE 0 END AS samples, peak FROM a WHERE channel_index % 3 <> 0 OR channel_index % 2 = 0",
+    "peak",
+)
 KINDS = ["click", "purchase", "refund", "view"]
 
 
