@@ -188,8 +188,24 @@ def _members(s, d):
     return patterns.repeating_patterns(windows(s, d), 0.8, 2, 4)
 
 
-#: The greedy grouping depends on order; it is tested against plain loops.
+#: Alike windows of one length, and of others by interpolation; then the greedy grouping, a window a step: first with windows of its length, then with others.
+GROUPED = CUT + """, nw AS MATERIALIZED (SELECT track_id, channel_index, peak_idx, peak_db, w, len(w) AS k, list_max(w) - list_min(w) < 1e-10 AS flat, row_number() OVER (PARTITION BY channel_index ORDER BY peak_idx) - 1 AS n FROM cw),
+bt AS (SELECT a.channel_index, a.n AS an, b.n AS bn, a.k = b.k AS same, a.w AS x, (a.flat OR b.flat) AS flat, abs(list_max(a.w) - list_max(b.w)) < 1e-10 AS level,
+    CASE WHEN a.k = b.k THEN b.w ELSE [b.w[i * (b.k - 1) // (a.k - 1) + 1] + (b.w[least(i * (b.k - 1) // (a.k - 1) + 2, b.k)] - b.w[i * (b.k - 1) // (a.k - 1) + 1]) * (i * (b.k - 1) / (a.k - 1)::DOUBLE - i * (b.k - 1) // (a.k - 1)) FOR i IN range(a.k)] END AS y
+  FROM nw a JOIN nw b ON a.channel_index = b.channel_index AND (a.k < b.k OR a.k = b.k AND a.n < b.n)),
+al AS (SELECT channel_index, least(an, bn) AS i, greatest(an, bn) AS j, same, CASE WHEN flat THEN CASE WHEN level AND NOT same THEN 1 ELSE 0 END ELSE (SELECT corr(p, q) FROM (SELECT unnest(x) AS p, unnest(y) AS q)) END AS r FROM bt),
+ne AS (SELECT channel_index, i, same, list(j ORDER BY j) AS js FROM al WHERE r >= 0.8 GROUP BY ALL),
+so AS (SELECT channel_index, n, TRUE AS same, row_number() OVER (PARTITION BY channel_index ORDER BY f, n) AS step FROM (SELECT channel_index, n, min(n) OVER (PARTITION BY channel_index, k) AS f FROM nw)
+  UNION ALL SELECT channel_index, n, FALSE, count(*) OVER (PARTITION BY channel_index) + row_number() OVER (PARTITION BY channel_index ORDER BY n) FROM nw),
+sj AS MATERIALIZED (SELECT so.channel_index, so.n, so.step, coalesce(ne.js, []) AS js FROM so LEFT JOIN ne ON ne.channel_index = so.channel_index AND ne.i = so.n AND ne.same = so.same),
+gg AS (SELECT DISTINCT channel_index, 0::BIGINT AS step, []::BIGINT[] AS used, []::BIGINT[][] AS groups FROM nw
+  UNION ALL SELECT channel_index, step, CASE WHEN skip OR len(mem) = 0 THEN used ELSE list_concat(list_append(used, n), mem) END, CASE WHEN skip OR len(mem) = 0 THEN groups ELSE list_append(groups, list_prepend(n, mem)) END
+  FROM (SELECT gg.channel_index, sj.step, sj.n, gg.used, gg.groups, list_contains(gg.used, sj.n) AS skip, list_filter(sj.js, lambda j: NOT list_contains(gg.used, j)) AS mem FROM gg JOIN sj ON sj.channel_index = gg.channel_index AND sj.step = gg.step + 1)),
+gs AS (SELECT channel_index, unnest(groups) AS g, generate_subscripts(groups, 1) AS o FROM (SELECT channel_index, arg_max(groups, step) AS groups FROM gg GROUP BY channel_index)),
+gn AS (SELECT channel_index, g, CAST(row_number() OVER (PARTITION BY channel_index ORDER BY len(g) DESC, o) AS INTEGER) AS pattern_num FROM gs),
+mb AS (SELECT nw.track_id, nw.channel_index, m.pattern_num, nw.peak_idx, nw.peak_db FROM (SELECT channel_index, pattern_num, unnest(g) AS n FROM gn WHERE pattern_num <= 4) m JOIN nw USING (channel_index, n))"""
 Q["e8_k3_repeating_patterns"] = lambda s, d: rounded(_members(s, d), 3)
+O["e8_k3_repeating_patterns"] = sql(GROUPED, "SELECT * FROM mb", "peak_db", 3)
 Q["e9_w14_pattern_statistics"] = lambda s, d: rounded(patterns.pattern_statistics(_members(s, d), RATE), 5)
 
 
@@ -198,16 +214,22 @@ def _fixed_members(s, d):
     return patterns.pattern_statistics(found(s, d).withColumn("pattern_num", (F.col("peak_idx") % 2).cast("int")), RATE).where("num_repetitions > 2")
 
 
-Q["e9_interval_statistics"] = lambda s, d: rounded(_fixed_members(s, d), 5)
-O["e9_interval_statistics"] = sql(
-    PEAKS + """, gp AS (SELECT track_id, channel_index, CAST(peak_idx % 2 AS INTEGER) AS pattern_num, (peak_idx - lag(peak_idx) OVER (PARTITION BY channel_index, peak_idx % 2 ORDER BY peak_idx)) / 10.0 AS gap FROM pk),
+def _intervals_sql(members: str, more: int) -> str:
+    """Statistics of the intervals between the peaks of ``gm``, for patterns of more than so many."""
+    return sql(
+        members + f""", gp AS (SELECT track_id, channel_index, pattern_num, (peak_idx - lag(peak_idx) OVER (PARTITION BY channel_index, pattern_num ORDER BY peak_idx)) / 10.0 AS gap FROM gm),
 st AS (SELECT track_id, channel_index, pattern_num, count(*) AS num_repetitions, avg(gap) AS mean_interval_seconds, stddev_pop(gap) AS std_interval_seconds, median(gap::DOUBLE) AS median_interval_seconds, min(gap)::DOUBLE AS min_interval_seconds, max(gap)::DOUBLE AS max_interval_seconds
-  FROM gp GROUP BY ALL HAVING count(*) > 2)""",
-    """SELECT *, 1 / (1 + std_interval_seconds / mean_interval_seconds) AS pattern_regularity_score, CASE WHEN std_interval_seconds / mean_interval_seconds < 0.1 THEN 'high' WHEN std_interval_seconds / mean_interval_seconds < 0.3 THEN 'medium' ELSE 'low' END AS pattern_confidence,
+  FROM gp GROUP BY ALL HAVING count(*) > {more})""",
+        """SELECT *, 1 / (1 + std_interval_seconds / mean_interval_seconds) AS pattern_regularity_score, CASE WHEN std_interval_seconds / mean_interval_seconds < 0.1 THEN 'high' WHEN std_interval_seconds / mean_interval_seconds < 0.3 THEN 'medium' ELSE 'low' END AS pattern_confidence,
   60 / mean_interval_seconds AS beats_per_minute FROM st""",
-    "mean_interval_seconds std_interval_seconds median_interval_seconds min_interval_seconds max_interval_seconds pattern_regularity_score beats_per_minute",
-    5,
-)
+        "mean_interval_seconds std_interval_seconds median_interval_seconds min_interval_seconds max_interval_seconds pattern_regularity_score beats_per_minute",
+        5,
+    )
+
+
+Q["e9_interval_statistics"] = lambda s, d: rounded(_fixed_members(s, d), 5)
+O["e9_interval_statistics"] = _intervals_sql(PEAKS + ", gm AS (SELECT track_id, channel_index, CAST(peak_idx % 2 AS INTEGER) AS pattern_num, peak_idx FROM pk)", 2)
+O["e9_w14_pattern_statistics"] = _intervals_sql(GROUPED.replace("mb AS (", "gm AS ("), 0)
 Q["e10_window_length"] = lambda s, d: rounded(table(s, d, "part").select("p_partkey", peaks.window_length_ms(F.when(F.col("p_size") % 5 == 0, 0.0).otherwise(F.col("p_size") * 1.3), 4.0, 50.0).alias("window_ms")))
 O["e10_window_length"] = sql("p AS (SELECT p_partkey, p_size FROM part)", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 100 ELSE least(4 / (p_size * 1.3::DOUBLE) * 1000, 500) END AS window_ms FROM p", "window_ms")
 
@@ -224,8 +246,11 @@ def _counts(found, names):
     return out.na.fill(0)
 
 
-#: How many of each there are, in all; the grouping of patterns is tested against plain loops.
+#: How many of each there are, in all.
 Q["e11_u5_envelope_driver"] = lambda s, d: _counts(_analysis(s, d), (("peaks", "peaks"), ("patterns", "pattern_peaks"), ("worst_cases", "worst_cases"), ("sustained", "sustained")))
+O["e11_u5_envelope_driver"] = f"""WITH {GROUPED} SELECT 'users' AS track_id, l.channel_index, l.n AS samples, coalesce(p.c, 0) AS peaks, coalesce(m.c, 0) AS pattern_peaks,
+  coalesce(least(3, p.c - coalesce(m.c, 0)), 0) AS worst_cases, coalesce(p.s, 0) AS sustained
+  FROM ln l LEFT JOIN (SELECT channel_index, count(*) AS c, count(*) FILTER (peak_db >= -3) AS s FROM pk GROUP BY ALL) p USING (channel_index) LEFT JOIN (SELECT channel_index, count(*) AS c FROM mb GROUP BY ALL) m USING (channel_index)"""
 Q["e11_envelope_counts"] = lambda s, d: _counts(_analysis(s, d), (("peaks", "peaks"), ("sustained", "sustained")))
 O["e11_envelope_counts"] = PEAKS.replace("RECURSIVE", "WITH RECURSIVE", 1) + """ SELECT 'users' AS track_id, l.channel_index, min(l.n) AS samples, count(pk.peak_idx) AS peaks, count(pk.peak_idx) FILTER (peak_db >= -3) AS sustained
   FROM ln l LEFT JOIN pk USING (channel_index) GROUP BY l.channel_index"""
@@ -269,7 +294,26 @@ def _band_worst(s, d):
     return w.select(*BAND_KEYS, "rank", "peak_idx", "peak_db", "attack_time_ms", "decay_6db_ms", "start_idx", F.size("window").alias("n"))
 
 
+def _band_sizes() -> str:
+    return "CASE band_hz " + " ".join(f"WHEN {hz} THEN {max(2, int(peaks.window_ms(hz, 4.0, 100.0) * BAND_RATE / 1000))}" for hz in (0.0, *CENTRES)) + " END"
+
+
+BAND_GROUPED = (
+    BAND_PEAKS + f""", hw AS (SELECT own AS channel_index, {_band_sizes()} AS size FROM nm),
+cw AS (SELECT p.track_id, p.channel_index, p.peak_idx, p.peak_db, min(v.sample_idx) AS start_idx, list(v.db ORDER BY v.sample_idx) AS w FROM pk p JOIN hw ON hw.channel_index = p.channel_index
+  JOIN lv v ON v.channel_index = p.channel_index AND v.sample_idx BETWEEN p.peak_idx - size // 2 AND p.peak_idx + size // 2 - 1 GROUP BY p.track_id, p.channel_index, p.peak_idx, p.peak_db, size HAVING count(*) >= greatest(1, size // 2))"""
+    + GROUPED[len(CUT) :]
+)
 Q["e11_e6_band_worst_cases"] = lambda s, d: rounded(_band_worst(s, d), BAND_DIGITS)
+O["e11_e6_band_worst_cases"] = sql(
+    BAND_GROUPED + """, wc AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel_index ORDER BY peak_db DESC, peak_idx) AS INTEGER) AS rank FROM pk ANTI JOIN mb USING (channel_index, peak_idx) QUALIFY rank <= 3),
+tm AS (SELECT p.track_id, p.channel_index, p.rank, p.peak_idx, p.peak_db, max(v.sample_idx) FILTER (v.sample_idx <= p.peak_idx AND v.db < p.peak_db - 20) + 1 AS low, min(v.sample_idx) FILTER (v.sample_idx >= p.peak_idx AND v.db <= p.peak_db - 6) AS hit
+  FROM wc p JOIN lv v ON v.channel_index = p.channel_index GROUP BY ALL)""",
+    f"""SELECT x.track_id, nm.channel AS channel_index, nm.band_hz, x.rank, x.peak_idx, x.peak_db, greatest((x.peak_idx - coalesce(low, 0)) / {BAND_RATE} * 1000, 0) AS attack_time_ms, (coalesce(hit, ln.n) - x.peak_idx) / {BAND_RATE} * 1000 AS decay_6db_ms,
+  cw.start_idx, CAST(len(cw.w) AS INTEGER) AS n FROM tm x {NAMED} JOIN ln ON ln.channel_index = x.channel_index LEFT JOIN cw ON cw.channel_index = x.channel_index AND cw.peak_idx = x.peak_idx""",
+    "peak_db attack_time_ms decay_6db_ms",
+    BAND_DIGITS,
+)
 
 #: Columns whose sums stand for the sections of a full export; None counts rows only.
 SUMMED = {
