@@ -61,5 +61,5 @@ def test_odd_tables(spark, tmp_path):
 
 
 def test_registered():
-    assert len(llm.queries()) == 11 and set(llm.oracle_sql()) <= set(llm.queries())
+    assert len(llm.queries()) == 14 and set(llm.oracle_sql()) <= set(llm.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "simhash", "mixing", "packing"]
