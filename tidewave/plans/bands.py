@@ -24,10 +24,21 @@ def band_level_frame(s, d):
 LEVELS = BANK + """, bl AS (SELECT track_id, channel_index, band_hz, max(abs(value)) AS peak, sqrt(avg(value * value)) AS rms FROM bank GROUP BY ALL),
 lv AS (SELECT *, 20 * log10(nullif(peak, 0)) AS max_amplitude_db, 20 * log10(nullif(rms, 0)) AS rms_db, 20 * log10(greatest(peak / nullif(rms, 0), 1)) AS crest_factor_db FROM bl)"""
 
+#: A list of bands is no longer than this, or it is not one.
+MOST_BANDS = 1000
+
+
+def _sizes(s, d):
+    """The distinct sizes of parts, some fifty, as band centres."""
+    found = table(s, d, "part").select("p_size").distinct().where("p_size > 0").limit(MOST_BANDS + 1).collect()
+    if len(found) > MOST_BANDS:
+        raise ValueError("too many sizes for a list of bands")
+    return sorted(float(r["p_size"]) for r in found)
+
+
 def _centres(s, d):
     """The distinct sizes of parts, some fifty, as band centres with residual ends."""
-    sizes = [float(r["p_size"]) for r in table(s, d, "part").select("p_size").distinct().collect()]
-    return fb.bands_frame(s, fb.band_centres(sizes, 0.5, 4000.0))
+    return fb.bands_frame(s, fb.band_centres(_sizes(s, d), 0.5, 4000.0))
 
 
 Q["p20_band_list"] = _centres
@@ -51,11 +62,6 @@ O["x9_band_edges"] = sql(
 )
 
 
-def _sizes(s, d):
-    """The distinct sizes of parts, some fifty, as band centres."""
-    return sorted(float(r["p_size"]) for r in table(s, d, "part").select("p_size").distinct().where("p_size > 0").collect())
-
-
 SIZES = "sz AS (SELECT DISTINCT p_size::DOUBLE AS hz FROM part WHERE p_size > 0), bands AS (SELECT hz, lag(hz) OVER (ORDER BY hz) AS lo, lead(hz) OVER (ORDER BY hz) AS hi FROM sz)"
 Q["x9_band_acceptance"] = lambda s, d: rounded(spectral.band_acceptance(s, _sizes(s, d), 80.0))
 O["x9_band_acceptance"] = sql(
