@@ -421,3 +421,9 @@ def test_a_store_shows_whole_versions_only(spark, tmp_path):
     assert sorted(made) == [3, 4, 5, 6]
     last = 10 + made.index(6)
     assert read("levels")[-1] == (3, last) and read("peaks") == [(3, last)] and not list((tmp_path / "store").glob("draft-*"))
+
+
+def test_cells_keep_the_sign_of_what_rounds_to_zero(spark):
+    values = [-0.05, -0.04, -0.01, -0.06, 0.04, -0.0, 0.0, -1.25, None]
+    got = [r["c"] for r in spark.createDataFrame([(v,) for v in values], "x double").select(reports.report_cell(F.col("x")).alias("c")).collect()]
+    assert got == ["-0.0", "-0.0", "-0.0", "-0.1", "0.0", "0.0", "0.0", "-1.2", "N/A"]
