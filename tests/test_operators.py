@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewave import plans
 from tidewave.functions import bands as fb
 from tidewave.operators import panes, patterns, peaks, reports, rollup, scan, spectral, stats, walk
 from tidewave.operators.extrema import Extrema
@@ -427,3 +428,14 @@ def test_cells_keep_the_sign_of_what_rounds_to_zero(spark):
     values = [-0.05, -0.04, -0.01, -0.06, 0.04, -0.0, 0.0, -1.25, None]
     got = [r["c"] for r in spark.createDataFrame([(v,) for v in values], "x double").select(reports.report_cell(F.col("x")).alias("c")).collect()]
     assert got == ["-0.0", "-0.0", "-0.0", "-0.1", "0.0", "0.0", "0.0", "-1.2", "N/A"]
+
+
+def test_jumps_do_not_depend_on_the_mean(spark, tmp_path):
+    """Half of the jumps are 50 but for the last digit of a double, which a mean taken off would decide."""
+    v = np.random.default_rng(0).uniform(60, 300, 200)
+    v = np.round(np.stack([v, v + 50], 1).ravel(), 2).tolist()
+    rows = [(k, 1_700_000_000 + k, "view", x) for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "event_id long, t long, event_type string, value double").withColumn("ts", F.timestamp_seconds("t"))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = plans.queries()["w13_jumps"](spark, str(tmp_path)).collect()
+    assert [r["jumps"] for r in got] == [int((np.abs(np.diff(v)) > 50.0).sum())]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import panes, reports, rollup, scan, spectral
 from ..sources import series
-from .views import BANK, CENTRES, EVENTS, RATE, USERS, events, rounded, sql, users, vectors
+from .views import BANK, CENTRES, EVENTS, RATE, USERS, event_values, events, rounded, sql, users, vectors
 
 Q, O = {}, {}
 CREST = """CASE WHEN rms > 0 AND coalesce(20 * log10(nullif(rms, 0)), -120) >= -80 THEN greatest(peak / rms, 1) END"""
@@ -87,7 +87,9 @@ O["w11_sliding_max"] = sql(
 )
 Q["w12_global_max"] = lambda s, d: rounded(panes.global_max(events(s, d)))
 O["w12_global_max"] = sql(EVENTS, "SELECT track_id, channel_index, max(abs(value)) AS max_abs FROM ev GROUP BY ALL", "max_abs")
-Q["w13_jumps"] = lambda s, d: rounded(panes.differences(events(s, d), 50.0))
+#: Jumps of the values as they are: the mean falls out of a difference, but its last digits, which depend on
+#: the order of its sum, would decide whether jumps of 50.00 are above 50.
+Q["w13_jumps"] = lambda s, d: rounded(panes.differences(event_values(s, d), 50.0))
 O["w13_jumps"] = sql(
     EVENTS + ", j AS (SELECT track_id, channel_index, abs(value - lag(value) OVER (PARTITION BY channel_index ORDER BY sample_idx)) AS jump FROM ev)",
     "SELECT track_id, channel_index, count(*) FILTER (jump > 50) AS jumps, max(jump) AS largest FROM j GROUP BY ALL",
