@@ -439,3 +439,34 @@ def test_jumps_do_not_depend_on_the_mean(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/events.parquet")
     got = plans.queries()["w13_jumps"](spark, str(tmp_path)).collect()
     assert [r["jumps"] for r in got] == [int((np.abs(np.diff(v)) > 50.0).sum())]
+
+
+def test_nearest_bands_read_their_metrics_once(spark):
+    rows = [("t", c, hz, k) for c in (0, 1) for hz in (2.0, 2.1, 8.0, 16.0) for k in range(3) if (c, hz) != (1, 2.0)]
+    held = spark.createDataFrame(rows, "track_id string, channel_index int, band_hz double, window_idx int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    got = rollup.nearest_bands(held.mapInPandas(count, held.schema), [2.05, 2.0, 2.0, 8.1, 500.0]).collect()
+    assert seen.value == len(rows)
+    want = {(0, 2.05, 2.0), (0, 2.0, 2.0), (0, 8.1, 8.0), (1, 2.05, 2.1), (1, 2.0, 2.1), (1, 8.1, 8.0)}
+    assert {(r["channel_index"], r["wanted_hz"], r["band_hz"]) for r in got} == want and len(got) == 3 * len(want)
+
+
+def test_bands_of_blocks_of_several_lengths(spark, monkeypatch):
+    """Blocks of one length are transformed together, some at a time; each as by itself."""
+    monkeypatch.setattr(spectral, "STRETCH", 200)
+    rng, centres = np.random.default_rng(5), [1.0, 4.0, 16.0]
+    held = {(c, a): rng.standard_normal(n) for c in range(5) for a, n in ((0, 16), (16, 16), (32, 11 + c % 2))}
+    df = spark.createDataFrame([("t", c, a, x.tolist()) for (c, a), x in held.items()], "track_id string, channel_index int, start_sample long, samples array<double>")
+    got = {(r["channel_index"], r["band_hz"], r["sample_idx"]): r["value"] for r in spectral.band_rows(df, centres, 64.0).collect()}
+    want = {(c, hz, a + i): v for (c, a), x in held.items() for hz, row in zip((0.0, *centres), spectral.bank(x, centres, 64.0), strict=True) for i, v in enumerate(row)}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    panes_ = {(r["channel_index"], r["band_hz"], r["pane"]): (r["n"], r["squares"]) for r in spectral.band_panes(df, centres, 64.0, 8).collect()}
+    for (c, hz, p), (n, squares) in panes_.items():
+        own = [v for (k, b, i), v in want.items() if (k, b, i // 8) == (c, hz, p)]
+        assert n == len(own) and abs(squares - sum(v * v for v in own)) < 1e-9

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -107,13 +108,20 @@ def worst_channels(scored: DataFrame, by: Sequence[str] = ("track_id", "channel_
 
 
 def nearest_bands(metrics: DataFrame, wanted: Sequence[float], tolerance: float = 0.2, keys=KEYS) -> DataFrame:
-    """Rows of the stored band nearest to each wanted one, if it is within the tolerance. The wanted list is fixed and small."""
-    spark = metrics.sparkSession
-    stored = metrics.select(*keys, "band_hz").distinct()
-    w = spark.createDataFrame([(float(x),) for x in wanted], "wanted_hz double")
-    d = F.abs(F.col("band_hz") - F.col("wanted_hz"))
-    near = stored.crossJoin(F.broadcast(w)).where(d <= tolerance).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "wanted_hz").orderBy(d, "band_hz"))).where("_n = 1").drop("_n")
-    return metrics.join(near, [*keys, "band_hz"])
+    """Rows of the stored band nearest to each wanted one, if it is within the tolerance. The wanted list is fixed and small.
+
+    The metrics are read once; rows of bands that are near no wanted one go first.
+    """
+    wanted = [float(x) for x in dict.fromkeys(wanted)]
+    away = lambda x: F.abs(F.col("band_hz") - x)
+    if not wanted:
+        return metrics.where("false").withColumn("wanted_hz", F.lit(None).cast("double"))
+    near = metrics.where(functools.reduce(Column.__or__, (away(x) <= tolerance for x in wanted)))
+    pairs = F.array(*(F.struct(F.lit(x).alias("wanted_hz"), away(x).alias("d")) for x in wanted))
+    near = near.select("*", F.explode(F.filter(pairs, lambda p: p["d"] <= tolerance)).alias("_p"))
+    place = F.struct("_p.d", "band_hz")
+    near = near.withColumn("_least", F.min(place).over(Window.partitionBy(*keys, "_p.wanted_hz")))
+    return near.where(place == F.col("_least")).select(*metrics.columns, "_p.wanted_hz")
 
 
 def deep_dive(octave_time: DataFrame, bands: Sequence[float], keys=KEYS) -> DataFrame:
