@@ -470,3 +470,25 @@ def test_bands_of_blocks_of_several_lengths(spark, monkeypatch):
     for (c, hz, p), (n, squares) in panes_.items():
         own = [v for (k, b, i), v in want.items() if (k, b, i // 8) == (c, hz, p)]
         assert n == len(own) and abs(squares - sum(v * v for v in own)) < 1e-9
+
+
+def test_extreme_chunks_are_described_in_their_blocks(spark, monkeypatch):
+    """Series of several blocks, with chunks cut by their ends, ties and a silent chunk: as from the bank's rows, but without them."""
+    rng, centres = np.random.default_rng(8), [1.0, 4.0, 16.0]
+    series_ = [rng.standard_normal(n) * np.repeat(rng.uniform(0.1, 2, n // 16 + 1), 16)[:n] for n in (64, 96, 75, 16)]
+    series_.append(np.concatenate([series_[0][:32], np.zeros(16), series_[0][:32]]))
+    rows = [("t", c, a, x[a : a + 32].tolist()) for c, x in enumerate(series_) for a in range(0, len(x), 32)]
+    df = spark.createDataFrame(rows, "track_id string, channel_index int, start_sample long, samples array<double>")
+    keys = ["track_id", "channel_index", "band_hz", "chunk_idx"]
+    every = stats.band_statistics(spectral.band_rows(df, centres, 64.0).withColumn("chunk_idx", F.expr("sample_idx div 16")), keys)
+    want = {tuple(r[k] for k in keys[1:]): r for r in every.collect()}
+    monkeypatch.setattr(spectral, "band_rows", None)
+    got = reports.extreme_band_statistics(df, centres, 64.0, 16).collect()
+    assert len(got) == 2 * 4 * len(series_)
+    columns = [c for c in want[0, 0.0, 0].asDict() if c not in keys]
+    for r in got:
+        other = want[r["channel_index"], r["band_hz"], r["chunk_idx"]]
+        assert all(r[c] is None if other[c] is None else r[c] == pytest.approx(other[c], rel=1e-9, abs=1e-12) for c in columns)
+        every = {k[2]: v["crest_factor_db"] and round(v["crest_factor_db"], 9) for k, v in want.items() if k[0] == r["channel_index"] and k[1] == 0}
+        order = sorted(every, key=lambda k: (every[k] is not None, every[k] or 0, k) if r["chunk_type"] == "min_chunk" else (every[k] is None, -(every[k] or 0), k))
+        assert r["chunk_idx"] == order[0]
