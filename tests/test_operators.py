@@ -5,6 +5,7 @@ import math
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -492,3 +493,21 @@ def test_extreme_chunks_are_described_in_their_blocks(spark, monkeypatch):
         every = {k[2]: v["crest_factor_db"] and round(v["crest_factor_db"], 9) for k, v in want.items() if k[0] == r["channel_index"] and k[1] == 0}
         order = sorted(every, key=lambda k: (every[k] is not None, every[k] or 0, k) if r["chunk_type"] == "min_chunk" else (every[k] is None, -(every[k] or 0), k))
         assert r["chunk_idx"] == order[0]
+
+
+def test_tasks_hold_few_results_at_a_time(spark, monkeypatch):
+    """What a batch gives is handed on in parts, so a worker's memory doesn't grow with batches."""
+    caught = []
+    df = spark.createDataFrame([(0, 0.0)], "k long, x double")
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema: caught.append(f) or self)
+    frame = pd.DataFrame({"k": np.arange(5000) // 2, "x": np.arange(5000.0)})
+    work = lambda _, held: {"y": held["x"]}
+    walk.by_group(df, ["k"], ["x"], work, "y double")
+    walk.by_row(df, ["k"], work, "y double")
+    for made in (list(f(iter([frame[:3001], frame[3001:]]))) for f in caught):
+        assert max(map(len, made)) <= walk.HELD_ROWS + 1
+        out = pd.concat(made)
+        assert out["k"].tolist() == frame["k"].tolist() and out["y"].tolist() == frame["x"].tolist()
+    blocks = pd.DataFrame({"block_idx": np.arange(3000), "samples": [np.zeros(64)] * 3000})
+    cut = list(scan.pieces(iter([blocks]), 7))
+    assert max(len(p) * 64 * 7 for p in cut) <= scan.STRETCH and pd.concat(cut)["block_idx"].tolist() == list(range(3000))
