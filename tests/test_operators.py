@@ -511,3 +511,25 @@ def test_tasks_hold_few_results_at_a_time(spark, monkeypatch):
     blocks = pd.DataFrame({"block_idx": np.arange(3000), "samples": [np.zeros(64)] * 3000})
     cut = list(scan.pieces(iter([blocks]), 7))
     assert max(len(p) * 64 * 7 for p in cut) <= scan.STRETCH and pd.concat(cut)["block_idx"].tolist() == list(range(3000))
+
+
+def test_summaries_of_blocks_are_those_of_rows(spark, monkeypatch):
+    """Series of one block and of several, silence, values out of range; rows are made for the several only."""
+    rng, centres = np.random.default_rng(9), [1.0, 4.0, 16.0]
+    series_ = [rng.uniform(-1.5, 1.5, 32), rng.standard_normal(80) * 0.01, np.zeros(32), np.linspace(-1, 1, 21)]
+    rows = [("t", c, a, x[a : a + 32].tolist()) for c, x in enumerate(series_) for a in range(0, len(x), 32)]
+    df = spark.createDataFrame(rows, "track_id string, channel_index int, start_sample long, samples array<double>")
+    bank, by = spectral.band_rows(df, centres, 64.0), ["track_id", "channel_index", "band_hz"]
+    want = {"bands": stats.band_statistics(bank, by), "linear": stats.linear_histogram(bank, bins=10, keys=by), "log": stats.log_histogram(bank, keys=by)}
+    asked, rows_of = [], spectral.band_rows
+    monkeypatch.setattr(spectral, "band_rows", lambda b, *a: asked.append(b) or rows_of(b, *a))
+    got = reports.band_summaries(df, centres, 64.0, 10)
+    assert {r["channel_index"] for b in asked for r in b.collect()} == {1}
+    for name, other in want.items():
+        at = by if name == "bands" else [*by, "bin"]
+        assert sorted(got[name].columns) == sorted(other.columns)
+        a, b = ({tuple(r[k] for k in at): r for r in d.collect()} for d in (got[name], other))
+        assert a.keys() == b.keys()
+        for k, r in a.items():
+            for c in other.columns:
+                assert r[c] == b[k][c] or r[c] == pytest.approx(b[k][c], rel=1e-9, abs=1e-12)
