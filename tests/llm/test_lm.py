@@ -3,7 +3,9 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewave.llm import lm
 from tidewave.llm.common import words_of
@@ -130,3 +132,58 @@ def test_distinct_rows_of_any_number_of_words(top, n):
     assert all((g[place] == c).all() for g, c in zip(got, columns, strict=True))
     keys = list(zip(*(g[:5000].tolist() for g in got), strict=True))
     assert keys == sorted(set(keys)) and len(got[0]) == place.max() + 1
+
+
+def test_texts_are_read_and_split_once(spark):
+    rows = [(i, f"the w{i % 7} sea", "s") for i in range(50)] + [(None, None, "s"), (60, "", "s")]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(t):
+        read.add(1)
+        return t
+
+    lm.score_documents(spark.createDataFrame(rows, SCHEMA).withColumn("text", text("text"))).collect()
+    assert read.value == len(rows)
+
+
+def test_tokens_are_the_words_and_the_end():
+    texts = ["", " ", "\t\n\x0b\x0c\r", "A b", " a  B\x0ba ", "\x1ca\x1f \x85b", "\u00a0a\u2003b", "ÄÖÜ İI Kk", "a" * 5000, "x\x00y \x00", "🜁 🜂🜁"]
+    hashes, place, sizes = lm._tokens(pa.array(texts))
+    want = [[*words_of(t), lm.END] for t in texts]
+    assert sizes.tolist() == list(map(len, want))
+    assert hashes[place].tolist() == [lm.hash_word(w) for t in want for w in t]
+    assert len(set(hashes.tolist())) == len(hashes)
+
+
+@pytest.mark.parametrize("top", [5, 1 << 20, 1 << 30])
+def test_runs_of_any_width(top):
+    """Sorted with the texts in one number, and by places, where those don't go into 63 bits."""
+    rng = np.random.default_rng(2)
+    columns = [np.concatenate([c, c[:500]]) for c in (rng.integers(0, top, 3000) for _ in range(3))]
+    text = rng.integers(0, 40, 3500)
+    rows, times, own = lm._runs(text, *columns)
+    want = collections.defaultdict(list)
+    for *row, t in zip(*(c.tolist() for c in columns), text.tolist(), strict=True):
+        want[tuple(row)].append(t)
+    assert list(zip(*(c.tolist() for c in rows), strict=True)) == sorted(want)
+    until = np.cumsum([0, *times])
+    assert [sorted(own[a:b].tolist()) for a, b in zip(until[:-1], until[1:], strict=True)] == [sorted(want[k]) for k in sorted(want)]
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(4)
+    for columns in ([np.zeros(3, np.int64)], [np.empty(0, np.int64)] * 2, [rng.integers(0, 1 << k, 100) for k in (1, 8, 9, 16, 17, 31, 32, 40, 62)]):
+        got = lm._unpacked(lm._packed(*columns))
+        assert all((a == b).all() for a, b in zip(got, columns, strict=True))
+
+
+def test_parts_of_several_chunks(spark, monkeypatch):
+    """Chunks of a part share its words; each numbers its own."""
+    monkeypatch.setattr(lm, "CHUNK", 20)
+    docs = spark.createDataFrame([(str(i), " ".join(f"w{(i * k) % 11}" for k in range(i % 13)), i % 5 == 0) for i in range(90)], "doc_id string, text string, held_out boolean").coalesce(1)
+    parts = lm.parts_of(docs)
+    plan = lm.learn(parts)
+    asked = parts.drop("counts").mapInPandas(lm._ask(plan), lm.ASKED).where("shard < 0").collect()
+    assert parts.count() < len(asked) == len({r["chunk"] for r in asked})
+    assert sorted(i for r in asked for i in r["doc_id"]) == sorted(map(str, range(90)))

@@ -1,10 +1,11 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Level 1 of the trie has the words, as a monotone sequence of 64-bit hashes; a
-word's number is its rank. It is counted and built in shards by hash. Then
-every text is cut into n-grams of word numbers, and each part of the corpus
-sends its distinct ones, with their counts in training texts, to the shard
-that holds their context. A shard builds its levels 2 and 3: contexts,
+word's number is its rank. It is counted and built in shards by hash. Texts are
+read and split once: the corpus is kept as parts, each with the hashes of its
+own words and a number among these for every token. Then every part is cut
+into n-grams of word numbers, and sends its distinct ones, with their counts
+in training texts, to the shard that holds their context. A shard builds its levels 2 and 3: contexts,
 monotone pointers to the successors of each, the successors made monotone over
 the contexts, and quantised discounted probabilities, in a flat file that is
 memory-mapped; and it answers what it was asked by searching every n-gram's
@@ -27,21 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, settle, words_of
+from .common import shared_dir, settle
 from .eliasfano import EliasFano, map_flat, remove_flat, write_flat
 
 #: What is taken off the count of an n-gram that occurs once, twice, or more often.
 DISCOUNTS = (0.8, 1.1, 1.4)
 #: Training texts a shard of level 1, and training tokens a shard of the levels above.
 SHARD_DOCS, SHARD_TOKENS = 16_384, 1_000_000
-#: Tokens of a part of the corpus, and words that a task remembers.
-CHUNK, REMEMBERED = 300_000, 200_000
+#: Tokens of a chunk of the corpus, chunks of a part, bytes that a token takes on average, and counts that a task adds up before it sends them.
+CHUNK, PART_CHUNKS, TOKEN_BYTES, HELD_COUNTS = 300_000, 4, 6, 1_000_000
 #: The token that ends a text. No word holds a space.
 END = b" "
 HALF = 32
@@ -58,8 +61,11 @@ def log_of(code: np.ndarray) -> np.ndarray:
     return -LOWEST * x * x
 
 
+RESTORED = 10.0 ** log_of(np.arange(STEPS + 1))
+
+
 def restored(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** log_of(code)
+    return RESTORED[code]
 
 
 def hash_word(w: bytes) -> int:
@@ -72,41 +78,97 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-    """A row a shard: its keys and counts as bytes."""
+    """A row a shard: its keys as bytes, and its counts packed."""
     order = np.argsort(shards, kind="stable")
     shards, keys, counts = shards[order], keys[order], counts[order]
     cut = np.flatnonzero(np.diff(shards)) + 1
-    rows = [(int(s[0]), k.tobytes(), c.tobytes()) for s, k, c in zip(*(np.split(x, cut) for x in (shards, keys, counts)), strict=True) if len(s)]
+    rows = [(int(s[0]), k.tobytes(), _packed(c)) for s, k, c in zip(*(np.split(x, cut) for x in (shards, keys, counts)), strict=True) if len(s)]
     return pd.DataFrame(rows, columns=["shard", "k", "n"])
 
 
-def _summed(pdf: pd.DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(pdf["k"]), kind)
-    counts = np.frombuffer(b"".join(pdf["n"]), np.int64)
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their counts."""
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    first = _starts(keys)
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def _summed(pdf: pd.DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    return _added(np.frombuffer(b"".join(pdf["k"]), kind), np.concatenate([np.empty(0, np.int64), *(_unpacked(n)[0] for n in pdf["n"])]))
+
+
+def _pieces(sizes: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of about that size, or of one that is larger: (from, to)."""
+    until, a = np.cumsum(sizes), 0
+    while a < len(until):
+        b = min(len(until), 1 + int(np.searchsorted(until, (until[a - 1] if a else 0) + size)))
+        yield a, b
+        a = b
+
+
+PARTS = "first long, doc_id array<string>, held_out array<boolean>, sizes binary, words binary, counts binary, tokens binary"
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words of texts, in the order of their first tokens, so that common ones have small numbers; the
+    place of every token's word among them; tokens of each text.
+
+    The words are those of ``common.words_of``: these functions change A-Z only, and split at exactly the same characters.
+    """
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    # behind a space that follows the last word stands an empty word, which is the end; an empty text is just that
+    texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(texts, "", " "))
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    hashes = np.array([hash_word(w or END) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    return hashes, coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
+def _cut(tokens: int):
+    """The corpus as parts of about so many tokens, or one longer text: the number of the first text, ids of the texts and
+    their tokens, hashes of the words, their counts in training texts, and the words of all tokens by their place."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << HALF
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), *[pa.binary()] * 4)
+        for batch in batches:
+            text, held = pc.fill_null(batch["text"], ""), batch["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+            for a, b in _pieces(pc.binary_length(text).to_numpy().astype(np.int64) + 1, tokens * TOKEN_BYTES):
+                hashes, place, sizes = _tokens(text.slice(a, b - a))
+                counts = np.bincount(place[np.repeat(~held[a:b], sizes)], minlength=len(hashes))
+                row = (first + a, batch["doc_id"].slice(a, b - a).to_pylist(), held[a:b].tolist(), sizes.tobytes(), hashes.tobytes(), _packed(counts), _packed(place))
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=[c.split()[0] for c in PARTS.split(", ")])
+            first += batch.num_rows
+
+    return cut
+
+
 def _count_words(shift: int):
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[bytes, int] = {}
+        keys, counts, size = [], [], 0
 
         def flush() -> pd.DataFrame:
-            h = np.fromiter(map(hash_word, counts), np.uint64, len(counts))
-            n = np.fromiter(counts.values(), np.int64, len(counts))
+            h, n = _added(np.concatenate(keys), np.concatenate(counts))
+            keys.clear()
             counts.clear()
             return _blocks((h >> np.uint64(shift)).astype(np.int64), h, n)
 
         for pdf in parts:
-            for text in pdf["text"]:
-                for w in words_of(text):
-                    counts[w] = counts.get(w, 0) + 1
-                counts[END] = counts.get(END, 0) + 1
-                if len(counts) > REMEMBERED:
+            for k, n in zip(pdf["words"], pdf["counts"], strict=True):
+                h, (n,) = np.frombuffer(k, np.uint64), _unpacked(n)
+                keys.append(h[n > 0])
+                counts.append(n[n > 0])
+                size += len(keys[-1])
+                if size > HELD_COUNTS:
                     yield flush()
-        if counts:
+                    size = 0
+        if size:
             yield flush()
 
     return count
@@ -137,29 +199,23 @@ class Words:
         self.vocabulary = int(self.offsets[-1])
         # the start of a text, and what no training text holds, as numbers
         self.start, self.unknown = self.vocabulary, self.vocabulary + 1
-        self.known: dict[bytes, int] = {}
 
     def _level1(self, shard: int) -> None:
         if shard not in self.words:
             meta, arrays = map_flat(posixpath.join(self.plan["folder"], f"words-{shard}"))
             self.words[shard], self.sums[shard] = (EliasFano.of(meta, arrays, k) for k in ("words", "sums"))
 
-    def ids(self, tokens: list[bytes]) -> np.ndarray:
-        """Word numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if new := [w for w in dict.fromkeys(tokens) if w not in self.known]:
-            h = np.fromiter(map(hash_word, new), np.uint64, len(new))
-            shards = (h >> np.uint64(self.plan["shift"])).astype(np.int64)
-            found = np.full(len(new), self.unknown, np.int64)
-            for s in np.unique(shards).tolist():
-                if self.plan["distinct"][s]:
-                    self._level1(s)
-                    at = np.flatnonzero(shards == s)
-                    i, equal = self.words[s].successor(h[at])
-                    found[at[equal]] = i[equal] + self.offsets[s]
-            self.known.update(zip(new, found.tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Word numbers of hashes."""
+        shards = (hashes >> np.uint64(self.plan["shift"])).astype(np.int64)
+        found = np.full(len(hashes), self.unknown, np.int64)
+        for s in np.unique(shards).tolist():
+            if self.plan["distinct"][s]:
+                self._level1(s)
+                at = np.flatnonzero(shards == s)
+                i, equal = self.words[s].successor(hashes[at])
+                found[at[equal]] = i[equal] + self.offsets[s]
+        return found
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Training counts of word numbers; 0 for the start and the unknown."""
@@ -182,7 +238,8 @@ def discount(counts: np.ndarray) -> np.ndarray:
 
 def _level(name: str, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, own: np.ndarray | None = None) -> tuple[dict, dict[str, np.ndarray]]:
     """One level from distinct (context, word) in order. ``own``: how often each context occurs, if that isn't their sum."""
-    held, start = np.unique(contexts, return_index=True)
+    start = _starts(contexts)
+    held = contexts[start]
     ends = np.append(start[1:], len(words)).astype(np.int64)
     sizes = ends - start
     total = (np.add.reduceat(counts, start) if len(start) else np.empty(0, np.int64)) if own is None else own
@@ -206,11 +263,12 @@ class Level:
         self.code, self.left = arrays[f"{name}.code"], arrays[f"{name}.left"]
 
     def look(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(d, g)`` of n-grams in any order; 0 and 1 where the trie holds none of the context."""
+        """``(d, g)`` of n-grams whose contexts are in order; 0 and 1 where the trie holds none of the context."""
         d, g = np.zeros(len(words)), np.ones(len(words))
         if not self.contexts.n:
             return d, g
-        own, inverse = np.unique(contexts, return_inverse=True)
+        first = _starts(contexts)
+        own, inverse = contexts[first], np.repeat(np.arange(len(first)), np.diff(first, append=len(contexts)))
         held, pointers = self.contexts.all(), self.pointers.all().astype(np.int64)
         i = np.minimum(np.searchsorted(held, own.astype(np.uint64)), len(held) - 1)
         found = held[i] == own.astype(np.uint64)
@@ -235,28 +293,17 @@ class Level:
         return d, g
 
 
-def _chunks(texts: pd.Series) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """Runs of texts of about CHUNK tokens, or one longer text: (from, to, words)."""
-    start, size, held = 0, 0, []
-    for k, text in enumerate(texts):
-        held.append(words_of(text))
-        size += len(held[-1]) + 1
-        if size >= CHUNK:
-            yield start, k + 1, held
-            start, size, held = k + 1, 0, []
-    if held:
-        yield start, start + len(held), held
-
-
-def _grams(words: Words, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens the word, the word before and the one before that; tokens of each text, and where it starts."""
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+def _grams(words: Words, part: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of a part's words and of the start, in order; of all tokens the place there of the word, the word
+    before and the one before that; and the tokens of each text."""
+    sizes, (place,) = np.frombuffer(part.sizes, np.int64), _unpacked(part.tokens)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    w = words.ids([x for t in texts for x in (*t, END)])
+    ids, rank = np.unique(np.append(words.find(np.frombuffer(part.words, np.uint64)), words.start), return_inverse=True)
+    w = rank[place]
     h1, h2 = np.roll(w, 1), np.roll(w, 2)
-    h1[starts] = h2[starts] = words.start
-    h2[starts[sizes > 1] + 1] = words.start
-    return w, h1, h2, sizes, starts
+    h1[starts] = h2[starts] = rank[-1]
+    h2[starts[sizes > 1] + 1] = rank[-1]
+    return ids, w, h1, h2, sizes
 
 
 def shard_of(plan: dict, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -291,52 +338,88 @@ def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return out[::-1], place
 
 
+def _runs(text: np.ndarray, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct rows in order, how often each stands, and the texts it stands in, in the order of the rows."""
+    bits = [int(c.max(initial=0)).bit_length() for c in (*columns, text)]
+    if sum(bits) > 63:
+        rows, place = _distinct(*columns)
+        return rows, np.bincount(place, minlength=len(rows[0])), text[np.argsort(place, kind="stable")]
+    key = np.zeros(len(text), np.int64)
+    for c, n in zip((*columns, text), bits, strict=True):
+        key = key << n | c
+    key.sort()  # the text goes along, as numbers alone are sorted much faster than places
+    text, key = key & (1 << bits[-1]) - 1, key >> bits[-1]
+    first = _starts(key)
+    times, key, rows = np.diff(first, append=len(key)), key[first], []
+    for n in bits[-2::-1]:
+        rows.append(key & (1 << n) - 1)
+        key = key >> n
+    return rows[::-1], times, text
+
+
+_PRESS, _OPEN = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of 32-bit numbers as one compressed run of bytes, the high bytes of all numbers together."""
-    planes = [np.ascontiguousarray(c.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+    """Columns of as many numbers each as one compressed run of bytes: the high bytes of all numbers together, and none
+    that the column's largest number doesn't need."""
+    widths = [max(1, -(-int(c.max(initial=0)).bit_length() // 8)) for c in columns]
+    planes = [(c >> 8 * k).astype(np.uint8).tobytes() for c, width in zip(columns, widths, strict=True) for k in range(width)]
+    return _PRESS.compress(b"".join([bytes([len(widths), *widths]), *planes]))
 
 
-def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, 4, n)
-    return [np.ascontiguousarray(c.T).view("<u4").ravel().astype(np.int64) for c in planes]
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    data = np.frombuffer(_OPEN.decompress(data), np.uint8)
+    widths = data[1 : 1 + data[0]].tolist()
+    planes, out = iter(data[1 + data[0] :].reshape(sum(widths), -1)), []
+    for width in widths:
+        column = next(planes).astype(np.int64)
+        for k in range(1, width):
+            column |= next(planes).astype(np.int64) << 8 * k
+        out.append(column)
+    return out
 
 
 ASKED = "shard int, chunk long, keys int, tokens int, a binary, b binary, doc_id array<string>, held_out array<boolean>"
 
 
+def _asked(plan: dict, chunk: int, ids: np.ndarray, train: np.ndarray, sizes: np.ndarray, *grams: np.ndarray) -> list[tuple]:
+    """The distinct n-grams of a chunk and the texts they stand in, a row a shard."""
+    used = np.zeros(len(ids), bool)
+    for x in grams:
+        used[x] = True
+    rank, ids = np.cumsum(used) - 1, ids[used]  # a chunk's own numbers are shorter
+    (x1, x2, x3), times, text = _runs(np.repeat(np.arange(len(sizes)), sizes), *(rank[x] for x in grams))
+    n = np.add.reduceat(train[text].astype(np.int64), np.cumsum(times) - times)
+    x1, x2, x3 = ids[x1], ids[x2], ids[x3]
+    shard = shard_of(plan, x1, x2).astype(np.min_scalar_type(plan["shards"]))  # short numbers are sorted in linear time
+    order, text = np.argsort(shard, kind="stable"), text[np.argsort(np.repeat(shard, times), kind="stable")]
+    x1, x2, x3, n, times, shard = (x[order] for x in (x1, x2, x3, n, times, shard))
+    first, until, out = [*_starts(shard).tolist(), len(shard)], np.concatenate([[0], np.cumsum(times)]), []
+    for i, j in zip(first[:-1], first[1:], strict=True):
+        own = text[until[i] : until[j]]
+        out.append((int(shard[i]), chunk, j - i, len(own), _packed(np.diff(x1[i:j], prepend=0), x2[i:j], x3[i:j], n[i:j], times[i:j]), _packed(own), None, None))
+    return out
+
+
 def _ask(plan: dict):
-    """Each part's distinct n-grams and the texts they stand in, a row a shard; and a row of shard -1 or below with
-    what is known of the part's texts already."""
+    """Each chunk's distinct n-grams and the texts they stand in, a row a shard; and a row of shard -1 or below with
+    what is known of the chunk's texts already."""
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, part, number = Words(plan), TaskContext.get().partitionId() << 32, 0
+        words = Words(plan)
         for pdf in parts:
-            for a, b, texts in _chunks(pdf["text"]):
-                w, h1, h2, sizes, starts = _grams(words, texts)
-                del texts
-                held = pdf["held_out"].to_numpy(bool)[a:b]
-                seen, inverse = np.unique(w, return_inverse=True)
-                c = words.counts(seen)
-                facts = [sizes, np.add.reduceat((c > 0)[inverse].astype(np.int64), starts), np.add.reduceat(np.log10(words.unigram(c))[inverse], starts).view(np.int64)]
-                (x1, x2, x3), place = _distinct(h1, h2, w)
-                n = np.bincount(place[np.repeat(~held, sizes)], minlength=len(x1))
-                shard = shard_of(plan, x1, x2)
-                order = np.argsort(shard, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                text = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(rank[place], kind="stable")]
-                times = np.bincount(place, minlength=len(x1))[order]
-                until = np.concatenate([[0], np.cumsum(times)])
-                chunk = part + number
-                number += 1
-                rows = pdf.iloc[a:b]
-                out = [(-1 - chunk % plan["shards"], chunk, 0, 0, np.concatenate(facts).tobytes(), b"", rows["doc_id"].tolist(), held.tolist())]
-                first = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
-                for i, j in zip(first[:-1], first[1:], strict=True):
-                    at, own = order[i:j], text[until[i] : until[j]]
-                    out.append((int(shard[at[0]]), chunk, int(j - i), len(own), _packed(np.diff(x1[at], prepend=0), x2[at], x3[at], n[at], times[i:j]), _packed(own), None, None))
-                yield pd.DataFrame(out, columns=["shard", "chunk", "keys", "tokens", "a", "b", "doc_id", "held_out"])
+            for part in pdf.itertuples(index=False):
+                ids, w, h1, h2, sizes = _grams(words, part)
+                counts, until = words.counts(ids), np.concatenate([[0], np.cumsum(sizes)])
+                known, base = (counts > 0).astype(np.int64), np.log10(words.unigram(counts))
+                for a, b in _pieces(sizes, CHUNK):
+                    chunk, held, own = part.first + a, part.held_out[a:b], slice(until[a], until[b])
+                    starts = until[a:b] - until[a]
+                    facts = [sizes[a:b], np.add.reduceat(known[w[own]], starts), np.add.reduceat(base[w[own]], starts).view(np.int64)]
+                    out = [(-1 - chunk % plan["shards"], chunk, 0, 0, np.concatenate(facts).tobytes(), b"", part.doc_id[a:b], held)]
+                    out += _asked(plan, chunk, ids, ~np.array(held, bool), sizes[a:b], h1[own], h2[own], w[own])
+                    yield pd.DataFrame(out, columns=["shard", "chunk", "keys", "tokens", "a", "b", "doc_id", "held_out"])
 
     return ask
 
@@ -352,7 +435,7 @@ def _answer(plan: dict):
         if shard < 0:
             return pdf[["chunk", "shard", "a", "doc_id", "held_out"]]
         words = Words(plan)
-        blocks = [_unpacked(x, k) for x, k in zip(pdf["a"], pdf["keys"], strict=True)]
+        blocks = [_unpacked(x) for x in pdf["a"]]
         bounds = np.cumsum([0, *pdf["keys"]])
         h1, h2, w, n = (np.concatenate(c) for c in ([np.cumsum(x[0]) for x in blocks], *([x[k] for x in blocks] for k in (1, 2, 3))))
         times = [x[4] for x in blocks]
@@ -373,9 +456,9 @@ def _answer(plan: dict):
         said = np.log10(np.minimum(d + g * p, 1.0))
         remove_flat(name)  # all that is asked of this shard is answered; a task that is run again builds it again
         sums = []
-        for k, (data, tokens) in enumerate(zip(pdf["b"], pdf["tokens"], strict=True)):
+        for k, data in enumerate(pdf["b"]):
             own = np.repeat(said[place[bounds[k] : bounds[k + 1]]], times[k])
-            sums.append(np.bincount(_unpacked(data, tokens)[0], own).astype(np.float32).tobytes())
+            sums.append(np.bincount(_unpacked(data)[0], own).astype(np.float32).tobytes())
         return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "a": sums, "doc_id": None, "held_out": None})
 
     return answer
@@ -398,10 +481,10 @@ def _count_hot(plan: dict):
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(plan)
         for pdf in parts:
-            for _, _, texts in _chunks(pdf["text"]):
-                w, h1, _, _, _ = _grams(words, texts)
-                at = np.flatnonzero(np.isin(h1, plan["hot"]))
-                keys, n = np.unique(h1[at] << HALF | w[at], return_counts=True)
+            for part in pdf.itertuples(index=False):
+                ids, w, h1, _, sizes = _grams(words, part)
+                at = np.flatnonzero(np.isin(ids, plan["hot"])[h1] & np.repeat(~np.array(part.held_out, bool), sizes))
+                keys, n = np.unique(ids[h1[at]] << HALF | ids[w[at]], return_counts=True)
                 yield _blocks((_mixed(keys) % np.uint64(plan["hot_shards"])).astype(np.int64), keys, n.astype(np.int64))
 
     return count
@@ -436,22 +519,32 @@ class Hot:
         return d, np.array([self.plan["hot_left"][int(h)] for h in own])[inverse]
 
 
+def parts_of(docs: DataFrame) -> DataFrame:
+    """The corpus of ``(doc_id, text, held_out)`` as parts, kept in the shared folder: later passes don't split texts again."""
+    return settle(docs.mapInArrow(_cut(CHUNK * PART_CHUNKS), PARTS))
+
+
 def train(texts: DataFrame) -> dict:
-    """Builds level 1 of the whole of ``texts`` (a column ``text``), and level 2 of its hot words; returns the plan.
+    """Builds level 1 of the whole of ``texts`` (a column ``text``), and level 2 of its hot words; returns the plan."""
+    return learn(parts_of(texts.select(F.lit(None).cast("string").alias("doc_id"), "text", F.lit(False).alias("held_out"))))
+
+
+def learn(parts: DataFrame) -> dict:
+    """Builds level 1 of the texts in ``parts`` that aren't held out, and level 2 of their hot words; returns the plan.
 
     Totals, a number a shard, and two for every hot word (there are fewer than
     twice as many as shards) come to the driver.
     """
-    n = texts.count()
+    n = parts.agg(F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()[0] or 0
     bits = max(2, (max(1, n) // SHARD_DOCS).bit_length())
-    folder = f"{shared_dir(texts.sparkSession)}/lm-{uuid.uuid4().hex}"
-    path = texts.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(texts.sparkSession._jsc.hadoopConfiguration())
+    folder = f"{shared_dir(parts.sparkSession)}/lm-{uuid.uuid4().hex}"
+    path = parts.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(parts.sparkSession._jsc.hadoopConfiguration())
     store.mkdirs(path)
     folder = store.makeQualified(path).toUri().toString()
     folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
     plan = {"folder": folder, "shift": 64 - bits}
-    blocks = texts.select("text").mapInPandas(_count_words(64 - bits), "shard int, k binary, n binary")
+    blocks = parts.select("words", "counts").mapInPandas(_count_words(64 - bits), "shard int, k binary, n binary")
     schema = "shard int, distinct long, total long, hot array<long>, often array<long>"
     rows = settle(blocks.groupBy("shard").applyInPandas(_build_words(folder, SHARD_TOKENS // 2), schema)).collect()
     distinct = [0] * (1 << bits)
@@ -463,13 +556,13 @@ def train(texts: DataFrame) -> dict:
     offsets = np.cumsum([0, *distinct]).tolist()
     # words of more occurrences than half a shard should hold
     hot = {offsets[r["shard"]] + k: c for r in rows for k, c in zip(r["hot"], r["often"], strict=True)}
-    end = Words(plan).ids([END])[0] if n else -1  # the end is no one's context, but the start is
+    end = Words(plan).find(np.array([hash_word(END)], np.uint64))[0] if n else -1  # the end is no one's context, but the start is
     hot.pop(int(end), None)
     hot |= {offsets[-1]: n} if n > SHARD_TOKENS // 2 else {}
     plan |= {"shards": max(4, -(-plan["tokens"] // SHARD_TOKENS)), "hot": np.array(sorted(hot), np.int64), "hot_counts": hot, "hot_left": {}, "hot_files": []}
     if hot:
         plan["hot_shards"] = max(1, -(-sum(hot.values()) // SHARD_TOKENS))
-        blocks = texts.select("text").mapInPandas(_count_hot(plan), "shard int, k binary, n binary")
+        blocks = parts.select("held_out", "sizes", "words", "tokens").mapInPandas(_count_hot(plan), "shard int, k binary, n binary")
         off = settle(blocks.groupBy("shard").applyInPandas(_build_hot(plan), "shard int, h long, off double"))
         plan["hot_left"] = {r["h"]: r["off"] / hot[r["h"]] for r in off.groupBy("h").agg(F.sum("off").alias("off")).collect()}
         plan["hot_files"] = [r["shard"] for r in off.select("shard").distinct().collect()]
@@ -501,12 +594,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     end. Null ids are learnt from; repeated rows count each; with no training
     texts every token is unknown and has probability 1; an empty table gives
     no rows. Other columns are not read. Words are told apart by 64-bit
-    hashes, so from about a billion words on some counts may be of two. Parts
-    are numbered by partition: ``docs`` is a table, or comes in the same order
-    when a lost task reads it again.
+    hashes, so from about a billion words on some counts may be of two. ``docs``
+    is read once.
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", held_out().alias("held_out"))
-    plan = train(docs.where("not held_out"))
-    answers = docs.mapInPandas(_ask(plan), ASKED).groupBy("shard").applyInPandas(_answer(plan), ANSWERED)
+    parts = parts_of(docs)
+    plan = learn(parts)
+    answers = parts.drop("counts").mapInPandas(_ask(plan), ASKED).groupBy("shard").applyInPandas(_answer(plan), ANSWERED)
     rows = answers.groupBy("chunk").applyInPandas(_sum_up, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return rows.select(F.col("doc_id").cast("long"), "held_out", "n_tokens", "n_known", F.lit(plan["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
