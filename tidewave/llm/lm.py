@@ -43,7 +43,7 @@ from .eliasfano import EliasFano, map_flat, remove_flat, write_flat
 DISCOUNTS = (0.8, 1.1, 1.4)
 #: Training texts a shard of level 1, and training tokens a shard of the levels above.
 SHARD_DOCS, SHARD_TOKENS = 16_384, 1_000_000
-#: Tokens of a chunk of the corpus, chunks of a part, bytes that a token takes on average, and counts that a task adds up before it sends them.
+#: A part of the corpus, and a chunk that is asked at once, have the product of the first two in tokens; bytes that a token takes on average, and counts that a task adds up before it sends them.
 CHUNK, PART_CHUNKS, TOKEN_BYTES, HELD_COUNTS = 300_000, 4, 6, 1_000_000
 #: The token that ends a text. No word holds a space.
 END = b" "
@@ -341,14 +341,19 @@ def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
 def _runs(text: np.ndarray, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The distinct rows in order, how often each stands, and the texts it stands in, in the order of the rows."""
     bits = [int(c.max(initial=0)).bit_length() for c in (*columns, text)]
-    if sum(bits) > 63:
+    if sum(bits[:-1]) > 63:
         rows, place = _distinct(*columns)
         return rows, np.bincount(place, minlength=len(rows[0])), text[np.argsort(place, kind="stable")]
     key = np.zeros(len(text), np.int64)
-    for c, n in zip((*columns, text), bits, strict=True):
+    for c, n in zip(columns, bits, strict=False):
         key = key << n | c
-    key.sort()  # the text goes along, as numbers alone are sorted much faster than places
-    text, key = key & (1 << bits[-1]) - 1, key >> bits[-1]
+    if sum(bits) > 63:
+        order = np.argsort(key)
+        text, key = text[order], key[order]
+    else:  # the text goes along, as numbers alone are sorted much faster than places
+        key = key << bits[-1] | text
+        key.sort()
+        text, key = key & (1 << bits[-1]) - 1, key >> bits[-1]
     first = _starts(key)
     times, key, rows = np.diff(first, append=len(key)), key[first], []
     for n in bits[-2::-1]:
@@ -413,7 +418,7 @@ def _ask(plan: dict):
                 ids, w, h1, h2, sizes = _grams(words, part)
                 counts, until = words.counts(ids), np.concatenate([[0], np.cumsum(sizes)])
                 known, base = (counts > 0).astype(np.int64), np.log10(words.unigram(counts))
-                for a, b in _pieces(sizes, CHUNK):
+                for a, b in _pieces(sizes, CHUNK * PART_CHUNKS):
                     chunk, held, own = part.first + a, part.held_out[a:b], slice(until[a], until[b])
                     starts = until[a:b] - until[a]
                     facts = [sizes[a:b], np.add.reduceat(known[w[own]], starts), np.add.reduceat(base[w[own]], starts).view(np.int64)]
