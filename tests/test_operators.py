@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewave import plans
 from tidewave.functions import bands as fb
 from tidewave.operators import panes, patterns, peaks, reports, rollup, scan, spectral, stats, walk
-from tidewave.operators.extrema import Extrema
+from tidewave.operators.extrema import Extrema, Many
 from tidewave.operators.quantiles import percentiles
 from tidewave.sources import media, series, tables
 from tidewave.streaming import windowed_levels
@@ -533,3 +533,79 @@ def test_summaries_of_blocks_are_those_of_rows(spark, monkeypatch):
         for k, r in a.items():
             for c in other.columns:
                 assert r[c] == b[k][c] or r[c] == pytest.approx(b[k][c], rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("holes", [False, True])
+def test_many_searches_at_once_are_those_one_by_one(holes):
+    """Near and far hits, groups without samples, with holes and with samples that come twice."""
+    rng = np.random.default_rng(21)
+    sizes = [0, 1, 700, 64, 0, 40, 3000]
+    held = [(np.sort(rng.choice(3 * n + 9, n, replace=k == 5)) if holes else 7 * k + np.arange(n), np.round(np.cumsum(rng.standard_normal(n)), 1)) for k, n in enumerate(sizes)]
+    held[3][1][::9] = np.nan
+    own = rng.integers(0, len(sizes), 900)
+    start = rng.integers(-20, 3000, 900)
+    end, level = start + rng.integers(0, 2500, 900), np.round(rng.standard_normal(900) * 20)
+    x = Many(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), np.concatenate([[0], np.cumsum(sizes)]), own)
+    one = [Extrema(*h) for h in held]
+    a, b = x.between(start, end)
+    assert [(p - q, r - q) for p, r, q in zip(a.tolist(), b.tolist(), x.low.tolist(), strict=True)] == [one[g].between(s, e) for g, s, e in zip(own.tolist(), start.tolist(), end.tolist(), strict=True)]
+    for test in ("at most", "below", "at least"):
+        for many, single in ((x.first, Extrema.first), (x.last, Extrema.last)):
+            got = [i if there else None for i, there in zip(*(c.tolist() for c in many(start, end, level, test)), strict=True)]
+            assert got == [single(one[g], s, e, v, test) for g, s, e, v in zip(own.tolist(), start.tolist(), end.tolist(), level.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize(("n", "distance"), [(0, 3), (1, 3), (400, 2), (400, 9), (4000, 500)])
+def test_peaks_are_suppressed_as_one_by_one(n, distance):
+    rng = np.random.default_rng(22)
+    for db in (rng.integers(-9, 0, n).astype(float), np.arange(n, dtype=float), np.zeros(n)):
+        idx, keep = np.cumsum(rng.integers(2, 6, n)), np.ones(n, bool)
+        for i in np.lexsort((-idx, -db)):
+            if keep[i]:
+                keep[(np.abs(idx - idx[i]) < distance) & (np.arange(n) != i)] = False
+        assert peaks.suppress(idx, db, distance).tolist() == keep.tolist()
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_patterns_of_many_series_are_those_of_each(least):
+    """Constant windows, windows of other lengths, series without windows, and more alike than there may be groups."""
+    rng = np.random.default_rng(23)
+    shapes = [np.sin(np.arange(n) / k) for n in (4, 7, 8) for k in (1, 2, 5)] + [np.full(4, 1.0), np.full(7, 1.0), np.full(1, 2.0)]
+    series_ = [[shapes[k] * rng.uniform(0.5, 2) + rng.normal(0, 0.05, len(shapes[k])) * (k < 9) for k in rng.integers(0, len(shapes), n)] for n in (0, 1, 2, 5, 17, patterns.FEW, 3)]
+    flat, cuts = [w for s in series_ for w in s], np.concatenate([[0], np.cumsum([len(s) for s in series_])])
+    windows = np.empty(len(flat), object)
+    windows[:] = flat
+    i, j, same = patterns.pairs_of_many(windows, cuts, 0.8)
+    want, members = set(), []
+    for g, held in enumerate(series_):
+        a, b, like, _ = patterns.alike_pairs(held, 0.8)
+        edges = [(int(p), int(q), bool(s)) for p, q, s in zip(a, b, like, strict=True)]
+        want |= {(cuts[g] + p, cuts[g] + q, s) for p, q, s in edges}
+        found = patterns.greedy_groups(len(held), edges, dict(enumerate(map(len, held))), least)
+        members += [(g, k, cuts[g] + n) for k, one in enumerate(sorted(found, key=len, reverse=True)[:3], 1) for n in one]
+    assert set(zip(i.tolist(), j.tolist(), same.tolist(), strict=True)) == want and len(i) == len(want) > 20
+    got = patterns.groups_of_many(np.array([len(w) for w in flat]), cuts, (i, j, same), least, 3)
+    assert list(zip(*(c.tolist() for c in got), strict=True)) == members
+
+
+def test_series_of_one_block_stay_where_they_are(spark):
+    """Their peaks need no shuffle, and whatever is made of them is that of blocks which are not marked."""
+    rng, centres = np.random.default_rng(24), [1.0, 4.0, 16.0]
+    x = [rng.standard_normal(n) for n in (64, 64, 30, 150, 64)]
+    held = [("t", c, k, 64 * k, v[64 * k : 64 * k + 64].tolist()) for c, v in enumerate(x) for k in range(-(-len(v) // 64))]
+    df = spark.createDataFrame(held, "track_id string, channel_index int, block_idx long, start_sample long, samples array<double>")
+    levels = scan.band_envelopes(df, centres, 64.0, digits=4)
+    plain = {(r["channel_index"], r["band_hz"], r["start_sample"]): r for r in levels.collect()}
+    assert {k[0] for k, r in plain.items() if r["whole"]} == {0, 1, 2, 4} and len(plain) == 4 * len(held)
+    for (c, hz, a), r in plain.items():
+        keep, e, want = math.exp(-1 / scan.release_samples(hz, 64.0)), 0.0, []
+        for v in np.abs(np.concatenate([spectral.bank(x[c][k : k + 64], centres, 64.0)[[0.0, *centres].index(hz)] for k in range(0, len(x[c]), 64)])):
+            e = max(v, e * keep + v * (1 - keep))
+            want.append(20 * math.log10(max(e, 1e-10) + 1e-10))
+        assert np.allclose(r["levels"], want[a : a + 64], atol=1e-4)
+    marked, keys = spark.createDataFrame(plain.values(), levels.schema), (*peaks.KEYS, "band_hz")
+    assert "Exchange" not in peaks._lone(marked.where("whole"), list(keys), -30.0, 3)._jdf.queryExecution().executedPlan().toString()
+    said = [reports.envelope_analysis(m, 64.0, -30.0, 3, {0.0: 12, 1.0: 32, 4.0: 16, 16.0: 8}, keys, 0.8, 2, 4, 2, -18.0, 0.25) for m in (marked, marked.drop("whole"))]
+    for name in ("peaks", "patterns", "worst_cases", "sustained", "sustained_summary"):
+        a, b = (sorted(map(repr, found[name].collect())) for found in said)
+        assert a == b and len(a) > 5
