@@ -13,7 +13,7 @@ from tidewave import plans
 from tidewave.functions import bands as fb
 from tidewave.operators import panes, patterns, peaks, reports, rollup, scan, spectral, stats, walk
 from tidewave.operators.extrema import Extrema, Many
-from tidewave.operators.quantiles import percentiles
+from tidewave.operators.quantiles import percentiles, percentiles_of_short
 from tidewave.sources import media, series, tables
 from tidewave.streaming import windowed_levels
 
@@ -609,3 +609,29 @@ def test_series_of_one_block_stay_where_they_are(spark):
     for name in ("peaks", "patterns", "worst_cases", "sustained", "sustained_summary"):
         a, b = (sorted(map(repr, found[name].collect())) for found in said)
         assert a == b and len(a) > 5
+
+
+@pytest.mark.parametrize("short", [0, 400, 10_000])
+def test_percentiles_of_short_groups_are_exact(spark, short):
+    rng = np.random.default_rng(25)
+    groups = {"a": rng.standard_normal(4000), "b": np.round(rng.standard_normal(900) * 3), "c": np.full(50, -2.5), "d": np.array([7.0]), "f": -np.abs(rng.standard_normal(333))}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("b", float("nan")), ("c", float("nan")), ("d", None), ("g", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    values = {"p": F.col("x"), "q": F.when(F.col("k") != "c", -F.col("x"))}
+    got = {r["k"]: (r["p"], r["q"]) for r in percentiles_of_short(df, ["k"], values, shares, short).collect()}
+    assert got.keys() == groups.keys() and got["c"][1] is None
+    for k, x in groups.items():
+        assert np.allclose(got[k][0], np.quantile(x, shares), rtol=1e-12, atol=0)
+        assert k == "c" or np.allclose(got[k][1], np.quantile(-x, shares), rtol=1e-12, atol=0)
+
+
+def test_a_histogram_adds_up_its_counts_once_a_series(spark):
+    """The sum over all bins stands below the step that makes a row a bin."""
+    df = spark.createDataFrame([(0, [1, 0, 3]), (0, [1, 1, 0]), (1, [0, 0, 0])], "k int, c array<long>")
+    made = stats.histogram_of_counts(df, "c", 0.0, 3.0, 3, ["k"])
+    plan = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = [next(i for i, line in enumerate(plan) if what in line) for what in ("Generate", "aggregate(")]
+    assert at[0] < at[1] and sum("aggregate(" in line for line in plan) == 1
+    got = {(r["k"], r["bin"]): (r["bin_count"], r["bin_density"]) for r in made.collect()}
+    assert got == {(0, 0): (2, 2 / 6), (0, 1): (1, 1 / 6), (0, 2): (3, 0.5), **{(1, b): (0, 0.0) for b in range(3)}}
