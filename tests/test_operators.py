@@ -635,3 +635,43 @@ def test_a_histogram_adds_up_its_counts_once_a_series(spark):
     assert at[0] < at[1] and sum("aggregate(" in line for line in plan) == 1
     got = {(r["k"], r["bin"]): (r["bin_count"], r["bin_density"]) for r in made.collect()}
     assert got == {(0, 0): (2, 2 / 6), (0, 1): (1, 1 / 6), (0, 2): (3, 0.5), **{(1, b): (0, 0.0) for b in range(3)}}
+
+
+def test_columns_of_arrays_are_handed_on_whole(spark):
+    """Arrays of several lengths, empty and missing ones, NaN as null, and groups that batches and stretches cut."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.range(60).selectExpr("concat('k', id % 9) as k", "id", "transform(sequence(0, cast(id % 4 as int)), x -> cast(if(x = 2, double('NaN'), x) as double)) as x")
+
+        def work(held, cuts):
+            n = walk.lengths_of(held["x"])
+            first, there = held["id"], held["id"] % 5 != 0
+            return np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), {"id": first, "half": np.where(there, first / 2, np.nan), "x": walk.Lists(np.concatenate(list(held["x"][there])), np.where(there, n, 0), there)}
+
+        got = walk.by_stretch(rows, ["k"], ["id"], work, "id int, half double, x array<double>", heavy="x").collect()
+        assert sorted((r["k"], r["id"], r["half"], r["x"]) for r in got) == [(f"k{i % 9}", i, i / 2 if i % 5 else None, [None if v == 2 else float(v) for v in range(i % 4 + 1)] if i % 5 else None) for i in sorted(range(60), key=lambda i: (f"k{i % 9}", i))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert list(walk.stretches(np.array([walk.STRETCH + 1, 5, 5, walk.STRETCH]), np.array([0, 1, 2, 3, 4]))) == [(0, 1), (1, 3), (3, 4)]
+
+
+def test_a_worst_case_without_half_of_its_window_has_none(spark):
+    db = [-1.0 if i in (1, 30) else -40.0 for i in range(60)]
+    levels = spark.createDataFrame([("t", 0, 0, db, True), ("t", 1, 0, db[:32], False), ("t", 1, 32, db[32:], False)], "track_id string, channel_index int, start_sample long, levels array<double>, whole boolean")
+    found = peaks.find_peaks(levels, -20.0, 2)
+    got = {(r["channel_index"], r["peak_idx"]): (r["start_idx"], r["window"]) for r in peaks.worst_case(found, levels, 1.0, window=40).collect()}
+    assert got == {(c, i): w for c in (0, 1) for i, w in ((1, (0, db[:21])), (30, (10, db[10:50])))}
+    wide = {(r["channel_index"], r["peak_idx"]): r["window"] for r in peaks.worst_case(found, levels, 1.0, window=70).collect()}
+    assert wide[0, 1] == db[:36] and wide[1, 30] == db
+    none = peaks.worst_case(found, levels, 1.0, window=122).collect()
+    assert len(none) == 4 and all(r["window"] is None and r["start_idx"] is None and r["rank"] and r["decay_3db_ms"] == 1000.0 for r in none)
+    assert peaks.windows_around(found, levels, 122).count() == 0
+
+
+def test_a_section_that_fails_is_an_error(spark, tmp_path):
+    good = spark.createDataFrame([("t", 0)], "track_id string, channel_index int")
+    names = [n for n in tables.SECTIONS if n != "time_domain_summary"]
+    assert tables.write_sections({n: good for n in reversed(names)}, f"{tmp_path}/a") == names
+    assert all(spark.read.csv(f"{tmp_path}/a/{n}", header=True).count() == 1 for n in names)
+    with pytest.raises(Exception, match="no such thing"):
+        tables.write_sections({"track_metadata": good, "time_domain_summary": good.select(F.raise_error(F.lit("no such thing")).cast("string").alias("x"))}, f"{tmp_path}/b")
