@@ -675,3 +675,15 @@ def test_a_section_that_fails_is_an_error(spark, tmp_path):
     assert all(spark.read.csv(f"{tmp_path}/a/{n}", header=True).count() == 1 for n in names)
     with pytest.raises(Exception, match="no such thing"):
         tables.write_sections({"track_metadata": good, "time_domain_summary": good.select(F.raise_error(F.lit("no such thing")).cast("string").alias("x"))}, f"{tmp_path}/b")
+
+
+def test_stored_events_are_summed_up_as_others_are(spark, monkeypatch):
+    """Series of no, few and many events; the many are selected from."""
+    rng, names = np.random.default_rng(26), ("hold_ms", "t3_ms")
+    monkeypatch.setattr(peaks, "percentiles_of_short", lambda *a: percentiles_of_short(*a, short=20))
+    events = spark.createDataFrame([("t", c, float(rng.integers(0, 9)), None if k % 4 else float(rng.random())) for c, n in enumerate((0, 1, 7, 90)) for k in range(n)], "track_id string, channel_index int, hold_ms double, t3_ms double")
+    series_ = spark.createDataFrame([("t", c) for c in range(4)], "track_id string, channel_index int")
+    one, other = (sorted(peaks.sustained_summary(events, series_, names, stored=s).collect()) for s in (False, True))
+    assert [r["n_peaks"] for r in other] == [0, 1, 7, 90]
+    for a, b in zip(one, other, strict=True):
+        assert all(b[c] == a[c] if isinstance(a[c], str) else b[c] == pytest.approx(a[c], rel=1e-12) for c in a.asDict())
